@@ -14,6 +14,7 @@ from barloom.config import (
 from barloom.frames import CHUNK, CORE, LSEG, Term, affine_scan, row_halo, row_index, segment_first
 from barloom.functions.scalars import clip_finite, is_finite
 from barloom.operators.bars import bar_open, size_samples, vol_recon_err
+from barloom.session import pin
 from barloom.operators.segments import local_position, local_segments, timeline, with_segments
 
 KEY = ["symbol", "bar_open_ms"]
@@ -152,7 +153,8 @@ def raw_features(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
 
 # ---- causal normalisation ---------------------------------------------------------------------------------------
 
-def ewma_zscores(df: DataFrame, cfg: FeatureConfig, columns: dict[str, tuple[str, int]]) -> DataFrame:
+def ewma_zscores(df: DataFrame, cfg: FeatureConfig, columns: dict[str, tuple[str, int]],
+                 vol: str | None = None) -> DataFrame:
     """Emit-before-update EWMA z-scores: ``out -> (column, half life)``; adds ``<out>_warm``.
 
     ``df`` holds core rows with ``_brk`` and ``seg_pos``. Values are centred on the first value of their segment,
@@ -166,8 +168,12 @@ def ewma_zscores(df: DataFrame, cfg: FeatureConfig, columns: dict[str, tuple[str
         a, g = cfg.alpha(half), F.col(f"_g_{o}")
         terms[f"_m1_{o}"] = Term(1 - a, g * a, True)
         terms[f"_m2_{o}"] = Term(1 - a, g * g * a, True)
+    if vol:  # the volatility of this return column rides along in the same scan
+        terms["_s"] = Term(cfg.lam, F.col(vol) * F.col(vol) * (1 - cfg.lam))
     df = affine_scan(df, tl, terms)
     out = {}
+    if vol:
+        out = {"sigma": F.sqrt(F.col("_s") + EPS_VOL), "vol_warm": (F.col("seg_pos") < cfg.warm_vol).cast("int")}
     for o, (_, half) in columns.items():
         warm = F.col("seg_pos") < max(cfg.warm(half), 1)
         mean = F.col(f"_m1_{o}")
@@ -248,13 +254,13 @@ def guard_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     bad = F.lit(False)
     for c in columns:
         bad = bad | ~is_finite(c)
-    first, rest = columns[0], columns[1:]
-    checked = F.when(bad, F.raise_error(F.lit("non-finite value in emitted features")).cast("double")).otherwise(F.col(first))
-    return df.select(*[checked.alias(c) if c == first else F.col(c) for c in df.columns]) if rest or True else df
+    error = F.raise_error(F.lit("non-finite value in emitted features")).cast("double")
+    return df.withColumn(columns[0], F.when(bad, error).otherwise(F.col(columns[0])))
 
 
 # ---- the whole table --------------------------------------------------------------------------------------------------
 
+FLOW_QA = ["v_kline", "v_agg", "funding_missing", "oi_missing", "clipped", "is_stale", "raw_range"]
 OUTPUT = [*KEY, "segment_id", "seg_pos", *[f"x_{d}" for d in range(N_FEATURES)], *[f"m_{d}" for d in range(N_FEATURES)],
           "raw_ret_close", "raw_range", "sigma", "target", "target_valid", "is_stale", "dq_flags"]
 
@@ -269,6 +275,7 @@ def compute_features(bars: DataFrame, cfg: FeatureConfig, trades: DataFrame | No
     if cfg_chunk != cfg.chunk:
         raise ValueError(f"chunk must be at most {cfg_chunk} for lam {cfg.lam}")
     tl = timeline(cfg)
+    bars = pin(bars)
     side = bars.join(trailing_mad(bars, cfg), KEY, "left").join(stale_flags(bars, cfg), KEY, "left")
     if trades is not None:
         side = side.join(large_trades(bars, trades, cfg), KEY, "left")
@@ -278,16 +285,21 @@ def compute_features(bars: DataFrame, cfg: FeatureConfig, trades: DataFrame | No
         if name not in side.columns:
             side = side.withColumns({name: F.lit(default), f"{name}_missing": F.lit(1)})
     wide = raw_features(clip_wicks(with_segments(side, cfg, 1, 1), cfg), cfg)
-    wide = wide.withColumns({"ret": F.col("f_0"), "next_ret": F.lead("f_0").over(tl.by_segment())}).filter(CORE)
-    wide = ewma_vol(wide, cfg)
+    wide = wide.withColumns({"ret": F.col("f_0"), "next_ret": F.lead("f_0").over(tl.by_segment()),
+                             "raw_range": F.col("f_1")}).filter(CORE)
+    wide = pin(wide.select(*KEY, CHUNK, LSEG, "_brk", "_gap", "segment_id", "seg_pos", *FLOW_QA, "ret", "next_ret",
+                           *[f"f_{d}" for d in range(N_FEATURES)]))
+    halves = {f"x_{d}": (f"f_{d}", cfg.half_life_fast if d in FAST_DIMS else cfg.half_life_slow) for d in Z_DIMS}
     if cfg.vol_scaled_inputs:
+        wide = pin(ewma_vol(wide, cfg))
         wide = wide.withColumns({f"f_{d}": F.col(f"f_{d}") / (F.col("sigma") + EPS_VOL) for d in (0, 1)})
-    halves = {f"x_{d}": (f"f_{d}", cfg.half_life_fast if d in FAST_DIMS else cfg.half_life_slow) for d in Z_DIMS}
-    wide = ewma_zscores(wide, cfg, halves)
+        wide = ewma_zscores(wide, cfg, halves)
+    else:
+        wide = ewma_zscores(wide, cfg, halves, vol="ret")
     wide = wide.withColumns({f"x_{d}": clip_finite(f"f_{d}") for d in BOUNDED_DIMS}).withColumns(masks(cfg))
     valid = F.col("next_ret").isNotNull() & (F.col("vol_warm") == 0)
     return wide.withColumns({
-        "raw_ret_close": F.col("ret"), "raw_range": F.log(F.col("high_c") / F.col("low_c")),
+        "raw_ret_close": F.col("ret"),
         "target": F.when(valid, F.col("next_ret") / (F.col("sigma") + EPS_VOL)).otherwise(float("nan")),
         "target_valid": valid, "dq_flags": dq_flags(),
     }).select(*OUTPUT)

@@ -17,10 +17,10 @@ SEGW = "PARTITION BY symbol, segment_id ORDER BY bar_open_ms"
 
 
 def full_bars(spark, sf_dir):
-    """Hourly bars with flow, funding and open interest, computed once per query."""
+    """Hourly bars with flow, funding and open interest."""
     tl = S.timeline(HCFG)
-    out = B.asof_ffill(V.bars(spark, sf_dir), V.funding(spark, sf_dir), "funding", tl)
-    return pin(B.asof_ffill(out, V.open_interest(spark, sf_dir), "oi", tl))
+    out = B.asof_ffill(pin(V.bars(spark, sf_dir)), V.funding(spark, sf_dir), "funding", tl)
+    return B.asof_ffill(out, V.open_interest(spark, sf_dir), "oi", tl)
 
 
 cte("fbars", f"""SELECT b.*, coalesce(f.value, 0) AS funding, CASE WHEN f.value IS NULL THEN 1 ELSE 0 END AS funding_missing,
@@ -141,8 +141,8 @@ def stale_flag(spark, sf_dir):
 
 cte("taus", f"""SELECT *, CASE WHEN seg_pos >= {HCFG.w_tau} AND len(pool) > 0 THEN CASE WHEN t >= 0.5
    THEN hi - (hi - lo) * (1 - t) ELSE lo + (hi - lo) * t END END AS tau FROM
- (SELECT *, pool[floor(at)::BIGINT + 1] AS lo, pool[least(floor(at)::BIGINT + 2, len(pool))] AS hi, at - floor(at) AS t FROM
- (SELECT *, {HCFG.q_tau}::DOUBLE * (len(pool) - 1) AS at FROM
+ (SELECT *, pool[floor(vi)::BIGINT + 1] AS lo, pool[least(floor(vi)::BIGINT + 2, len(pool))] AS hi, vi - floor(vi) AS t FROM
+ (SELECT *, {HCFG.q_tau}::DOUBLE * (len(pool) - 1) AS vi FROM
  (SELECT s.symbol, s.segment_id, s.bar_open_ms, s.seg_pos, list_sort(flatten(list(coalesce(k.kept, [])) OVER
    (PARTITION BY s.symbol, s.segment_id ORDER BY s.bar_open_ms ROWS BETWEEN {HCFG.w_tau} PRECEDING AND 1 PRECEDING))) AS pool
   FROM fsegs s LEFT JOIN kept k ON s.symbol = k.symbol AND s.bar_open_ms = k.bar_open_ms)))""", "fsegs", "kept")
@@ -219,13 +219,14 @@ cte("masked", f"""SELECT *, {_mask_sql()}, next_ret IS NOT NULL AND NOT vol_warm
  WINDOW st AS (PARTITION BY symbol ORDER BY bar_open_ms ROWS BETWEEN {HCFG.stale_bars - 1} PRECEDING AND CURRENT ROW)""", "feats")
 
 _X = range(N_FEATURES)
+_D = {d: 4 if d in X.Z_DIMS else 6 for d in _X}  # digits compared
 
 
 @query("raw_features", sql(
     "SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, " + ", ".join(f"{rq(f'f_{d}')} AS f_{d}" for d in _X) + " FROM raws",
     "raws"))
 def raw_features(spark, sf_dir):
-    bars = full_bars(spark, sf_dir)
+    bars = pin(full_bars(spark, sf_dir))
     side = bars.join(X.trailing_mad(bars, HCFG), X.KEY, "left").join(
         X.large_trades(bars, V.tape(spark, sf_dir), HCFG), X.KEY, "left")
     df = X.raw_features(X.clip_wicks(S.with_segments(side, HCFG, 1), HCFG), HCFG).filter("_core")
@@ -237,11 +238,11 @@ def features(spark, sf_dir):
 
 
 @query("compute_features", sql(
-    "SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, segment_id, " + ", ".join(f"{rq(f'x_{d}', 4)} AS x_{d}" for d in _X)
+    "SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, segment_id, " + ", ".join(f"{rq(f'x_{d}', _D[d])} AS x_{d}" for d in _X)
     + f", {rq('sigma')} AS sigma, {rq('target', 4)} AS target, target_valid FROM masked", "masked"))
 def compute_features(spark, sf_dir):
     df = features(spark, sf_dir)
-    return df.select("symbol", "bar_open_ms", "segment_id", *[rd(f"x_{d}", 4).alias(f"x_{d}") for d in _X],
+    return df.select("symbol", "bar_open_ms", "segment_id", *[rd(f"x_{d}", _D[d]).alias(f"x_{d}") for d in _X],
                      rd("sigma").alias("sigma"), rd("target", 4).alias("target"), "target_valid")
 
 

@@ -173,3 +173,55 @@ def _segs(src: str, cfg: FeatureConfig) -> str:
 
 cte("segs", _segs("bars", HCFG), "bars")
 cte("wsegs", _segs("wbars", WCFG), "wbars")
+
+
+# ---- panel: weekly bars per brand in the stored feature layout, with simple causal features ---------------------
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature table like the lake: x_*, m_*, returns, volatility, flags, segments and row numbers."""
+    from barloom.operators import features as X
+    from barloom.operators import segments as S
+
+    x = S.with_segments(wbars(spark, sf_dir), WCFG, WCFG.vol_window + 1)
+    x = x.withColumn("raw_ret_close", X.log_return(WCFG))
+    x = x.withColumn("sigma", X.rolling_vol("raw_ret_close", WCFG)).filter("_core")
+    c = F.col
+    span = c("high") - c("low") + 1e-8
+    xs = {
+        "x_0": F.greatest(F.least(c("raw_ret_close"), F.lit(5.0)), F.lit(-5.0)), "x_1": F.log(c("high") / c("low")),
+        "x_2": (c("close") - c("open")) / span, "x_3": (c("high") - F.greatest("open", "close")) / span,
+        "x_4": (F.least("open", "close") - c("low")) / span, "x_5": F.log(c("v_kline") + 1),
+        "x_6": F.log(c("quote_volume") + 1), "x_7": (c("v_buy") - c("v_sell")) / (c("v_agg") + 1e-9),
+        "x_8": (c("n_buy") - c("n_sell")) / (c("n_trades") + 1e-9), "x_9": F.log(c("n_trades") + 1.0),
+        "x_10": F.log(c("v_agg") / (c("n_trades") + 1.0) + 1e-9),
+        "x_11": F.when(c("n_trades") >= 2, c("size_std") / (c("size_mean") + 1e-9)).otherwise(0.0),
+        "x_12": c("n_buy") / (c("v_agg") + 1e-9),
+        **{f"x_{d}": F.lit(0.0) for d in (13, 14, 15)},
+    }
+    warm, sparse = c("seg_pos") < 8, c("n_trades") < 5
+    ms = {f"m_{d}": (warm if d in (0, 1, 5, 6) else (warm | sparse) if d in (9, 10, 11) else sparse if d in (7, 8, 12)
+                     else F.lit(d > 12)).cast("int") for d in range(16)}
+    qa = {"is_stale": (c("n_trades") <= 3).cast("int"), "vol_warm": (c("seg_pos") < 8).cast("int"),
+          "dq_flags": ((c("n_trades") <= 3).cast("int") * 2 + (c("n_trades") < 2).cast("int") * 16)}
+    return x.select("symbol", "bar_open_ms", "segment_id", "seg_pos", "row_idx", "close", "v_kline", "n_trades",
+                    "raw_ret_close", "sigma", *[v.alias(k) for k, v in {**xs, **ms, **qa}.items()])
+
+
+def _panel_sql() -> str:
+    ms = ", ".join(
+        ("(seg_pos < 8)" if d in (0, 1, 5, 6) else "(seg_pos < 8 OR n_trades < 5)" if d in (9, 10, 11)
+         else "(n_trades < 5)" if d in (7, 8, 12) else "(true)" if d > 12 else "(false)") + f"::INT AS m_{d}"
+        for d in range(16))
+    return f"""SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, segment_id, seg_pos, row_idx, close, v_kline, n_trades,
+ ret AS raw_ret_close, sqrt(avg(ret * ret) OVER (PARTITION BY symbol, segment_id ORDER BY bar_open_ms
+   ROWS BETWEEN {WCFG.vol_window - 1} PRECEDING AND CURRENT ROW) + 1e-8) AS sigma,
+ greatest(least(ret, 5.0), -5.0) AS x_0, ln(high / low) AS x_1, (close - open) / (high - low + 1e-8) AS x_2,
+ (high - greatest(open, close)) / (high - low + 1e-8) AS x_3, (least(open, close) - low) / (high - low + 1e-8) AS x_4,
+ ln(v_kline + 1) AS x_5, ln(quote_volume + 1) AS x_6, (v_buy - v_sell) / (v_agg + 1e-9) AS x_7,
+ (n_buy - n_sell) / (n_trades + 1e-9) AS x_8, ln(n_trades + 1) AS x_9, ln(v_agg / (n_trades + 1) + 1e-9) AS x_10,
+ CASE WHEN n_trades >= 2 THEN size_std / (size_mean + 1e-9) ELSE 0 END AS x_11, n_buy / (v_agg + 1e-9) AS x_12,
+ 0.0::DOUBLE AS x_13, 0.0::DOUBLE AS x_14, 0.0::DOUBLE AS x_15, {ms}, (n_trades <= 3)::INT AS is_stale, (seg_pos < 8)::INT AS vol_warm,
+ (n_trades <= 3)::INT * 2 + (n_trades < 2)::INT * 16 AS dq_flags FROM wrets"""
+
+
+cte("wrets", "SELECT *, CASE WHEN seg_pos = 0 THEN 0.0 ELSE ln(close / pc) END AS ret FROM wsegs", "wsegs")
+cte("panel", _panel_sql(), "wrets")
