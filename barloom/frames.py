@@ -272,3 +272,27 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapp
         frac = F.max(at - lo)
         aggs.append((low + (high - low) * frac).alias(name))
     return ranks.groupBy(*keys).agg(*aggs)
+
+
+def global_rank(df: DataFrame, order: str, ties: Sequence[str], weight: str | None = None,
+                buckets: int = 64, rank: str = "rank", running: str = "running") -> DataFrame:
+    """Row number over the whole table by (order, *ties), and the running sum of ``weight`` in that order.
+
+    A window without partitions would sort the table in one task; here rows go to value buckets whose cut points are
+    a bounded list of literals, and a table of at most ``buckets`` offsets finishes the job.
+    """
+    cuts = df.agg(F.percentile_approx(order, _shares(buckets), F.lit(buckets * 20))).first()[0] or []
+    x = df.withColumn("_bucket", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order)))
+                      if cuts else F.lit(0))
+    w = F.col(weight) if weight else F.lit(1)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = x.groupBy("_bucket").agg(F.count("*").alias("_n"), F.sum(w).alias("_w")).select(
+        "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_on"),
+        F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_ow"))
+    inside = Window.partitionBy("_bucket").orderBy(order, *ties)
+    x = x.withColumns({"_ln": F.row_number().over(inside),
+                       "_lw": F.sum(w).over(inside.rowsBetween(Window.unboundedPreceding, 0))}).join(offsets, "_bucket")
+    x = x.withColumn(rank, F.col("_on") + F.col("_ln"))
+    if weight:
+        x = x.withColumn(running, F.col("_ow") + F.col("_lw"))
+    return x.drop("_bucket", "_ln", "_lw", "_on", "_ow")

@@ -74,5 +74,5 @@ def parse_timestamp_ms(text: Column | str) -> Column:
     size = F.abs(number)
     millis = (F.when(size > 1e17, number / 1e6).when(size > 1e14, number / 1e3)
               .when(size > 1e11, number).otherwise(number * 1e3))
-    return F.when(number.isNotNull(), F.when(is_finite(number), F.floor(millis).cast("bigint"))).otherwise(
+    return F.when(number.isNotNull(), F.when(is_finite(number), millis.cast("bigint"))).otherwise(
         F.unix_millis(raw.try_cast("timestamp")))

@@ -35,7 +35,7 @@ def klines_from_trades(spark, sf_dir):
     return V.klines(spark, sf_dir).withColumn("quote_volume", rd("quote_volume", 4))
 
 
-@query("bar_id", "SELECT event_id, epoch_ms(ts) // 60000 AS bar_id FROM events")
+@query("bar_id", "SELECT event_id, (epoch_us(ts) // 1000) // 60000 AS bar_id FROM events")
 def bar_id(spark, sf_dir):
     return V.trades(spark, sf_dir).select(F.col("trade_id").alias("event_id"), B.bar_id("ts_ms").alias("bar_id"))
 

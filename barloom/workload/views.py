@@ -118,7 +118,7 @@ def rq(expr: str, digits: int = 6) -> str:
     return f"(round(CASE WHEN isnan(({expr})::DOUBLE) THEN NULL ELSE ({expr})::DOUBLE END, {digits}) + 0.0)"
 
 
-cte("trades", """SELECT event_type AS symbol, epoch_ms(ts) AS ts_ms, event_id AS trade_id, value AS price,
+cte("trades", """SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS ts_ms, event_id AS trade_id, value AS price,
   CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) AS quantity, user_id % 2 = 0 AS is_buyer_maker, user_id
   FROM events""")
 cte("tape", "SELECT * FROM trades WHERE user_id % 10 <> 7", "trades")
@@ -155,9 +155,9 @@ cte("wtrades", """SELECT p_brand AS symbol, epoch_ms(l_shipdate) AS ts_ms,
 cte("wklines", _klines("wtrades", WEEK), "wtrades")
 cte("wflow", _flow("wtrades", WEEK), "wtrades")
 cte("wbars", _bars("wklines", "wflow"), "wklines", "wflow")
-cte("funding", """SELECT event_type AS symbol, epoch_ms(ts) AS ts_ms, value / 1e4 AS value FROM events
+cte("funding", """SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS ts_ms, value / 1e4 AS value FROM events
   WHERE user_id % 10 = 3""")
-cte("oi", """SELECT event_type AS symbol, epoch_ms(ts) AS ts_ms, value * 100 AS value FROM events
+cte("oi", """SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS ts_ms, value * 100 AS value FROM events
   WHERE user_id % 10 = 7""")
 
 
