@@ -229,9 +229,9 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 6
     """
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
     if not keys:
-        first = counted.agg(F.percentile_approx(value, _shares(buckets), F.lit(buckets * 20))).first()[0] or []
-        placed = counted.withColumn("_bucket", sum(
-            (F.when(F.col(value) > c, 1).otherwise(0) for c in first), F.lit(0)))
+        first = counted.agg(F.percentile_approx(value, _shares(buckets), F.lit(buckets * 20))).first()[0] or [0]
+        cuts = F.array(*[F.lit(c) for c in sorted(set(first))])
+        placed = counted.withColumn("_bucket", F.size(F.filter(cuts, lambda c: c < F.col(value))))
         return _rank_placed(placed, keys, value)
     cuts = pin(counted.groupBy(*keys).agg(
         F.percentile_approx(value, _shares(buckets), F.lit(buckets * 20)).alias("_cuts")))

@@ -96,10 +96,15 @@ def headline(spark, sf_dir):
     return wide.join(kstar, on), pin(series.join(kstar, on))
 
 
-@query("decision_grid", f"SELECT ({LO} + i * {H * WEEK})::BIGINT AS bar_open_ms, i AS period FROM range((SELECT 60 FROM region LIMIT 1)) t(i)")
+@query("decision_grid", sql(
+    f"""SELECT g.bar_open_ms, (g.bar_open_ms - lo) // {H * WEEK} AS period, count(p.symbol) AS n_symbols FROM (SELECT unnest(generate_series(min(bar_open_ms)::BIGINT, max(bar_open_ms)::BIGINT,
+ {H * WEEK})) AS bar_open_ms, min(bar_open_ms)::BIGINT AS lo FROM wklines) g LEFT JOIN wklines p ON p.bar_open_ms = g.bar_open_ms GROUP BY 1, 2""", "wklines"))
 def decision_grid(spark, sf_dir):
-    V.table(spark, sf_dir, "region")
-    return E.decision_grid(spark, LO, HI, H, WEEK)
+    """Grid over the whole span of the bars with the number of symbols present at each instant."""
+    k = pin(V.B.klines_from_trades(V.wtrades(spark, sf_dir), WEEK).select("symbol", "bar_open_ms"))
+    lo, hi = k.agg(F.min("bar_open_ms"), F.max("bar_open_ms")).first()
+    grid = E.decision_grid(spark, lo, hi + 1, H, WEEK)
+    return grid.join(k, "bar_open_ms", "left").groupBy("bar_open_ms", "period").agg(F.count("symbol").alias("n_symbols"))
 
 
 @query("symbol_decisions", sql(f"SELECT symbol, bar_open_ms, period, {rq('y')} AS y FROM decs", "decs"))
