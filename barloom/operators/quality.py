@@ -227,3 +227,21 @@ def infer_interval(df: DataFrame, tl) -> DataFrame:
     return exact_quantiles(diffs, list(tl.keys), "_d", {"interval_ms": 0.5})
 
 
+
+
+def flow_audit(lake: DataFrame, trades: DataFrame, step: int, limit: float = 2e-6) -> DataFrame:
+    """Largest difference of stored flow features (x_7, x_8) from their recomputation out of ticks, per symbol."""
+    sign = F.when(F.col("is_buyer_maker"), -1.0).otherwise(1.0)
+    again = trades.groupBy("symbol", (F.floor(F.col("ts_ms") / step) * step).alias("bar_open_ms")).agg(
+        (F.sum(sign * F.col("quantity")) / (F.sum("quantity") + 1e-9)).alias("_tfi"), (F.sum(sign) / (F.count("*") + 1e-9)).alias("_sci"))
+    j = lake.select("symbol", "bar_open_ms", "x_7", "x_8").join(again, ["symbol", "bar_open_ms"])
+    gap = F.greatest(F.abs(F.col("x_7") - F.col("_tfi")), F.abs(F.col("x_8") - F.col("_sci")))
+    return j.groupBy("symbol").agg(F.count("*").alias("n"), F.max(gap).alias("max_diff")).withColumn("passes", F.col("max_diff") <= limit)
+
+
+def flow_alignment_audit(correlations: DataFrame, differences: DataFrame, least_groups: int = 20, least_days: int = 3) -> DataFrame:
+    """Both legs: enough groups whose aligned lag wins everywhere, enough days whose recomputation agrees."""
+    a = correlations.agg(F.count("*").alias("n_groups"), F.coalesce(F.min(F.col("passes").cast("int")), F.lit(0)).alias("lags"))
+    b = differences.agg(F.count("*").alias("n_days"), F.coalesce(F.min(F.col("passes").cast("int")), F.lit(0)).alias("values"))
+    x = a.withColumn("_j", F.lit(0)).join(b.withColumn("_j", F.lit(0)), "_j").drop("_j")
+    return x.withColumn("passes", (F.col("n_groups") >= least_groups) & (F.col("lags") == 1) & (F.col("n_days") >= least_days) & (F.col("values") == 1))

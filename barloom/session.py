@@ -56,3 +56,10 @@ def pin(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"

@@ -278,3 +278,21 @@ def vol_scaled_target(spark, sf_dir):
 def tau_warm(spark, sf_dir):
     return S.assign_segments(V.bars(spark, sf_dir), HCFG).select(
         "symbol", "bar_open_ms", (F.col("seg_pos") < HCFG.w_tau).cast("int").alias("tau_warm"))
+
+
+_VCFG = replace(HCFG, vol_scaled_inputs=True)
+
+
+def _scaled_sql():
+    inner = _decayed("raws", "s", f"{1 - HCFG.lam!r} * ret * ret", HCFG.lam, False)
+    inner = f"(SELECT * REPLACE (f_0 / (sqrt(s + 1e-8) + 1e-8) AS f_0, f_1 / (sqrt(s + 1e-8) + 1e-8) AS f_1) FROM ({inner}))"
+    for d in (0, 1):
+        inner = "(" + _zscore(inner, f"f_{d}", f"x_{d}", HCFG, HCFG.half_life_fast) + ")"
+    return inner
+
+
+@query("vol_scaled_inputs", sql(
+    f"SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, {rq('x_0', 4)} AS x_0, {rq('x_1', 4)} AS x_1, (x_0_warm = 1 OR seg_pos = 0 OR seg_pos < {HCFG.warm_vol})::INT AS m_0 FROM {_scaled_sql()}", "raws"))
+def vol_scaled_inputs(spark, sf_dir):
+    df = X.compute_features(full_bars(spark, sf_dir), _VCFG, V.tape(spark, sf_dir))
+    return df.select("symbol", "bar_open_ms", rd("x_0", 4).alias("x_0"), rd("x_1", 4).alias("x_1"), "m_0")

@@ -182,12 +182,12 @@ def noisy_plant(spark, sf_dir):
 
 @query("legibility_gate")
 def legibility_gate(spark, sf_dir):
-    return K.legibility_gate(panel_tokens(spark, sf_dir), [7, 9], least=1000)
+    return K.legibility_gate(panel_tokens(spark, sf_dir), [7, 8], least=1000)
 
 
 @query("window_context_probe")
 def window_context_probe(spark, sf_dir):
-    return K.window_context_probe(panel_tokens(spark, sf_dir), TL, 9, [1, 2])
+    return K.window_context_probe(panel_tokens(spark, sf_dir), TL, 7, [1, 2])
 
 
 @query("discriminative_score")
