@@ -12,7 +12,7 @@ most ``chunk`` rows whatever the key distribution is. Three tools follow from th
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -146,21 +146,13 @@ def last_known(df: DataFrame, tl: Timeline, order: Sequence[str], values: Sequen
 
 @dataclass(frozen=True)
 class Term:
-    """One recursion ``s_i = decay*s_(i-1) + u_i``; ``lagged`` reports the state before row i is folded in."""
+    """One recursion ``s_i = decay*s_(i-1) + u_i``, u as SQL text; ``lagged`` reports the state before row i."""
 
     decay: float
-    u: Column
+    u: str
     lagged: bool = False
 
 
-def _fold(decay: float, part: str) -> Callable[[Column, Column], Column]:
-    """Append one chunk to the running state; a chunk with a segment start forgets what came before."""
-    def step(acc: Column, chunk: Column) -> Column:
-        kept = F.when(chunk["_cut"] == 1, 0.0).otherwise(acc * F.pow(F.lit(decay), chunk["_n"]))
-        return kept + chunk[part]
-    return step
-
-
 def affine_scan(df: DataFrame, tl: Timeline, terms: Mapping[str, Term]) -> DataFrame:
     """Evaluate decaying recursions inside every segment, all starting from 0.
 
@@ -168,57 +160,50 @@ def affine_scan(df: DataFrame, tl: Timeline, terms: Mapping[str, Term]) -> DataF
     reduced to the state of its last segment; the state entering a chunk is folded from the preceding chunk
     summaries, of which only those with weight above 2**-80 can matter; then a weighted prefix sum finishes
     inside the chunk. Weights are formed inside one chunk only, so exponents stay bounded.
+
+    The expressions are SQL text: one string per column is far cheaper to build than a tree of column calls.
     """
     slowest = max(t.decay for t in terms.values())
     fastest = min(t.decay for t in terms.values())
     if tl.chunk * -math.log(fastest) > 700:
         raise ValueError(f"chunk {tl.chunk} is too long for decay {fastest}; use config.safe_chunk")
-    by_chunk, by_seg = Window.partitionBy(*tl.on_chunk), Window.partitionBy(*tl.on_chunk, LSEG)
-    tagged = df.withColumns({f"_u_{n}": t.u for n, t in terms.items()})
-    tagged = tagged.withColumns({
-        "_at": F.row_number().over(tl.by_segment()) - 1,
-        "_len": F.count("*").over(by_seg),
-        "_opens": F.max("_brk").over(by_seg),
-        "_tail": F.col(LSEG) == F.max(LSEG).over(by_chunk),
-    })
-    left = F.col("_len") - 1 - F.col("_at")
+    chunk_keys = ", ".join(tl.on_chunk)
+    seg = f"PARTITION BY {chunk_keys}, {LSEG}"
+    power = {n: f"pow({t.decay!r}D, {{}})" for n, t in terms.items()}
+    tagged = df.selectExpr(
+        "*", *[f"({t.u}) AS _u_{n}" for n, t in terms.items()],
+        f"row_number() OVER ({seg} ORDER BY {tl.ts}) - 1 AS _at", f"count(1) OVER ({seg}) AS _len",
+        f"max(_brk) OVER ({seg}) AS _opens", f"{LSEG} = max({LSEG}) OVER (PARTITION BY {chunk_keys}) AS _tail")
     summary = tagged.filter("_tail").groupBy(*tl.on_chunk).agg(
-        F.max("_opens").alias("_cut"), F.count("*").alias("_n"),
-        *[F.sum(F.col(f"_u_{n}") * F.pow(F.lit(t.decay), left)).alias(f"_s_{n}") for n, t in terms.items()])
+        F.expr("max(_opens) AS _cut"), F.expr("count(1) AS _n"),
+        *[F.expr(f"sum(_u_{n} * {power[n].format('_len - 1 - _at')}) AS _s_{n}") for n in terms])
     depth = int(math.ceil(80 * math.log(2) / -math.log(slowest) / tl.chunk)) + 2
-    recent = Window.partitionBy(*tl.keys).orderBy(CHUNK).rowsBetween(-depth, -1)
-    carried = summary.withColumn(
-        "_h", F.collect_list(F.struct("_cut", "_n", *[f"_s_{n}" for n in terms])).over(recent)
-    ).select(*tl.on_chunk, *[
-        F.aggregate("_h", F.lit(0.0), _fold(t.decay, f"_s_{n}")).alias(f"_c_{n}")
+    states = ", ".join(f"_s_{n}" for n in terms)
+    recent = f"PARTITION BY {', '.join(tl.keys)} ORDER BY {CHUNK} ROWS BETWEEN {depth} PRECEDING AND 1 PRECEDING"
+    # a chunk with a segment start forgets what came before it
+    carried = summary.selectExpr(*tl.on_chunk, f"collect_list(struct(_cut, _n, {states})) OVER ({recent}) AS _h").selectExpr(
+        *tl.on_chunk, *[f"aggregate(_h, 0D, (s, c) -> IF(c._cut = 1, 0D, s * {power[n].format('c._n')}) + c._s_{n}) AS _c_{n}"
+                        for n in terms])
+    frames = {True: f"{seg} ORDER BY {tl.ts} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING",
+              False: f"{seg} ORDER BY {tl.ts} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"}
+    prefixed = tagged.selectExpr("*", *[
+        f"coalesce(sum(_u_{n} * {power[n].format('-_at')}) OVER ({frames[t.lagged]}), 0D) * "
+        f"{power[n].format('_at - 1' if t.lagged else '_at')} AS _p_{n}" for n, t in terms.items()])
+    return prefixed.join(carried, tl.on_chunk).selectExpr(*df.columns, *[
+        f"_p_{n} + IF(_opens = 1, 0D, coalesce(_c_{n}, 0D) * {power[n].format('_at' if t.lagged else '_at + 1')}) AS {n}"
         for n, t in terms.items()])
-    prefix = {}
-    for n, t in terms.items():
-        frame = tl.by_segment().rowsBetween(Window.unboundedPreceding, -1 if t.lagged else 0)
-        steps = F.col("_at") - 1 if t.lagged else F.col("_at")
-        prefix[f"_p_{n}"] = F.coalesce(F.sum(F.col(f"_u_{n}") * F.pow(F.lit(t.decay), -F.col("_at"))).over(frame),
-                                       F.lit(0.0)) * F.pow(F.lit(t.decay), steps)
-    out = tagged.withColumns(prefix).join(carried, tl.on_chunk)
-    return out.withColumns({
-        n: F.col(f"_p_{n}") + F.when(F.col("_opens") == 1, 0.0).otherwise(
-            F.coalesce(F.col(f"_c_{n}"), F.lit(0.0))
-            * F.pow(F.lit(t.decay), F.col("_at") + (0 if t.lagged else 1)))
-        for n, t in terms.items()
-    }).drop("_at", "_len", "_opens", "_tail", *[f"_{k}_{n}" for n in terms for k in "upc"])
 
 
 def segment_first(df: DataFrame, tl: Timeline, values: Mapping[str, str]) -> DataFrame:
     """Value of ``column`` on the first row of the row's segment, as ``name``; core rows with ``_brk``."""
-    at_break = F.when(F.col("_brk") == 1, F.col(tl.ts))
-    prior = df.groupBy(*tl.on_chunk).agg(*[F.max_by(c, at_break).alias(f"_t_{n}") for n, c in values.items()])
-    prior = prior.select(*tl.on_chunk, *[
-        F.last(f"_t_{n}", ignorenulls=True).over(before(tl)).alias(f"_c_{n}") for n in values])
-    w = tl.by_segment().rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.max("_brk").over(w) == 1
-    local = df.withColumns({f"_l_{n}": F.when(opens, F.first(c).over(w)) for n, c in values.items()})
-    return (local.join(prior, tl.on_chunk)
-            .withColumns({n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in values})
-            .drop(*[f"_{k}_{n}" for n in values for k in "lc"]))
+    chunk_keys = ", ".join(tl.on_chunk)
+    prior = df.groupBy(*tl.on_chunk).agg(
+        *[F.expr(f"max_by({c}, IF(_brk = 1, {tl.ts}, NULL)) AS _t_{n}") for n, c in values.items()])
+    earlier = f"PARTITION BY {', '.join(tl.keys)} ORDER BY {CHUNK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    prior = prior.selectExpr(*tl.on_chunk, *[f"last(_t_{n}, true) OVER ({earlier}) AS _c_{n}" for n in values])
+    frame = f"PARTITION BY {chunk_keys}, {LSEG} ORDER BY {tl.ts} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    local = df.selectExpr("*", f"max(_brk) OVER ({frame}) AS _in", *[f"first({c}) OVER ({frame}) AS _l_{n}" for n, c in values.items()])
+    return local.join(prior, tl.on_chunk).selectExpr(*df.columns, *[f"IF(_in = 1, _l_{n}, _c_{n}) AS {n}" for n in values])
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64) -> DataFrame:

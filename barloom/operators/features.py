@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import (
-    BOUNDED_DIMS, EPS_CNT, EPS_OI, EPS_PX, EPS_SZ, EPS_VAR, EPS_VOL, FAST_DIMS, N_FEATURES, RECON_LIMIT, Z_DIMS,
+    BOUNDED_DIMS, CLIP, EPS_CNT, EPS_OI, EPS_PX, EPS_SZ, EPS_VAR, EPS_VOL, FAST_DIMS, N_FEATURES, RECON_LIMIT, Z_DIMS,
     FeatureConfig, safe_chunk,
 )
 from barloom.frames import CHUNK, CORE, LSEG, Term, affine_scan, row_halo, row_index, segment_first
@@ -160,27 +160,26 @@ def ewma_zscores(df: DataFrame, cfg: FeatureConfig, columns: dict[str, tuple[str
     ``df`` holds core rows with ``_brk`` and ``seg_pos``. Values are centred on the first value of their segment,
     so the recursion starts at 0 and the variance is the second moment minus the squared mean without cancellation.
     """
-    tl = timeline(cfg)
+    tl, keep = timeline(cfg), df.columns
     df = segment_first(df, tl, {f"_o_{o}": c for o, (c, _) in columns.items()})
-    df = df.withColumns({f"_g_{o}": F.col(c) - F.col(f"_o_{o}") for o, (c, _) in columns.items()})
+    df = df.selectExpr(*keep, *[f"{c} - _o_{o} AS _g_{o}" for o, (c, _) in columns.items()])
     terms = {}
     for o, (_, half) in columns.items():
-        a, g = cfg.alpha(half), F.col(f"_g_{o}")
-        terms[f"_m1_{o}"] = Term(1 - a, g * a, True)
-        terms[f"_m2_{o}"] = Term(1 - a, g * g * a, True)
+        a = cfg.alpha(half)
+        terms[f"_m1_{o}"] = Term(1 - a, f"_g_{o} * {a!r}D", True)
+        terms[f"_m2_{o}"] = Term(1 - a, f"_g_{o} * _g_{o} * {a!r}D", True)
+    out = []
     if vol:  # the volatility of this return column rides along in the same scan
-        terms["_s"] = Term(cfg.lam, F.col(vol) * F.col(vol) * (1 - cfg.lam))
+        terms["_s"] = Term(cfg.lam, f"{vol} * {vol} * {(1 - cfg.lam)!r}D")
+        out = [f"sqrt(_s + {EPS_VOL!r}D) AS sigma", f"int(seg_pos < {cfg.warm_vol}) AS vol_warm"]
     df = affine_scan(df, tl, terms)
-    out = {}
-    if vol:
-        out = {"sigma": F.sqrt(F.col("_s") + EPS_VOL), "vol_warm": (F.col("seg_pos") < cfg.warm_vol).cast("int")}
     for o, (_, half) in columns.items():
-        warm = F.col("seg_pos") < max(cfg.warm(half), 1)
-        mean = F.col(f"_m1_{o}")
-        var = F.greatest(F.col(f"_m2_{o}") - mean * mean, F.lit(0.0))
-        out[o] = F.when(warm, 0.0).otherwise(clip_finite((F.col(f"_g_{o}") - mean) / F.sqrt(var + EPS_VAR)))
-        out[f"{o}_warm"] = warm.cast("int")
-    return df.withColumns(out).drop(*[f"{p}_{o}" for o in columns for p in ("_o", "_g", "_m1", "_m2")])
+        warm = f"seg_pos < {max(cfg.warm(half), 1)}"
+        z = f"(_g_{o} - _m1_{o}) / sqrt(greatest(_m2_{o} - _m1_{o} * _m1_{o}, 0D) + {EPS_VAR!r}D)"
+        # a non-finite score stays NaN, it is never clamped to a bound
+        z = f"IF(isnan({z}) OR abs({z}) = double('inf'), double('nan'), greatest(least({z}, {CLIP!r}D), -{CLIP!r}D))"
+        out += [f"IF({warm}, 0D, {z}) AS {o}", f"int({warm}) AS {o}_warm"]
+    return df.selectExpr(*keep, *out)
 
 
 def rolling_zscore(column: str, cfg: FeatureConfig, window: int | None = None) -> Column:
@@ -199,8 +198,7 @@ def rolling_vol(column: str, cfg: FeatureConfig) -> Column:
 
 def ewma_vol(df: DataFrame, cfg: FeatureConfig, column: str = "ret", out: str = "sigma") -> DataFrame:
     """sqrt of the decayed mean of squared returns, the current one included; adds ``vol_warm``."""
-    r = F.col(column)
-    df = affine_scan(df, timeline(cfg), {"_s": Term(cfg.lam, r * r * (1 - cfg.lam))})
+    df = affine_scan(df, timeline(cfg), {"_s": Term(cfg.lam, f"{column} * {column} * {(1 - cfg.lam)!r}D")})
     return df.withColumn(out, F.sqrt(F.col("_s") + EPS_VOL)).withColumn(
         "vol_warm", (F.col("seg_pos") < cfg.warm_vol).cast("int")).drop("_s")
 

@@ -97,9 +97,9 @@ def frozen_stats(features: DataFrame, cfg: FeatureConfig, columns: dict[str, int
     x = segment_first(features, tl, {f"_o_{c}": c for c in columns})
     terms = {}
     for c, half in columns.items():
-        a, g = cfg.alpha(half), F.col(c) - F.col(f"_o_{c}")
-        terms[f"_m1_{c}"] = Term(1 - a, g * a)
-        terms[f"_m2_{c}"] = Term(1 - a, g * g * a)
+        a = cfg.alpha(half)
+        terms[f"_m1_{c}"] = Term(1 - a, f"({c} - _o_{c}) * {a!r}D")
+        terms[f"_m2_{c}"] = Term(1 - a, f"({c} - _o_{c}) * ({c} - _o_{c}) * {a!r}D")
     x = pin(affine_scan(x, tl, terms))
     state = {}
     for c in columns:

@@ -37,7 +37,7 @@ def klines_from_trades(spark, sf_dir):
 
 @query("bar_id", "SELECT event_id, (epoch_us(ts) // 1000) // 60000 AS bar_id FROM events")
 def bar_id(spark, sf_dir):
-    return V.trades(spark, sf_dir).select(F.col("trade_id").alias("event_id"), B.bar_id("ts_ms").alias("bar_id"))
+    return V.trades(spark, sf_dir, positive=False).select(F.col("trade_id").alias("event_id"), B.bar_id("ts_ms").alias("bar_id"))
 
 
 @query("vol_recon_err", sql(

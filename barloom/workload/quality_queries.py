@@ -127,7 +127,7 @@ def constant_micro(spark, sf_dir):
 @query("clip_finite", """SELECT event_id, """ + rq("CASE WHEN d = 0 THEN NULL ELSE greatest(least((value - 50) / d, 5.0), -5.0) END", 9)
        + """ AS z FROM (SELECT *, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) AS d FROM events)""")
 def clip_finite(spark, sf_dir):
-    t = V.trades(spark, sf_dir)
+    t = V.trades(spark, sf_dir, positive=False)
     ratio = F.when(F.col("quantity") == 0, F.lit(float("inf"))).otherwise((F.col("price") - 50) / F.nullif("quantity", F.lit(0.0)))
     return t.select(F.col("trade_id").alias("event_id"), rd(C.clip_finite(ratio), 9).alias("z"))
 
@@ -135,13 +135,13 @@ def clip_finite(spark, sf_dir):
 @query("calendar_keys", """SELECT event_id, (hour(ts) * 60 + minute(ts))::INT AS minute_of_day, hour(ts)::INT AS hour,
  (isodow(ts) - 1)::INT AS dow, (day(ts) - 1)::INT AS dom, (month(ts) - 1)::INT AS month FROM events""")
 def calendar_keys(spark, sf_dir):
-    t = V.trades(spark, sf_dir)
+    t = V.trades(spark, sf_dir, positive=False)
     return t.select(F.col("trade_id").alias("event_id"), *[c.alias(n) for n, c in C.calendar_keys("ts_ms").items()])
 
 
 @query("dates", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, epoch_ms(date_trunc('day', ts)) AS midnight_ms FROM events")
 def dates(spark, sf_dir):
-    t = V.trades(spark, sf_dir).select(F.col("trade_id").alias("event_id"), C.ms_to_date("ts_ms").alias("day"))
+    t = V.trades(spark, sf_dir, positive=False).select(F.col("trade_id").alias("event_id"), C.ms_to_date("ts_ms").alias("day"))
     return t.withColumn("midnight_ms", C.date_to_ms("day"))
 
 
@@ -155,7 +155,7 @@ cte("stamps", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN ((epoch_us(ts) /
     """SELECT event_id, CASE event_id % 6 WHEN 0 THEN (epoch_us(ts) // 1000) // 1000 * 1000 WHEN 1 THEN (epoch_us(ts) // 1000) WHEN 2 THEN (epoch_us(ts) // 1000)
  WHEN 3 THEN (epoch_us(ts) // 1000) // 1000 * 1000 WHEN 4 THEN (epoch_us(ts) // 1000) // 1000 * 1000 - 7200000 ELSE -1 END AS ms FROM stamps""", "stamps"))
 def parse_timestamp(spark, sf_dir):
-    t, kind = V.trades(spark, sf_dir), F.col("trade_id") % 6
+    t, kind = V.trades(spark, sf_dir, positive=False), F.col("trade_id") % 6
     sec = F.timestamp_millis("ts_ms")
     text = (F.when(kind == 0, F.floor(F.col("ts_ms") / 1000).cast("string")).when(kind == 1, F.col("ts_ms").cast("string"))
             .when(kind == 2, (F.col("ts_ms") * 1000).cast("string"))
@@ -172,7 +172,7 @@ cte("user_bars", f"SELECT event_id, event_type AS symbol, (epoch_us(ts) // 1000)
 
 def user_bars(spark, sf_dir):
     e, v = F.col("trade_id"), F.col("price")
-    return V.trades(spark, sf_dir).select(
+    return V.trades(spark, sf_dir, positive=False).select(
         e.alias("event_id"), "symbol", "ts_ms", F.when(e % 17 == 3, -v).when(e % 19 == 4, None).otherwise(v).alias("open"),
         v.alias("close"), F.when(e % 23 == 5, v * 0.9).otherwise(v * 1.1).alias("high"), (v * 0.8).alias("low"),
         F.when(e % 29 == 1, None).otherwise(F.col("quantity")).alias("volume"))
@@ -226,7 +226,7 @@ def series_warnings(spark, sf_dir):
  ',"user_id":' || user_id || '}' AS doc FROM events""")
 def canonical_json(spark, sf_dir):
     from barloom.operators.hashing import canonical_json as cj
-    t = V.trades(spark, sf_dir).select(F.col("trade_id").alias("event_id"), F.col("symbol").alias("event_type"),
+    t = V.trades(spark, sf_dir, positive=False).select(F.col("trade_id").alias("event_id"), F.col("symbol").alias("event_type"),
                                        F.col("quantity").cast("int").alias("k"), "user_id")
     return t.select("event_id", cj(["user_id", "k", "event_type"]).alias("doc"))
 

@@ -32,9 +32,10 @@ def millis(col: str) -> Column:
     return F.unix_millis(F.col(col).cast("timestamp"))
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a trade of the symbol ``event_type``."""
-    return table(spark, sf_dir, "events").select(
+def trades(spark: SparkSession, sf_dir: str, positive: bool = True) -> DataFrame:
+    """Every event as a trade of the symbol ``event_type``; a price of 0 is not a trade."""
+    events = table(spark, sf_dir, "events")
+    return (events.filter("value > 0") if positive else events).select(
         F.col("event_type").alias("symbol"), millis("ts").alias("ts_ms"), F.col("event_id").alias("trade_id"),
         F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("quantity"),
         (F.col("user_id") % 2 == 0).alias("is_buyer_maker"), "user_id")
@@ -120,7 +121,7 @@ def rq(expr: str, digits: int = 6) -> str:
 
 cte("trades", """SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS ts_ms, event_id AS trade_id, value AS price,
   CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) AS quantity, user_id % 2 = 0 AS is_buyer_maker, user_id
-  FROM events""")
+  FROM events WHERE value > 0""")
 cte("tape", "SELECT * FROM trades WHERE user_id % 10 <> 7", "trades")
 
 

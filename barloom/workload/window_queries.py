@@ -191,7 +191,7 @@ def average_rank(spark, sf_dir):
     f"{rq(f'quantile_cont(value, {q / 100})')} AS p{q}" for q in (10, 25, 50, 75, 90)) + """ FROM (SELECT user_id % 3 AS seed,
  CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) % 8 AS step, value FROM events) GROUP BY GROUPING SETS ((seed, step), (step))""")
 def path_quantiles(spark, sf_dir):
-    t = V.trades(spark, sf_dir)
+    t = V.trades(spark, sf_dir, positive=False)
     paths = t.select((F.col("user_id") % 3).alias("seed"), (F.col("quantity").cast("bigint") % 8).alias("step"),
                      F.col("price").alias("value"))
     out = Wn.path_quantiles(paths)
