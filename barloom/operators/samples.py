@@ -190,7 +190,8 @@ def pbo_cscv(series: DataFrame, keys: Sequence[str], config: str, n_periods: int
     def sharpe(side: Column) -> Column:
         n, s, q = (F.sum(F.when(side, F.col(c))) for c in ("_n", "_s", "_q"))
         sd = F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)))
-        return F.when(sd > 0, s / n / F.nullif(sd, F.lit(0.0))).otherwise(0.0)
+        # rounded, so that equal series tie whatever order their sums were formed in
+        return F.round(F.when(sd > 0, s / n / F.nullif(sd, F.lit(0.0))).otherwise(0.0), 10)
 
     per = x.groupBy(*keys, config, "_split").agg(sharpe(F.col("_in")).alias("_is"), sharpe(~F.col("_in")).alias("_oos"))
     best = per.groupBy(*keys, "_split").agg(F.max_by("_oos", F.struct("_is", -F.col(config))).alias("_best"), F.count("*").alias("_cfg"))

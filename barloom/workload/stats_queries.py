@@ -267,8 +267,8 @@ def mde_sweep(spark, sf_dir):
 
 @query("pbo_cscv", sql(
     f"""SELECT cell, seed, {rq('avg((rk <= 0.5)::INT)')} AS pbo, count(*) AS n_splits FROM (SELECT cell, seed, mask, count(*) FILTER (WHERE o <= best) / (count(*) + 1) AS rk FROM
- (SELECT *, first_value(o) OVER (PARTITION BY cell, seed, mask ORDER BY i DESC, kappa) AS best FROM (SELECT cell, seed, kappa, mask, coalesce(avg(r) FILTER (WHERE ins) / nullif(stddev_pop(r) FILTER (WHERE ins), 0), 0) AS i,
- coalesce(avg(r) FILTER (WHERE NOT ins) / nullif(stddev_pop(r) FILTER (WHERE NOT ins), 0), 0) AS o FROM (SELECT s.*, mask, (mask >> b) % 2 = 1 AS ins FROM (SELECT *, """
+ (SELECT *, first_value(o) OVER (PARTITION BY cell, seed, mask ORDER BY i DESC, kappa) AS best FROM (SELECT cell, seed, kappa, mask, round(coalesce(avg(r) FILTER (WHERE ins) / nullif(stddev_pop(r) FILTER (WHERE ins), 0), 0), 10) AS i,
+ round(coalesce(avg(r) FILTER (WHERE NOT ins) / nullif(stddev_pop(r) FILTER (WHERE NOT ins), 0), 0), 10) AS o FROM (SELECT s.*, mask, (mask >> b) % 2 = 1 AS ins FROM (SELECT *, """
     + " + ".join(f"(period >= {NP * i // 8})::INT" for i in range(1, 8)) + """ AS b FROM series) s, range(256) m(mask) WHERE bit_count(mask::INT) = 4) GROUP BY 1, 2, 3, 4)) GROUP BY 1, 2, 3) GROUP BY 1, 2""", "series"))
 def pbo_cscv(spark, sf_dir):
     s = Q.pool(pin(E.with_kappas(Q.predictions(Q.decisions(Q.labelled(spark, sf_dir))))), NP)
