@@ -14,7 +14,7 @@ from barloom.frames import Timeline, last_known
 def bar_open(ts: str | Column, step: int = BAR_MS) -> Column:
     """Open time of the bar holding a millisecond timestamp."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(ts / step) * step
+    return ts - F.pmod(ts, F.lit(step).cast("bigint"))
 
 
 def bar_id(ts: str | Column, step: int = BAR_MS) -> Column:
@@ -22,37 +22,49 @@ def bar_id(ts: str | Column, step: int = BAR_MS) -> Column:
     return F.floor(ts / step)
 
 
+def sort_key(first: str, *rest: tuple[str, int]) -> Column:
+    """Integer columns packed into one decimal, most significant first, each with its number of digits.
+
+    Aggregation buffers of fixed width keep a hash aggregate with map-side combine; ordering by a struct would force
+    Spark to sort all ticks before it can reduce any.
+    """
+    wide = "decimal(38,0)"
+    key = F.col(first).cast(wide)
+    for name, digits in rest:
+        key = (key * F.lit(10**digits).cast(wide) + F.col(name).cast(wide)).cast(wide)
+    return key
+
+
+def _flow() -> list[Column]:
+    buy, q, zero = ~F.col("is_buyer_maker"), F.col("quantity"), F.lit(0.0)
+    return [
+        F.sum(F.when(buy, q).otherwise(zero)).alias("v_buy"), F.sum(F.when(buy, zero).otherwise(q)).alias("v_sell"),
+        F.count_if(buy).alias("n_buy"), F.count_if(~buy).alias("n_sell"), F.sum(q).alias("v_agg"), F.count("*").alias("n_trades"),
+        F.avg(q).alias("size_mean"), F.stddev_pop(q).alias("size_std"),
+    ]
+
+
+def _ohlcv(key: Column | None) -> list[Column]:
+    key = sort_key("ts_ms", ("trade_id", 19)) if key is None else key
+    return [
+        F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"),
+        F.sum("quantity").alias("v_kline"), F.sum(F.col("price") * F.col("quantity")).alias("quote_volume"),
+    ]
+
+
 def reduce_trades(trades: DataFrame, step: int = BAR_MS) -> DataFrame:
     """Order flow per (symbol, bar). All outputs are partial aggregates: no trade list is built."""
-    buy = ~F.col("is_buyer_maker")
-    q = F.col("quantity")
-    zero = F.lit(0.0)
-    return (
-        trades.groupBy("symbol", bar_open("ts_ms", step).alias("bar_open_ms"))
-        .agg(
-            F.sum(F.when(buy, q).otherwise(zero)).alias("v_buy"),
-            F.sum(F.when(buy, zero).otherwise(q)).alias("v_sell"),
-            F.count_if(buy).alias("n_buy"),
-            F.count_if(~buy).alias("n_sell"),
-            F.sum(q).alias("v_agg"),
-            F.count("*").alias("n_trades"),
-            F.avg(q).alias("size_mean"),
-            F.stddev_pop(q).alias("size_std"),
-        )
-    )
-
-
-def klines_from_trades(trades: DataFrame, step: int = BAR_MS, order: Sequence[str] = ("ts_ms", "trade_id")) -> DataFrame:
-    """OHLCV bars from ticks; ``order`` makes first and last unique."""
-    pos = F.struct(*order)
-    return trades.groupBy("symbol", bar_open("ts_ms", step).alias("bar_open_ms")).agg(
-        F.min_by("price", pos).alias("open"),
-        F.max("price").alias("high"),
-        F.min("price").alias("low"),
-        F.max_by("price", pos).alias("close"),
-        F.sum("quantity").alias("v_kline"),
-        F.sum(F.col("price") * F.col("quantity")).alias("quote_volume"),
-    )
+    return trades.groupBy("symbol", bar_open("ts_ms", step).alias("bar_open_ms")).agg(*_flow())
+
+
+def klines_from_trades(trades: DataFrame, step: int = BAR_MS, key: Column | None = None) -> DataFrame:
+    """OHLCV bars from ticks; ``key`` orders ticks without ties, (time, trade id) by default."""
+    return trades.groupBy("symbol", bar_open("ts_ms", step).alias("bar_open_ms")).agg(*_ohlcv(key))
+
+
+def bars_from_trades(trades: DataFrame, step: int = BAR_MS, key: Column | None = None) -> DataFrame:
+    """OHLCV and order flow of one tape in a single pass, for when both come from the same ticks."""
+    return trades.groupBy("symbol", bar_open("ts_ms", step).alias("bar_open_ms")).agg(*_ohlcv(key), *_flow())
 
 
 FLOW_ZERO = {"v_buy": 0.0, "v_sell": 0.0, "n_buy": 0, "n_sell": 0, "v_agg": 0.0, "n_trades": 0,

@@ -101,7 +101,7 @@ def headline(spark, sf_dir):
  {H * WEEK})) AS bar_open_ms, min(bar_open_ms)::BIGINT AS lo FROM wklines) g LEFT JOIN wklines p ON p.bar_open_ms = g.bar_open_ms GROUP BY 1, 2""", "wklines"))
 def decision_grid(spark, sf_dir):
     """Grid over the whole span of the bars with the number of symbols present at each instant."""
-    k = pin(V.B.klines_from_trades(V.wtrades(spark, sf_dir), WEEK).select("symbol", "bar_open_ms"))
+    k = pin(V.wklines(spark, sf_dir).select("symbol", "bar_open_ms"))
     lo, hi = k.agg(F.min("bar_open_ms"), F.max("bar_open_ms")).first()
     grid = E.decision_grid(spark, lo, hi + 1, H, WEEK)
     return grid.join(k, "bar_open_ms", "left").groupBy("bar_open_ms", "period").agg(F.count("symbol").alias("n_symbols"))

@@ -310,18 +310,18 @@ cte("drets", _rets("dsegs"), "dsegs")
 
 def dbars(spark, sf_dir):
     """Daily bars of every supplier: many symbols with many gaps."""
-    li = V.table(spark, sf_dir, "lineitem")
+    li = V.table(spark, sf_dir, "lineitem").withColumn("_day", F.unix_date(F.col("l_shipdate").cast("date")))
     t = li.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), V.millis("l_shipdate").alias("ts_ms"),
-                  F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("trade_id"),
+                  V.line_key().alias("trade_id"),
                   (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"), (F.col("l_linestatus") == "F").alias("is_buyer_maker"))
-    return B.attach_trades(B.klines_from_trades(t, V.DAY), B.reduce_trades(t, V.DAY))
+    return B.bars_from_trades(t, V.DAY, F.col("trade_id"))
 
 
 @query("daily_bar_zscores", sql(
     f"SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, segment_id, {rq('(v_buy - v_sell) / (v_agg + 1e-9)')} AS tfi, {rq('z', 4)} AS z, {rq('sqrt(s + 1e-8)')} AS sigma FROM ("
     + _decayed("(" + _zscore("drets", "ret", "z", DCFG, DCFG.half_life_fast) + ")", "s", f"{1 - DCFG.lam!r} * ret * ret", DCFG.lam, False) + ")", "drets"))
 def daily_bar_zscores(spark, sf_dir):
-    x = S.with_segments(dbars(spark, sf_dir), DCFG, 1).withColumn("ret", X.log_return(DCFG)).filter("_core")
+    x = S.with_segments(pin(dbars(spark, sf_dir)), DCFG, 1).withColumn("ret", X.log_return(DCFG)).filter("_core")
     x = X.ewma_zscores(pin(x), DCFG, {"z": ("ret", DCFG.half_life_fast)}, vol="ret")
     return x.select("symbol", "bar_open_ms", "segment_id", rd((F.col("v_buy") - F.col("v_sell")) / (F.col("v_agg") + 1e-9)).alias("tfi"),
                     rd("z", 4).alias("z"), rd("sigma").alias("sigma"))

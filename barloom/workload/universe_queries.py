@@ -104,7 +104,7 @@ _LIVE_B = f"""(bar_open_ms >= greatest(coalesce({_MS.format('listing_date')}, 0)
  coalesce(delisting_date < '{END}', false) AS tail_truncated FROM wklines b JOIN brand_spec s ON b.symbol = s.symbol WHERE {_LIVE_B}""",
     "wklines", "brand_spec"))
 def slice_active(spark, sf_dir):
-    bars = V.B.klines_from_trades(V.wtrades(spark, sf_dir), WEEK).select("symbol", "bar_open_ms")
+    bars = V.wklines(spark, sf_dir).select("symbol", "bar_open_ms")
     return U.slice_active(bars, brand_spec(spark, sf_dir), START, END)
 
 
@@ -114,7 +114,7 @@ def slice_active(spark, sf_dir):
  ON e.symbol = k.symbol AND e.ts_ms >= k.lo AND e.ts_ms <= k.hi GROUP BY 1, 2""", "wtrades", "wklines", "brand_spec"))
 def slice_events(spark, sf_dir):
     t, s = V.wtrades(spark, sf_dir), brand_spec(spark, sf_dir)
-    kept = U.slice_active(V.B.klines_from_trades(t, WEEK).select("symbol", "bar_open_ms"), s, START, END)
+    kept = U.slice_active(V.wklines(spark, sf_dir).select("symbol", "bar_open_ms"), s, START, END)
     return U.slice_events(t.select("symbol", "ts_ms"), kept, s, START, END, WEEK).groupBy("symbol", "ts_ms").agg(F.count("*").alias("n"))
 
 

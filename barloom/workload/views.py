@@ -54,22 +54,31 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.attach_trades(klines(spark, sf_dir), B.reduce_trades(tape(spark, sf_dir), HOUR))
 
 
+def line_key() -> Column:
+    """Orders line items by day, then by their keys."""
+    return B.sort_key("_day", ("l_orderkey", 11), ("l_linenumber", 1), ("l_partkey", 9), ("l_suppkey", 8), ("l_quantity", 3))
+
+
 def wtrades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as trades of their part's brand."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus",
         "l_shipdate")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    li = li.withColumn("_day", F.unix_date(F.col("l_shipdate").cast("date")))
     return li.join(part, "l_partkey").select(
         F.col("p_brand").alias("symbol"), millis("l_shipdate").alias("ts_ms"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("trade_id"),
+        line_key().alias("trade_id"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"),
         (F.col("l_linestatus") == "F").alias("is_buyer_maker"))
 
 
+def wklines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.klines_from_trades(wtrades(spark, sf_dir), WEEK, F.col("trade_id"))
+
+
 def wbars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = wtrades(spark, sf_dir)
-    return B.attach_trades(B.klines_from_trades(t, WEEK), B.reduce_trades(t, WEEK))
+    return B.bars_from_trades(wtrades(spark, sf_dir), WEEK, F.col("trade_id"))
 
 
 def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
