@@ -31,7 +31,7 @@ def sort_key(first: str, *rest: tuple[str, int]) -> Column:
     wide = "decimal(38,0)"
     key = F.col(first).cast(wide)
     for name, digits in rest:
-        key = (key * F.lit(10**digits).cast(wide) + F.col(name).cast(wide)).cast(wide)
+        key = (key * F.lit(str(10**digits)).cast(wide) + F.col(name).cast(wide)).cast(wide)
     return key
 
 

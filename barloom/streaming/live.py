@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from barloom.config import EPS_VAR, EPS_VOL, FeatureConfig
+from barloom.operators.bars import sort_key
 
 
 def read_tick_files(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
@@ -28,7 +29,7 @@ def dedup_ticks(ticks: DataFrame, delay: str) -> DataFrame:
 
 def tumbling_bars(ticks: DataFrame, width: str, delay: str) -> DataFrame:
     """Bars emitted once closed; the aggregates combine partially before the shuffle, late ticks are dropped."""
-    buy, q, pos = ~F.col("is_buyer_maker"), F.col("quantity"), F.struct("ts_ms", "trade_id")
+    buy, q, pos = ~F.col("is_buyer_maker"), F.col("quantity"), sort_key("ts_ms", ("trade_id", 19))
     return (ticks.withWatermark("event_time", delay).groupBy("symbol", F.window("event_time", width).alias("w")).agg(
         F.min_by("price", pos).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", pos).alias("close"),
         F.sum("quantity").alias("v_kline"), F.sum(F.when(buy, q).otherwise(0.0)).alias("v_buy"), F.sum(F.when(buy, 0.0).otherwise(q)).alias("v_sell"),

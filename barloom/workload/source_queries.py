@@ -1,7 +1,5 @@
 """S1-S15, C1, C3-C5, D3, D6, E13, V5 and J10 as round trips through files that Spark writes and reads."""
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from barloom.operators import features as X
@@ -193,14 +191,20 @@ def build_features(spark, sf_dir):
     return out.select("symbol", "bar_open_ms", *[rd(f"x_{d}", FQ._D[d]).alias(f"x_{d}") for d in range(16)], rd("sigma").alias("sigma"))
 
 
-_UCFG = replace(WCFG, structural=50.0)
+# hourly symbols with live spans of their own
+cte("hspec", """SELECT DISTINCT event_type AS symbol, CASE WHEN event_type < 'm' THEN '2024-01-04' END AS listing_date, CASE WHEN event_type > 'r' THEN '2024-01-25' END AS delisting_date FROM events""")
+
+
+def hspec(spark, sf_dir):
+    e = F.col("event_type")
+    return V.table(spark, sf_dir, "events").select(e.alias("symbol"), F.when(e < "m", "2024-01-04").alias("listing_date"), F.when(e > "r", "2024-01-25").alias("delisting_date")).distinct()
 
 
 @query("build_universe", sql(
-    """SELECT symbol, count(*) AS n_bars, any_value(head) AS head_truncated, any_value(tail) AS tail_truncated FROM (SELECT b.symbol, coalesce(listing_date > '1997-03-15', false) AS head,
- coalesce(delisting_date < '2000-07-01', false) AS tail FROM wklines b JOIN brand_spec s ON b.symbol = s.symbol WHERE """ + Uq._LIVE_B + ") GROUP BY 1", "wklines", "brand_spec"))
+    """SELECT k.symbol, count(*) AS n_bars, any_value(listing_date IS NOT NULL) AS head_truncated, any_value(delisting_date IS NOT NULL) AS tail_truncated FROM klines k JOIN hspec s ON k.symbol = s.symbol WHERE
+ bar_open_ms >= epoch_ms(coalesce(listing_date, '2024-01-02')::DATE::TIMESTAMP) AND bar_open_ms < epoch_ms(coalesce(delisting_date, '2024-01-29')::DATE::TIMESTAMP) GROUP BY 1""", "klines", "hspec"))
 def build_universe(spark, sf_dir):
-    cov, _ = Bld.build_universe(V.wbars(spark, sf_dir), Uq.brand_spec(spark, sf_dir), (Uq.START, Uq.END), _UCFG, scratch(spark))
+    cov, _ = Bld.build_universe(V.bars(spark, sf_dir), hspec(spark, sf_dir), ("2024-01-02", "2024-01-29"), HCFG, scratch(spark))
     return cov.select(F.col("symbol").cast("string").alias("symbol"), "n_bars", "head_truncated", "tail_truncated")
 
 
