@@ -325,3 +325,14 @@ def daily_bar_zscores(spark, sf_dir):
     x = X.ewma_zscores(pin(x), DCFG, {"z": ("ret", DCFG.half_life_fast)}, vol="ret")
     return x.select("symbol", "bar_open_ms", "segment_id", rd((F.col("v_buy") - F.col("v_sell")) / (F.col("v_agg") + 1e-9)).alias("tfi"),
                     rd("z", 4).alias("z"), rd("sigma").alias("sigma"))
+
+
+@query("flow_summary", sql(
+    f"""SELECT symbol, count(*) AS n_bars, count(DISTINCT segment_id) AS n_segments, {rq('avg(tfi)')} AS mean_tfi, {rq('avg((abs(z) > 2)::INT)')} AS share_extreme FROM (SELECT *, CASE WHEN seg_pos < {HCFG.n_warm} THEN 0.0 ELSE
+ (tfi - avg(tfi) OVER p) / sqrt(var_pop(tfi) OVER p + 1e-8) END AS z FROM (SELECT *, (v_buy - v_sell) / (v_agg + 1e-9) AS tfi FROM segs) WINDOW p AS ({SEGW} ROWS BETWEEN {HCFG.z_window} PRECEDING AND 1 PRECEDING)) GROUP BY 1""", "segs"))
+def flow_summary(spark, sf_dir):
+    """Per symbol: bars, segments, mean order-flow imbalance and the share of extreme z-scores."""
+    x = S.with_segments(V.bars(spark, sf_dir), HCFG, HCFG.z_window + 1)
+    x = x.withColumn("tfi", (F.col("v_buy") - F.col("v_sell")) / (F.col("v_agg") + 1e-9)).withColumn("z", X.rolling_zscore("tfi", HCFG)).filter("_core")
+    return x.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.countDistinct("segment_id").alias("n_segments"), rd(F.avg("tfi")).alias("mean_tfi"),
+                                   rd(F.avg((F.abs("z") > 2).cast("double"))).alias("share_extreme"))
