@@ -1,8 +1,9 @@
 """Quality rules with risk-controlled thresholds.
 
 Measures of a text come from one pass over it. A cutoff for a measure is certified in a stratum
-(a language) when the exact binomial test on labelled good documents shows, at a level split evenly over
-all tests, that it rejects at most a stated share of good documents. Of the certified cutoffs of a
+(a language) when the exact binomial test on labelled good documents shows that it rejects at most a stated share of good
+documents. Cutoffs of a measure are tested from lenient to strict until one fails (fixed-sequence testing, which needs no
+correction inside the sequence); the level is split evenly over strata and measures (Bonferroni). Of the certified cutoffs of a
 measure the one that rejects most bad documents is used.
 """
 
@@ -18,21 +19,18 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import chunks, docs_of, stage, training_row
 
-BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_digits long"
+BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_digits long"
 SYMBOLS = b"#*$%&|<>"
 
 #: Measures, and whether high (1) or low (-1) values are suspect.
-MEASURES = {"symbol_rate": 1, "dup_line_rate": 1, "repeat_rate": 1, "digit_rate": 1, "upper_rate": 1, "long_words": 1, "short_words": -1, "few_words": -1}
-#: Cutoffs tried: fixed steps on the scale of each measure, from lenient to strict.
+MEASURES = {"symbol_rate": 1, "dup_line_rate": 1, "repeat_rate": 1, "digit_rate": 1, "long_words": 1}
+#: Cutoffs tried: fixed steps on the scale of each measure, from lenient to strict; tests stop at the first that fails.
 GRIDS = {
     "symbol_rate": [0.5, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01],
     "dup_line_rate": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05],
     "repeat_rate": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05],
     "digit_rate": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05],
-    "upper_rate": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1],
     "long_words": [30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0],
-    "short_words": [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0],
-    "few_words": [2.0, 5.0, 10.0, 15.0, 20.0, 30.0, 40.0, 50.0],
 }
 
 
@@ -60,7 +58,6 @@ def duplicate_lines(data: bytes) -> int:
     return len(worded) - len(set(worded))
 
 
-_UPPER = bytes(range(65, 91))
 _DIGIT = b"0123456789"
 
 
@@ -73,9 +70,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # continuation bytes of UTF-8 stand in words only
             chars = in_words - (len(data) - len(data.decode("utf-8", "replace")))
             rows.append((len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), duplicate_lines(data), repeated_words(words),
-                         sum(1 for x in data.split(b"\n") if x.strip(b" \t\r\x0b\x0c")), len(data) - len(data.translate(None, _UPPER)), len(data) - len(data.translate(None, _DIGIT))))
+                         sum(1 for x in data.split(b"\n") if x.strip(b" \t\r\x0b\x0c")), len(data) - len(data.translate(None, _DIGIT))))
         columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits"])
 
 
 def text_measures(docs: DataFrame) -> DataFrame:
@@ -87,7 +84,7 @@ def _rates(df: DataFrame) -> DataFrame:
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return df.withColumns({
         "symbol_rate": per("n_symbols", "word_chars"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words"),
-        "digit_rate": per("n_digits", "word_chars"), "upper_rate": per("n_upper", "word_chars"), "long_words": per("word_chars", "n_words"),
+        "digit_rate": per("n_digits", "word_chars"), "upper_rate": per("word_chars"), "long_words": per("word_chars", "n_words"),
         "short_words": per("word_chars", "n_words"), "few_words": F.col("n_words").cast("double")})
 
 
@@ -104,22 +101,24 @@ def binomial_tail(k: int, n: int, share: float) -> float:
     return min(1.0, total)
 
 
-def certified_cutoffs(rated: DataFrame, labels: DataFrame, max_false_rejection: float = 0.01, level: float = 0.05, folds: int = 5, held_out: int = 1) -> DataFrame:
+def certified_cutoffs(rated: DataFrame, labels: DataFrame, max_false_rejection: float = 0.05, level: float = 0.05, folds: int = 5, held_out: int = 1) -> DataFrame:
     """stratum, measure, cutoff: for each stratum and measure the certified cutoff that rejects most bad documents.
 
-    Good documents are labelled ones with quality 1 in the training folds. Each test takes `level` over the
-    number of measures, cutoffs and strata; the share of good documents allowed is split evenly over the measures. A measure with
-    no certified cutoff, or none that rejects a bad document, sets none. What is gathered is one row per (stratum, measure, cutoff).
+    Good documents are labelled ones with quality 1 in the training folds. The level is split over strata and measures, the share of
+    good documents that may be rejected over the measures, so a stratum's measures together keep to `max_false_rejection` with
+    confidence 1 - level over all strata. A measure with no certified cutoff, or none that rejects a bad document, sets
+    none. What is gathered is one row per (stratum, measure, cutoff).
     """
     label = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = rated.join(label, "doc_id").filter(training_row(F.col("doc_id"), folds, held_out))
-    tried = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(c).alias("cutoff"), (F.col(m) > c if MEASURES[m] > 0 else F.col(m) < c).alias("hit"))
-                                for m, grid in GRIDS.items() for c in grid]))
+    tried = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(i).alias("turn"), F.lit(c).alias("cutoff"), (F.col(m) > c if MEASURES[m] > 0 else F.col(m) < c).alias("hit"))
+                                for m, grid in GRIDS.items() for i, c in enumerate(grid)]))
     # only counts leave this step: one row per (stratum, measure, cutoff)
-    counts = known.select("stratum", "quality", tried.alias("t")).groupBy("stratum", "t.measure", "t.cutoff").agg(
+    counts = known.select("stratum", "quality", tried.alias("t")).groupBy("stratum", "t.measure", "t.turn", "t.cutoff").agg(
         F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum(((F.col("quality") == 1) & F.col("t.hit")).cast("long")).alias("good_hit"),
         F.sum(((F.col("quality") == 0) & F.col("t.hit")).cast("long")).alias("bad_hit"))
-    counts = counts.withColumn("tests", F.count("*").over(Window.partitionBy()))
+    # one window over a few dozen rows a stratum
+    counts = counts.withColumn("tests", F.count(F.when(F.col("turn") == 0, 1)).over(Window.partitionBy()))
     share = max_false_rejection / len(MEASURES)
 
     @F.pandas_udf("double")
@@ -127,12 +126,14 @@ def certified_cutoffs(rated: DataFrame, labels: DataFrame, max_false_rejection:
         # a count of hits above the allowed share cannot pass
         return pd.Series([binomial_tail(a, b, share) if a <= b * share else 1.0 for a, b in zip(k.astype(int), n.astype(int), strict=True)])
 
-    passed = counts.withColumn("p", p_value("good_hit", "good")).filter((F.col("p") <= F.lit(level) / F.col("tests")) & (F.col("bad_hit") > 0))
+    passes = (F.col("p") <= F.lit(level) / F.col("tests")).alias("passes")
+    so_far = F.min("passes").over(Window.partitionBy("stratum", "measure").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    passed = counts.withColumn("p", p_value("good_hit", "good")).select("*", passes).withColumn("certified", so_far).filter("certified and bad_hit > 0")
     best = passed.groupBy("stratum", "measure").agg(F.max(F.struct("bad_hit", (-F.col("good_hit")).alias("kept"), "cutoff")).alias("best"))
     return best.select("stratum", "measure", F.col("best.cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, max_false_rejection: float = 0.01, level: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, max_false_rejection: float = 0.05, level: float = 0.05) -> DataFrame:
     """Counts, base_failed and kept of every row of docs.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated windows. kept: not base_failed and no
