@@ -84,7 +84,7 @@ def _rates(df: DataFrame) -> DataFrame:
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return df.withColumns({
         "symbol_rate": per("n_symbols", "word_chars"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words"),
-        "digit_rate": per("n_digits", "word_chars"), "upper_rate": per("word_chars"), "long_words": per("word_chars", "n_words"),
+        "digit_rate": per("n_digits", "word_chars"), "long_words": per("word_chars", "n_words"),
         "short_words": per("word_chars", "n_words"), "few_words": F.col("n_words").cast("double")})
 
 
