@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ann, mixing, pieces, pii, quality, sharding, simhash
+from barloom.llm import ann, mixing, pieces, pii, quality, sharding, simhash, toxicity
 from barloom.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pieces": op2_pieces,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op8_pii": op8_pii,
+    "op9_toxicity": op9_toxicity,
 }
 
 #: DuckDB SQL of the same rows.
