@@ -24,8 +24,10 @@ from barloom.llm.common import chunks, docs_of, training_row
 
 #: Bounds of the training sample: texts of each label, and windows of one text.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1200, 60
-#: Windows of a clean text shown in a round, and texts of the sample that a word or n-gram needs for a vector.
+#: Windows of a clean text shown in a round, and texts out of 2,400 that a word or n-gram needs for a vector (3 at least).
 SHOWN, MIN_TEXTS = 12, 6
+#: Steps of a round at least, so that a small sample is seen often enough.
+LEAST_STEPS = 120
 WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 15
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
@@ -186,7 +188,8 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 11, rounds: tuple[in
     y_doc = label.astype(F4)[owner_]
     texts_w, ratio_w = _typical([buckets[w] for w in words_of], WORD_BUCKETS, label)
     texts_g, ratio_g = _typical([np.concatenate([flat[starts[w]:ends[w]] for w in words]) if len(words) else words for words in words_of], GRAM_BUCKETS, label)
-    free = {"words": texts_w >= MIN_TEXTS, "grams": texts_g >= MIN_TEXTS}
+    enough = max(3, len(texts) * MIN_TEXTS // 2400)
+    free = {"words": texts_w >= enough, "grams": texts_g >= enough}
     for k in free:
         p[k][~free[k]] = 0
     ratio_w[~free["words"]] = -np.inf
@@ -241,7 +244,7 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 11, rounds: tuple[in
             shown |= high < SHOWN // 3
         chosen = np.flatnonzero(top | ((y_doc == 0) & shown))
         share = max(1, (y_doc[chosen] == 0).sum()) / max(1, (y_doc[chosen] == 1).sum())
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(chosen)))):
             order = r.permutation(chosen)
             for a in range(0, len(order), batch):
                 part = order[a:a + batch]
