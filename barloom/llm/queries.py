@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ann, mixing, pieces, pii, quality, sharding, simhash, toxicity
+from barloom.llm import ann, mixing, ngram, pieces, pii, quality, sharding, simhash, toxicity
 from barloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ann": op4_ann,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
+    "op7_ngram": op7_ngram,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
 }
