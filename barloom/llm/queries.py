@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ann, mixing, ngram, pieces, pii, quality, sharding, simhash, toxicity
+from barloom.llm import ann, mixing, ngram, pieces, pii, quality, sharding, simhash, tokenfile, toxicity
 from barloom.llm.common import table
+from barloom.session import scratch
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch(spark)}/ids"
+    tokenfile.write_ids(table(spark, sf_dir, "documents"), folder)
+    return tokenfile.read_digests(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pieces": op2_pieces,
@@ -56,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram": op7_ngram,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
+    "op10_tokenfile": op10_tokenfile,
 }
 
 #: DuckDB SQL of the same rows.

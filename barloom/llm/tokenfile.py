@@ -28,9 +28,9 @@ from barloom.llm.common import chunks, docs_of
 
 MODEL, END_ID = "word_bpe_49k.json", 2
 MAGIC = b"BTOK1"
-BLOCK_IDS, SEGMENT_IDS = 2048, 1 << 21
+BLOCK_IDS, SEGMENT_IDS = 1024, 1 << 21
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: Bands of ids: (first id, bits of the width); short ones where merges are frequent.
 BANDS = [(a, 7) for a in range(0, 1024, 128)] + [(a, 9) for a in range(1024, 4096, 512)] + [(a, 11) for a in range(4096, 16384, 2048)] + [(a, 13) for a in range(16384, 65536, 8192)]
 BAND_FIRST = np.array([a for a, _ in BANDS], dtype=np.int64)
@@ -38,7 +38,7 @@ BAND_BITS = np.array([b for _, b in BANDS], dtype=np.uint64)
 BAND_OF = np.repeat(np.arange(len(BANDS)), [1 << b for _, b in BANDS])
 SYMBOLS = 2 + len(BANDS)
 GAIN, LIMIT = 24, 8192
-TABLE = 1024
+TABLE = 512
 NONE = 0xFFFF  # no id: ids stay below
 _TOP, _LOW = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
 _U16 = np.uint64(16)
@@ -51,7 +51,7 @@ class Model:
         self.lane = np.arange(lanes)
         self.after2 = np.full(lanes * TABLE, NONE, dtype=np.uint16)
         self.after1 = np.full(lanes * TABLE, NONE, dtype=np.uint16)
-        self.counts = np.ones((lanes * 4, SYMBOLS), dtype=np.int32)
+        self.counts = np.ones((lanes * 4, SYMBOLS), dtype=np.int32)  # a row for each lane and context
         self.one = np.zeros(lanes, dtype=np.int64)  # the id before, and the one before that
         self.two = np.zeros(lanes, dtype=np.int64)
 
@@ -61,12 +61,12 @@ class Model:
         self.slot1 = self.lane * TABLE + (self.one * 40503 >> 7) % TABLE
         p2, p1 = self.after2[self.slot2], self.after1[self.slot1]
         row = self.lane * 4 + (p2 != NONE) + 2 * ((p1 != NONE) & (p1 != p2))
-        return p2, p1, row, np.cumsum(self.counts[row], axis=1)
+        return p2, p1, row, np.cumsum(self.counts.take(row, axis=0), axis=1, dtype=np.int32)
 
     def update(self, row: np.ndarray, symbol: np.ndarray, ids: np.ndarray, total: np.ndarray) -> None:
         self.counts[row, symbol] += GAIN
-        full = total > LIMIT
-        if full.any():
+        full = np.flatnonzero(total > LIMIT)
+        if len(full):
             self.counts[row[full]] = (self.counts[row[full]] + 1) >> 1
         self.after2[self.slot2] = ids
         self.after1[self.slot1] = ids
@@ -127,8 +127,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
             count = model.counts[row, symbol]
             part = span[:n] // total.astype(np.uint64)
             low[:n] += part * (above - count).astype(np.uint64)
-            span[:n] = part * count.astype(np.uint64)
-            shift(n)
+            span[:n] = part * count.astype(np.uint64)  # at least 2**18: wide enough for the offset in the band too
             bits = np.where(symbol > 1, BAND_BITS[band], np.uint64(0))
             span[:n] >>= bits
             low[:n] += span[:n] * np.where(symbol > 1, now - BAND_FIRST[band], 0).astype(np.uint64)
@@ -178,12 +177,11 @@ def decode_blocks(blocks: list[bytes], n: int) -> np.ndarray:
             p2, p1, row, cum = model.predict()
             total = cum[:, -1]
             part = span[:m] // total.astype(np.uint64)
-            value = np.minimum((code[:m] - low[:m]) // part, (total - 1).astype(np.uint64)).astype(np.int64)
-            symbol = (cum <= value[:, None]).sum(axis=1)
+            value = np.minimum((code[:m] - low[:m]) // part, (total - 1).astype(np.uint64)).astype(np.int32)
+            symbol = np.add.reduce(np.ascontiguousarray(cum.T) <= value, axis=0, dtype=np.int8).astype(np.int64)
             count = model.counts[row, symbol]
             low[:m] += part * (cum[model.lane, symbol] - count).astype(np.uint64)
             span[:m] = part * count.astype(np.uint64)
-            shift(m)
             band = np.maximum(symbol - 2, 0)
             bits = np.where(symbol > 1, BAND_BITS[band], np.uint64(0))
             span[:m] >>= bits
@@ -237,6 +235,10 @@ class Words:
         if self.tokenizer.get_vocab_size() > NONE:
             raise ValueError("ids of this vocabulary do not fit in 16 bits")
         self.known: dict[bytes, bytes] = {}
+        (self.mark,) = self._library([b"|"])[0].tolist()
+
+    def _library(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
@@ -244,10 +246,18 @@ class Words:
         if len(known) > CACHE_WORDS:
             known.clear()
         new = list({w: None for words in split for w in words if w not in known})
-        for a in range(0, len(new), 20_000):
-            part = new[a:a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype=np.uint16).tobytes()
+        # words go to the library many at a time, with a mark between them that none of them holds and that has one id
+        plain = [w for w in new if b"|" not in w]
+        lines = [plain[a:a + 256] for a in range(0, len(plain), 256)]
+        marked = [w for w in new if b"|" in w]
+        for a in range(0, len(lines), 64):
+            part = lines[a:a + 64]
+            for line, ids in zip(part, self._library([b" | ".join(x) for x in part]), strict=True):
+                cuts = np.flatnonzero(ids == self.mark).tolist()
+                octets = ids.tobytes()
+                known.update(zip(line, (octets[2 * s:2 * e] for s, e in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)), strict=True))
+        for a in range(0, len(marked), 4096):
+            known.update(zip(marked[a:a + 4096], (x.tobytes() for x in self._library(marked[a:a + 4096])), strict=True))
         return [np.frombuffer(b"".join([known[w] for w in words]), dtype=np.uint16) for words in split]
 
 
