@@ -13,17 +13,24 @@ def _c(x: Column | str) -> Column:
 
 
 def is_finite(x: Column | str) -> Column:
+    """True for a number; False for NaN, infinities and NULL."""
     x = _c(x).cast("double")
-    return ~(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.coalesce(~(F.isnan(x) | (F.abs(x) == F.lit(float("inf")))), F.lit(False))
 
 
 def clip_finite(x: Column | str, bound: float = CLIP) -> Column:
-    """Clamp finite values; NaN and infinities come out as NaN, never as a bound."""
+    """Clamp finite values; NaN, infinities and NULL come out as NaN, never as a bound."""
     x = _c(x)
     return F.when(~is_finite(x), F.lit(float("nan"))).otherwise(
         F.greatest(F.least(x, F.lit(bound)), F.lit(-bound)))
 
 
+def log_ratio(a: Column | str, b: Column | str) -> Column:
+    """Logarithm of a / b; NaN where either is not positive, NULL where either is NULL."""
+    a, b = _c(a), _c(b)
+    return F.when((a > 0) & (b > 0), F.log(F.try_divide(a, b))).when(a.isNotNull() & b.isNotNull(), F.lit(float("nan")))
+
+
 def date_to_ms(date: Column | str) -> Column:
     return F.unix_millis(F.to_timestamp(_c(date), "yyyy-MM-dd"))
 

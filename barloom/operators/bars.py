@@ -115,7 +115,8 @@ def asof_ffill(bars: DataFrame, events: DataFrame, name: str, tl: Timeline) -> D
     side is joined by range and a busy symbol is spread over its chunks.
     """
     close = F.col("bar_open_ms") + tl.step
-    spine = bars.select("symbol", close.alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias(name),
+    # a repeated bar asks once, so the join back does not multiply it
+    spine = bars.select("symbol", "bar_open_ms").distinct().select("symbol", close.alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias(name),
                         "bar_open_ms")
     marks = (events.groupBy("symbol", F.col("ts_ms").alias("_t")).agg(F.max("value").cast("double").alias(name))
              .select("symbol", "_t", F.lit(0).alias("_kind"), name, F.lit(None).cast("bigint").alias("bar_open_ms")))

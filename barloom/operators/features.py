@@ -12,7 +12,7 @@ from barloom.config import (
     FeatureConfig, safe_chunk,
 )
 from barloom.frames import CHUNK, CORE, LSEG, Term, affine_scan, row_halo, row_index, segment_first
-from barloom.functions.scalars import clip_finite, is_finite
+from barloom.functions.scalars import clip_finite, is_finite, log_ratio
 from barloom.operators.bars import bar_open, size_samples, vol_recon_err
 from barloom.session import pin
 from barloom.operators.segments import local_position, local_segments, timeline, with_segments
@@ -21,9 +21,10 @@ KEY = ["symbol", "bar_open_ms"]
 
 
 def log_return(cfg: FeatureConfig) -> Column:
-    """Close-to-close log return in the local segment, 0 on its first row."""
+    """Close-to-close log return in the local segment: 0 on its first row, NaN where a close is missing or not positive."""
     w = timeline(cfg).by_segment()
-    return F.coalesce(F.log(F.col("close") / F.lag("close").over(w)), F.lit(0.0))
+    later = F.row_number().over(w) > 1
+    return F.when(later, F.coalesce(log_ratio(F.col("close"), F.lag("close").over(w)), F.lit(float("nan")))).otherwise(F.lit(0.0))
 
 
 # ---- order statistics over past bars: Arrow, one call per (symbol, chunk) ------------------------------------
@@ -132,7 +133,7 @@ def raw_features(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
     oi = F.col("oi") + EPS_OI
     cols = {
         "f_0": log_return(cfg),
-        "f_1": F.log(F.col("high_c") / F.col("low_c")),
+        "f_1": log_ratio("high_c", "low_c"),
         "f_2": (F.col("close") - F.col("open")) / span,
         "f_3": (F.col("high_c") - F.greatest("open", "close")) / span,
         "f_4": (F.least("open", "close") - F.col("low_c")) / span,
@@ -146,7 +147,7 @@ def raw_features(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
         "f_12": F.coalesce(F.col("n_large"), F.lit(0)) / (F.col("v_agg") + EPS_SZ),
         "f_13": F.col("funding"),
         "f_14": F.log(F.col("oi") + 1),
-        "f_15": F.coalesce(F.log(oi / F.lag(oi).over(w)), F.lit(0.0)),
+        "f_15": F.when(F.row_number().over(w) > 1, F.coalesce(log_ratio(oi, F.lag(oi).over(w)), F.lit(float("nan")))).otherwise(F.lit(0.0)),
     }
     return df.withColumns(cols)
 
@@ -177,7 +178,7 @@ def ewma_zscores(df: DataFrame, cfg: FeatureConfig, columns: dict[str, tuple[str
         warm = f"seg_pos < {max(cfg.warm(half), 1)}"
         z = f"(_g_{o} - _m1_{o}) / sqrt(greatest(_m2_{o} - _m1_{o} * _m1_{o}, 0D) + {EPS_VAR!r}D)"
         # a non-finite score stays NaN, it is never clamped to a bound
-        z = f"IF(isnan({z}) OR abs({z}) = double('inf'), double('nan'), greatest(least({z}, {CLIP!r}D), -{CLIP!r}D))"
+        z = f"IF(({z}) IS NULL OR isnan({z}) OR abs({z}) = double('inf'), double('nan'), greatest(least({z}, {CLIP!r}D), -{CLIP!r}D))"
         out += [f"IF({warm}, 0D, {z}) AS {o}", f"int({warm}) AS {o}_warm"]
     return df.selectExpr(*keep, *out)
 
@@ -248,12 +249,14 @@ def has_flag(bit: int, col: str = "dq_flags") -> Column:
 
 
 def guard_finite(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Fail the job on the first non-finite value of the columns."""
+    """Fail the job on the first NULL or non-finite value of the columns, whichever of them are read later.
+
+    The check is a filter, so column pruning cannot remove it.
+    """
     bad = F.lit(False)
     for c in columns:
         bad = bad | ~is_finite(c)
-    error = F.raise_error(F.lit("non-finite value in emitted features")).cast("double")
-    return df.withColumn(columns[0], F.when(bad, error).otherwise(F.col(columns[0])))
+    return df.filter(F.when(bad, F.raise_error(F.lit("non-finite value in emitted features")).cast("boolean")).otherwise(F.lit(True)))
 
 
 # ---- the whole table --------------------------------------------------------------------------------------------------

@@ -11,13 +11,18 @@ from barloom.frames import CHUNK, Timeline, with_chunks
 
 
 def canonical_json(columns: Sequence[str]) -> Column:
-    """JSON object with sorted keys and no spaces."""
-    return F.to_json(F.struct(*sorted(columns)))
+    """JSON object with sorted keys and no spaces; NULL is written as null."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
-def row_text(columns: Sequence[str], digits: int = 6) -> Column:
-    """One row as text; numbers as fixed decimals, so equal values give equal text in any engine."""
-    return F.concat_ws("|", *[F.col(c) if digits is None else F.col(c).cast("string") for c in columns])
+def row_text(columns: Sequence[str]) -> Column:
+    """One row as text, its values divided by bars; NULL is the character NUL, and bars and backslashes in values are escaped,
+    so different rows have different texts."""
+    def cell(c: str) -> Column:
+        text = F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(text, F.lit("\0"))
+
+    return F.concat_ws("|", *[cell(c) for c in columns])
 
 
 def dataset_hash(df: DataFrame, tl: Timeline, text: Column) -> DataFrame:

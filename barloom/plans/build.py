@@ -11,6 +11,7 @@ from barloom.operators import features as X
 from barloom.operators import hashing as H
 from barloom.operators import quality as Q
 from barloom.operators import segments as S
+from barloom.functions.scalars import clip_finite
 from barloom.operators import universe as U
 from barloom.session import pin
 from barloom.sources.lake import write_lake
@@ -24,7 +25,7 @@ def build_features(trades: DataFrame, klines: DataFrame, cfg: FeatureConfig, fun
     for name, events in (("funding", funding), ("oi", open_interest)):
         if events is not None:
             bars = B.asof_ffill(pin(bars), events, name, tl)
-    return X.compute_features(bars, cfg, trades)
+    return X.guard_finite(X.compute_features(B.assert_strictly_increasing(bars), cfg, trades), [f"x_{d}" for d in range(16)])
 
 
 def hash_text() -> Column:
@@ -108,7 +109,7 @@ def frozen_stats(features: DataFrame, cfg: FeatureConfig, columns: dict[str, int
     at = x.filter(F.col(tl.ts) < boundary_ms).groupBy("symbol").agg(
         *[F.max_by(v, tl.ts).alias(k) for k, v in state.items()])
     after = x.filter(F.col(tl.ts) >= boundary_ms).join(at, "symbol")
-    return after.select("symbol", tl.ts, *[F.greatest(F.least((F.col(c) - F.col(f"mu_{c}")) / F.sqrt(F.col(f"var_{c}") + 1e-8), F.lit(5.0)), F.lit(-5.0)).alias(f"z_{c}")
+    return after.select("symbol", tl.ts, *[clip_finite((F.col(c) - F.col(f"mu_{c}")) / F.sqrt(F.col(f"var_{c}") + 1e-8)).alias(f"z_{c}")
                                            for c in columns])
 
 

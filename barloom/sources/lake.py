@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,9 @@ def reduce_shards(trades: DataFrame, store: str, reduce) -> DataFrame:
     plan = shard_digest(x, columns)
     try:
         stored = spark.read.parquet(f"{store}/digests")
-    except Exception:  # noqa: BLE001 - first run
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # only a missing table means a first run
         stored = plan.limit(0)
     todo = changed_shards(plan, stored)
     from barloom.session import pin
@@ -113,8 +116,9 @@ def load_token_stream(spark: SparkSession, path: str, tokenizer_hash: str, datas
     """Ids whose provenance matches; any other row fails the job."""
     df = spark.read.parquet(path).join(dataset_hash.withColumnRenamed("dataset_hash", "_want"), "symbol", "left")
     good = (F.col("tokenizer_hash") == tokenizer_hash) & (F.col("window") == window) & F.col("dataset_hash").eqNullSafe(F.col("_want"))
-    error = F.raise_error(F.lit("token stream does not match its tokenizer or data")).cast("int")
-    return df.withColumn("b_c", F.when(good, F.col("b_c")).otherwise(error)).drop("_want", "tokenizer_hash", "window", "dataset_hash")
+    error = F.raise_error(F.lit("token stream does not match its tokenizer or data")).cast("boolean")
+    # a filter, so that no choice of columns prunes the check
+    return df.filter(F.when(F.coalesce(good, F.lit(False)), F.lit(True)).otherwise(error)).drop("_want", "tokenizer_hash", "window", "dataset_hash")
 
 
 def artifact_hash(columns: Sequence[str]) -> Column:

@@ -20,7 +20,7 @@ def _flow_out(df):
 
 @query("reduce_trades", sql(_FLOW + "flow", "flow"))
 def reduce_trades(spark, sf_dir):
-    return _flow_out(B.reduce_trades(V.tape(spark, sf_dir), HOUR))
+    return _flow_out(B.reduce_trades(V.trades(spark, sf_dir), HOUR))
 
 
 @query("attach_trades", sql(_FLOW + "bars", "bars"))
@@ -37,7 +37,7 @@ def klines_from_trades(spark, sf_dir):
 
 @query("bar_id", "SELECT event_id, (epoch_us(ts) // 1000) // 60000 AS bar_id FROM events")
 def bar_id(spark, sf_dir):
-    return V.trades(spark, sf_dir, positive=False).select(F.col("trade_id").alias("event_id"), B.bar_id("ts_ms").alias("bar_id"))
+    return V.trades(spark, sf_dir).select(F.col("trade_id").alias("event_id"), B.bar_id("ts_ms").alias("bar_id"))
 
 
 @query("vol_recon_err", sql(
@@ -122,9 +122,9 @@ def order_violations(spark, sf_dir):
     f"""SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, len(s) AS n_kept, {rq('list_sum(s)')} AS kept_sum,
  {rq('s[1]')} AS smallest, {rq('s[-1]')} AS largest FROM (SELECT symbol, bar_open_ms,
  CASE WHEN len(a) <= 4 THEN a ELSE [a[(round_even(i * (len(a) - 1) / 3.0, 0))::BIGINT + 1] FOR i IN range(4)] END AS s FROM
- (SELECT symbol, ts_ms // {HOUR} * {HOUR} AS bar_open_ms, list_sort(list(quantity)) AS a FROM tape GROUP BY 1, 2))""", "tape"))
+ (SELECT symbol, ts_ms // {HOUR} * {HOUR} AS bar_open_ms, list_sort(list(quantity)) AS a FROM trades GROUP BY 1, 2))""", "trades"))
 def size_samples(spark, sf_dir):
-    out = B.size_samples(V.tape(spark, sf_dir), HOUR, 4)
+    out = B.size_samples(V.trades(spark, sf_dir), HOUR, 4)
     return out.select("symbol", "bar_open_ms", F.size("sample").cast("bigint").alias("n_kept"),
                       rd(F.aggregate("sample", F.lit(0.0), lambda a, x: a + x)).alias("kept_sum"),
                       rd(F.array_min("sample")).alias("smallest"), rd(F.array_max("sample")).alias("largest"))

@@ -11,9 +11,10 @@ from barloom.workload.registry import query
 from barloom.workload.views import HCFG, HOUR, WCFG, WEEK, cte, rd, rq, sql
 
 TL = S.timeline(WCFG)
-H, SEQ, NP, NV = 4, 16, 60, 15
-LO, HI = 1400 * WEEK, 1640 * WEEK
-VLO, VHI = 1340 * WEEK, 1400 * WEEK
+# line items span weeks 1304 to 1661 (1995-01-02 to 2001-11-04): validation takes the first 96, the headline the rest
+H, SEQ, NP, NV = 4, 16, 66, 24
+LO, HI = 1400 * WEEK, 1664 * WEEK
+VLO, VHI = 1304 * WEEK, 1400 * WEEK
 CELLS, SEEDS, KS = (1, 2, 3, 4, 5), (0, 1, 2), (1.0, 1.5, 2.0, 3.0)
 SEG = "PARTITION BY symbol, segment_id ORDER BY bar_open_ms"
 PPY = f"sqrt({525_600 / H!r}::DOUBLE)"

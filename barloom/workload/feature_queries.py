@@ -148,10 +148,10 @@ cte("taus", f"""SELECT *, CASE WHEN seg_pos >= {HCFG.w_tau} AND len(pool) > 0 TH
   FROM fsegs s LEFT JOIN kept k ON s.symbol = k.symbol AND s.bar_open_ms = k.bar_open_ms)))""", "fsegs", "kept")
 cte("kept", f"""SELECT symbol, bar_open_ms, CASE WHEN len(a) <= {HCFG.pool_cap} THEN a ELSE
  [a[(round_even(i * (len(a) - 1) / {HCFG.pool_cap - 1}.0, 0))::BIGINT + 1] FOR i IN range({HCFG.pool_cap})] END AS kept FROM
- (SELECT symbol, ts_ms // {HOUR} * {HOUR} AS bar_open_ms, list_sort(list(quantity)) AS a FROM tape GROUP BY 1, 2)""", "tape")
+ (SELECT symbol, ts_ms // {HOUR} * {HOUR} AS bar_open_ms, list_sort(list(quantity)) AS a FROM trades GROUP BY 1, 2)""", "trades")
 cte("larges", f"""SELECT t.symbol, t.bar_open_ms, count(*) FILTER (WHERE q.quantity >= t.tau) AS n_large FROM taus t JOIN
- (SELECT symbol, ts_ms // {HOUR} * {HOUR} AS bar_open_ms, quantity FROM tape) q
- ON q.symbol = t.symbol AND q.bar_open_ms = t.bar_open_ms WHERE t.tau IS NOT NULL GROUP BY 1, 2""", "taus", "tape")
+ (SELECT symbol, ts_ms // {HOUR} * {HOUR} AS bar_open_ms, quantity FROM trades) q
+ ON q.symbol = t.symbol AND q.bar_open_ms = t.bar_open_ms WHERE t.tau IS NOT NULL GROUP BY 1, 2""", "taus", "trades")
 
 
 @query("large_trade_share", sql(
@@ -159,7 +159,7 @@ cte("larges", f"""SELECT t.symbol, t.bar_open_ms, count(*) FILTER (WHERE q.quant
  FROM fbars b LEFT JOIN larges l ON b.symbol = l.symbol AND b.bar_open_ms = l.bar_open_ms WHERE b.v_agg > 0""", "fbars", "larges"))
 def large_trade_share(spark, sf_dir):
     bars = pin(V.bars(spark, sf_dir))
-    out = bars.join(X.large_trades(bars, V.tape(spark, sf_dir), HCFG), X.KEY, "left").filter("v_agg > 0")
+    out = bars.join(X.large_trades(bars, V.trades(spark, sf_dir), HCFG), X.KEY, "left").filter("v_agg > 0")
     return out.select("symbol", "bar_open_ms", rd(F.coalesce("n_large", F.lit(0)) / (F.col("v_agg") + 1e-9)).alias("share"))
 
 
@@ -228,13 +228,13 @@ _D = {d: 4 if d in X.Z_DIMS else 6 for d in _X}  # digits compared
 def raw_features(spark, sf_dir):
     bars = pin(full_bars(spark, sf_dir))
     side = bars.join(X.trailing_mad(bars, HCFG), X.KEY, "left").join(
-        X.large_trades(bars, V.tape(spark, sf_dir), HCFG), X.KEY, "left")
+        X.large_trades(bars, V.trades(spark, sf_dir), HCFG), X.KEY, "left")
     df = X.raw_features(X.clip_wicks(S.with_segments(side, HCFG, 1), HCFG), HCFG).filter("_core")
     return df.select("symbol", "bar_open_ms", *[rd(f"f_{d}").alias(f"f_{d}") for d in _X])
 
 
 def features(spark, sf_dir):
-    return X.compute_features(full_bars(spark, sf_dir), HCFG, V.tape(spark, sf_dir))
+    return X.compute_features(full_bars(spark, sf_dir), HCFG, V.trades(spark, sf_dir))
 
 
 @query("compute_features", sql(
@@ -294,7 +294,7 @@ def _scaled_sql():
 @query("vol_scaled_inputs", sql(
     f"SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, {rq('x_0', 4)} AS x_0, {rq('x_1', 4)} AS x_1, (x_0_warm = 1 OR seg_pos = 0 OR seg_pos < {HCFG.warm_vol})::INT AS m_0 FROM {_scaled_sql()}", "raws"))
 def vol_scaled_inputs(spark, sf_dir):
-    df = X.compute_features(full_bars(spark, sf_dir), _VCFG, V.tape(spark, sf_dir))
+    df = X.compute_features(full_bars(spark, sf_dir), _VCFG, V.trades(spark, sf_dir))
     return df.select("symbol", "bar_open_ms", rd("x_0", 4).alias("x_0"), rd("x_1", 4).alias("x_1"), "m_0")
 
 

@@ -104,7 +104,7 @@ def compact_lake(spark, sf_dir):
 def reduce_shards(spark, sf_dir):
     """A run on part of the ticks, then one on all of them: only changed shards are rebuilt, the store ends complete."""
     from barloom.operators.bars import reduce_trades
-    t, root = V.tape(spark, sf_dir), scratch(spark)
+    t, root = V.trades(spark, sf_dir), scratch(spark)
     run = lambda x: reduce_trades(x, HOUR)
     Lk.reduce_shards(t.filter("symbol <> 'view'"), root, run)
     rebuilt = Lk.reduce_shards(t, root, run)
@@ -187,7 +187,7 @@ def load_universe_spec(spark, sf_dir):
 @query("build_features", sql(
     "SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, " + ", ".join(f"{rq(f'x_{d}', FQ._D[d])} AS x_{d}" for d in range(16)) + f", {rq('sigma')} AS sigma FROM masked", "masked"))
 def build_features(spark, sf_dir):
-    out = Bld.build_features(V.tape(spark, sf_dir), V.klines(spark, sf_dir), HCFG, V.funding(spark, sf_dir), V.open_interest(spark, sf_dir))
+    out = Bld.build_features(V.trades(spark, sf_dir), V.stated(spark, sf_dir), HCFG, V.funding(spark, sf_dir), V.open_interest(spark, sf_dir))
     return out.select("symbol", "bar_open_ms", *[rd(f"x_{d}", FQ._D[d]).alias(f"x_{d}") for d in range(16)], rd("sigma").alias("sigma"))
 
 

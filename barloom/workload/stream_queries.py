@@ -19,7 +19,7 @@ def ticks(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.filter("value > 0").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("event_time"), V.millis("ts").alias("ts_ms"), F.col("event_id").alias("trade_id"),
+    return raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("event_time"), V.millis("ts").alias("ts_ms"), F.col("event_id").alias("trade_id"),
                       F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("quantity"), (F.col("user_id") % 2 == 0).alias("is_buyer_maker"), "user_id")
 
 
@@ -28,7 +28,7 @@ def drain(spark, df):
     return St.run_to_parquet(df, f"{root}/out", f"{root}/state")
 
 
-cte("closed", f"SELECT (epoch_us(max(ts)) // 1000) - {DELAY_MS} AS wm FROM events WHERE value > 0")
+cte("closed", f"SELECT (epoch_us(max(ts)) // 1000) - {DELAY_MS} AS wm FROM events")
 
 
 @query("stream_bars", sql(
@@ -38,11 +38,22 @@ def stream_bars(spark, sf_dir):
     return drain(spark, St.tumbling_bars(ticks(spark, sf_dir), "1 hour", DELAY)).drop("v_buy", "v_sell")
 
 
+cte("first_mark", f"SELECT (epoch_us(max(ts)) // 1000) - {DELAY_MS} AS wm FROM events WHERE user_id % 10 <> 7")
+
+
 @query("stream_late_ticks", sql(
-    f"SELECT symbol, ts_ms // {HOUR} * {HOUR} AS bar_open_ms, count(*) AS n_late FROM trades WHERE user_id % 10 = 7 GROUP BY 1, 2", "trades"))
+    f"""SELECT symbol, ts_ms // {HOUR} * {HOUR} AS bar_open_ms, count(*) AS n_late FROM trades WHERE user_id % 10 = 7
+ AND ts_ms // {HOUR} * {HOUR} + {HOUR} <= (SELECT wm FROM first_mark) GROUP BY 1, 2""", "trades", "first_mark"))
 def stream_late_ticks(spark, sf_dir):
-    kept = V.B.reduce_trades(V.tape(spark, sf_dir), HOUR)
-    return St.late_ticks(V.trades(spark, sf_dir), kept, HOUR)
+    """The ticks of each tenth user arrive after all others; those of bars that the watermark has closed by then are late."""
+    ensure_conf(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    root, t = scratch(spark), V.trades(spark, sf_dir).withColumn("event_time", F.timestamp_millis("ts_ms"))
+    for late in (F.col("user_id") % 10 != 7, F.col("user_id") % 10 == 7):
+        t.filter(late).write.mode("append").parquet(f"{root}/in")
+        kept = St.run_to_parquet(St.tumbling_bars(St.read_tick_files(spark, f"{root}/in", t.schema), "1 hour", DELAY), f"{root}/out", f"{root}/state")
+    closed = t.filter("user_id % 10 <> 7").agg((F.max("ts_ms") - DELAY_MS).alias("wm"))
+    return St.late_ticks(t, kept, HOUR).join(closed, F.col("bar_open_ms") + HOUR <= F.col("wm")).drop("wm")
 
 
 @query("stream_live_features", sql(
@@ -65,7 +76,7 @@ def stream_live_features(spark, sf_dir):
 
 @query("stream_gap_sessions", sql(
     """SELECT symbol, (min(us) // 1000)::BIGINT AS start_ms, ((max(us) + 1800000000) // 1000)::BIGINT AS end_ms, count(*) AS n_trades FROM (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY us) AS g FROM (SELECT event_type AS symbol,
- epoch_us(ts) AS us, (epoch_us(ts) - lag(epoch_us(ts), 1, 0) OVER (PARTITION BY event_type ORDER BY ts) > 1800000000)::INT AS new FROM events WHERE value > 0)) GROUP BY symbol, g HAVING (max(us) + 1800000000) // 1000 <= (SELECT wm FROM closed)""", "closed"))
+ epoch_us(ts) AS us, (epoch_us(ts) - lag(epoch_us(ts), 1, 0) OVER (PARTITION BY event_type ORDER BY ts) > 1800000000)::INT AS new FROM events)) GROUP BY symbol, g HAVING (max(us) + 1800000000) // 1000 <= (SELECT wm FROM closed)""", "closed"))
 def stream_gap_sessions(spark, sf_dir):
     return drain(spark, St.gap_sessions(ticks(spark, sf_dir), "30 minutes", DELAY))
 
@@ -79,15 +90,15 @@ def stream_sliding_flow(spark, sf_dir):
 
 
 @query("stream_funding_join", """SELECT b.event_type AS symbol, count(*) AS n, """ + rq("sum(m.value)", 4) + """ AS value FROM events b JOIN events m ON b.event_type = m.event_type AND m.ts <= b.ts AND m.ts > b.ts - INTERVAL 1 HOUR
- WHERE b.user_id % 10 = 5 AND m.user_id % 10 = 3 AND b.value > 0 AND m.value > 0 GROUP BY 1""")
+ WHERE b.user_id % 2 = 1 AND m.user_id % 2 = 0 GROUP BY 1""")
 def stream_funding_join(spark, sf_dir):
-    bars = ticks(spark, sf_dir).filter("user_id % 10 = 5").select("symbol", F.col("event_time").alias("bar_time"))
-    marks = ticks(spark, sf_dir).filter("user_id % 10 = 3").select("symbol", F.col("event_time").alias("mark_time"), F.col("price").alias("value"))
+    bars = ticks(spark, sf_dir).filter("user_id % 2 = 1").select("symbol", F.col("event_time").alias("bar_time"))
+    marks = ticks(spark, sf_dir).filter("user_id % 2 = 0").select("symbol", F.col("event_time").alias("mark_time"), F.col("price").alias("value"))
     out = drain(spark, St.funding_in_stream(bars, marks, "1 hour", DELAY)).filter("mark_time is not null")
     return out.groupBy("symbol").agg(F.count("*").alias("n"), rd(F.sum("value"), 4).alias("value"))
 
 
-@query("stream_dedup", "SELECT event_type AS symbol, count(*) AS n FROM events WHERE value > 0 GROUP BY 1")
+@query("stream_dedup", "SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1")
 def stream_dedup(spark, sf_dir):
     """Every tick is sent twice."""
     twice = ticks(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))

@@ -13,9 +13,10 @@ from barloom.workload.views import WEEK, cte, rd, rq, sql
 
 START, END = "1997-03-15", "2000-07-01"
 
-# one archive per (supplier, month); some suppliers stop early, some quote in another asset
-cte("li_sym", """SELECT 'S' || l_suppkey || CASE WHEN l_suppkey % 5 = 4 THEN 'BTC' ELSE 'USDT' END AS symbol, strftime(l_shipdate, '%Y-%m')
- AS month, l_quantity, l_extendedprice FROM lineitem WHERE l_suppkey % 7 <> 3 OR l_shipdate < TIMESTAMP '1999-06-15'""")
+# one archive per (supplier, month); some suppliers go on under a new symbol, some quote in another asset
+cte("li_sym", """SELECT 'S' || l_suppkey || CASE WHEN l_suppkey % 7 = 3 AND l_shipdate >= TIMESTAMP '1999-06-15' THEN 'N' ELSE '' END ||
+ CASE WHEN l_suppkey % 5 = 4 THEN 'BTC' ELSE 'USDT' END AS symbol, strftime(l_shipdate, '%Y-%m')
+ AS month, l_quantity, l_extendedprice FROM lineitem""")
 cte("listing", """SELECT 'data/' || symbol || '/' || symbol || '-aggTrades-' || month || '.zip' AS key, sum(l_quantity)::BIGINT * 1000 AS size
  FROM li_sym GROUP BY symbol, month""", "li_sym")
 cte("months", r"""SELECT symbol, month, sum(size)::BIGINT AS bytes FROM (SELECT regexp_extract(key, '([A-Z0-9]+)-aggTrades-(\d{4}-\d{2})\.zip$', 1)
@@ -33,11 +34,14 @@ cte("live", f"""SELECT *, hi_ms > lo_ms AS is_live FROM (SELECT *, greatest(coal
  least(coalesce({_MS.format('delisting_date')}, 9e15::BIGINT), {_MS.format(f"'{END}'")}) AS hi_ms FROM spec)""", "spec")
 
 
+def symbol():
+    renamed = (F.col("l_suppkey") % 7 == 3) & (F.col("l_shipdate") >= F.expr("timestamp_ntz'1999-06-15'"))
+    return F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.when(renamed, "N").otherwise(""), F.when(F.col("l_suppkey") % 5 == 4, "BTC").otherwise("USDT"))
+
+
 def listing(spark, sf_dir):
     li = V.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity")
-    li = li.filter("l_suppkey % 7 <> 3 or l_shipdate < timestamp_ntz'1999-06-15'")
-    sym = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.when(F.col("l_suppkey") % 5 == 4, "BTC").otherwise("USDT"))
-    per = li.groupBy(sym.alias("symbol"), F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(
+    per = li.groupBy(symbol().alias("symbol"), F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(
         (F.sum("l_quantity").cast("bigint") * 1000).alias("size"))
     key = F.concat(F.lit("data/"), "symbol", F.lit("/"), "symbol", F.lit("-aggTrades-"), "month", F.lit(".zip"))
     return per.select(key.alias("key"), "size")
@@ -122,9 +126,8 @@ cte("volumes", "SELECT symbol, sum(l_extendedprice) AS volume FROM li_sym GROUP
 
 
 def volumes(spark, sf_dir):
-    li = V.table(spark, sf_dir, "lineitem").filter("l_suppkey % 7 <> 3 or l_shipdate < timestamp_ntz'1999-06-15'")
-    sym = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.when(F.col("l_suppkey") % 5 == 4, "BTC").otherwise("USDT"))
-    return li.groupBy(sym.alias("symbol")).agg(F.sum("l_extendedprice").alias("volume"))
+    li = V.table(spark, sf_dir, "lineitem")
+    return li.groupBy(symbol().alias("symbol")).agg(F.sum("l_extendedprice").alias("volume"))
 
 
 @query("rank_by_volume", sql(f"SELECT symbol, {rq('volume', 2)} AS volume FROM volumes ORDER BY volumes.volume DESC, symbol LIMIT 20", "volumes"))
@@ -155,9 +158,8 @@ cte("tiers", """SELECT symbol, CASE WHEN symbol IN ('S1USDT', 'S2USDT') THEN 'ma
 
 
 def tiers(spark, sf_dir):
-    li = V.table(spark, sf_dir, "lineitem").filter("l_suppkey % 7 <> 3 or l_shipdate < timestamp_ntz'1999-06-15'")
-    sym = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.when(F.col("l_suppkey") % 5 == 4, "BTC").otherwise("USDT"))
-    liq = li.groupBy(sym.alias("symbol")).agg(F.count("*").alias("n_bars"),
+    li = V.table(spark, sf_dir, "lineitem")
+    liq = li.groupBy(symbol().alias("symbol")).agg(F.count("*").alias("n_bars"),
                                               (F.sum("l_quantity").cast("bigint") % 97 / F.lit(97.0)).alias("active_share"))
     return U.assign_spread_tiers(pin(liq), majors=("S1USDT", "S2USDT"))
 
@@ -276,8 +278,7 @@ def exact_cover(spark, sf_dir):
 def manifest_rows(spark, sf_dir):
     m = pin(months(spark, sf_dir))
     built = m.select("symbol").distinct().filter(F.col("symbol").endswith("USDT"))
-    cov = V.table(spark, sf_dir, "lineitem").filter("l_suppkey % 7 <> 3 or l_shipdate < timestamp_ntz'1999-06-15'").groupBy(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("USDT")).alias("symbol")).agg(F.count("*").alias("n_bars"))
+    cov = V.table(spark, sf_dir, "lineitem").groupBy(symbol().alias("symbol")).agg(F.count("*").alias("n_bars"))
     out = U.manifest_rows(built, U.derive_listing(m), cov, START, END)
     return out.select("symbol", "listing_date", F.coalesce("delisting_date", F.lit("")).alias("delisting_date"), "n_bars",
                       "head_truncated", "tail_truncated")

@@ -32,26 +32,26 @@ def millis(col: str) -> Column:
     return F.unix_millis(F.col(col).cast("timestamp"))
 
 
-def trades(spark: SparkSession, sf_dir: str, positive: bool = True) -> DataFrame:
-    """Every event as a trade of the symbol ``event_type``; a price of 0 is not a trade."""
-    events = table(spark, sf_dir, "events")
-    return (events.filter("value > 0") if positive else events).select(
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a trade of the symbol ``event_type``."""
+    return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"), millis("ts").alias("ts_ms"), F.col("event_id").alias("trade_id"),
         F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("quantity"),
         (F.col("user_id") % 2 == 0).alias("is_buyer_maker"), "user_id")
 
 
-def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trade tape misses some trades, as real tapes do; klines see all of them."""
-    return trades(spark, sf_dir).filter("user_id % 10 <> 7")
-
-
 def klines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.klines_from_trades(trades(spark, sf_dir), HOUR)
 
 
+def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Klines of an exchange that in every seventh hour states a tenth more volume than its trades have."""
+    hour = F.floor(F.col("bar_open_ms") / HOUR)
+    return klines(spark, sf_dir).withColumn("v_kline", F.when(hour % 7 == 3, F.col("v_kline") * 1.1).otherwise(F.col("v_kline")))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.attach_trades(klines(spark, sf_dir), B.reduce_trades(tape(spark, sf_dir), HOUR))
+    return B.attach_trades(stated(spark, sf_dir), B.reduce_trades(trades(spark, sf_dir), HOUR))
 
 
 def line_key() -> Column:
@@ -82,13 +82,13 @@ def wbars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases of each tenth user, as irregular funding marks of the other symbols."""
-    return table(spark, sf_dir, "events").filter("user_id % 10 = 3").select(
+    """Every event as an irregular funding mark of its symbol."""
+    return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"), millis("ts").alias("ts_ms"), (F.col("value") / 1e4).alias("value"))
 
 
 def open_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("user_id % 10 = 7").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"), millis("ts").alias("ts_ms"), (F.col("value") * 100).alias("value"))
 
 
@@ -130,8 +130,7 @@ def rq(expr: str, digits: int = 6) -> str:
 
 cte("trades", """SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS ts_ms, event_id AS trade_id, value AS price,
   CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) AS quantity, user_id % 2 = 0 AS is_buyer_maker, user_id
-  FROM events WHERE value > 0""")
-cte("tape", "SELECT * FROM trades WHERE user_id % 10 <> 7", "trades")
+  FROM events""")
 
 
 def _klines(src: str, step: int) -> str:
@@ -156,8 +155,9 @@ def _bars(k: str, f: str) -> str:
 
 
 cte("klines", _klines("trades", HOUR), "trades")
-cte("flow", _flow("tape", HOUR), "tape")
-cte("bars", _bars("klines", "flow"), "klines", "flow")
+cte("flow", _flow("trades", HOUR), "trades")
+cte("stated", f"SELECT * REPLACE (CASE WHEN bar_open_ms // {HOUR} % 7 = 3 THEN v_kline * 1.1::DOUBLE ELSE v_kline END AS v_kline) FROM klines", "klines")
+cte("bars", _bars("stated", "flow"), "stated", "flow")
 cte("wtrades", """SELECT p_brand AS symbol, epoch_ms(l_shipdate) AS ts_ms,
   (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS trade_id,
   l_extendedprice / l_quantity AS price, l_quantity AS quantity, l_linestatus = 'F' AS is_buyer_maker
@@ -165,10 +165,8 @@ cte("wtrades", """SELECT p_brand AS symbol, epoch_ms(l_shipdate) AS ts_ms,
 cte("wklines", _klines("wtrades", WEEK), "wtrades")
 cte("wflow", _flow("wtrades", WEEK), "wtrades")
 cte("wbars", _bars("wklines", "wflow"), "wklines", "wflow")
-cte("funding", """SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS ts_ms, value / 1e4 AS value FROM events
-  WHERE user_id % 10 = 3""")
-cte("oi", """SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS ts_ms, value * 100 AS value FROM events
-  WHERE user_id % 10 = 7""")
+cte("funding", """SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS ts_ms, value / 1e4 AS value FROM events""")
+cte("oi", """SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS ts_ms, value * 100 AS value FROM events""")
 
 
 def _segs(src: str, cfg: FeatureConfig) -> str:
