@@ -11,8 +11,13 @@ from barloom.frames import CHUNK, Timeline, with_chunks
 
 
 def canonical_json(columns: Sequence[str]) -> Column:
-    """JSON object with sorted keys and no spaces; NULL is written as null."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    """JSON object with sorted keys, no spaces and ASCII letters only; NULL is written as null."""
+    text = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    # a character beyond ASCII becomes the escapes of its UTF-16 units
+    units = F.regexp_replace(F.lower(F.hex(F.encode(text, "UTF-16BE"))), "(.{4})", "$1 ")
+    escaped = F.array_join(F.transform(F.split(F.rtrim(units), " "), lambda u: F.when(
+        u < "0080", F.chr(F.conv(u, 16, 10).cast("bigint"))).otherwise(F.concat(F.lit("\\u"), u))), "")
+    return F.when(text.rlike("[^\\x00-\\x7F]"), escaped).otherwise(text)
 
 
 def row_text(columns: Sequence[str]) -> Column:

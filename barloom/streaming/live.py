@@ -100,12 +100,16 @@ class BarState(StatefulProcessor):
                 funding = float(r.value)
                 continue
             ts, close = int(r.bar_open_ms), float(r.close)
+            if prev_ts is not None and ts <= prev_ts:
+                continue  # a bar at or before the last one came too late: what followed it is already out
             if (prev_ts is None or ts - prev_ts > cfg.bar_ms or (prev_close and abs(close / prev_close - 1) >= cfg.structural)):
                 seg, pos, ret, s = seg + 1, 0, 0.0, 0.0
                 mu, var, z = ret, 0.0, 0.0
             else:
-                pos, ret = pos + 1, math.log(close / prev_close)
-                z = max(-5.0, min(5.0, (ret - mu) / math.sqrt(var + EPS_VAR))) if pos >= warm else 0.0
+                # no return without two positive prices: NaN, as in the batch
+                pos, ret = pos + 1, math.log(close / prev_close) if close > 0 and prev_close > 0 else math.nan
+                z = (ret - mu) / math.sqrt(var + EPS_VAR) if pos >= warm else 0.0
+                z = max(-5.0, min(5.0, z)) if math.isfinite(z) else math.nan
                 delta = ret - mu
                 mu, var = mu + a * delta, (1 - a) * (var + a * delta * delta)
             s = lam * s + (1 - lam) * ret * ret

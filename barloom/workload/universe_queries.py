@@ -285,14 +285,17 @@ def manifest_rows(spark, sf_dir):
 
 
 _TL = Timeline(step=WEEK, chunk=64)
+# every stored value takes part; features count in millionths, so that both engines write the same digits
+_XS, _MS_ = [f"x_{d}" for d in range(16)], [f"m_{d}" for d in range(16)]
+_HASHED_SQL = " || '|' || ".join(["n_trades", "v_kline::BIGINT", *[f"round({x} * 1e6)::BIGINT" for x in _XS], *_MS_, "is_stale", "dq_flags"])
 cte("dhash", f"""SELECT symbol, sha256(string_agg(h, ';' ORDER BY c)) AS dataset_hash FROM (SELECT symbol, bar_open_ms // {64 * WEEK} AS c,
- sha256(string_agg(bar_open_ms || '=' || n_trades || '|' || v_kline::BIGINT || '|' || m_9, ';' ORDER BY bar_open_ms)) AS h FROM panel GROUP BY 1, 2)
+ sha256(string_agg(bar_open_ms || '=' || {_HASHED_SQL}, ';' ORDER BY bar_open_ms)) AS h FROM panel GROUP BY 1, 2)
  GROUP BY 1""", "panel")
 
 
 def dataset_hashes(spark, sf_dir):
-    p = V.panel(spark, sf_dir).withColumn("v_kline", F.col("v_kline").cast("bigint"))
-    return H.dataset_hash(p, _TL, H.row_text(["n_trades", "v_kline", "m_9"]))
+    p = V.panel(spark, sf_dir).withColumns({"v_kline": F.col("v_kline").cast("bigint"), **{x: F.round(F.col(x) * 1e6).cast("bigint") for x in _XS}})
+    return H.dataset_hash(p, _TL, H.row_text(["n_trades", "v_kline", *_XS, *_MS_, "is_stale", "dq_flags"]))
 
 
 @query("dataset_hash", sql("SELECT symbol, dataset_hash FROM dhash", "dhash"))

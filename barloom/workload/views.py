@@ -44,10 +44,11 @@ def klines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.klines_from_trades(trades(spark, sf_dir), HOUR)
 
 
-def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stated(spark: SparkSession, sf_dir: str, ticks: DataFrame | None = None) -> DataFrame:
     """Klines of an exchange that in every seventh hour states a tenth more volume than its trades have."""
     hour = F.floor(F.col("bar_open_ms") / HOUR)
-    return klines(spark, sf_dir).withColumn("v_kline", F.when(hour % 7 == 3, F.col("v_kline") * 1.1).otherwise(F.col("v_kline")))
+    k = klines(spark, sf_dir) if ticks is None else B.klines_from_trades(ticks, HOUR)
+    return k.withColumn("v_kline", F.when(hour % 7 == 3, F.col("v_kline") * 1.1).otherwise(F.col("v_kline")))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:

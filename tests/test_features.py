@@ -131,3 +131,45 @@ def test_non_finite_features_fail_loudly(spark):
     df = spark.createDataFrame([(1.0,), (float("inf"),)], "x_0 double")
     with pytest.raises(Exception, match="non-finite"):
         X.guard_finite(df, ["x_0"]).collect()
+
+
+def test_missing_and_non_finite_values_are_refused(spark):
+    from barloom.functions.scalars import clip_finite, log_ratio
+
+    rows = [(1, 1.0, None), (2, 2.0, 3.0), (3, 0.0, 9.0), (4, float("nan"), float("inf"))]
+    df = spark.createDataFrame(rows, "k int, a double, b double")
+    got = {r["k"]: (r["c"], r["l"]) for r in df.select("k", clip_finite("b").alias("c"), log_ratio("a", "b").alias("l")).collect()}
+    assert got[1][0] != got[1][0] and got[1][1] is None and got[2][0] == 3.0 and got[3][0] == 5.0
+    assert got[4][0] != got[4][0] and got[3][1] != got[3][1]
+    for bad in ("k = 1", "k = 4"):
+        with pytest.raises(Exception, match="non-finite"):
+            X.guard_finite(df.filter(bad), ["a", "b"]).select("k").collect()  # the bad column is not selected
+    assert X.guard_finite(df.filter("k = 2"), ["a", "b"]).count() == 1
+
+
+def test_zero_close_gives_nan_returns(spark):
+    from barloom.config import FeatureConfig
+    from barloom.operators.segments import local_segments
+
+    cfg = FeatureConfig(bar_ms=1, chunk=8, structural=50.0)
+    bars = spark.createDataFrame([("s", t, c) for t, c in enumerate([5.0, 0.0, 5.0, 10.0])], "symbol string, bar_open_ms long, close double")
+    r = [x["r"] for x in local_segments(bars, cfg, 2).select("bar_open_ms", X.log_return(cfg).alias("r")).orderBy("bar_open_ms").collect()]
+    assert r[0] == 0.0 and r[3] == pytest.approx(0.6931, abs=1e-4) and r[1] != r[1]
+
+
+def test_hash_text_tells_rows_apart(spark):
+    from barloom.operators.hashing import canonical_json, row_text
+
+    df = spark.createDataFrame([("x", None, "y"), ("x", "y", None), ("x|y", "", ""), ("x", "y|", ""), ("é😀", None, "q")], "a string, b string, c string")
+    got = df.select(row_text(["a", "b", "c"]).alias("t"), canonical_json(["a", "b", "c"]).alias("j")).collect()
+    assert len({r["t"] for r in got}) == 5
+    assert got[4]["j"] == '{"a":"\\u00e9\\ud83d\\ude00","b":null,"c":"q"}' and got[0]["j"] == '{"a":"x","b":null,"c":"y"}'
+
+
+def test_repeated_bars_stay_as_many(spark):
+    from barloom.operators.bars import asof_ffill
+    from barloom.frames import Timeline
+
+    bars = spark.createDataFrame([("s", 10)] * 3 + [("s", 20)], "symbol string, bar_open_ms long")
+    marks = spark.createDataFrame([("s", 5, 1.5)], "symbol string, ts_ms long, value double")
+    assert asof_ffill(bars, marks, "funding", Timeline(step=10, chunk=4)).count() == 4
