@@ -21,8 +21,7 @@ def is_finite(x: Column | str) -> Column:
 def clip_finite(x: Column | str, bound: float = CLIP) -> Column:
     """Clamp finite values; NaN, infinities and NULL come out as NaN, never as a bound."""
     x = _c(x)
-    return F.when(~is_finite(x), F.lit(float("nan"))).otherwise(
-        F.greatest(F.least(x, F.lit(bound)), F.lit(-bound)))
+    return F.coalesce(F.greatest(F.least(x, F.lit(bound)), F.lit(-bound)) + x * F.lit(0.0), F.lit(float("nan")))
 
 
 def log_ratio(a: Column | str, b: Column | str) -> Column:

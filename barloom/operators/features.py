@@ -12,7 +12,7 @@ from barloom.config import (
     FeatureConfig, safe_chunk,
 )
 from barloom.frames import CHUNK, CORE, LSEG, Term, affine_scan, row_halo, row_index, segment_first
-from barloom.functions.scalars import clip_finite, is_finite, log_ratio
+from barloom.functions.scalars import clip_finite, log_ratio
 from barloom.operators.bars import bar_open, size_samples, vol_recon_err
 from barloom.session import pin
 from barloom.operators.segments import local_position, local_segments, timeline, with_segments
@@ -177,8 +177,8 @@ def ewma_zscores(df: DataFrame, cfg: FeatureConfig, columns: dict[str, tuple[str
     for o, (_, half) in columns.items():
         warm = f"seg_pos < {max(cfg.warm(half), 1)}"
         z = f"(_g_{o} - _m1_{o}) / sqrt(greatest(_m2_{o} - _m1_{o} * _m1_{o}, 0D) + {EPS_VAR!r}D)"
-        # a non-finite score stays NaN, it is never clamped to a bound
-        z = f"IF(({z}) IS NULL OR isnan({z}) OR abs({z}) = double('inf'), double('nan'), greatest(least({z}, {CLIP!r}D), -{CLIP!r}D))"
+        # adding zero times the score makes a non-finite one NaN, and a missing one too; a finite one is clamped
+        z = f"coalesce(greatest(least({z}, {CLIP!r}D), -{CLIP!r}D) + ({z}) * 0D, double('nan'))"
         out += [f"IF({warm}, 0D, {z}) AS {o}", f"int({warm}) AS {o}_warm"]
     return df.selectExpr(*keep, *out)
 
@@ -251,12 +251,15 @@ def has_flag(bit: int, col: str = "dq_flags") -> Column:
 def guard_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fail the job on the first NULL or non-finite value of the columns, whichever of them are read later.
 
-    The check is a filter, so column pruning cannot remove it.
+    The check is a filter, so column pruning cannot remove it. Zero times a finite value is 0 and times any other is not, so
+    each column is read once; the random term keeps the filter where it stands: pushed below the projection it would
+    repeat the columns' expressions.
     """
-    bad = F.lit(False)
+    zero = F.lit(0.0)
     for c in columns:
-        bad = bad | ~is_finite(c)
-    return df.filter(F.when(bad, F.raise_error(F.lit("non-finite value in emitted features")).cast("boolean")).otherwise(F.lit(True)))
+        zero = zero + F.col(c) * 0.0
+    good = F.coalesce(zero == 0.0, F.lit(False)) & (F.rand() >= 0.0)
+    return df.filter(F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit("non-finite value in emitted features")).cast("boolean")))
 
 
 # ---- the whole table --------------------------------------------------------------------------------------------------
