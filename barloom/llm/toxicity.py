@@ -36,11 +36,25 @@ CACHE_WORDS = 200_000
 F4 = np.float32
 
 
-def grams(word: bytes) -> list[int]:
-    """Buckets of the word's 3-, 4- and 5-grams of bytes, with marks at its ends."""
-    marked = b"<" + word[:64] + b">" + word[64:]  # the mark stays near the front of very long words
-    crc = zlib.crc32
-    return [crc(marked[i:i + n]) % GRAM_BUCKETS for n in (3, 4, 5) for i in range(max(1, len(marked) - n + 1))]
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of every word's 3-, 4- and 5-grams of bytes, with marks at its ends, word after word; and where each word's start."""
+    marked = [b"<" + (w or b" ") + b">" for w in words]
+    sizes = np.array([len(m) for m in marked])
+    octets = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint32)
+    owner, left = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(octets))
+    found, whose = [], []
+    hashed = octets * np.uint32(2654435761)
+    for n in range(2, 6):  # a polynomial of the bytes, longer by one each time
+        hashed = hashed[:-1] * np.uint32(0x01000193) + octets[n - 1:] * np.uint32(2654435761) if len(hashed) else hashed
+        if n > 2:
+            at = np.flatnonzero(left[:len(hashed)] >= n)
+            mixed = hashed[at]
+            mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            found.append((mixed ^ (mixed >> np.uint32(13))) % GRAM_BUCKETS)
+            whose.append(owner[at])
+    order = np.argsort(np.concatenate(whose), kind="stable")
+    counts = np.bincount(owner[np.flatnonzero(left >= 3)], minlength=len(words)) + sum(np.bincount(w, minlength=len(words)) for w in whose[1:])
+    return np.concatenate(found)[order].astype(np.int64), np.cumsum(counts) - counts
 
 
 def window_starts(n: int) -> list[int]:
@@ -65,9 +79,7 @@ class Network:
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(words, dim) inputs; the word buckets; the flat n-gram buckets; where each word's n-grams start."""
-        lists = [grams(w) for w in words]
-        flat = np.fromiter((g for x in lists for g in x), dtype=np.int64)
-        starts = np.cumsum([0] + [len(x) for x in lists[:-1]])
+        flat, starts = grams(words)
         buckets = np.fromiter((zlib.crc32(w) % WORD_BUCKETS for w in words), dtype=np.int64, count=len(words))
         return self.mixed(buckets, flat, starts), buckets, flat, starts
 
@@ -244,7 +256,7 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 11, rounds: tuple[in
             shown |= high < SHOWN // 3
         chosen = np.flatnonzero(top | ((y_doc == 0) & shown))
         share = max(1, (y_doc[chosen] == 0).sum()) / max(1, (y_doc[chosen] == 1).sum())
-        for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(chosen)))):
+        for _ in range(max(epochs, -(-LEAST_STEPS // -(-len(chosen) // batch)))):
             order = r.permutation(chosen)
             for a in range(0, len(order), batch):
                 part = order[a:a + batch]
