@@ -17,7 +17,7 @@ from barloom.llm.common import stage
 #: Slices of a hub in joins, so that a hub with a third of all rows spreads over this many tasks.
 SALTS = 32
 #: Ranges of the random order used for ranks inside a shard.
-RANGES = 4096
+RANGES = 512
 
 
 def ranked(df: DataFrame, group: str, order: list, name: str, range_by) -> DataFrame:
