@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # many small products: threads only get in each other's way
 os.environ["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))) + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 LONG = " ".join(f"Wört{i % 977} x{i}" for i in range(30_000))
