@@ -6,7 +6,8 @@ carry a CRC, so a lost or damaged block costs no other. All blocks of a segment
 
 Predictions of an id: the id last seen after the two ids before it (order 2), the id last seen after the one before it
 (order 1), and how often each band of ids occurred (order 0). One adaptive distribution, chosen by which predictions there are,
-mixes them into one interval: order-2 hit, order-1 hit, or a band, in which the id then follows uniformly.
+mixes them into one interval: order-2 hit, order-1 hit, or a band, in which the id then follows uniformly. Counts grow with
+every id; the parts of the intervals follow them after 1, 2, 4, 8, 16 and then every 32 ids of a block.
 """
 
 from __future__ import annotations
@@ -27,55 +28,62 @@ from pyspark.sql import functions as F
 from barloom.llm.common import chunks, docs_of
 
 MODEL, END_ID = "word_bpe_49k.json", 2
-MAGIC = b"BTOK1"
+MAGIC = b"BTOK2"
 BLOCK_IDS, SEGMENT_IDS = 1024, 1 << 21
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 800_000
+#: Words whose ids a worker keeps, and the bytes of those words.
+CACHE_WORDS, CACHE_BYTES = 800_000, 1 << 25
 #: Bands of ids: (first id, bits of the width); short ones where merges are frequent.
-BANDS = [(a, 7) for a in range(0, 1024, 128)] + [(a, 9) for a in range(1024, 4096, 512)] + [(a, 11) for a in range(4096, 16384, 2048)] + [(a, 13) for a in range(16384, 65536, 8192)]
-BAND_FIRST = np.array([a for a, _ in BANDS], dtype=np.int64)
-BAND_BITS = np.array([b for _, b in BANDS], dtype=np.uint64)
-BAND_OF = np.repeat(np.arange(len(BANDS)), [1 << b for _, b in BANDS])
+BANDS = [(0, 8), (256, 8), (512, 9), (1024, 9), (1536, 9), (2048, 10), (3072, 10), (4096, 11), (6144, 11), (8192, 12), (12288, 12), (16384, 14), (32768, 14), (49152, 14)]
+#: Symbols: the order-2 id, the order-1 id, then the bands.
 SYMBOLS = 2 + len(BANDS)
-GAIN, LIMIT = 24, 8192
-TABLE = 512
+BAND_OF = np.repeat(np.arange(2, SYMBOLS), [1 << b for _, b in BANDS]).astype(np.int8)
+FIRST = np.array([0, 0] + [a for a, _ in BANDS], dtype=np.uint64)
+BITS = np.array([0, 0] + [b for _, b in BANDS], dtype=np.uint64)
+GAIN, TABLE = 24, 512
+#: Intervals are cut into 2 ** SCALE parts; the parts follow the counts after these many ids of a block.
+SCALE = 12
+REFRESH = frozenset([1, 2, 4, 8, 16, *range(32, BLOCK_IDS, 32)])
 NONE = 0xFFFF  # no id: ids stay below
-_TOP, _LOW = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
-_U16 = np.uint64(16)
+_WORD = np.uint64(32)
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_LEAST = np.uint64(1 << 32)  # of a span between two ids: 12 and 14 bits leave it wide enough
 
 
 class Model:
-    """The adaptive state of all lanes."""
+    """The adaptive state of all lanes; a lane whose block has ended stays as it is."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
         self.after2 = np.full(lanes * TABLE, NONE, dtype=np.uint16)
         self.after1 = np.full(lanes * TABLE, NONE, dtype=np.uint16)
-        self.counts = np.ones((lanes * 4, SYMBOLS), dtype=np.int32)  # a row for each lane and context
-        self.one = np.zeros(lanes, dtype=np.int64)  # the id before, and the one before that
-        self.two = np.zeros(lanes, dtype=np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order-2 id, order-1 id, row of counts, cumulated counts)."""
-        self.slot2 = self.lane * TABLE + ((self.two * 40503 + self.one * 30103) >> 5) % TABLE
-        self.slot1 = self.lane * TABLE + (self.one * 40503 >> 7) % TABLE
-        p2, p1 = self.after2[self.slot2], self.after1[self.slot1]
-        row = self.lane * 4 + (p2 != NONE) + 2 * ((p1 != NONE) & (p1 != p2))
-        return p2, p1, row, np.cumsum(self.counts.take(row, axis=0), axis=1, dtype=np.int32)
-
-    def update(self, row: np.ndarray, symbol: np.ndarray, ids: np.ndarray, total: np.ndarray) -> None:
-        self.counts[row, symbol] += GAIN
-        full = np.flatnonzero(total > LIMIT)
-        if len(full):
-            self.counts[row[full]] = (self.counts[row[full]] + 1) >> 1
+        self.counts = np.ones(lanes * 4 * SYMBOLS, dtype=np.int32)  # for each lane, context and symbol
+        self.tables, self.rows = np.arange(lanes) * TABLE, np.arange(lanes) * 4 * SYMBOLS
+        self.last = np.zeros(lanes, dtype=np.int64)  # the id before
+        self.key = self.last * 40503
+        self.older = self.key
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Parts of every context's interval: in proportion to the counts, at least one for each symbol."""
+        sums = np.cumsum(self.counts.reshape(-1, SYMBOLS), axis=1, dtype=np.int32)
+        ends = sums * np.int32((1 << SCALE) - SYMBOLS) // sums[:, -1:] + np.arange(1, SYMBOLS + 1, dtype=np.int32)
+        starts = np.zeros(ends.shape, dtype=np.uint16)
+        starts[:, 1:] = ends[:, :-1]
+        self.start, self.width = starts.ravel(), (ends.astype(np.uint16) - starts).ravel()
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the first n lanes: order-2 id, order-1 id, place of the context's first symbol."""
+        self.slot2 = ((self.older[:n] + self.last[:n] * 30103) >> 5 & (TABLE - 1)) + self.tables[:n]
+        self.slot1 = (self.key[:n] >> 7 & (TABLE - 1)) + self.tables[:n]
+        p2, p1 = self.after2.take(self.slot2), self.after1.take(self.slot1)
+        context = (p2 != NONE) + 2 * ((p1 != NONE) & (p1 != p2))
+        return p2, p1, self.rows[:n] + context * SYMBOLS
+
+    def update(self, place: np.ndarray, ids: np.ndarray) -> None:
+        self.counts[place] = self.counts.take(place) + np.int32(GAIN)
         self.after2[self.slot2] = ids
         self.after1[self.slot1] = ids
-        self.two, self.one = self.one, ids
-
-    def narrow(self, lanes: int) -> None:
-        """Go on with the first lanes only: the others' blocks have ended."""
-        self.lane = self.lane[:lanes]
-        self.one, self.two = self.one[:lanes], self.two[:lanes]
+        self.older, self.last = self.key, ids.astype(np.int64)
+        self.key = self.last * 40503
 
 
 def _lengths(n: int) -> np.ndarray:
@@ -85,115 +93,91 @@ def _lengths(n: int) -> np.ndarray:
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """Blocks of BLOCK_IDS ids (the last may be shorter), each coded alone."""
-    lengths = _lengths(len(ids))
-    if not len(lengths):
+    lanes = len(_lengths(len(ids)))
+    if not lanes:
         return []
-    grid = np.zeros(len(lengths) * BLOCK_IDS, dtype=np.int64)
+    grid = np.zeros(lanes * BLOCK_IDS, dtype=np.uint16)
     grid[:len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(len(lengths), BLOCK_IDS).T)
-    lanes = len(lengths)
+    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK_IDS).T)
+    bands = BAND_OF.take(grid)
+    offsets = grid - FIRST.take(bands).astype(np.uint16)
+    last = len(ids) - (lanes - 1) * BLOCK_IDS
     model = Model(lanes)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    words = np.zeros((lanes, BLOCK_IDS * 3 + 8), dtype=np.uint16)
+    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _FULL)
+    words = np.zeros((lanes, BLOCK_IDS + 2), dtype=np.uint32)
     at = np.zeros(lanes, dtype=np.int64)
-
-    def shift(n: int) -> None:
-        while True:
-            lo, sp = low[:n], span[:n]
-            settled = (lo ^ (lo + sp)) < _TOP
-            short = ~settled & (sp <= _LOW)
-            move = np.flatnonzero(settled | short)
-            if not len(move):
-                return
-            cut = np.flatnonzero(short)
-            span[cut] = (np.uint64(0) - low[cut]) & _LOW
-            words[move, at[move]] = (low[move] >> np.uint64(48)).astype(np.uint16)
-            at[move] += 1
-            low[move] <<= _U16
-            span[move] <<= _U16
-
-    last = int(lengths[-1])
-    with np.errstate(over="ignore"):
-        for t in range(BLOCK_IDS if lanes > 1 else last):
-            if t == last and lanes > 1:
-                model.narrow(lanes - 1)
-            n = len(model.lane)
-            now = grid[t, :n]
-            p2, p1, row, cum = model.predict()
-            band = BAND_OF[now]
-            symbol = np.where(p2 == now, 0, np.where(p1 == now, 1, band + 2))
-            total = cum[:, -1]
-            above = cum[model.lane, symbol]
-            count = model.counts[row, symbol]
-            part = span[:n] // total.astype(np.uint64)
-            low[:n] += part * (above - count).astype(np.uint64)
-            span[:n] = part * count.astype(np.uint64)  # at least 2**18: wide enough for the offset in the band too
-            bits = np.where(symbol > 1, BAND_BITS[band], np.uint64(0))
-            span[:n] >>= bits
-            low[:n] += span[:n] * np.where(symbol > 1, now - BAND_FIRST[band], 0).astype(np.uint64)
-            shift(n)
-            model.update(row, symbol, now, total)
-    for i in range(4):
-        words[np.arange(lanes), at + i] = (low >> np.uint64(48 - 16 * i)).astype(np.uint16)
-    return [words[i, :at[i] + 4].astype("<u2").tobytes() for i in range(lanes)]
-
-
-def decode_blocks(blocks: list[bytes], n: int) -> np.ndarray:
-    """The n ids of the blocks of one segment."""
-    lengths = _lengths(n)
-    lanes = len(lengths)
+    for t in range(BLOCK_IDS if lanes > 1 else last):
+        n = lanes if t < last else lanes - 1
+        if t in REFRESH:
+            model.refresh()
+        now = grid[t, :n]
+        p2, p1, row = model.predict(n)
+        symbol = np.where(p2 == now, 0, np.where(p1 == now, 1, bands[t, :n]))
+        place = row + symbol
+        part = span[:n] >> np.uint64(SCALE)
+        add = part * model.start.take(place)
+        part *= model.width.take(place)
+        part >>= BITS.take(symbol)
+        add += part * np.where(symbol > 1, offsets[t, :n], np.uint16(0))
+        span[:n] = part
+        low[:n] += add
+        carry = np.flatnonzero(low[:n] < add)
+        back = at[carry] - 1
+        while len(carry):  # one more in the word written last, and in those before it while they overflow
+            words[carry, back] += np.uint32(1)
+            over = words[carry, back] == 0
+            carry, back = carry[over], back[over] - 1
+        short = np.flatnonzero(part < _LEAST)
+        words[short, at[short]] = low[short] >> _WORD
+        at[short] += 1
+        low[short] <<= _WORD
+        span[short] <<= _WORD
+        model.update(place, now)
+    lane = np.arange(lanes)
+    words[lane, at] = low >> _WORD
+    words[lane, at + 1] = low & np.uint64(0xFFFFFFFF)
+    return [words[i, :n + 2].astype("<u4").tobytes() for i, n in enumerate(at.tolist())]
+
+
+def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
+    """The n_ids ids of the blocks of one segment."""
+    lanes = len(_lengths(n_ids))
     if not lanes:
-        return np.zeros(0, dtype=np.int64)
-    data = np.zeros((lanes, max(map(len, blocks)) // 2 + 8), dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint16)
+    data = np.zeros((lanes, BLOCK_IDS + 3), dtype=np.uint32)
     for i, b in enumerate(blocks):
-        data[i, :len(b) // 2] = np.frombuffer(b, dtype="<u2")
+        data[i, :len(b) // 4] = np.frombuffer(b, dtype="<u4")
+    last = n_ids - (lanes - 1) * BLOCK_IDS
     model = Model(lanes)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    at = np.full(lanes, 4, dtype=np.int64)
-    out = np.zeros((BLOCK_IDS, lanes), dtype=np.int64)
-    last = int(lengths[-1])
-    with np.errstate(over="ignore"):
-        code = (data[:, 0] << np.uint64(48)) | (data[:, 1] << np.uint64(32)) | (data[:, 2] << _U16) | data[:, 3]
-
-        def shift(n: int) -> None:
-            while True:
-                lo, sp = low[:n], span[:n]
-                settled = (lo ^ (lo + sp)) < _TOP
-                short = ~settled & (sp <= _LOW)
-                move = np.flatnonzero(settled | short)
-                if not len(move):
-                    return
-                cut = np.flatnonzero(short)
-                span[cut] = (np.uint64(0) - low[cut]) & _LOW
-                code[move] = (code[move] << _U16) | data[move, at[move]]
-                at[move] += 1
-                low[move] <<= _U16
-                span[move] <<= _U16
-
-        for t in range(BLOCK_IDS if lanes > 1 else last):
-            if t == last and lanes > 1:
-                model.narrow(lanes - 1)
-            m = len(model.lane)
-            p2, p1, row, cum = model.predict()
-            total = cum[:, -1]
-            part = span[:m] // total.astype(np.uint64)
-            value = np.minimum((code[:m] - low[:m]) // part, (total - 1).astype(np.uint64)).astype(np.int32)
-            symbol = np.add.reduce(np.ascontiguousarray(cum.T) <= value, axis=0, dtype=np.int8).astype(np.int64)
-            count = model.counts[row, symbol]
-            low[:m] += part * (cum[model.lane, symbol] - count).astype(np.uint64)
-            span[:m] = part * count.astype(np.uint64)
-            band = np.maximum(symbol - 2, 0)
-            bits = np.where(symbol > 1, BAND_BITS[band], np.uint64(0))
-            span[:m] >>= bits
-            # without a band there is nothing left to read: the offset is 0
-            offset = np.where(symbol > 1, (code[:m] - low[:m]) // span[:m], np.uint64(0))
-            offset = np.minimum(offset, (np.uint64(1) << bits) - np.uint64(1))
-            low[:m] += span[:m] * offset
-            shift(m)
-            ids = np.where(symbol == 0, p2, np.where(symbol == 1, p1, BAND_FIRST[band] + offset.astype(np.int64))).astype(np.int64)
-            out[t, :m] = ids
-            model.update(row, symbol, ids, total)
-    return out.T.ravel()[:n] if lanes > 1 else out[:last, 0]
+    code, span = data[:, 0].astype(np.uint64) << _WORD | data[:, 1], np.full(lanes, _FULL)  # code: how far into the span
+    at = np.full(lanes, 2, dtype=np.int64)
+    out = np.zeros((BLOCK_IDS, lanes), dtype=np.uint16)
+    for t in range(BLOCK_IDS if lanes > 1 else last):
+        n = lanes if t < last else lanes - 1
+        if t in REFRESH:
+            model.refresh()
+        p2, p1, row = model.predict(n)
+        part = span[:n] >> np.uint64(SCALE)
+        value = np.minimum(code[:n] // part, np.uint64((1 << SCALE) - 1))
+        place = row
+        for step in (8, 4, 2, 1):  # the last symbol that starts at or before the value
+            place = place + step * (model.start.take(place + step) <= value)
+        symbol = place - row
+        code[:n] -= part * model.start.take(place)
+        part *= model.width.take(place)
+        bits = BITS.take(symbol)
+        part >>= bits
+        offset = np.minimum(code[:n] // part, (np.uint64(1) << bits) - np.uint64(1))  # 0 where the symbol is no band
+        code[:n] -= offset * part
+        span[:n] = part
+        short = np.flatnonzero(part < _LEAST)
+        code[short] = code[short] << _WORD | data[short, at[short]]
+        at[short] += 1
+        span[short] <<= _WORD
+        ids = np.where(symbol == 0, p2, np.where(symbol == 1, p1, (FIRST.take(symbol) + offset).astype(np.uint16)))
+        out[t, :n] = ids
+        model.update(place, ids)
+    return out.T.ravel()[:n_ids]
 
 
 def pack_segment(docs: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
