@@ -13,7 +13,9 @@ every id; the parts of the intervals follow them after 1, 2, 4, 8, 16 and then e
 from __future__ import annotations
 
 import functools
+import gc
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -208,41 +211,90 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     return [d if h else None for d, h in zip(docs, has)], lengths, decode_blocks(blocks, n_ids)
 
 
+#: Printable ASCII without capitals and apostrophes, small letters with accents of Latin-1 (in UTF-8), and the pieces at which the
+#: vocabulary cuts a word of these.
+SIMPLE = re.compile(rb"(?:[!-&(-@\[-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+PIECE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xbf])+|[0-9]|[^a-z0-9\xc3]+")
+
+
 class Words:
-    """Ids of texts by the library, which splits at blanks: distinct words are encoded once and kept, up to a bound."""
+    """Ids of texts by the library, which splits at blanks: distinct words are encoded once and kept, up to a bound.
+
+    Simple words are cut into pieces first, and the library meets each distinct piece once, with nothing to normalise. All
+    other words (other scripts, contractions, special tokens) take the library's whole way.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > NONE:
             raise ValueError("ids of this vocabulary do not fit in 16 bits")
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.closes = np.zeros(NONE, dtype=bool)  # ids that end a piece
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        (self.mark,) = self._library([b"|"])[0].tolist()
-
-    def _library(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        self.held = 0
+        (self.mark,) = self._library(self.tokenizer, [b"|"])[0].tolist()
+
+    def _library(self, tokenizer, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint16) for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes], tokenizer, glue: bytes) -> None:
+        """Many words at a time, between blanks or marks; the ids are cut where a piece closes or at the mark."""
+        for a in range(0, len(words), 16384):
+            lines = [words[b:b + 256] for b in range(a, min(len(words), a + 16384), 256)]
+            for line, ids in zip(lines, self._library(tokenizer, [glue.join(x) for x in lines]), strict=True):
+                cuts = np.flatnonzero(ids == self.mark if glue.strip() else self.closes[ids])
+                ends, skip = ([*cuts.tolist(), len(ids)], 1) if glue.strip() else ((cuts + 1).tolist(), 0)
+                octets = ids.tobytes()
+                self.known.update(zip(line, (octets[2 * s:2 * e] for s, e in zip([0, *(c + skip for c in ends[:-1])], ends, strict=True)), strict=True))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w: None for words in split for w in words if w not in known})
-        # words go to the library many at a time, with a mark between them that none of them holds and that has one id
-        plain = [w for w in new if b"|" not in w]
-        lines = [plain[a:a + 256] for a in range(0, len(plain), 256)]
-        marked = [w for w in new if b"|" in w]
-        for a in range(0, len(lines), 64):
-            part = lines[a:a + 64]
-            for line, ids in zip(part, self._library([b" | ".join(x) for x in part]), strict=True):
-                cuts = np.flatnonzero(ids == self.mark).tolist()
-                octets = ids.tobytes()
-                known.update(zip(line, (octets[2 * s:2 * e] for s, e in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)), strict=True))
+        found = list(map(known.get, words))
+        gaps = [i for i, f in enumerate(found) if f is None]
+        new = [words[i] for i in gaps]
+        pieces, marked, rest = {}, [], []
+        for w in new:
+            if SIMPLE.fullmatch(w) and b"<|" not in w:
+                pieces[w] = PIECE.findall(w)
+            else:
+                (marked if b"|" in w else rest).append(w)
+        parts = list({p: None for x in pieces.values() for p in x if p not in known})
+        self._learn(parts, self.plain, b" ")
+        known.update((w, b"".join([known[p] for p in x])) for w, x in pieces.items())
+        self._learn(rest, self.tokenizer, b" | ")
         for a in range(0, len(marked), 4096):
-            known.update(zip(marked[a:a + 4096], (x.tobytes() for x in self._library(marked[a:a + 4096])), strict=True))
-        return [np.frombuffer(b"".join([known[w] for w in words]), dtype=np.uint16) for words in split]
+            known.update(zip(marked[a:a + 4096], (x.tobytes() for x in self._library(self.tokenizer, marked[a:a + 4096])), strict=True))
+        self.held += sum(map(len, new)) + sum(map(len, parts))
+        for i, w in zip(gaps, new, strict=True):
+            found[i] = known[w]
+        if len(known) > CACHE_WORDS or self.held > CACHE_BYTES:
+            known.clear()
+            self.held = 0
+        return found
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text: distinct words of the batch are looked up, and their ids gathered."""
+        texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())  # a copy: lower-casing misreads a slice
+        special = pc.match_substring(texts, "<|")  # special tokens heed case
+        split = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        coded = split.flatten().dictionary_encode()
+        gc.disable()  # long lists of words, and no cycles: a collection walks them all for nothing
+        try:
+            octets = self._ids_of(coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        finally:
+            gc.enable()
+        size = np.fromiter(map(len, octets), dtype=np.int64, count=len(octets)) // 2
+        flat, word = np.frombuffer(b"".join(octets), dtype=np.uint16), coded.indices.to_numpy()
+        n = size[word]
+        ends = np.cumsum(np.append(0, n))
+        ids = flat[np.repeat((np.cumsum(size) - size)[word] - ends[:-1], n) + np.arange(ends[-1])]
+        at = ends[np.cumsum(np.append(0, pc.list_value_length(split).to_numpy()))].tolist()
+        return [ids[s:e] for s, e in zip(at, at[1:])]
 
 
 @functools.lru_cache(maxsize=1)
@@ -267,8 +319,8 @@ def _write(path: str | None):
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["file", "segment", "n_docs", "n_ids", "data"])
 
         end = np.array([END_ID], dtype=np.uint16)
-        for batch in chunks(batches):
-            for doc, ids in zip(batch["doc_id"].to_pylist(), words.encode(batch["data"].to_pylist()), strict=True):
+        for batch in chunks(batches, 2048):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), words.encode(batch["data"]), strict=True):
                 docs.append(doc)
                 lengths.append(len(ids) + 1)
                 held += [ids, end]
