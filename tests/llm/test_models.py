@@ -1,12 +1,14 @@
 """Nearest neighbours, n-gram scores, toxicity, token files, the pipeline."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -160,6 +162,26 @@ def test_blocks_round_trip_and_damage_is_found():
             tokenfile.unpack_segment(data[:at] + bytes([data[at] ^ 1]) + data[at + 1:])
 
 
+def test_words_equal_the_library_on_slices_and_odd_texts():
+    rnd = random.Random(3)
+    parts = ["a", "B", "é", "É", "ÿ", "×", "÷", "à", "'s", "'", "don't", "i'LL", "0", "12", "|", "<|", "|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|endoftext|>", " ", "\n", "\x0b", "\x1c", "\x00", "\x7f",
+             "\x85", "\xa0", ".", "...", "-", "e\u0301", "한", "😀", "Σ", "İ", "\u212a", "ß", "</w>"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(6000)]
+    words, library = tokenfile.Words(public_tokenizers.path(tokenfile.MODEL)), Tokenizer.from_file(public_tokenizers.path(tokenfile.MODEL))
+    data = pa.array([t.encode() for t in texts], pa.binary())
+    got = [ids.tolist() for at in range(0, len(texts), 700) for ids in words.encode(data.slice(at, 700))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert words.encode(data.slice(0, 0)) == []
+
+
+def test_words_keep_a_bounded_memory(monkeypatch):
+    monkeypatch.setattr(tokenfile, "CACHE_BYTES", 1000)
+    words, library = tokenfile.Words(public_tokenizers.path(tokenfile.MODEL)), Tokenizer.from_file(public_tokenizers.path(tokenfile.MODEL))
+    for text in ("long" * 5000 + " tail", "tail again", "x" * 999 + "é"):
+        assert words.encode(pa.array([text.encode()]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, words.known)) <= 2000
+
+
 def test_files_hold_the_librarys_ids(spark, docs, empty):
     folder = f"{scratch(spark)}/ids"
     tokenfile.write_ids(docs, folder)
