@@ -230,13 +230,14 @@ def infer_interval(df: DataFrame, tl) -> DataFrame:
 
 
 def flow_audit(lake: DataFrame, trades: DataFrame, step: int, limit: float = 2e-6) -> DataFrame:
-    """Largest difference of stored flow features (x_7, x_8) from their recomputation out of ticks, per symbol."""
+    """Largest difference of stored flow features (x_7, x_8) from their recomputation out of ticks, per symbol and day."""
     sign = F.when(F.col("is_buyer_maker"), -1.0).otherwise(1.0)
     again = trades.groupBy("symbol", (F.floor(F.col("ts_ms") / step) * step).alias("bar_open_ms")).agg(
         (F.sum(sign * F.col("quantity")) / (F.sum("quantity") + 1e-9)).alias("_tfi"), (F.sum(sign) / (F.count("*") + 1e-9)).alias("_sci"))
     j = lake.select("symbol", "bar_open_ms", "x_7", "x_8").join(again, ["symbol", "bar_open_ms"])
     gap = F.greatest(F.abs(F.col("x_7") - F.col("_tfi")), F.abs(F.col("x_8") - F.col("_sci")))
-    return j.groupBy("symbol").agg(F.count("*").alias("n"), F.max(gap).alias("max_diff")).withColumn("passes", F.col("max_diff") <= limit)
+    day = F.floor(F.col("bar_open_ms") / 86_400_000).alias("day")
+    return j.groupBy("symbol", day).agg(F.count("*").alias("n"), F.max(gap).alias("max_diff")).withColumn("passes", F.col("max_diff") <= limit)
 
 
 def flow_alignment_audit(correlations: DataFrame, differences: DataFrame, least_groups: int = 20, least_days: int = 3) -> DataFrame:

@@ -185,10 +185,12 @@ def psr_dsr(moments: DataFrame, var_sr: float, n_trials: int) -> DataFrame:
     return moments.withColumns({"psr": norm_cdf_udf(psr_z(F.lit(0.0))), "sr0": F.lit(sr0), "dsr": norm_cdf_udf(psr_z(F.lit(sr0)))})
 
 
-def dsr_trials(val_irs: DataFrame, h_primary: int, placebo: int = 5) -> tuple[DataFrame, float]:
-    """De-annualised validation IRs of every unit, and the population variance over the placebo cell."""
+def dsr_trials(val_irs: DataFrame, h_primary: int, placebo: int = 5, config: Sequence[str] = ("cell", "kappa")) -> tuple[DataFrame, float, int]:
+    """De-annualised validation IRs of every unit; their population variance over the placebo cell, seeds included; the number of
+    configurations tried, in which seeds are replicates and do not count."""
     trials = val_irs.withColumn("trial", F.col("ir") / math.sqrt(ppy(h_primary)))
-    return trials, trials.filter(F.col("cell") == placebo).agg(F.var_pop("trial")).first()[0] or 0.0
+    var_sr, n = trials.agg(F.var_pop(F.when(F.col("cell") == placebo, F.col("trial"))), F.count_distinct(*config)).first()
+    return trials, var_sr or 0.0, n
 
 
 # ---- paired bootstrap and detectable effects ---------------------------------------------------------------------

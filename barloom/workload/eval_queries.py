@@ -75,15 +75,18 @@ def predictions(dec):
     return x.withColumn("mu", (F.col("cell") * 0.2 * F.col("x_7") - F.col("x_0")) * 0.002 + (F.col("seed") - 1) * 0.0006)
 
 
-def scored(spark, sf_dir):
-    """(headline predictions x kappa, headline series, kappa choice) of every unit."""
+def scored_with_trials(spark, sf_dir):
+    """(headline predictions x kappa, headline series, kappa choice, validation IRs at every kappa) of every unit."""
     lab = labelled(spark, sf_dir)
     wide = E.with_kappas(predictions(decisions(lab)))
     vwide = E.with_kappas(predictions(decisions(lab, VLO, VHI)))
-    vs = pool(vwide, NV)
-    kstar = pin(E.choose_kappa(E.information_ratio(vs, [*KEYS, "kappa"], H), KEYS))
+    irs = pin(E.information_ratio(pool(vwide, NV), [*KEYS, "kappa"], H))
     wide = pin(wide)
-    return wide, pool(wide, NP), kstar
+    return wide, pool(wide, NP), pin(E.choose_kappa(irs, KEYS)), irs
+
+
+def scored(spark, sf_dir):
+    return scored_with_trials(spark, sf_dir)[:3]
 
 
 def pool(wide, n):
@@ -97,6 +100,12 @@ def headline(spark, sf_dir):
     return wide.join(kstar, on), pin(series.join(kstar, on))
 
 
+def headline_with_trials(spark, sf_dir):
+    """Headline series at the chosen kappa, and the validation IRs at every kappa."""
+    _, series, kstar, irs = scored_with_trials(spark, sf_dir)
+    return pin(series.join(kstar, [*KEYS, "kappa"])), irs
+
+
 @query("decision_grid", sql(
     f"""SELECT g.bar_open_ms, (g.bar_open_ms - lo) // {H * WEEK} AS period, count(p.symbol) AS n_symbols FROM (SELECT unnest(generate_series(min(bar_open_ms)::BIGINT, max(bar_open_ms)::BIGINT,
  {H * WEEK})) AS bar_open_ms, min(bar_open_ms)::BIGINT AS lo FROM wklines) g LEFT JOIN wklines p ON p.bar_open_ms = g.bar_open_ms GROUP BY 1, 2""", "wklines"))

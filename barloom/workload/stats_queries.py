@@ -188,11 +188,17 @@ def sharpe_moments(spark, sf_dir):
 
 @query("psr_dsr")
 def psr_dsr(spark, sf_dir):
-    _, series, kstar = Q.scored(spark, sf_dir)
-    series = pin(series)
-    trials, var_sr = T.dsr_trials(E.information_ratio(series, [*KEYS, "kappa"], H), H)
-    head = series.join(kstar, [*KEYS, "kappa"])
-    return T.psr_dsr(T.sharpe_moments(cell_series(head), ["cell"]), var_sr, trials.count())
+    head, irs = Q.headline_with_trials(spark, sf_dir)
+    _, var_sr, n = T.dsr_trials(irs, H)
+    return T.psr_dsr(T.sharpe_moments(cell_series(head), ["cell"]), var_sr, n)
+
+
+@query("dsr_basis", sql(
+    f"SELECT count(DISTINCT (cell, kappa)) AS n_trials, {rq(f'var_pop(ir / {Q.PPY}) FILTER (WHERE cell = 5)')} AS var_sr FROM virs", "virs"))
+def dsr_basis(spark, sf_dir):
+    vw = pin(E.with_kappas(Q.predictions(Q.decisions(Q.labelled(spark, sf_dir), Q.VLO, Q.VHI))))
+    _, var_sr, n = T.dsr_trials(pin(E.information_ratio(Q.pool(vw, Q.NV), [*KEYS, "kappa"], H)), H)
+    return spark.createDataFrame([(n, var_sr)], "n_trials long, var_sr double").select("n_trials", rd("var_sr").alias("var_sr"))
 
 
 @query("dsr_trials", sql(
@@ -497,17 +503,17 @@ def capacity_ratio(spark, sf_dir):
 
 @query("verdict_clauses")
 def verdict_clauses(spark, sf_dir):
-    rows, head = Q.headline(spark, sf_dir)
-    trials, var_sr = T.dsr_trials(E.information_ratio(head, KEYS, H), H)
-    dsr = T.psr_dsr(T.sharpe_moments(cell_series(head), ["cell"]).filter("cell = 4"), var_sr, 60).first()["dsr"]
+    head, irs = Q.headline_with_trials(spark, sf_dir)
+    _, var_sr, n = T.dsr_trials(irs, H)
+    dsr = T.psr_dsr(T.sharpe_moments(cell_series(head), ["cell"]).filter("cell = 4"), var_sr, n).first()["dsr"]
     return T.verdict_clauses(paired_mde(head), dsr)
 
 
 @query("null_fallback")
 def null_fallback(spark, sf_dir):
-    _, head = Q.headline(spark, sf_dir)
-    _, var_sr = T.dsr_trials(E.information_ratio(head, KEYS, H), H)
-    dsr = T.psr_dsr(T.sharpe_moments(cell_series(head), ["cell"]).filter("cell = 2"), var_sr, 60).first()["dsr"]
+    head, irs = Q.headline_with_trials(spark, sf_dir)
+    _, var_sr, n = T.dsr_trials(irs, H)
+    dsr = T.psr_dsr(T.sharpe_moments(cell_series(head), ["cell"]).filter("cell = 2"), var_sr, n).first()["dsr"]
     return T.null_fallback(paired_mde(head), dsr)
 
 
