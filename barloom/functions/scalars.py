@@ -31,15 +31,16 @@ def log_ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def date_to_ms(date: Column | str) -> Column:
-    return F.unix_millis(F.to_timestamp(_c(date), "yyyy-MM-dd"))
+    return F.unix_date(F.to_date(_c(date), "yyyy-MM-dd")).cast("long") * 86_400_000
 
 
 def ms_to_date(ms: Column | str) -> Column:
-    return F.date_format(F.timestamp_millis(_c(ms)), "yyyy-MM-dd")
+    """UTC date as text, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(_c(ms) / 86_400_000).cast("int")).cast("string")
 
 
 def ms_to_month(ms: Column | str) -> Column:
-    return F.date_format(F.timestamp_millis(_c(ms)), "yyyy-MM")
+    return F.substring(ms_to_date(ms), 1, 7)
 
 
 def months_between(start: Column | str, end: Column | str) -> Column:

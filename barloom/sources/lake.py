@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import ms_to_date, ms_to_month
+from barloom.operators.bars import bar_open
 
 FLOATS = [*[f"x_{d}" for d in range(16)], "sigma", "raw_ret_close", "raw_range"]
 
@@ -68,13 +69,14 @@ def changed_shards(plan: DataFrame, stored: DataFrame) -> DataFrame:
     return plan.join(stored, ["symbol", "month", "n_rows", "h1", "h2"], "left_anti")
 
 
-def reduce_shards(trades: DataFrame, store: str, reduce) -> DataFrame:
+def reduce_shards(trades: DataFrame, store: str, reduce, step: int) -> DataFrame:
     """Reduce only (symbol, month) shards whose trades changed since the stored run; returns the shards rebuilt.
 
+    A trade belongs to the month in which its bar of ``step`` milliseconds opens, so a shard holds whole bars only.
     The digests live beside the shards and are written after them, so a run that dies in between redoes its shards.
     """
     spark = trades.sparkSession
-    x = trades.withColumn("month", ms_to_month("ts_ms"))
+    x = trades.withColumn("month", ms_to_month(bar_open("ts_ms", step)))
     columns = [c for c in trades.columns]
     plan = shard_digest(x, columns)
     try:
@@ -109,7 +111,7 @@ def built_symbols(spark: SparkSession, path: str) -> DataFrame:
 def write_token_stream(tokens: DataFrame, path: str, tokenizer_hash: str, dataset_hash: DataFrame, window: int) -> None:
     """Ids with their provenance in every row: dictionary encoding makes it free."""
     (tokens.join(dataset_hash, "symbol").withColumns({"tokenizer_hash": F.lit(tokenizer_hash), "window": F.lit(window)})
-     .repartition("symbol").write.mode("overwrite").option("compression", "zstd").partitionBy("symbol").parquet(path))
+     .repartitionByRange("symbol", "bar_open_ms").write.mode("overwrite").option("compression", "zstd").partitionBy("symbol").parquet(path))
 
 
 def load_token_stream(spark: SparkSession, path: str, tokenizer_hash: str, dataset_hash: DataFrame, window: int) -> DataFrame:

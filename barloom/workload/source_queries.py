@@ -106,8 +106,8 @@ def reduce_shards(spark, sf_dir):
     from barloom.operators.bars import reduce_trades
     t, root = V.trades(spark, sf_dir), scratch(spark)
     run = lambda x: reduce_trades(x, HOUR)
-    Lk.reduce_shards(t.filter("symbol <> 'view'"), root, run)
-    rebuilt = Lk.reduce_shards(t, root, run)
+    Lk.reduce_shards(t.filter("symbol <> 'view'"), root, run, HOUR)
+    rebuilt = Lk.reduce_shards(t, root, run, HOUR)
     assert rebuilt.filter("symbol <> 'view'").count() == 0
     store = spark.read.parquet(f"{root}/bars")
     return store.groupBy("symbol", F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n_bars"), F.sum("n_trades").alias("n_trades"))

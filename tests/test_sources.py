@@ -47,6 +47,35 @@ def test_inventory_names_every_problem(spark, tmp_path):
     assert got == {"d/b": "SHORT", "d/c": "CONTENT MISMATCH", "d/gone": "MISSING", "d/x": "EXTRA"}
 
 
+def test_shards_keep_bars_that_reach_into_the_next_month(spark, tmp_path):
+    from barloom.operators.bars import reduce_trades
+
+    week, day = 7 * 86_400_000, 86_400_000
+    rows = [("s", d * day, 1.0, 1.0, d % 2 == 0) for d in range(18_600, 18_700)]
+    tape = spark.createDataFrame(rows, "symbol string, ts_ms long, price double, quantity double, is_buyer_maker boolean")
+    late = tape.withColumn("quantity", F.when(F.col("ts_ms") == 18_660 * day, 5.0).otherwise(F.col("quantity")))  # 2021-02-02: its bar opens in January
+    for t in (tape, late):
+        rebuilt = Lk.reduce_shards(t, str(tmp_path / "s"), lambda x: reduce_trades(x, week), week)
+    assert [r["month"] for r in rebuilt.collect()] == ["2021-01"]
+    want = {(r["bar_open_ms"], r["n_trades"], r["v_agg"]) for r in reduce_trades(late, week).collect()}
+    got = spark.read.parquet(str(tmp_path / "s" / "bars")).collect()
+    assert {(r["bar_open_ms"], r["n_trades"], r["v_agg"]) for r in got} == want and len(got) == len(want)
+
+
+def test_months_do_not_follow_the_session_zone(spark):
+    from barloom.functions.scalars import ms_to_date, ms_to_month
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("America/New_York", "Asia/Tokyo", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            x = spark.createDataFrame([(1_609_459_200_000,), (1_609_459_199_999,), (-1,)], "t long")
+            got = [(str(r[0]), r[1]) for r in x.select(ms_to_date("t"), ms_to_month("t")).collect()]
+            assert got == [("2021-01-01", "2021-01"), ("2020-12-31", "2020-12"), ("1969-12-31", "1969-12")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_token_stream_refuses_other_provenance(spark, tmp_path):
     t = spark.createDataFrame([("s", 0, 1, 2)], "symbol string, bar_open_ms long, b_c int, b_f int")
     h = spark.createDataFrame([("s", "abc")], "symbol string, dataset_hash string")
