@@ -28,8 +28,16 @@ BLOCKS = 5
 TREE_SIZE = 4096
 #: Rows for which trees are built at once in a task.
 FOREST_ROWS = 65536
+#: Near copies for keep_one: words in a shingle, least similarity (4/5) of two shingle sets, bands and minima in a band.
+#: Two texts of similarity s agree in no band with probability (1 - s**5)**30: 7 in a million at 0.8.
+SHINGLE = 5
+ALIKE = (4, 5)
+BANDS = 30
+BAND_ROWS = 5
 
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_ORDERS = [tuple(np.uint64(xxhash.xxh64_intdigest(b"%d %d" % (i, k), 42) | 1) for k in range(2)) for i in range(BANDS * BAND_ROWS)]
 
 
 def bit_counts(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -235,20 +243,119 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return printed.join(per_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays.
+def near_copy_prints(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of all columns), key (equal for equal words, 0 without words), n (distinct shingles) and bands of every row."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    return data.mapInArrow(_band, "doc_id long, row long, key long, n int, bands array<long>")
+
+
+def _words_key(data: bytes) -> int:
+    words = data.lower().split()
+    return xxhash.xxh64_intdigest(b" ".join(words), 43) if words else 0
+
+
+def band_keys(shingles: list[list[int]]) -> np.ndarray:
+    """(texts, BANDS) hashes of BAND_ROWS smallest shingle hashes each, under as many orders. No list is empty."""
+    flat = np.fromiter(itertools.chain.from_iterable(shingles), dtype=np.uint64)
+    starts = np.cumsum([0] + [len(s) for s in shingles[:-1]])
+    out = np.zeros((len(shingles), BANDS), dtype=np.uint64)
+    for i, (a, b) in enumerate(_ORDERS):
+        least = np.minimum.reduceat(flat * a + b, starts)
+        at = i // BAND_ROWS
+        out[:, at] = (out[:, at] ^ (least >> np.uint64(29)) ^ least) * _MIX + np.uint64(at + 1)
+    return out
+
+
+def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        texts = batch["data"].to_pylist()
+        shingles = [shingle_hashes(t, SHINGLE) for t in texts]
+        some = [i for i, s in enumerate(shingles) if s]
+        counts = np.zeros(len(texts) + 1, dtype=np.int32)
+        counts[1:] = [BANDS if s else 0 for s in shingles]
+        found = band_keys([shingles[i] for i in some]).view(np.int64).ravel() if some else np.zeros(0, dtype=np.int64)
+        keys = np.array([_words_key(t) for t in texts], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch["doc_id"], batch["row"], pa.array(keys), pa.array([len(set(s)) for s in shingles], pa.int32()),
+             pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(found))], ["doc_id", "row", "key", "n", "bands"])
+
+
+def _shingle_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        sets = [np.unique(np.array(shingle_hashes(t, SHINGLE), dtype="<u8")).tobytes() for t in batch["data"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["key"], pa.array(sets, pa.binary())], ["key", "shingles"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        keep = []
+        for a, b in zip(batch["su"], batch["sv"]):
+            a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(ALIKE[1] * both >= ALIKE[0] * (len(a) + len(b) - both))
+        yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copy_links(docs: DataFrame, printed: DataFrame) -> DataFrame:
+    """Links (u, v) between keys whose sets of five-word shingles have similarity 0.8 or more; they connect what all such pairs would.
+
+    Texts that agree in a band are candidates and every link is checked exactly. A bucket's members are first
+    held against one, then against several leaders; pairs are listed only between what is still apart, so a large group of near copies costs
+    its size and not its square.
+    """
+    keyed = stage(printed.filter("n > 0").select("key", "n", F.explode("bands").alias("band")).distinct())
+    shared = keyed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
+    buckets = stage(keyed.join(shared, "band", "left_semi"))
+    # the shingles of one row per candidate key
+    rows = printed.join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    data = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    sets = stage(data.join(rows, "row").select("key", "data").mapInArrow(_shingle_set, "key long, shingles binary"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        # sizes further apart than the similarity cannot reach it
+        pairs = pairs.filter(F.least("nu", "nv") * ALIKE[1] >= F.greatest("nu", "nv") * ALIKE[0])
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("su")), "u").join(
+            sets.select(F.col("key").alias("v"), F.col("shingles").alias("sv")), "v")
+        return stage(both.mapInArrow(_alike, "u long, v long").distinct())
+
+    links, state = None, buckets.withColumn("root", F.col("key"))
+    for leaders in (1, 4, None):
+        ends = state.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("band")
+        apart = state.join(ends, "band", "left_semi")
+        one = apart.select("band", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
+        if leaders:  # the same order in every band, so that the bands of a group choose the same leaders
+            firsts = F.array(*[F.min(F.struct(F.xxhash64(F.lit(23 * leaders + i), "u").alias("order"), "u", "nu", "ru")) for i in range(leaders)])
+            one = one.groupBy("band").agg(F.array_distinct(firsts).alias("firsts")).select("band", F.inline("firsts")).drop("order").distinct()
+        pairs = one.join(apart.select("band", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv")), "band")
+        found = checked(pairs.filter("ru != rv" if leaders else "ru < rv"))
+        links = found if links is None else links.unionByName(found)
+        if leaders:
+            roots = stage(components(links).distinct())
+            state = stage(buckets.join(roots, buckets["key"] == roots["node"], "left").select("band", "key", "n", F.coalesce("root", "key").alias("root")))
+    return links
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without near copies: of each component of texts with similarity 0.8 or more the row with the smallest id stays.
 
     Of rows that repeat an id one stays. Rows without an id stay only where a component has no id at all, one per component.
-    Texts are not shuffled, but for ids that repeat and rows without an id.
+    Blank and null texts are one component.
     """
-    printed, per_fp = classes(docs, radius)
-    first = per_fp.filter("component_id is not null").select(F.col("component_id").alias("__first")).distinct()
+    printed = stage(near_copy_prints(docs))
+    roots = components(near_copy_links(docs, printed))
+    per_key = printed.groupBy("key").agg(F.min("doc_id").alias("first_doc"))
+    rooted = per_key.join(roots, per_key["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "first_doc")
+    rooted = stage(rooted)
+    named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    first = named.filter("component_id is not null").select(F.col("component_id").alias("__first")).distinct()
     again = printed.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again"))
     kept = docs.join(first, docs["doc_id"].cast("long") == first["__first"], "left_semi")
     is_again = kept["doc_id"].cast("long") == again["__again"]
     once = kept.join(again, is_again, "left_anti").unionByName(kept.join(again, is_again, "left_semi").dropDuplicates(["doc_id"]))
     bare = docs.filter("doc_id is null").withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    bare_fp = docs.filter("doc_id is null").select(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    rootless = with_fingerprints(bare_fp).join(per_fp.filter("component_id is null"), "fp").groupBy("root").agg(F.min("doc_id").alias("__kept"))
+    rootless = (printed.filter("doc_id is null").join(rooted.join(named.filter("component_id is null"), "root").select("key", "root"), "key")
+                .groupBy("root").agg(F.min("row").alias("__kept")))
     bare = bare.join(rootless, bare["__row"] == rootless["__kept"], "left_semi").dropDuplicates(["__row"]).drop("__row")
     return once.unionByName(bare)

@@ -126,6 +126,47 @@ def test_keep_one_of_each_component(docs, empty):
     assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(empty).count() == 0
 
 
+def similarity(a, b):
+    a, b = (set(zip(*[t.split()[i:] for i in range(5)])) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_one_drops_near_copies_and_keeps_look_alikes(spark):
+    rnd = random.Random(7)
+
+    def prose(n):
+        return [f"w{rnd.randrange(400)}" for _ in range(n)]
+
+    def near(words, least):
+        """Words replaced one by one at random places while the similarity stays at `least` or more."""
+        out = list(words)
+        while True:
+            more = list(out)
+            more[rnd.randrange(len(out))] = f"v{rnd.randrange(10**6)}"
+            if similarity(" ".join(words), " ".join(more)) < least:
+                return out
+            out = more
+
+    rows, groups = [], []
+    for least in (0.8, 0.9, 0.95):
+        for _ in range(20):
+            base = prose(300)
+            groups.append(len(rows))
+            rows += [" ".join(base), " ".join(near(base, least))]
+    for _ in range(20):  # look-alikes: half of the words are shared, and similarity just below 0.8
+        base = prose(300)
+        groups += [len(rows), len(rows) + 1, len(rows) + 2]
+        below = near(base, 0.8)
+        while similarity(" ".join(base), " ".join(below)) >= 0.8:
+            below[rnd.randrange(300)] = f"u{rnd.randrange(10**6)}"
+        rows += [" ".join(base), " ".join(below), " ".join(base[:150] + prose(150))]
+    hot = prose(200)
+    groups.append(len(rows))
+    rows += [" ".join(hot)] + [" ".join(hot[:i] + [f"h{i}"] + hot[i + 1:]) for i in range(10, 190)]
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4))
+    assert sorted(r["doc_id"] for r in kept.collect()) == groups
+
+
 # ---- quality
 def plain_measures(text):
     text = text or ""
