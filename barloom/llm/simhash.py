@@ -338,24 +338,23 @@ def near_copy_links(docs: DataFrame, printed: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component of texts with similarity 0.8 or more the row with the smallest id stays.
+    """docs without near copies: of each component of texts with similarity 0.8 or more one row stays, that with the smallest (id, row hash).
 
-    Of rows that repeat an id one stays. Rows without an id stay only where a component has no id at all, one per component.
-    Blank and null texts are one component.
+    Rows that share an id stay apart where their texts do; of rows equal in every column one stays. Rows without an id stay only where
+    a component has no id at all. Blank and null texts are one component.
     """
     printed = stage(near_copy_prints(docs))
     roots = components(near_copy_links(docs, printed))
-    per_key = printed.groupBy("key").agg(F.min("doc_id").alias("first_doc"))
-    rooted = per_key.join(roots, per_key["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "first_doc")
-    rooted = stage(rooted)
-    named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    first = named.filter("component_id is not null").select(F.col("component_id").alias("__first")).distinct()
-    again = printed.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again"))
-    kept = docs.join(first, docs["doc_id"].cast("long") == first["__first"], "left_semi")
-    is_again = kept["doc_id"].cast("long") == again["__again"]
-    once = kept.join(again, is_again, "left_anti").unionByName(kept.join(again, is_again, "left_semi").dropDuplicates(["doc_id"]))
-    bare = docs.filter("doc_id is null").withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    rootless = (printed.filter("doc_id is null").join(rooted.join(named.filter("component_id is null"), "root").select("key", "root"), "key")
-                .groupBy("root").agg(F.min("row").alias("__kept")))
-    bare = bare.join(rootless, bare["__row"] == rootless["__kept"], "left_semi").dropDuplicates(["__row"]).drop("__row")
-    return once.unionByName(bare)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("best")
+    per_key = printed.groupBy("key").agg(best)
+    rooted = per_key.join(roots, per_key["key"] == roots["node"], "left").select(F.coalesce("root", "key").alias("root"), "best")
+    chosen = stage(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.row").alias("__kept")))
+    again = stage(printed.groupBy("doc_id", "row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__kept")))
+    rows = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+
+    def of(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        return rows.join(some, (rows["__row"] == some["__kept"]) & rows["doc_id"].cast("long").eqNullSafe(some["__id"]), how)
+
+    kept = of(rows, chosen, "left_semi")
+    # only rows that repeat are dealt anew
+    return of(kept, again, "left_anti").unionByName(of(kept, again, "left_semi").dropDuplicates(["__row"])).drop("__row")

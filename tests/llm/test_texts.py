@@ -167,6 +167,12 @@ def test_keep_one_drops_near_copies_and_keeps_look_alikes(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == groups
 
 
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    rows = [(1, "a clean text of its own"), (1, "another text under this id"), (2, "another text under this id"), (3, "the third text is alone"), (3, "the third text is alone")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(set(rows[:2] + rows[3:]))
+
+
 # ---- quality
 def plain_measures(text):
     text = text or ""
