@@ -41,12 +41,16 @@ def _automaton() -> ahocorasick.Automaton:
     for s in SCHEMES:
         automaton.add_word(s, ("scheme", len(s)))
     for s in CUES:
-        for form in {s, s.capitalize(), s.upper()}:
-            automaton.add_word(form, ("cue", len(form)))
+        automaton.add_word(s, ("cue", len(s)))
     automaton.make_automaton()
     return automaton
 
 
+def _lower(text: str) -> str:
+    """The text with ASCII letters lowered and no others, so that places in it are places in the text."""
+    return text.encode().lower().decode()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -71,7 +75,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     done = dict.fromkeys(KINDS, 0)  # where the last match of a kind ended; nothing of that kind starts before
     last_digit = -2
-    for end, (anchor, length) in _automaton().iter(text):
+    for end, (anchor, length) in _automaton().iter(_lower(text)):
         at = end - length + 1
         if anchor == "digit":
             run_starts = at != last_digit + 1
@@ -79,7 +83,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             # a match begins at the first digit of a run; later digits of it lead to the same end
             if (run_starts or at == done["ip"]) and at >= done["ip"] and (m := _IP.match(text, at)):
                 done["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
                     found.append(("ip", at, m.end()))
             if (run_starts or at == done["card"]) and at >= done["card"] and (m := _CARD.match(text, at)):
                 done["card"] = m.end()

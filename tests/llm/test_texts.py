@@ -253,3 +253,10 @@ def test_scan_and_mask_documents(docs, empty):
     assert out[12]["text"] == "Mail <email> or <phone>, card <card>, host <ip> and 10.0.0.256" and out[12]["n_chars"] == len(out[12]["text"])
     assert out[6]["text"] is None and out[8]["text"] == texts[8] and pii.mask_documents(docs).columns == docs.columns
     assert pii.scan_documents(empty).count() == 0 and pii.mask_documents(empty).count() == 0
+
+
+def test_long_runs_of_zeros_and_any_case():
+    assert pii.find_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    for text in ("see HTTP://Example.com/a", "see hTTps://Example.com/a", "İ see FTP://Example.com/a"):
+        assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "url"] == [text.split("see ")[1]]
+    assert [s for s in pii.find_spans("my aCCoUnT: 12345678") if s[0] == "account"] == [("account", 12, 20)]
