@@ -3,7 +3,7 @@
 Documents hang on hubs (for equal texts: the text's hash). A document's neighbours are the other
 members of its hubs, so counts of members per (hub, shard) say where its neighbours are, and no pair of
 documents is ever made. In each round a linked document asks for the shard that holds most of its
-neighbours and has room; a shard admits as many as its quota leaves, strongest pull first. Documents
+neighbours; a shard admits as many as its quota and the leavers of the round leave, strongest pull first. Documents
 without links are ballast: they cost no cut edge and fill the shards to exact sizes at the end.
 """
 
@@ -48,41 +48,83 @@ def _case(column, values: list[int]):
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (column + 1).cast("int"))
 
 
-def propagate(linked: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame:
+def _admissible(flows: list[list[int]], held: list[int], quotas: list[int]) -> list[list[int]]:
+    """A part of flows[from][to] to which nothing can be added: cycles of moves between shards, and chains of moves that end in free room."""
+    shards = range(len(quotas))
+    left, room = [list(f) for f in flows], [q - h for q, h in zip(quotas, held, strict=True)]
+    again = True
+    while again:
+        again = False
+        for s in shards:
+            for t in shards:
+                while left[s][t] > 0:
+                    before, queue, end = {t: s}, [t], None
+                    while queue and end is None:
+                        u = queue.pop(0)
+                        if u == s or room[u] > 0:
+                            end = u
+                        else:
+                            new = [v for v in shards if left[u][v] > 0 and v not in before]
+                            before |= dict.fromkeys(new, u)
+                            queue += new
+                    if end is None:
+                        break
+                    steps = [(before[end], end)]
+                    while steps[-1] != (s, t):
+                        steps.append((before[steps[-1][0]], steps[-1][0]))
+                    n = min([left[i][j] for i, j in steps] + ([] if end == s else [room[end]]))
+                    for i, j in steps:
+                        left[i][j] -= n
+                    room[end] -= n
+                    room[s] += n
+                    again = True
+    return [[f - k for f, k in zip(fs, ks, strict=True)] for fs, ks in zip(flows, left, strict=True)]
+
+
+def propagate(linked: DataFrame, quotas: list[int], rounds: int | None = None) -> DataFrame:
     """Move linked rows (row_key, hub, shard) towards the shards of their neighbours under `quotas`.
 
     A round is one aggregation to (hub, shard) counts, one choice per hub and current shard, one join
-    of that choice back on (hub, shard, salt), and ranks inside the shard asked for. The driver sees one count per shard.
-    Rounds end when none moves.
+    of that choice back on (hub, shard, salt), and ranks inside the (from, to) pair. The driver sees one count per pair of shards.
+    A shard admits what its free room and its leavers of the round leave. Rounds ask in turn for the fullest shard and for the
+    fullest with free room. Every move raises the sum of squared counts, so rounds end: when neither kind moves a row, or after `rounds`.
     """
     shards = len(quotas)
-    state = linked
-    for step in range(rounds):
-        held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row per shard
-        room = [max(0, q - held.get(s, 0)) for s, q in enumerate(quotas)]
+    state, idle, step = linked, 0, 0
+    while idle < 2 and (rounds is None or step < rounds):
+        by = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row per shard
+        held = [by.get(s, 0) for s in range(shards)]
+        # a shard full of the hub is no aim; in odd rounds only shards with room are
+        room = [q - h if step % 2 else 1 for q, h in zip(quotas, held, strict=True)]
         here = state.groupBy("hub", "shard").agg(F.count("*").alias("n"))
         hub = Window.partitionBy("hub")
-        best = F.max(F.when(_case(F.col("shard"), room) > 0, F.struct(F.col("n"), F.xxhash64("hub", "shard").alias("tie"), F.col("shard").alias("to")))).over(hub)
+        aim = (_case(F.col("shard"), room) > 0) & (F.col("n") < _case(F.col("shard"), quotas))
+        best = F.max(F.when(aim, F.struct(F.col("n"), F.xxhash64("hub", "shard").alias("tie"), F.col("shard").alias("to")))).over(hub)
         wish = here.withColumn("best", best).filter(
-            F.col("best").isNotNull() & (F.col("best.to") != F.col("shard"))
+            F.col("best").isNotNull() & (F.col("best.to") != F.col("shard")) & (F.col("n") < _case(F.col("shard"), quotas))
             & (F.struct(F.col("best.n"), F.col("best.tie")) > F.struct(F.col("n"), F.xxhash64("hub", "shard"))))
-        wish = wish.select("hub", "shard", F.col("best.to").alias("to"), (F.col("best.n") - F.col("n")).alias("gain"),
+        wish = wish.select("hub", "shard", (F.col("shard") * shards + F.col("best.to")).alias("pair"), (F.col("best.n") - F.col("n")).alias("gain"),
                            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        movers = state.join(wish, ["hub", "shard", "salt"]).select("row_key", "to", "gain")
+        movers = stage(state.join(wish, ["hub", "shard", "salt"]).select("row_key", "pair", "gain"))
+        flows = [[0] * shards for _ in range(shards)]
+        for r in movers.groupBy("pair").agg(F.count("*").alias("n")).collect():  # one row per pair of shards
+            flows[r["pair"] // shards][r["pair"] % shards] = r["n"]
+        admits = _admissible(flows, held, quotas)
+        step += 1
+        if not any(map(any, admits)):
+            idle += 1
+            continue
+        idle = 0
         # strongest pull first: ranges go down with the gain's size, and are random among equal gains
         pull = F.least(F.floor(F.log2(F.col("gain") + 1)), F.lit(62)).cast("int")
         order = (F.lit(62) - pull) * F.lit(RANGES) + _random(step, "row_key")
-        admitted = ranked(movers, "to", ["row_key"], "rank", order).filter(F.col("rank") < _case(F.col("to"), room)).select("row_key", "to")
-        state = stage(state.join(admitted, "row_key", "left")
-                      .withColumn("moved", F.col("to").isNotNull()).withColumn("shard", F.coalesce("to", "shard")).drop("to"))
-        moved = state.filter("moved").limit(1).count()
-        state = state.drop("moved")
-        if not moved:
-            break
+        admitted = ranked(movers, "pair", ["row_key"], "rank", order).filter(F.col("rank") < _case(F.col("pair"), sum(admits, [])))
+        admitted = admitted.select("row_key", (F.col("pair") % shards).alias("to"))
+        state = stage(state.join(admitted, "row_key", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"))
     return state
 
 
-def even_shards(rows: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
+def even_shards(rows: DataFrame, shards: int = 16, rounds: int | None = None) -> DataFrame:
     """Add `shard` (0 to shards - 1) and `slot` (gapless from 0 in a shard) to rows with a unique `row_key` and a `hub`.
 
     Law `rows`: counts of shards are at most one apart. A null hub links to nothing. A hub with more rows than a
@@ -123,7 +165,7 @@ def even_shards(rows: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame
     return rows.join(fits, "row_key")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row; equal texts are linked.
 
     A null text has size 1, CRC 0 and no links; empty texts are equal texts like any other. Repeated rows get

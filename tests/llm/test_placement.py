@@ -24,6 +24,19 @@ def test_shards_are_even_and_groups_stay_together(spark):
     assert len(by_text["hot"]) <= 4  # 300 rows in shards of 112 or 113
 
 
+def test_groups_gather_where_every_row_has_copies(spark):
+    rows = [(i, f"copy {i % 400}") for i in range(4000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
+    sizes, held = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in got:
+        sizes[r["shard"]] += 1
+        held[r["doc_id"] % 400][r["shard"]] += 1
+    assert sorted(sizes.values()) == [500] * 8
+    pairs = 400 * 45
+    cut = pairs - sum(n * (n - 1) // 2 for h in held.values() for n in h.values())
+    assert cut <= 0.2 * pairs, cut / pairs  # at random 0.88
+
+
 def test_shard_edge_cases(docs, empty):
     got = sharding.shard_documents(docs).collect()
     assert len(got) == docs.count() and {r["law"] for r in got} == {"rows"} and all(r["grown_shard"] is None for r in got)
