@@ -51,3 +51,12 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = 256, column: str = "da
 def training_row(doc_id: Column, folds: int, held_out: int) -> Column:
     """Whether crc32 of the id's decimal digits leaves a remainder other than `held_out`; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds != held_out
+
+
+#: Bytes of words kept as they are, A to Z in lower case, every other byte a blank.
+FOLDED = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+
+
+def folded_words(data: bytes) -> list[bytes]:
+    """Words of a text: runs of digits, letters (A to Z in lower case) and characters beyond ASCII."""
+    return data.translate(FOLDED).split()
