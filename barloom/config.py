@@ -48,6 +48,11 @@ HEADLINE_COST = 0.0030
 EPS_IR = 1e-12
 
 
+#: Look-aheads that an audit can plant: z-scores of a centred window or of all rows, volatility that reads the next return, wicks
+#: clipped only where the price comes back, targets dropped where a second bar follows.
+LEAKS = ("centered_zscore", "global_zscore", "sigma_next", "forward_revert", "validity_next")
+
+
 @dataclass(frozen=True)
 class FeatureConfig:
     """Windows in bars; defaults are the one-minute production setting."""
@@ -70,6 +75,9 @@ class FeatureConfig:
     z_window: int = 1440
     vol_scaled_inputs: bool = False
     chunk: int = 10_080
+    #: One of LEAKS: audits plant it to see that they catch it. With ``leak_ms`` it acts at that bar alone.
+    leak: str | None = None
+    leak_ms: int | None = None
 
     def warm(self, half_life: int) -> int:
         return max(self.n_warm, half_life // 8)

@@ -12,9 +12,11 @@ most ``chunk`` rows whatever the key distribution is. Three tools follow from th
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,6 +208,29 @@ def segment_first(df: DataFrame, tl: Timeline, values: Mapping[str, str]) -> Dat
     return local.join(prior, tl.on_chunk).selectExpr(*df.columns, *[f"IF(_in = 1, _l_{n}, _c_{n}) AS {n}" for n in values])
 
 
+def dealt_groups(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Rows laid out for ``whole_groups``: a key's rows stand together and in order, with ``_g``, a number per key."""
+    return df.withColumn("_g", F.xxhash64(*keys)).repartition(*keys).sortWithinPartitions(*keys, order)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows cut between groups (``_g``), so that a task meets many small groups at once and a group never in parts."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            g = whole["_g"].to_numpy()
+            cut = int(np.searchsorted(g == g[-1], True)) if g[0] != g[-1] else 0
+            if cut:
+                yield whole.slice(0, cut)
+            held, n = whole.slice(cut).to_batches(), whole.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
     """Per (key, value): ``n`` rows, ``below`` rows with a smaller value, ``total`` rows of the key.
 

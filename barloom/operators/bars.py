@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import BAR_MS, EPS_SZ
 from barloom.frames import Timeline, last_known
+from barloom.session import pin
 
 
 def bar_open(ts: str | Column, step: int = BAR_MS) -> Column:
@@ -108,32 +109,36 @@ def pick_evenly(values: Column, n: int) -> Column:
         F.transform(evenly_spaced(F.size(values), n), lambda i: F.element_at(ordered, (i + 1).cast("int"))))
 
 
-def asof_ffill(bars: DataFrame, events: DataFrame, name: str, tl: Timeline) -> DataFrame:
-    """Last event at or before the bar close, plus a ``<name>_missing`` flag.
+def asof_marks(bars: DataFrame, marks: Mapping[str, DataFrame], tl: Timeline) -> DataFrame:
+    """Bars with the last mark of every series at or before their close, plus a ``<name>_missing`` flag per series.
+
+    ``marks`` holds (symbol, ts_ms, value) per name and may carry ``seq``, their order of arrival: of marks with one time the last
+    to arrive wins, without ``seq`` the largest. NULL values are no marks. Where bars carry ``is_perp``, symbols
+    without a perpetual get 0 and the missing flag.
 
-    Bars and events are merged into one time-ordered stream per (symbol, chunk) and forward filled, so neither
-    side is joined by range and a busy symbol is spread over its chunks.
+    Bars and all series are one time-ordered union, forward filled once per (symbol, chunk) with the state of earlier chunks
+    carried in: no side is joined by range, a busy symbol is spread over its chunks, and bars are not joined back to
+    themselves.
     """
-    close = F.col("bar_open_ms") + tl.step
-    # a repeated bar asks once, so the join back does not multiply it
-    spine = bars.select("symbol", "bar_open_ms").distinct().select("symbol", close.alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias(name),
-                        "bar_open_ms")
-    marks = (events.groupBy("symbol", F.col("ts_ms").alias("_t")).agg(F.max("value").cast("double").alias(name))
-             .select("symbol", "_t", F.lit(0).alias("_kind"), name, F.lit(None).cast("bigint").alias("bar_open_ms")))
-    merged = last_known(spine.unionByName(marks), Timeline(tl.keys, "_t", tl.step, tl.chunk), ["_t", "_kind"], [name])
-    found = merged.filter("_kind = 1").select(
-        "symbol", "bar_open_ms", F.coalesce(name, F.lit(0.0)).alias(name),
-        F.when(F.col(name).isNull(), 1).otherwise(0).alias(f"{name}_missing"))
-    return bars.join(found, ["symbol", "bar_open_ms"])
-
-
-def mask_non_perp(df: DataFrame, names: Sequence[str] = ("funding", "oi")) -> DataFrame:
-    """Symbols without a perpetual carry 0 and the missing flag."""
-    out = df
-    for n in names:
-        out = out.withColumn(n, F.when("is_perp", F.col(n)).otherwise(0.0)).withColumn(
-            f"{n}_missing", F.when("is_perp", F.col(f"{n}_missing")).otherwise(1))
-    return out
+    names = list(marks)
+    value = lambda n, of=None: F.lit(None).cast("double").alias(n) if of is None else of.cast("double").alias(n)
+    rows = bars.select(*tl.keys, (F.col(tl.ts) + tl.step).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_seq"), value("_tie"),
+                       *[value(n) for n in names], F.struct(*[F.col(f"`{c}`") for c in bars.columns]).alias("_bar"))
+    for n, df in marks.items():
+        seq = F.col("seq").cast("bigint") if "seq" in df.columns else F.lit(0).cast("bigint")
+        rows = rows.unionByName(df.filter("value is not null").select(
+            *tl.keys, F.col("ts_ms").alias("_t"), F.lit(0).alias("_kind"), seq.alias("_seq"), value("_tie", F.col("value")),
+            *[value(m, F.col("value") if m == n else None) for m in names], F.lit(None).cast(rows.schema["_bar"].dataType).alias("_bar")))
+    filled = last_known(pin(rows), Timeline(tl.keys, "_t", tl.step, tl.chunk), ["_t", "_kind", "_seq", "_tie"], names).filter("_kind = 1")
+    known = {n: F.col(n).isNotNull() & F.coalesce(F.col("_bar.is_perp"), F.lit(False)) if "is_perp" in bars.columns else F.col(n).isNotNull() for n in names}
+    kept = [F.col(f"_bar.`{c}`") for c in bars.columns if c not in {*names, *(f"{n}_missing" for n in names)}]
+    return filled.select(*kept, *[F.when(known[n], F.col(n)).otherwise(F.lit(0.0)).alias(n) for n in names],
+                         *[F.when(known[n], 0).otherwise(1).alias(f"{n}_missing") for n in names])
+
+
+def asof_ffill(bars: DataFrame, events: DataFrame, name: str, tl: Timeline) -> DataFrame:
+    """``asof_marks`` of one series."""
+    return asof_marks(bars, {name: events}, tl)
 
 
 def ohlcv_only(klines: DataFrame) -> DataFrame:

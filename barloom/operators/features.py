@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import (
-    BOUNDED_DIMS, CLIP, EPS_CNT, EPS_OI, EPS_PX, EPS_SZ, EPS_VAR, EPS_VOL, FAST_DIMS, N_FEATURES, RECON_LIMIT, Z_DIMS,
+    BOUNDED_DIMS, CLIP, EPS_CNT, EPS_OI, EPS_PX, EPS_SZ, EPS_VAR, EPS_VOL, FAST_DIMS, LEAKS, N_FEATURES, RECON_LIMIT, Z_DIMS,
     FeatureConfig, safe_chunk,
 )
-from barloom.frames import CHUNK, CORE, LSEG, Term, affine_scan, row_halo, row_index, segment_first
+from barloom.frames import CHUNK, CORE, LSEG, Term, affine_scan, dealt_groups, row_halo, row_index, segment_first, whole_groups
 from barloom.functions.scalars import clip_finite, log_ratio
 from barloom.operators.bars import bar_open, size_samples, vol_recon_err
 from barloom.session import pin
@@ -27,38 +29,59 @@ def log_return(cfg: FeatureConfig) -> Column:
     return F.when(later, F.coalesce(log_ratio(F.col("close"), F.lag("close").over(w)), F.lit(float("nan")))).otherwise(F.lit(0.0))
 
 
-# ---- order statistics over past bars: Arrow, one call per (symbol, chunk) ------------------------------------
+# ---- order statistics over past bars: Arrow, many (symbol, chunk) groups at a time -----------------------------
+
+def _segment_starts(t: pa.Table) -> np.ndarray:
+    """For every row the first row of its local segment."""
+    g, seg = t["_g"].to_numpy(), t[LSEG].to_numpy()
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (seg[1:] != seg[:-1])])
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def _medians(rows: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Median of the first `have` values of each sorted row."""
+    at = np.arange(len(rows))
+    return (rows[at, (have - 1) // 2] + rows[at, have // 2]) / 2
+
+
+def past_mads(r: np.ndarray, starts: np.ndarray, window: int, least: int) -> np.ndarray:
+    """Median absolute deviation of the ``window`` values before each row, from its segment's start on; NaN below ``least`` values."""
+    out = np.full(len(r), np.nan)
+    past = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(window, np.nan), r]), window)
+    have = np.minimum(np.arange(len(r)) - starts, window)
+    rows = np.flatnonzero(have >= least)
+    step = max(1, (1 << 21) // window)
+    for lo in range(0, len(rows), step):
+        at = rows[lo:lo + step]
+        n = have[at]
+        block = np.where(np.arange(window) >= window - n[:, None], past[at], np.nan)
+        n = n - np.isnan(block).sum(axis=1) + (window - n)  # values that are missing do not count
+        some = n > 0
+        block, at, n = block[some], at[some], n[some]
+        block.sort(axis=1)  # NaN goes last
+        spread = np.abs(block - _medians(block, n)[:, None])
+        spread.sort(axis=1)
+        out[at] = _medians(spread, n)
+    return out
+
 
 def trailing_mad(bars: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Median absolute deviation of the past ``mad_window`` in-segment returns, NULL below ``mad_min`` rows.
 
-    A sliding median has no incremental native form; inside a chunk it is a matrix of overlapping windows, so the
-    groups handed to Arrow are (symbol, chunk) with their halo: at most chunk + mad_window narrow rows.
+    A sliding median has no incremental native form; inside a chunk it is a matrix of overlapping windows. A task reads its
+    (symbol, chunk) groups, each with its halo, as narrow Arrow rows: at most chunk + mad_window of a group.
     """
     window, least = cfg.mad_window, cfg.mad_min
     framed = local_segments(bars.select(*KEY, "close"), cfg, min(window + 1, cfg.chunk))
     framed = framed.select(*KEY, CHUNK, CORE, LSEG, log_return(cfg).alias("r"))
 
-    def mads(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_open_ms")
-        out = np.full(len(pdf), np.nan)
-        for _, idx in pdf.reset_index(drop=True).groupby(LSEG).indices.items():
-            r = pdf["r"].to_numpy()[idx]
-            padded = np.concatenate([np.full(window, np.nan), r])
-            for lo in range(0, len(r), 2048):
-                hi = min(lo + 2048, len(r))
-                view = np.lib.stride_tricks.sliding_window_view(padded[lo:hi - 1 + window], window)
-                have = np.minimum(np.arange(lo, hi), window)
-                ok = have >= least
-                if ok.any():
-                    block = view[ok]
-                    med = np.nanmedian(block, axis=1)
-                    out[idx[lo:hi][ok]] = np.nanmedian(np.abs(block - med[:, None]), axis=1)
-        pdf = pdf.assign(mad=out)
-        return pdf.loc[pdf[CORE], [*KEY, "mad"]]
-
-    raw = framed.groupBy("symbol", CHUNK).applyInPandas(mads, "symbol string, bar_open_ms long, mad double")
-    return raw.withColumn("mad", F.when(~F.isnan("mad"), F.col("mad")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            mad = past_mads(t["r"].to_numpy(), _segment_starts(t), window, least)
+            kept = t.select(KEY).append_column("mad", pa.array(mad, from_pandas=True)).filter(t[CORE])
+            yield from kept.combine_chunks().to_batches()
+
+    return dealt_groups(framed, ["symbol", CHUNK], "bar_open_ms").mapInArrow(run, "symbol string, bar_open_ms long, mad double")
 
 
 def clip_wicks(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
@@ -67,6 +90,10 @@ def clip_wicks(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
     top, bottom = F.greatest("open", "close"), F.least("open", "close")
     up = F.coalesce((top > 0) & ((F.col("high") - top) / F.nullif(top, F.lit(0.0)) > thr), F.lit(False))
     down = F.coalesce((bottom > 0) & ((bottom - F.col("low")) / F.nullif(bottom, F.lit(0.0)) > thr), F.lit(False))
+    if cfg.leak == "forward_revert":
+        w = timeline(cfg).by_segment()
+        back = F.abs(F.lead("close", 3).over(w) / F.col("close") - 1) < thr
+        up, down = (c & (~_leaks_here(cfg) | F.coalesce(back, F.lit(True))) for c in (up, down))
     return df.withColumns({
         "high_c": F.when(up, top * (1 + thr)).otherwise(F.col("high")),
         "low_c": F.when(down, bottom * (1 - thr)).otherwise(F.col("low")),
@@ -74,6 +101,66 @@ def clip_wicks(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
     })
 
 
+class SlidingPool:
+    """A multiset of coded values under insertion and removal, with its k-th smallest.
+
+    Counts stand in a tree of three levels with 64 children a node: an update touches three counts a value and the k-th
+    value is found by three short prefix sums, however many values the pool holds.
+    """
+
+    def __init__(self, codes: int):
+        leaves = -(-max(codes, 1) // 64) * 64
+        self.levels = [np.zeros(leaves, dtype=np.int64)]
+        while len(self.levels[-1]) > 64:
+            below = len(self.levels[-1]) // 64
+            self.levels.append(np.zeros(-(-below // 64) * 64, dtype=np.int64))
+        self.size = 0
+
+    def add(self, codes: np.ndarray, sign: int) -> None:
+        for level in self.levels:
+            np.add.at(level, codes, sign)
+            codes = codes >> 6
+        self.size += sign * len(codes)
+
+    def kth(self, k: int) -> int:
+        at = 0
+        for level in reversed(self.levels):
+            here = level[at * 64:(at + 1) * 64] if level is not self.levels[-1] else level
+            upto = np.cumsum(here)
+            child = int(np.searchsorted(upto, k, "right"))
+            k -= int(upto[child - 1]) if child else 0
+            at = at * 64 + child
+        return at
+
+
+def past_quantiles(values: np.ndarray, ends: np.ndarray, starts: np.ndarray, window: int, q: float) -> np.ndarray:
+    """Interpolated q-quantile of the pooled values of the ``window`` rows before each row of its segment; NaN for less than that or an empty pool.
+
+    Row i holds values[ends[i - 1]:ends[i]]. A segment's values are coded once; then a row costs the values that enter and leave.
+    """
+    out = np.full(len(ends), np.nan)
+    begins = np.concatenate([[0], ends[:-1]])
+    for first in np.unique(starts):
+        last = int(np.searchsorted(starts, first, "right"))
+        if last - first <= window:
+            continue
+        known, codes = np.unique(values[begins[first]:ends[last - 1]], return_inverse=True)
+        lo, hi = begins[first:last] - begins[first], ends[first:last] - begins[first]
+        pool = SlidingPool(len(known))
+        pool.add(codes[:hi[window - 1]], 1)
+        for i in range(window, last - first):
+            if pool.size:
+                at = q * (pool.size - 1)
+                k = int(at)
+                a = known[pool.kth(k)]
+                b = known[pool.kth(min(k + 1, pool.size - 1))]
+                t = at - k
+                out[first + i] = b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t
+            pool.add(codes[lo[i - window]:hi[i - window]], -1)
+            pool.add(codes[lo[i]:hi[i]], 1)
+    return out
+
+
 def trailing_tau(bars: DataFrame, trades: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Per bar the q_tau quantile of the size samples of the previous w_tau bars of its segment."""
     w, q = cfg.w_tau, cfg.q_tau
@@ -81,24 +168,15 @@ def trailing_tau(bars: DataFrame, trades: DataFrame, cfg: FeatureConfig) -> Data
     spine = bars.select(*KEY, "close").join(samples, KEY, "left")
     framed = local_segments(spine, cfg, min(w + 1, cfg.chunk)).select(*KEY, CHUNK, CORE, LSEG, "sample")
 
-    def taus(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_open_ms").reset_index(drop=True)
-        out = np.full(len(pdf), np.nan)
-        arrays = [np.empty(0) if a is None else np.asarray(a, dtype=float) for a in pdf["sample"]]
-        for _, idx in pdf.groupby(LSEG).indices.items():
-            seg = [arrays[i] for i in idx]
-            flat = np.concatenate(seg) if seg else np.empty(0)
-            ends = np.cumsum([len(a) for a in seg])
-            for p in range(w, len(seg)):
-                lo = ends[p - w] - len(seg[p - w])
-                pool = flat[lo:ends[p - 1]]
-                if pool.size:
-                    out[idx[p]] = np.percentile(pool, q * 100)
-        pdf = pdf.assign(tau=out)
-        return pdf.loc[pdf[CORE], [*KEY, "tau"]]
-
-    raw = framed.groupBy("symbol", CHUNK).applyInPandas(taus, "symbol string, bar_open_ms long, tau double")
-    return raw.filter(~F.isnan("tau"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            sizes = t["sample"].combine_chunks()
+            lengths = sizes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            tau = past_quantiles(sizes.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths), _segment_starts(t), w, q)
+            kept = t.select(KEY).append_column("tau", pa.array(tau, from_pandas=True)).filter(t[CORE])
+            yield from kept.filter(kept["tau"].is_valid()).combine_chunks().to_batches()
+
+    return dealt_groups(framed, ["symbol", CHUNK], "bar_open_ms").mapInArrow(run, "symbol string, bar_open_ms long, tau double")
 
 
 def large_trades(bars: DataFrame, trades: DataFrame, cfg: FeatureConfig) -> DataFrame:
@@ -123,6 +201,19 @@ def stale_flags(bars: DataFrame, cfg: FeatureConfig) -> DataFrame:
     ).cast("int")).filter(CORE).select(*KEY, "is_stale")
 
 
+def _leaks_here(cfg: FeatureConfig) -> Column:
+    return F.lit(True) if cfg.leak_ms is None else F.col("bar_open_ms") == cfg.leak_ms
+
+
+def _leaking_zscores(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """The z-scores with a planted leak: against a window around the row, or all rows of the segment."""
+    w = timeline(cfg).by_segment()
+    half = max(1, cfg.z_window // 2)
+    near = w.rowsBetween(-half, half) if cfg.leak == "centered_zscore" else w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    z = {f"x_{d}": (F.col(f"f_{d}") - F.avg(f"f_{d}").over(near)) / F.sqrt(F.var_pop(f"f_{d}").over(near) + EPS_VAR) for d in Z_DIMS}
+    return df.withColumns({c: F.when((F.col(f"{c}_warm") == 0) & _leaks_here(cfg), clip_finite(v)).otherwise(F.col(c)) for c, v in z.items()})
+
+
 # ---- raw features --------------------------------------------------------------------------------------------
 
 def raw_features(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
@@ -288,10 +379,14 @@ def compute_features(bars: DataFrame, cfg: FeatureConfig, trades: DataFrame | No
     for name, default in (("funding", 0.0), ("oi", 0.0)):
         if name not in side.columns:
             side = side.withColumns({name: F.lit(default), f"{name}_missing": F.lit(1)})
-    wide = raw_features(clip_wicks(with_segments(side, cfg, 1, 1), cfg), cfg)
+    if cfg.leak is not None and cfg.leak not in LEAKS:
+        raise ValueError(f"leak is one of {LEAKS}, got {cfg.leak}")
+    framed = with_segments(side, cfg, 1, 3 if cfg.leak else 1)
+    wide = raw_features(clip_wicks(framed, cfg), cfg)
+    then = F.lead("f_0", 2).over(tl.by_segment()).isNotNull() if cfg.leak == "validity_next" else F.lit(False)
     wide = wide.withColumns({"ret": F.col("f_0"), "next_ret": F.lead("f_0").over(tl.by_segment()),
-                             "raw_range": F.col("f_1")}).filter(CORE)
-    wide = pin(wide.select(*KEY, CHUNK, LSEG, "_brk", "_gap", "segment_id", "seg_pos", *FLOW_QA, "ret", "next_ret",
+                             "raw_range": F.col("f_1"), "_then": then}).filter(CORE)
+    wide = pin(wide.select(*KEY, CHUNK, LSEG, "_brk", "_gap", "segment_id", "seg_pos", *FLOW_QA, "ret", "next_ret", "_then",
                            *[f"f_{d}" for d in range(N_FEATURES)]))
     halves = {f"x_{d}": (f"f_{d}", cfg.half_life_fast if d in FAST_DIMS else cfg.half_life_slow) for d in Z_DIMS}
     if cfg.vol_scaled_inputs:
@@ -300,8 +395,12 @@ def compute_features(bars: DataFrame, cfg: FeatureConfig, trades: DataFrame | No
         wide = ewma_zscores(wide, cfg, halves)
     else:
         wide = ewma_zscores(wide, cfg, halves, vol="ret")
+    if cfg.leak in ("centered_zscore", "global_zscore"):
+        wide = _leaking_zscores(wide, cfg)
+    if cfg.leak == "sigma_next":
+        wide = wide.withColumn("sigma", F.col("sigma") + F.when(_leaks_here(cfg), F.abs(F.coalesce("next_ret", F.lit(0.0)))).otherwise(0.0))
     wide = wide.withColumns({f"x_{d}": clip_finite(f"f_{d}") for d in BOUNDED_DIMS}).withColumns(masks(cfg))
-    valid = F.col("next_ret").isNotNull() & (F.col("vol_warm") == 0)
+    valid = F.col("next_ret").isNotNull() & (F.col("vol_warm") == 0) & ~(F.col("_then") & _leaks_here(cfg))
     return wide.withColumns({
         "raw_ret_close": F.col("ret"),
         "target": F.when(valid, F.col("next_ret") / (F.col("sigma") + EPS_VOL)).otherwise(float("nan")),

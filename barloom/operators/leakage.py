@@ -1,153 +1,245 @@
-"""Look-ahead audits: recompute a transform without the future, or with another one, and compare.
+"""Look-ahead audits of the feature pipeline: replay it without the future, or with another one, and compare.
 
-The table is cut into slices of ``span`` bars and each slice is audited as a stream of its own. A bar is copied once
-per cut of its slice, so the cost is bounded by the span and every bar of the table is a cut.
+A replay starts `halo` bars before a slice of the tape, which warms the pipeline up, and ends at a cut. All replays of a slice
+are held against one baseline that starts at the same bar and goes on past the slice, so the two differ in nothing but the future.
+Replays are symbols of their own: the pipeline runs once over all of them, and a bar is copied once per cut whose replay reads it,
+anchors x (halo + slice) at most, whatever the length of the tape. With every bar as an anchor the sweep is exhaustive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.config import FeatureConfig
+from barloom.config import N_FEATURES, FeatureConfig
 from barloom.frames import CHUNK, CORE, row_halo
-from barloom.operators.samples import uniform
-
-
-Transform = Callable[[DataFrame], DataFrame]
-PRICES = ("open", "high", "low", "close")
-
-
-def _sliced(df: DataFrame, span: int, step: int) -> DataFrame:
-    bar = F.floor(F.col("bar_open_ms") / step)
-    return df.withColumns({"_base": F.concat_ws("#", "symbol", F.floor(bar / span).cast("string")), "_pos": (bar % span).cast("int")})
-
-
-def whole_slices(df: DataFrame, span: int, step: int) -> DataFrame:
-    x = _sliced(df, span, step)
-    return x.withColumn("symbol", F.col("_base")).drop("_base", "_pos")
-
-
-def truncated(df: DataFrame, span: int, step: int) -> DataFrame:
-    """Each slice once per cut, rows up to the cut only."""
-    x = _sliced(df, span, step).withColumn("_cut", F.explode(F.sequence(F.col("_pos"), F.lit(span - 1))))
-    return x.withColumn("symbol", F.concat_ws("@", "_base", F.col("_cut").cast("string"))).drop("_base", "_pos", "_cut")
-
-
-def perturbed(df: DataFrame, span: int, step: int, mode: str, seed: int = 1) -> DataFrame:
-    """Each slice once per cut with every later bar replaced: noise, a reversion to a flat price, or a sign flip."""
-    x = _sliced(df, span, step).withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(span - 1))))
-    later = F.col("_pos") > F.col("_cut")
-    u = uniform(seed, "symbol", "bar_open_ms", "_cut")
-    factor = {"noise": F.exp((u - 0.5) * 4), "revert": F.lit(1.0), "signflip": F.lit(1.0)}[mode]
-    level = F.lit(10.0)
-    new = {}
-    for c in (p for p in PRICES if p in df.columns):
-        v = {"noise": F.col(c) * factor, "revert": level, "signflip": level * level / F.col(c)}[mode]
-        new[c] = F.when(later, v).otherwise(F.col(c))
-    if mode == "signflip" and {"high", "low"} <= set(new):
-        new["high"], new["low"] = (F.when(later, level * level / F.col("low")).otherwise(F.col("high")),
-                                   F.when(later, level * level / F.col("high")).otherwise(F.col("low")))
-    return x.withColumns(new).withColumn("symbol", F.concat_ws("@", "_base", F.col("_cut").cast("string"))).drop("_base", "_pos", "_cut")
-
-
-def audit(df: DataFrame, transform: Transform, outputs: dict[str, int], span: int, step: int, mode: str = "truncate", digits: int = 9) -> DataFrame:
-    """Checks and failures per output; ``outputs`` maps a column to how many bars ahead it may read (0 or 1)."""
-    full = transform(whole_slices(df, span, step)).select(F.col("symbol").alias("_base"), "bar_open_ms", *[F.col(c).alias(f"_f_{c}") for c in outputs])
-    source = truncated(df, span, step) if mode == "truncate" else perturbed(df, span, step, mode)
-    part = transform(source).withColumns({"_base": F.substring_index("symbol", "@", 1), "_cut": F.substring_index("symbol", "@", -1).cast("int"),
-                                          "_pos": F.floor(F.col("bar_open_ms") / step) % span})
-    kept = part.filter((F.col("_cut") - F.col("_pos")).isin(*sorted(set(outputs.values()))))
-    kept = kept.select("_base", "bar_open_ms", (F.col("_cut") - F.col("_pos")).alias("_ahead"), *outputs)
-    j = kept.join(full, ["_base", "bar_open_ms"])
-
-    def same(c: str) -> Column:
-        a, b = F.col(c), F.col(f"_f_{c}")
-        if dict(df_types).get(c) in ("double", "float"):
-            return F.round(a, digits).eqNullSafe(F.round(b, digits))
-        return a.eqNullSafe(b)
-
-    df_types = part.dtypes
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("output"), (F.col("_ahead") == k).alias("checked"), same(c).alias("same"))
-                               for c, k in outputs.items()]))
-    return j.select(rows.alias("e")).select("e.*").groupBy("output").agg(
-        F.count_if("checked").alias("n_checks"), F.count_if(F.col("checked") & ~F.col("same")).alias("n_failures"))
-
-
-def control_arm(df: DataFrame, clean: Transform, planted: dict[str, Transform], outputs: dict[str, int], span: int, step: int, valid: str) -> DataFrame:
-    """The audit counts only if the slice has valid targets, the clean run passes and every planted leak is caught."""
-    n_valid = clean(whole_slices(df, span, step)).agg(F.count_if(F.col(valid).cast("boolean"))).first()[0]
-    rows = [("valid_targets", n_valid > 0, n_valid)]
-    good = audit(df, clean, outputs, span, step).agg(F.sum("n_failures"), F.min("n_checks")).first()
-    rows.append(("clean_passes", good[0] == 0 and good[1] > 0, good[0]))
-    for name, leak in planted.items():
-        caught = audit(df, leak, outputs, span, step).agg(F.sum("n_failures")).first()[0]
-        rows.append((f"caught_{name}", caught > 0, caught))
+from barloom.operators import bars as B
+from barloom.operators import features as X
+from barloom.operators import segments as S
+from barloom.operators.samples import cap_per_group, uniform
+from barloom.session import pin
+
+#: Outputs of compute_features and how many bars ahead each may read: a target's label is the next bar.
+OUTPUTS = {**{f"x_{d}": 0 for d in range(N_FEATURES)}, **{f"m_{d}": 0 for d in range(N_FEATURES)},
+           **dict.fromkeys(("segment_id", "raw_ret_close", "raw_range", "sigma", "is_stale", "dq_flags"), 0), "target": 1, "target_valid": 1}
+MODES = ("truncate", "noise", "revert", "signflip")
+_NAME = r"^(.*)@(-?\d+)@(-|-?\d+)$"
+
+
+@dataclass(frozen=True)
+class Tape:
+    """Everything the pipeline reads: bars, ticks, and marks (symbol, ts_ms, value) of funding and open interest."""
+
+    klines: DataFrame
+    trades: DataFrame
+    funding: DataFrame
+    oi: DataFrame
+
+    def pinned(self) -> Tape:
+        return Tape(pin(self.klines), pin(self.trades), pin(self.funding), pin(self.oi))
+
+
+@dataclass(frozen=True)
+class Slices:
+    """Bars in a slice, bars of warm-up before it and bars the baseline sees after it."""
+
+    length: int
+    halo: int
+    ahead: int = 4
+
+
+Pipeline = Callable[[Tape, FeatureConfig], DataFrame]
+
+
+def feature_pipeline(tape: Tape, cfg: FeatureConfig) -> DataFrame:
+    """Ticks, bars and marks to features, by the operators that build the lake."""
+    bars = B.attach_trades(tape.klines, B.reduce_trades(tape.trades, cfg.bar_ms))
+    bars = B.asof_marks(bars, {"funding": tape.funding, "oi": tape.oi}, S.timeline(cfg))
+    return X.compute_features(bars, cfg, tape.trades)
+
+
+def _cuts(anchors: DataFrame, tape: Tape, sl: Slices, step: int) -> DataFrame:
+    """(symbol, slice, cut) of every replay and, with a null cut, every baseline; `level` is the close at the cut, `back` the one before.
+
+    An anchor asks for two cuts, itself and the bar after it: what reads no bar ahead is settled at the first, labels at the second.
+    """
+    home = F.floor(F.col("bar_open_ms") / step / sl.length).alias("slice")
+    asked = anchors.select("symbol", home, F.explode(F.array(F.col("bar_open_ms"), F.col("bar_open_ms") + step)).alias("cut")).distinct()
+    close = tape.klines.select("symbol", F.col("bar_open_ms").alias("cut"), F.col("close").alias("level"))
+    before = tape.klines.select("symbol", (F.col("bar_open_ms") + step).alias("cut"), F.col("close").alias("back"))
+    asked = asked.join(close, ["symbol", "cut"], "left").join(before, ["symbol", "cut"], "left")
+    none = F.lit(None).cast("double")
+    base = asked.select("symbol", F.lit(None).cast("bigint").alias("cut"), "slice", none.alias("level"), none.alias("back")).distinct()
+    return pin(asked.unionByName(base))
+
+
+def _copies(rows: DataFrame, cuts: DataFrame, sl: Slices, step: int, truncate: bool) -> DataFrame:
+    """Rows (with `_bar`, the bar that first sees them) once per replay that reads them; `_later` marks what lies after the cut."""
+    slot = F.floor(F.col("_bar") / step)
+    near = F.sequence(F.floor((slot - sl.ahead) / sl.length), F.floor((slot + sl.halo) / sl.length))
+    x = rows.withColumn("slice", F.explode(near)).join(cuts, ["symbol", "slice"])
+    later = F.coalesce(F.col("_bar") > F.col("cut"), F.lit(False))
+    name = F.concat_ws("@", "symbol", F.col("slice").cast("string"), F.coalesce(F.col("cut").cast("string"), F.lit("-")))
+    x = x.filter(~later) if truncate else x
+    return x.withColumns({"_later": later, "symbol": name}).drop("slice")
+
+
+def _other_bars(x: DataFrame, mode: str, seed: int, step: int) -> DataFrame:
+    """The bars with another future: random prices and volumes, three bars back at the old price, or every move reversed."""
+    u = lambda salt: uniform(f"{seed}{salt}", "symbol", "bar_open_ms")
+    new: dict[str, Column] = {}
+    later = F.col("_later")
+    if mode == "noise":
+        close, open_ = (F.col("close") * F.exp((u(s) - 0.5) * 2) for s in "co")
+        new = {"close": close, "open": open_, "high": F.greatest(close, open_) * (1 + u("h")), "low": F.least(close, open_) * (1 - 0.5 * u("l")),
+               "v_kline": u("v") * 1e6, "quote_volume": u("q") * 1e6}
+    elif mode == "revert":
+        level = F.coalesce("back", "level", "close")
+        later = later & (F.col("_bar") <= F.col("cut") + 3 * step)
+        new = {"close": level, "open": level, "high": level * 1.001, "low": level * 0.999}
+    elif mode == "signflip":
+        level = F.coalesce("level", "back", "close")
+        new = {c: level * level / F.col(o) for c, o in (("close", "close"), ("open", "open"), ("high", "low"), ("low", "high"))}
+    return x.withColumns({c: F.when(later, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
+def replays(tape: Tape, cuts: DataFrame, sl: Slices, step: int, mode: str = "truncate", seed: int = 1) -> Tape:
+    """The tape of all replays. Marks belong to the first bar whose close is not before them; later ones vanish or get random values."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}, got {mode}")
+    cut = mode == "truncate"
+    klines = _copies(tape.klines.withColumn("_bar", F.col("bar_open_ms")), cuts, sl, step, cut)
+    trades = _copies(tape.trades.withColumn("_bar", B.bar_open("ts_ms", step)), cuts, sl, step, cut)
+    # a mark on a bar's closing time is still seen by that bar
+    seen = lambda marks: _copies(marks.withColumn("_bar", F.ceil((F.col("ts_ms") - step) / step) * step), cuts, sl, step, cut)
+    funding, oi = seen(tape.funding), seen(tape.oi)
+    if not cut:
+        klines = _other_bars(klines, mode, seed, step)
+        if mode == "noise":
+            trades = trades.withColumns({"quantity": F.when(F.col("_later"), uniform(f"{seed}t", "symbol", "ts_ms", "quantity") * 100).otherwise(F.col("quantity")),
+                                         "is_buyer_maker": F.col("is_buyer_maker") != F.col("_later")})
+        other = lambda marks, scale: marks.withColumn("value", F.when(F.col("_later"), uniform(f"{seed}m", "symbol", "ts_ms") * scale).otherwise(F.col("value")))
+        funding, oi = other(funding, 0.01), other(oi, 1e9)
+    keep = lambda df, like: df.select(*like.columns)
+    return Tape(keep(klines, tape.klines), keep(trades, tape.trades), keep(funding, tape.funding), keep(oi, tape.oi))
+
+
+def _same(a: Column, b: Column, kind: str) -> Column:
+    if kind in ("double", "float"):
+        # replays repeat the same arithmetic on the same chunks; only the order of sums in a shuffle may differ
+        return (F.isnan(a) & F.isnan(b)) | (a.isNull() & b.isNull()) | F.coalesce(F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.lit(1.0)), F.lit(False))
+    return a.eqNullSafe(b)
+
+
+def audit(tape: Tape, cfg: FeatureConfig, sl: Slices, anchors: DataFrame | None = None, mode: str = "truncate", outputs: Mapping[str, int] = OUTPUTS,
+          pipeline: Pipeline = feature_pipeline, whole: bool = False, seed: int = 1) -> DataFrame:
+    """output, n_checks, n_failures, n_anchors and n_bars: comparisons of every output at every anchor.
+
+    Without `anchors` every bar is one and the sweep is exhaustive. An output that may read k bars ahead is compared at the bar k before the cut;
+    with `whole` also at all earlier bars of the slice. A row that only one side has fails every output, so neither a lost nor
+    an invented bar passes. n_anchors counts the anchors whose rows were met on both sides of a check without look-ahead.
+    """
+    step = cfg.bar_ms
+    anchors = (tape.klines if anchors is None else anchors).select("symbol", "bar_open_ms").distinct()
+    cuts = _cuts(anchors, tape, sl, step)
+    made = pipeline(replays(tape, cuts, sl, step, mode, seed), cfg)
+    kinds = dict(made.dtypes)
+    part = lambda i: F.regexp_extract("symbol", _NAME, i)
+    t, cut = F.col("bar_open_ms"), F.when(part(3) != "-", part(3).cast("bigint"))
+    made = made.select(part(1).alias("sym"), part(2).cast("bigint").alias("slice"), cut.alias("cut"), t.alias("t"), *outputs).filter(
+        F.floor(t / step / sl.length) == F.col("slice"))
+    made = pin(made.filter(F.col("cut").isNull() | (F.col("t") <= F.col("cut")) if whole else F.col("cut").isNull() | (F.col("cut") - F.col("t")).isin(*[k * step for k in sorted(set(outputs.values()))])))
+    base = made.filter("cut is null").select("sym", "t", F.lit(1).alias("_b"), *[F.col(c).alias(f"_b_{c}") for c in outputs])
+    off = ((F.col("cut") - F.col("t")) / step).cast("int")
+    got = made.filter("cut is not null").select("sym", "t", "cut", off.alias("off"), F.lit(1).alias("_r"), *outputs)
+    asked = anchors.select(F.col("symbol").alias("sym"), t.alias("t"))
+    if whole:
+        # every bar of the slice up to each cut
+        at = asked.select("sym", F.col("t").alias("cut"), F.floor(F.col("t") / step / sl.length).alias("slice"))
+        spine = base.select("sym", "t", F.floor(F.col("t") / step / sl.length).alias("slice")).join(at, ["sym", "slice"]).filter("t <= cut")
+        want = spine.select("sym", "t", "cut", ((F.col("cut") - F.col("t")) / step).cast("int").alias("off"))
+        got = got.join(asked.select("sym", F.col("t").alias("cut")), ["sym", "cut"], "left_semi")
+    else:
+        want = asked.select("sym", "t", F.explode(F.array(*[F.lit(k) for k in sorted(set(outputs.values()))])).alias("off"))
+        want = want.withColumn("cut", F.col("t") + F.col("off") * step)
+        known = asked.select("sym", "t", F.lit(1).alias("_k")).join(base.select("sym", "t", F.lit(1).alias("_kb")), ["sym", "t"], "full_outer")
+        # a replay's row counts where it is asked for, or where the baseline knows no such bar
+        got = got.join(known, ["sym", "t"], "left").filter("_k is not null or _kb is null").drop("_k", "_kb")
+    j = want.withColumn("_w", F.lit(1)).join(got, ["sym", "t", "off", "cut"], "full_outer").join(base, ["sym", "t"], "left")
+    met = F.col("_w").isNotNull() & F.col("_r").isNotNull() & F.col("_b").isNotNull()
+    j = j.withColumn("_met", met)
+    sums = []
+    for c, k in outputs.items():
+        checked = F.col("off") >= k if whole else F.col("off") == k
+        sums += [F.count_if(checked).alias(f"n_{c}"), F.count_if(checked & ~(F.col("_met") & _same(F.col(f"_b_{c}"), F.col(c), kinds[c]))).alias(f"f_{c}")]
+    total = j.agg(*sums, F.count_if((F.col("off") == 0) & F.col("_met")).alias("n_anchors"))
+    per = F.inline(F.array(*[F.struct(F.lit(c).alias("output"), F.col(f"n_{c}").alias("n_checks"), F.col(f"f_{c}").alias("n_failures")) for c in outputs]))
+    bars = tape.klines.agg(F.count("*").alias("n_bars"))
+    return total.crossJoin(F.broadcast(bars)).select("n_anchors", "n_bars", per).select("output", "n_checks", "n_failures", "n_anchors", "n_bars")
+
+
+def assert_covered(report: DataFrame) -> DataFrame:
+    """The report, or an error in the job where an anchor of an exhaustive sweep was not met."""
+    whole = F.col("n_anchors") == F.col("n_bars")
+    return report.filter(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("the sweep does not cover every bar")).cast("boolean")))
+
+
+def caught_leaks(tape: Tape, cfg: FeatureConfig, sl: Slices, leaks: Mapping[str, int | None], anchors: DataFrame | None = None) -> DataFrame:
+    """leak, n_failures and the outputs flagged, for leaks planted into the pipeline's own operators; a time plants the leak at that bar alone."""
+    out = None
+    for leak, at in leaks.items():
+        report = audit(tape, replace(cfg, leak=leak, leak_ms=at), sl, anchors)
+        one = report.filter("n_failures > 0").agg(F.coalesce(F.sum("n_failures"), F.lit(0)).alias("n_failures"), F.array_sort(F.collect_list("output")).alias("outputs"))
+        one = one.select(F.lit(leak).alias("leak"), "n_failures", "outputs")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def control_arm(tape: Tape, cfg: FeatureConfig, sl: Slices, leaks: Mapping[str, int | None], anchors: DataFrame | None = None) -> DataFrame:
+    """check, holds, n, valid: the audit counts only if its slices are longer than the warm-up and hold valid targets, the clean
+    pipeline passes with every anchor met, each planted leak is caught and single-bar leaks stand past the warm-up of a slice."""
+    step = cfg.bar_ms
+    asked = pin((tape.klines if anchors is None else anchors).select("symbol", "bar_open_ms").distinct())
+    n_asked = asked.count()
+    cuts = _cuts(asked, tape, sl, step).filter("cut is null")
+    live = feature_pipeline(replays(tape, cuts, sl, step), cfg).filter("target_valid").count()
+    rows = [("slice_exceeds_warm_up", sl.halo + sl.length > cfg.warm_vol, sl.halo + sl.length), ("valid_targets", live > 0, live)]
+    clean = audit(tape, cfg, sl, asked).agg(F.sum("n_failures"), F.min("n_checks"), F.min("n_anchors")).first()
+    rows += [("clean_passes", clean[0] == 0 and clean[1] > 0, clean[0]), ("all_anchors_met", clean[2] == n_asked, clean[2])]
+    for leak, at in leaks.items():
+        if at is not None:
+            inside = (at // step) % sl.length + sl.halo > cfg.warm_vol and asked.filter(F.col("bar_open_ms") == at).count() > 0
+            rows.append((f"{leak}_inside", inside, at))
+    for r in caught_leaks(tape, cfg, sl, leaks, asked).collect():
+        rows.append((f"caught_{r['leak']}", r["n_failures"] > 0, r["n_failures"]))
     ok = all(r[1] for r in rows)
-    return df.sparkSession.createDataFrame([(n, bool(p), int(v or 0), ok) for n, p, v in rows], "check string, holds boolean, count long, valid boolean")
+    return asked.sparkSession.createDataFrame([(n, bool(p), int(v or 0), ok) for n, p, v in rows], "check string, holds boolean, n long, valid boolean")
 
 
-def anchor_strata(df: DataFrame, flags: dict[str, Column], n: int, seed: int, radius: int = 3, block: int = 10_080) -> DataFrame:
-    """Up to n rows per (symbol, stratum) near flagged rows, plus a random background."""
+def anchor_strata(df: DataFrame, flags: Mapping[str, Column], n: int, seed: int, radius: int = 3, block: int = 10_080) -> DataFrame:
+    """Up to n rows per (symbol, stratum): flagged rows first, then rows within `radius` of one; and a random background.
+
+    `df` carries row_idx, the row's position in its symbol.
+    """
     x = row_halo(df.withColumns({f"_k_{k}": c.cast("int") for k, c in flags.items()}), ["symbol"], "row_idx", radius, radius, block)
     w = Window.partitionBy("symbol", CHUNK).orderBy("row_idx").rowsBetween(-radius, radius)
     x = x.withColumns({f"_n_{k}": F.max(f"_k_{k}").over(w) for k in flags}).filter(CORE)
-    none = F.lit(None).cast("string")
-    strata = F.array_compact(F.array(*[F.when(F.col(f"_n_{k}") == 1, k).otherwise(none) for k in flags], F.lit("background")))
-    x = x.select("symbol", "bar_open_ms", "row_idx", F.explode(strata).alias("stratum"))
-    from barloom.operators.samples import cap_per_group
-
-    return cap_per_group(x, ["symbol", "stratum"], n, seed, ["symbol", "stratum", "row_idx"])
-
-
-# ---- transforms with a planted leak ------------------------------------------------------------------------------------
-
-def causal_transform(cfg: FeatureConfig, leak: str | None = None) -> Transform:
-    """Segments, return, z-score, volatility and target; ``leak`` swaps one piece for one that reads the future."""
-    from barloom.operators import features as X
-    from barloom.operators import segments as S
-
-    def run(bars: DataFrame) -> DataFrame:
-        tl = S.timeline(cfg)
-        w = tl.by_segment()
-        x = S.with_segments(bars, cfg, min(cfg.chunk, cfg.z_window + cfg.vol_window), 3)
-        x = x.withColumn("ret", X.log_return(cfg))
-        if leak == "centered_zscore":
-            near = w.rowsBetween(-cfg.z_window, cfg.z_window)
-            z = (F.col("ret") - F.avg("ret").over(near)) / F.sqrt(F.var_pop("ret").over(near) + 1e-8)
-        elif leak == "global_zscore":
-            near = Window.partitionBy(*tl.on_chunk)
-            z = (F.col("ret") - F.avg("ret").over(near)) / F.sqrt(F.var_pop("ret").over(near) + 1e-8)
-        else:
-            z = X.rolling_zscore("ret", cfg)
-        sigma = X.rolling_vol("ret", cfg)
-        if leak == "sigma_next":
-            sigma = sigma + F.abs(F.coalesce(F.lead("ret").over(w), F.lit(0.0)))
-        if leak == "single_bar":
-            sigma = sigma + F.when(F.floor(F.col("bar_open_ms") / cfg.bar_ms) % 7 == 3, F.abs(F.coalesce(F.lead("ret").over(w), F.lit(0.0)))).otherwise(0.0)
-        x = x.withColumns({"z": z, "sigma": sigma, "next_ret": F.lead("ret").over(w)})
-        wick = F.col("high") / F.greatest("open", "close") - 1
-        clipped = wick > 0.05
-        if leak == "forward_revert":
-            clipped = clipped & (F.abs(F.coalesce(F.lead("close", 3).over(w), F.col("close") * 9) / F.col("close") - 1) < 0.5)
-        x = x.withColumns({"clipped": clipped, "target": F.col("next_ret") / (F.col("sigma") + 1e-8), "target_valid": F.col("next_ret").isNotNull()})
-        if leak == "validity_next":
-            x = x.withColumn("target_valid", F.col("target_valid") & F.lead("ret", 2).over(w).isNotNull())
-        return x.filter(CORE)
-
-    return run
-
-
-OUTPUTS = {"segment_id": 0, "ret": 0, "z": 0, "sigma": 0, "clipped": 0, "target": 1, "target_valid": 1}
-
-
-def token_flips(df: DataFrame, tokenise: Transform, span: int, step: int, mutate_from: int, mode: str = "noise") -> DataFrame:
-    """Share of token ids before ``mutate_from`` that change when only later bars of the slice are replaced."""
-    full = tokenise(whole_slices(df, span, step)).select(F.col("symbol").alias("_base"), "bar_open_ms", F.col("token").alias("_full"))
-    x = perturbed(df, span, step, mode).filter(F.substring_index("symbol", "@", -1).cast("int") == mutate_from - 1)
-    part = tokenise(x).select(F.substring_index("symbol", "@", 1).alias("_base"), "bar_open_ms", "token")
-    early = F.floor(F.col("bar_open_ms") / step) % span < mutate_from
-    return full.filter(early).join(part, ["_base", "bar_open_ms"]).agg(
-        F.count("*").alias("n"), F.count_if(~F.col("token").eqNullSafe(F.col("_full"))).alias("n_flips"))
+    entry = lambda k, must: F.struct(F.lit(k).alias("stratum"), must.alias("must"))
+    strata = F.array_compact(F.array(*[F.when(F.col(f"_n_{k}") == 1, entry(k, F.coalesce(F.col(f"_k_{k}"), F.lit(0)))) for k in flags], entry("background", F.lit(0))))
+    x = x.select("symbol", "bar_open_ms", "row_idx", F.inline(strata))
+    sure = cap_per_group(x.filter("must = 1").drop("must"), ["symbol", "stratum"], n, seed, ["symbol", "stratum", "row_idx"])
+    held = sure.groupBy("symbol", "stratum").agg(F.count("*").alias("_held"))
+    # of the rest at most n a group are drawn, in the order of their draw, and as many kept as the flagged rows leave room for
+    rest = cap_per_group(x.filter("must = 0").drop("must"), ["symbol", "stratum"], n, seed, ["symbol", "stratum", "row_idx"])
+    order = Window.partitionBy("symbol", "stratum").orderBy(uniform(seed, "symbol", "stratum", "row_idx"), "row_idx")
+    rest = rest.withColumn("_r", F.row_number().over(order)).join(held, ["symbol", "stratum"], "left").filter(F.col("_r") + F.coalesce("_held", F.lit(0)) <= n)
+    return sure.select("symbol", "bar_open_ms", "row_idx", "stratum").unionByName(rest.select("symbol", "bar_open_ms", "row_idx", "stratum"))
+
+
+def token_flips(tape: Tape, cfg: FeatureConfig, sl: Slices, tokenise: Callable[[DataFrame], DataFrame], anchors: DataFrame, mode: str = "noise") -> DataFrame:
+    """n and n_flips: token ids at or before the anchors, and those that change when only later ticks, bars and marks are replaced."""
+    report = audit(tape, cfg, sl, anchors, mode, {"token": 0}, lambda t, c: tokenise(feature_pipeline(t, c)), whole=True)
+    return report.select(F.col("n_checks").alias("n"), F.col("n_failures").alias("n_flips"))

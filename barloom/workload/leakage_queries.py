@@ -1,4 +1,4 @@
-"""L1-L6 on hourly bars: every bar is a cut, planted leaks must be caught."""
+"""L1-L6 on the feature pipeline over hourly bars: every bar is a cut, planted leaks must be caught."""
 
 from dataclasses import replace
 
@@ -12,46 +12,57 @@ from barloom.workload.registry import query
 from barloom.workload.stats_queries import u_sql
 from barloom.workload.views import HCFG, HOUR, sql
 
-SPAN = 24
-CFG = replace(HCFG, z_window=8, vol_window=6, n_warm=3, chunk=SPAN)
-# a clean audit has no failures by definition, so the twin only has to count the comparisons
-_OUT0, _OUT1 = [k for k, v in L.OUTPUTS.items() if v == 0], [k for k, v in L.OUTPUTS.items() if v == 1]
-_AUDIT = sql(
-    f"SELECT unnest([{', '.join(repr(o) for o in _OUT0)}]) AS output, (SELECT count(*) FROM klines) AS n_checks, 0::BIGINT AS n_failures UNION ALL "
-    f"SELECT unnest([{', '.join(repr(o) for o in _OUT1)}]), (SELECT count(*) FROM klines WHERE bar_open_ms // {HOUR} % {SPAN} < {SPAN - 1}), 0", "klines")
+#: Slices of a day after a warm-up as long as the longest look-back.
+SLICES = L.Slices(24, HCFG.halo, 4)
+_PARTS = ", ".join(f"'{o}'" for o in L.OUTPUTS)
+# a clean audit has no failures by definition; the twin counts the comparisons that must have been made
+_AUDIT = sql(f"SELECT unnest([{_PARTS}]) AS output, (SELECT count(*) FROM klines) AS n_checks, 0::BIGINT AS n_failures, "
+             "(SELECT count(*) FROM klines) AS n_anchors, (SELECT count(*) FROM klines) AS n_bars", "klines")
 
 
-def bars(spark, sf_dir):
-    return pin(V.klines(spark, sf_dir).select("symbol", "bar_open_ms", "open", "high", "low", "close"))
+def tape(spark, sf_dir):
+    """Stated bars, ticks and two series of marks: what the feature pipeline is built from."""
+    return L.Tape(V.stated(spark, sf_dir), V.trades(spark, sf_dir), V.funding(spark, sf_dir), V.open_interest(spark, sf_dir)).pinned()
 
 
 @query("truncation_sweep", _AUDIT)
 def truncation_sweep(spark, sf_dir):
-    return L.audit(bars(spark, sf_dir), L.causal_transform(CFG), L.OUTPUTS, SPAN, HOUR)
+    return L.assert_covered(L.audit(tape(spark, sf_dir), HCFG, SLICES))
 
 
 for _mode in ("noise", "revert", "signflip"):
     @query(f"perturbation_probe_{_mode}", _AUDIT)
     def _probe(spark, sf_dir, mode=_mode):
-        return L.audit(bars(spark, sf_dir), L.causal_transform(CFG), L.OUTPUTS, SPAN, HOUR, mode)
+        return L.assert_covered(L.audit(tape(spark, sf_dir), HCFG, SLICES, mode=mode))
 
 
-LEAKS = ("centered_zscore", "global_zscore", "sigma_next", "forward_revert", "single_bar", "validity_next")
+def leak_bar(t):
+    """A bar in the middle of the tape whose slice is past the warm-up: the last but two of its day."""
+    lo, hi = t.klines.agg(F.min("bar_open_ms"), F.max("bar_open_ms")).first()
+    return ((lo + hi) // 2 // HOUR // SLICES.length * SLICES.length + SLICES.length - 3) * HOUR
 
 
-@query("planted_leaks")
+def planted(t):
+    at = leak_bar(t)
+    return {"centered_zscore": None, "global_zscore": None, "sigma_next": None, "forward_revert": None, "validity_next": at}
+
+
+_CAUGHT = ("centered_zscore", "global_zscore", "sigma_next", "forward_revert", "validity_next")
+
+
+@query("planted_leaks", f"SELECT unnest([{', '.join(repr(k) for k in _CAUGHT)}]) AS leak, true AS caught")
 def planted_leaks(spark, sf_dir):
-    b, out = bars(spark, sf_dir), None
-    for leak in LEAKS:
-        part = L.audit(b, L.causal_transform(CFG, leak), L.OUTPUTS, SPAN, HOUR).withColumn("leak", F.lit(leak))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("leak").agg(F.sum("n_failures").alias("n_failures"))
+    t = tape(spark, sf_dir)
+    return L.caught_leaks(t, HCFG, SLICES, planted(t)).select("leak", (F.col("n_failures") > 0).alias("caught"))
+
 
+_ARM = ("slice_exceeds_warm_up", "valid_targets", "clean_passes", "all_anchors_met", "sigma_next_inside", "caught_sigma_next")
 
-@query("audit_control_arm")
+
+@query("audit_control_arm", f"SELECT unnest([{', '.join(repr(k) for k in _ARM)}]) AS check, true AS holds, true AS valid")
 def audit_control_arm(spark, sf_dir):
-    planted = {k: L.causal_transform(CFG, k) for k in ("sigma_next", "centered_zscore")}
-    return L.control_arm(bars(spark, sf_dir), L.causal_transform(CFG), planted, L.OUTPUTS, SPAN, HOUR, "target_valid")
+    t = tape(spark, sf_dir)
+    return L.control_arm(t, HCFG, SLICES, {"sigma_next": leak_bar(t)}).select("check", "holds", "valid")
 
 
 def _near(flag):
@@ -59,8 +70,9 @@ def _near(flag):
 
 
 @query("anchor_strata", sql(
-    f"""SELECT symbol, bar_open_ms, stratum FROM (SELECT *, row_number() OVER (PARTITION BY symbol, stratum ORDER BY {u_sql("'2:' || symbol || ':' || stratum || ':' || row_idx")}, symbol, stratum, row_idx) AS r FROM
- (SELECT symbol, bar_open_ms, row_idx, unnest(list_filter([CASE WHEN {_near('seg_pos = 0')} THEN 'segment_start' END, CASE WHEN {_near('n_trades <= 3')} THEN 'stale' END, 'background'], lambda x: x IS NOT NULL)) AS stratum
+    f"""SELECT symbol, bar_open_ms, stratum FROM (SELECT *, row_number() OVER (PARTITION BY symbol, e.stratum ORDER BY e.must DESC, {u_sql("'2:' || symbol || ':' || e.stratum || ':' || row_idx")}, symbol, row_idx) AS r, e.stratum AS stratum FROM
+ (SELECT symbol, bar_open_ms, row_idx, unnest(list_filter([CASE WHEN {_near('seg_pos = 0')} THEN {{'stratum': 'segment_start', 'must': (seg_pos = 0)::INT}} END,
+  CASE WHEN {_near('n_trades <= 3')} THEN {{'stratum': 'stale', 'must': (n_trades <= 3)::INT}} END, {{'stratum': 'background', 'must': 0}}], lambda x: x IS NOT NULL)) AS e
  FROM panel)) WHERE r <= 12""", "panel"))
 def anchor_strata(spark, sf_dir):
     p = pin(V.panel(spark, sf_dir).select("symbol", "bar_open_ms", "row_idx", "seg_pos", "is_stale"))
@@ -68,17 +80,27 @@ def anchor_strata(spark, sf_dir):
     return out.select("symbol", "bar_open_ms", "stratum")
 
 
-def _tokeniser(leak=None):
-    run = L.causal_transform(CFG, leak)
-    return lambda df: run(df).withColumn("token", K.fsq_codes(F.array("z", "ret"), [9, 7])[0])
+def _tokens(df):
+    """Codes of return, range and order flow."""
+    return df.withColumn("token", K.fsq_codes(F.array("x_0", "x_1", "x_7"), [9, 7, 5])[0])
+
+
+def _noons(t):
+    """The middle bar of every day that has it."""
+    return t.klines.filter(F.floor(F.col("bar_open_ms") / HOUR) % SLICES.length == 12)
+
+
+_EARLIER = sql(f"SELECT count(*) AS n FROM klines k JOIN klines c ON k.symbol = c.symbol AND k.bar_open_ms // {24 * HOUR} = c.bar_open_ms // {24 * HOUR} "
+               f"AND k.bar_open_ms <= c.bar_open_ms WHERE c.bar_open_ms // {HOUR} % 24 = 12", "klines")
 
 
-@query("token_causality_probe", sql(
-    f"SELECT (SELECT count(*) FROM klines WHERE bar_open_ms // {HOUR} % {SPAN} < 12) AS n, 0::BIGINT AS n_flips", "klines"))
+@query("token_causality_probe", _EARLIER.replace("count(*) AS n", "count(*) AS n, 0::BIGINT AS n_flips"))
 def token_causality_probe(spark, sf_dir):
-    return L.token_flips(bars(spark, sf_dir), _tokeniser(), SPAN, HOUR, 12)
+    t = tape(spark, sf_dir)
+    return L.token_flips(t, HCFG, SLICES, _tokens, _noons(t))
 
 
-@query("token_causality_planted")
+@query("token_causality_planted", _EARLIER.replace("count(*) AS n", "count(*) AS n, true AS caught"))
 def token_causality_planted(spark, sf_dir):
-    return L.token_flips(bars(spark, sf_dir), _tokeniser("centered_zscore"), SPAN, HOUR, 12)
+    t = tape(spark, sf_dir)
+    return L.token_flips(t, replace(HCFG, leak="centered_zscore"), SLICES, _tokens, _noons(t)).select("n", (F.col("n_flips") > 0).alias("caught"))
