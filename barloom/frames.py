@@ -269,6 +269,35 @@ def _rank_placed(placed: DataFrame, keys: Sequence[str], value: str) -> DataFram
         *keys, value, "n", (F.col("_off") + F.col("_upto") - F.col("n")).alias("below"), "total")
 
 
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
+    """Rows with a value, and its 1-based rank in the key, ties at their mean rank.
+
+    Rows are dealt by range of (keys, value, hash of the row), so a value that half of the rows hold is cut like any other and
+    the rank travels with the row. A tie group that spans ranges is the first or last value of each of them, so the first and
+    last values of a range, with their counts, are all that ranges need to know of each other.
+    """
+    held = df.filter(F.col(value).isNotNull())
+    order = [*keys, value]
+    dealt = pin(held.withColumn("_salt", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).repartitionByRange(*order, "_salt").withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy(*keys, "_part")
+    ranked = dealt.withColumns({"_below": F.rank().over(local.orderBy(value)) - 1, "_same": F.count("*").over(Window.partitionBy(*keys, "_part", value)),
+                                "_first": F.min(value).over(local), "_last": F.max(value).over(local)})
+    sizes = dealt.groupBy(*keys, "_part", value).agg(F.count("*").alias("_c"))
+    ends = sizes.groupBy(*keys, "_part").agg(F.sum("_c").alias("_n"), F.min(F.struct(value, "_c")).alias("_lo"), F.max(F.struct(value, "_c")).alias("_hi"))
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = pin(ends.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    edge = ends.select(*keys, "_part", F.inline(F.array_distinct(F.array("_lo", "_hi"))))
+    earlier = Window.partitionBy(*keys, value).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.select(*keys, "_part", value, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_prior"), F.sum("_c").over(Window.partitionBy(*keys, value)).alias("_all"))
+    edge = edge.groupBy(*keys, "_part").agg(F.min(F.struct(value, "_prior", "_all")).alias("_lo"), F.max(F.struct(value, "_prior", "_all")).alias("_hi"))
+    carried = ends.select(*keys, "_part", "_start").join(edge, [*keys, "_part"])
+    x = ranked.join(carried, [*keys, "_part"])
+    at_first, at_last = F.col(value) == F.col("_first"), F.col(value) == F.col("_last")
+    below = F.col("_start") + F.when(at_first, -F.col("_lo._prior")).otherwise(F.col("_below"))
+    ties = F.when(at_first, F.col("_lo._all")).when(at_last, F.col("_hi._all")).otherwise(F.col("_same"))
+    return x.select(*df.columns, (below + (ties + 1) / 2).alias(out))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per key from the distributed ranks, one column per share."""
     ranks = value_ranks(df.filter(F.col(value).isNotNull()), keys, value)

@@ -15,7 +15,7 @@ from barloom.frames import Timeline, exact_quantiles, row_index, value_ranks
 from barloom.functions.special import EULER_GAMMA, norm_cdf_udf, norm_ppf, norm_ppf_udf, t_ppf_udf, welch_df
 from barloom.operators.evaluate import ir, ppy
 from barloom.operators.samples import block_bootstrap
-from barloom.operators.windows import acf, average_rank
+from barloom.operators.windows import average_rank, effective_n
 from barloom.session import pin
 
 
@@ -72,33 +72,6 @@ def screen_verdict(screen: DataFrame, keys: Sequence[str]) -> DataFrame:
                       .when(F.col("_c"), "carries-signal").otherwise("live-no-signal").alias("verdict"))
 
 
-def effective_n(df: DataFrame, keys: Sequence[str], value: str, max_lag: int = 1440, batch: int = 16) -> DataFrame:
-    """N deflated by the autocorrelations up to the first one inside the white-noise band.
-
-    Lags are evaluated in batches until every key has met its band; most series stop within the first.
-    """
-    df = pin(df.select(*keys, "row_idx", value))
-    sizes = pin(df.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop(value).alias("_sd")))
-    found: DataFrame | None = None
-    for lo in range(1, max_lag + 1, batch):
-        part = acf(df, keys, value, list(range(lo, min(lo + batch, max_lag + 1))))
-        found = pin(part if found is None else found.unionByName(part))
-        band = found.join(sizes, list(keys)).filter("lag < n")
-        stopped = band.filter(F.abs("rho") < 1.96 / F.sqrt("n")).select(*keys).distinct()
-        still = sizes.filter((F.col("_sd") > 0) & (F.col("n") > lo + batch)).join(stopped, list(keys), "left_anti")
-        if still.first() is None:
-            break
-    noise = F.when(F.abs("rho") < 1.96 / F.sqrt("n"), F.col("lag"))
-    joined = found.join(sizes, list(keys)).filter("lag < n")
-    stop = joined.groupBy(*keys).agg(F.min(noise).alias("_stop"))
-    used = joined.join(stop, list(keys)).filter("_stop is null or lag < _stop")
-    acc = used.groupBy(*keys).agg(F.sum((1 - F.col("lag") / F.col("n")) * F.col("rho")).alias("_acc"), F.count("*").alias("lags_used"))
-    out = sizes.join(acc, list(keys), "left").na.fill({"_acc": 0.0, "lags_used": 0})
-    factor = 1 + 2 * F.col("_acc")
-    raw = F.when((factor > 0) & (F.col("n") >= 3) & (F.col("_sd") > 0), F.col("n") / F.nullif(factor, F.lit(0.0))).otherwise(F.col("n"))
-    return out.select(*keys, "n", F.least(raw, F.col("n").cast("double")).alias("n_eff"), "lags_used")
-
-
 def mde_from_neff(n_eff: Column, z: float = 1.96) -> dict[str, Column]:
     se = 1 / F.sqrt(F.greatest(n_eff, F.lit(1.0)))
     return {"se": se, "mde_single": se * z, "mde_two_cell": se * z * math.sqrt(2.0)}

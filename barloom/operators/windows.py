@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import EMBARGO_BARS
-from barloom.frames import CHUNK, CORE, LSEG, Timeline, last_known, row_halo, running_sums, value_ranks, with_halo
+from barloom.frames import CHUNK, CORE, LSEG, Timeline, average_ranks, dealt_groups, last_known, row_halo, running_sums, whole_groups, with_halo
+from barloom.session import pin
 
 
 def framed(df: DataFrame, tl: Timeline, back: int = 0, ahead: int = 0) -> DataFrame:
@@ -112,19 +115,63 @@ def lag_correlation(df: DataFrame, tl: Timeline, a: str, b: str, usable: Column,
         "lag_margin": F.col("r0") - best, "passes": F.col("r0") > best + margin})
 
 
+def lag_products(df: DataFrame, keys: Sequence[str], index: str, value: str, max_lag: int, block: int = 10_080) -> DataFrame:
+    """(keys, lag, s) for lags 0 to ``max_lag``: sum over rows of value(i) * value(i + lag); NULL and NaN values count as 0.
+
+    A block of rows, with ``max_lag`` rows of its successor as halo, gives all its lags in one pass.
+    """
+    x = row_halo(df.select(*keys, index, F.col(value).cast("double").alias("_v")), keys, index, 0, max_lag, max(block, max_lag))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            g, core, v = t["_g"].to_numpy(), t[CORE].to_numpy(zero_copy_only=False), np.nan_to_num(t["_v"].to_numpy(zero_copy_only=False))
+            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            sums, own = [], []
+            for lo, hi in zip(starts, np.append(starts[1:], len(g))):
+                n = int(core[lo:hi].sum())  # halo rows come after the block's own
+                if not n:
+                    continue
+                own.append(lo)
+                ahead = np.concatenate([v[lo:hi], np.zeros(max(0, n + max_lag - (hi - lo)))])[:n + max_lag]
+                sums.append(np.correlate(ahead, v[lo:lo + n], "valid"))
+            first = t.take(pa.array(own, pa.int64())).select(list(keys))
+            yield from first.append_column("_s", pa.array(sums, pa.list_(pa.float64()))).combine_chunks().to_batches()
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    parts = dealt_groups(x, [*keys, CHUNK], index).mapInArrow(run, f"{kinds}, _s array<double>")
+    return parts.select(*keys, F.posexplode("_s").alias("lag", "_p")).groupBy(*keys, "lag").agg(F.sum("_p").alias("s"))
+
+
+def _autocorrelations(df: DataFrame, keys: Sequence[str], value: str, max_lag: int, block: int) -> DataFrame:
+    """(keys, n, sd, lag, rho) for lags 0 to ``max_lag`` in the order of row_idx; NULL for a constant key or a lag beyond its rows."""
+    sizes = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count("*").alias("n"), F.stddev_pop(value).alias("sd"))
+    centred = df.select(*keys, "row_idx", value).join(sizes, list(keys)).withColumn("_d", F.col(value) - F.col("_mean"))
+    sums = lag_products(centred, keys, "row_idx", "_d", max_lag, block).join(sizes, list(keys))
+    den = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(Window.partitionBy(*keys))  # max_lag + 1 rows a key
+    return sums.withColumn("_den", den).select(*keys, "n", "sd", "lag", F.when((F.col("_den") > 0) & (F.col("lag") < F.col("n")), F.col("s") / F.col("_den")).alias("rho"))
+
+
 def acf(df: DataFrame, keys: Sequence[str], value: str, lags: Sequence[int], block: int = 10_080) -> DataFrame:
     """Autocorrelation per key and lag in row order, global mean and full-sum denominator."""
-    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count("*").alias("_n"))
-    x = df.select(*keys, "row_idx", value).join(means, list(keys)).withColumn("_d", F.col(value) - F.col("_mean"))
-    x = row_halo(x, keys, "row_idx", 0, max(lags), max(block, max(lags)))
-    w = Window.partitionBy(*keys, CHUNK).orderBy("row_idx")
-    x = x.withColumns({f"_k{k}": F.col("_d") * F.lead("_d", k).over(w) for k in lags}).filter(CORE)
-    sums = x.groupBy(*keys).agg(F.sum(F.col("_d") * F.col("_d")).alias("_den"), F.max("_n").alias("_n"),
-                                *[F.sum(f"_k{k}").alias(f"_k{k}") for k in lags])
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_k{k}").alias("num")) for k in lags]))
-    return (sums.select(*keys, "_den", "_n", pairs.alias("p"))
-            .select(*keys, F.col("p.lag").alias("lag"),
-                    F.when((F.col("_den") > 0) & (F.col("p.lag") < F.col("_n")), F.col("p.num") / F.col("_den")).alias("rho")))
+    return _autocorrelations(df, keys, value, max(lags), block).filter(F.col("lag").isin(list(lags))).select(*keys, "lag", "rho")
+
+
+def effective_n(df: DataFrame, keys: Sequence[str], value: str, max_lag: int = 1440, block: int = 10_080) -> DataFrame:
+    """N deflated by the autocorrelations up to the first one inside the white-noise band.
+
+    One pass gives all lags of all keys; a key's lags, at most ``max_lag``, then meet in one array.
+    """
+    rhos = _autocorrelations(pin(df.select(*keys, "row_idx", value)), keys, value, max_lag, block)
+    per = rhos.groupBy(*keys).agg(F.max("n").alias("n"), F.max("sd").alias("_sd"), F.array_sort(F.collect_list(F.when(
+        (F.col("lag") > 0) & (F.col("lag") < F.col("n")), F.struct("lag", "rho")))).alias("_r"))
+    band = 1.96 / F.sqrt("n")
+    stop = F.array_min(F.transform(F.filter("_r", lambda r: F.abs(r["rho"]) < band), lambda r: r["lag"]))
+    used = F.filter("_r", lambda r: F.col("_stop").isNull() | (r["lag"] < F.col("_stop")))
+    weighted = F.aggregate("_u", F.lit(0.0), lambda s, r: s + F.coalesce((1 - r["lag"] / F.col("n")) * r["rho"], F.lit(0.0)))
+    out = per.withColumn("_stop", stop).withColumn("_u", used).withColumn("_acc", weighted)
+    factor = 1 + 2 * F.col("_acc")
+    raw = F.when((factor > 0) & (F.col("n") >= 3) & (F.col("_sd") > 0), F.col("n") / F.nullif(factor, F.lit(0.0))).otherwise(F.col("n"))
+    return out.select(*keys, "n", F.least(raw, F.col("n").cast("double")).alias("n_eff"), F.size("_u").alias("lags_used"))
 
 
 def lag1_autocorr(df: DataFrame, keys: Sequence[str], index: str, value: str, block: int = 10_080) -> DataFrame:
@@ -164,10 +211,8 @@ def seq_context(df: DataFrame, length: int, columns: Sequence[str], out: str = "
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """1-based rank per key with ties at their mean rank."""
-    ranks = value_ranks(df.filter(F.col(value).isNotNull()), keys, value)
-    ranks = ranks.select(*keys, value, (F.col("below") + (F.col("n") + 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value])
+    """1-based rank per key with ties at their mean rank; rows without a value are left out."""
+    return average_ranks(df, keys, value, out)
 
 
 def path_quantiles(paths: DataFrame, shares: Sequence[float] = (0.10, 0.25, 0.50, 0.75, 0.90)) -> DataFrame:

@@ -118,15 +118,17 @@ def moving_block_ci(spark, sf_dir):
 cte("vols", "SELECT symbol, bar_open_ms, sigma - avg(sigma) OVER (PARTITION BY symbol) AS d FROM panel", "panel")
 
 
+cte("nvols", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_open_ms) AS r, count(*) OVER (PARTITION BY symbol) AS n, sum(d * d) OVER (PARTITION BY symbol) AS den FROM vols", "vols")
+
+
 @query("effective_n", sql(
-    f"""SELECT symbol, n, {rq('least(CASE WHEN 1 + 2 * acc > 0 THEN n / (1 + 2 * acc) ELSE n END, n)', 4)} AS n_eff, lags_used FROM (SELECT symbol, any_value(n) AS n,
- coalesce(sum((1 - lag / n) * rho) FILTER (WHERE lag < stop), 0) AS acc, count(*) FILTER (WHERE lag < stop) AS lags_used FROM (SELECT *, coalesce(min(CASE WHEN abs(rho) <
- 1.96 / sqrt(n) THEN lag END) OVER (PARTITION BY symbol), 1000000) AS stop FROM (SELECT symbol, lag, any_value(n) AS n, sum(d * nd) / any_value(den) AS rho FROM ("""
-    + " UNION ALL ".join(f"""SELECT symbol, {k} AS lag, d, lead(d, {k}) OVER (PARTITION BY symbol ORDER BY bar_open_ms) AS nd, sum(d * d) OVER (PARTITION BY symbol) AS den,
- count(*) OVER (PARTITION BY symbol) AS n FROM vols""" for k in range(1, 41)) + ") GROUP BY 1, 2)) GROUP BY 1)", "vols"))
+    f"""SELECT symbol, n, {rq('least(CASE WHEN 1 + 2 * acc > 0 AND n >= 3 AND den > 0 THEN n / (1 + 2 * acc) ELSE n END, n)', 4)} AS n_eff, lags_used FROM (SELECT symbol, any_value(n) AS n,
+ any_value(den) AS den, coalesce(sum((1 - lag / n) * rho) FILTER (WHERE lag < stop), 0) AS acc, (count(*) FILTER (WHERE lag < stop))::INT AS lags_used FROM (SELECT *, coalesce(min(CASE WHEN abs(rho) <
+ 1.96 / sqrt(n) THEN lag END) OVER (PARTITION BY symbol), 1000000) AS stop FROM (SELECT a.symbol, b.r - a.r AS lag, any_value(a.n) AS n, any_value(a.den) AS den, sum(a.d * b.d) / any_value(a.den) AS rho FROM nvols a JOIN nvols b
+ ON a.symbol = b.symbol AND b.r > a.r AND b.r <= a.r + 1440 GROUP BY 1, 2)) GROUP BY 1)""", "nvols"))
 def effective_n(spark, sf_dir):
     p = V.panel(spark, sf_dir).select("symbol", "row_idx", "sigma")
-    out = T.effective_n(p, ["symbol"], "sigma", max_lag=40)
+    out = T.effective_n(p, ["symbol"], "sigma")
     return out.select("symbol", "n", rd("n_eff", 4).alias("n_eff"), "lags_used")
 
 

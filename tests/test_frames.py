@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.frames import (
-    LSEG, Term, Timeline, affine_scan, exact_quantiles, global_rank, last_known, row_index, running_sums, value_ranks,
+    LSEG, Term, Timeline, affine_scan, average_ranks, exact_quantiles, global_rank, last_known, row_index, running_sums, value_ranks,
     with_chunks,
 )
 
@@ -89,3 +89,49 @@ def test_global_rank_without_one_big_window(spark):
     want = pdf.sort_values(["v", "id"])
     assert got["id"].tolist() == want["id"].tolist()
     assert got["running"].tolist() == want["w"].cumsum().tolist()
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_average_ranks_of_ties_that_span_ranges(spark, keys):
+    rng = np.random.default_rng(5)
+    v = np.where(rng.random(2000) < 0.5, 3.0, rng.integers(0, 9, size=2000)).astype(float)
+    pdf = pd.DataFrame({"id": range(2000), "k": np.where(rng.random(2000) < 0.8, "hot", "cold"), "v": v})
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps all ranges apart
+    try:
+        df = spark.createDataFrame(pdf).withColumn("v", F.when(F.col("id") % 50 > 0, F.col("v")))
+        got = average_ranks(df, keys, "v").toPandas().set_index("id")["rank"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    held = pdf[pdf["id"] % 50 > 0].set_index("id")
+    want = (held.groupby("k")["v"] if keys else held["v"]).rank(method="average")
+    assert len(got) == len(want) and np.array_equal(got.sort_index(), want.sort_index())
+
+
+def test_lag_products_and_effective_n(spark):
+    from barloom.operators.windows import effective_n, lag_products
+
+    rng = np.random.default_rng(6)
+    rows, series_of = [], {}
+    for k, n, a in (("hot", 700, 0.97), ("cold", 60, 0.5), ("flat", 9, 0.0), ("two", 2, 0.0)):
+        v = np.zeros(n)
+        for i in range(1, n):
+            v[i] = a * v[i - 1] + (rng.normal() if k != "flat" else 0.0)
+        series_of[k] = v
+        rows += [(k, i, float(x)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "symbol string, row_idx long, v double").repartition(5)
+    for block in (50, 1000):
+        got = {(r["symbol"], r["lag"]): r["s"] for r in lag_products(df, ["symbol"], "row_idx", "v", 40, block).collect()}
+        for k, v in series_of.items():
+            assert all(abs(got[k, lag] - float(v[:len(v) - lag] @ v[lag:] if lag < len(v) else 0.0)) < 1e-8 for lag in range(41))
+    got = {r["symbol"]: r for r in effective_n(df, ["symbol"], "v", max_lag=300, block=300).collect()}
+    for k, v in series_of.items():
+        n, d, acc, used = len(v), v - v.mean(), 0.0, 0
+        if d @ d > 0:
+            for lag in range(1, min(n, 301)):
+                rho = float(d[:n - lag] @ d[lag:]) / float(d @ d)
+                if abs(rho) < 1.96 / n**0.5:
+                    break
+                acc, used = acc + (1 - lag / n) * rho, used + 1
+        want = n if n < 3 or d @ d == 0 or 1 + 2 * acc <= 0 else min(n, n / (1 + 2 * acc))
+        assert got[k]["n_eff"] == pytest.approx(want, rel=1e-9) and (d @ d == 0 or got[k]["lags_used"] == used)
