@@ -152,9 +152,10 @@ def tour(nodes: DataFrame) -> DataFrame:
 
 
 def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames))
-    if rows.empty:
+    held = list(frames)
+    if not sum(map(len, held)):
         return
+    rows = pd.concat(held)
     after = {a: (n, w) for a, n, w in zip(rows["a"], rows["nxt"], rows["w"])}
     at = next(iter(set(after) - {n for n, _ in after.values()}))
     out, pos = [], 0

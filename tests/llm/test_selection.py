@@ -151,12 +151,13 @@ def test_trie_equals_plain(spark):
     assert rows_of(df.transform(prefix_trie.prefix_trie)) == sql("op12_prefix_trie", conversations=df)
 
 
-def test_trie_edge_cases(spark):
-    long = [(3, t, "user", f"turn {t % 700}") for t in range(2 * prefix_trie.CHUNK + 50)]
+def test_trie_edge_cases(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "CHUNK", 16)
+    long = [(3, t, "user", f"turn {t % 70}") for t in range(150)]  # ten chunks
     same = [(c, t, "user", "hello") for c in range(100, 400) for t in range(2)]
     odd = [(None, 1, "user", "no conversation"), (50, None, None, None), (50, None, None, None), (51, 4, "a", "bc"), (52, 4, "ab", "c"), (53, 9, "user", "x" * 100_000), (54, 1, "u", "tie"), (54, 1, "u", "eit")]
     rows = long + same + odd
-    assert rows_of(prefix_trie.prefix_trie(conversations(spark, rows), walk=2000)) == plain_trie(rows)
+    assert rows_of(prefix_trie.prefix_trie(conversations(spark, rows), walk=200)) == plain_trie(rows)
     assert prefix_trie.prefix_trie(conversations(spark, rows).limit(0)).count() == 0
     alone = [(None, 1, "user", "none")]
     assert prefix_trie.prefix_trie(conversations(spark, alone)).count() == 0
