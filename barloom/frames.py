@@ -155,45 +155,119 @@ class Term:
     lagged: bool = False
 
 
-def affine_scan(df: DataFrame, tl: Timeline, terms: Mapping[str, Term]) -> DataFrame:
-    """Evaluate decaying recursions inside every segment, all starting from 0.
+@dataclass(frozen=True)
+class Centred:
+    """Decayed mean and second moment of ``column`` before each row, about the first value of its segment."""
+
+    column: str
+    alpha: float
+
+
+def segment_states(df: DataFrame, tl: Timeline, terms: Mapping[str, Term] | None = None, centred: Mapping[str, Centred] | None = None) -> DataFrame:
+    """Everything that runs through a segment, from one exchange of the rows.
+
+    ``df`` holds chunked rows with ``_brk`` and the local segment number; halo rows are dropped. Adds segment_id (from 0 per
+    key), row_idx, seg_pos; per term its value; per centred ``n`` the columns ``_o_n``, ``_m1_n``, ``_m2_n``.
 
-    ``df`` holds core rows with the chunk columns and ``_brk`` (1 on the first row of a segment). Each chunk is
-    reduced to the state of its last segment; the state entering a chunk is folded from the preceding chunk
-    summaries, of which only those with weight above 2**-80 can matter; then a weighted prefix sum finishes
-    inside the chunk. Weights are formed inside one chunk only, so exponents stay bounded.
+    A chunk acts on the state that enters it as one affine map with a reset where a segment starts inside: so many breaks and rows, and per
+    recursion the decay over its last segment and what that segment adds. Maps compose, so the states that enter all chunks come
+    from one ordered pass over the chunk maps of a key, 1/chunk of the rows, with a memory of one state; nothing is forgotten by
+    rule. Second moments are kept about an origin and moved to another when maps compose. Weights are formed inside one chunk, so
+    exponents stay bounded.
 
     The expressions are SQL text: one string per column is far cheaper to build than a tree of column calls.
     """
-    slowest = max(t.decay for t in terms.values())
-    fastest = min(t.decay for t in terms.values())
-    if tl.chunk * -math.log(fastest) > 700:
-        raise ValueError(f"chunk {tl.chunk} is too long for decay {fastest}; use config.safe_chunk")
+    terms, centred = dict(terms or {}), dict(centred or {})
+    decays = {**{n: t.decay for n, t in terms.items()}, **{n: 1 - c.alpha for n, c in centred.items()}}
+    if decays and tl.chunk * -math.log(min(decays.values())) > 700:
+        raise ValueError(f"chunk {tl.chunk} is too long for decay {min(decays.values())}; use config.safe_chunk")
     chunk_keys = ", ".join(tl.on_chunk)
+    by_chunk = f"PARTITION BY {chunk_keys} ORDER BY {tl.ts}"
     seg = f"PARTITION BY {chunk_keys}, {LSEG}"
-    power = {n: f"pow({t.decay!r}D, {{}})" for n, t in terms.items()}
-    tagged = df.selectExpr(
-        "*", *[f"({t.u}) AS _u_{n}" for n, t in terms.items()],
-        f"row_number() OVER ({seg} ORDER BY {tl.ts}) - 1 AS _at", f"count(1) OVER ({seg}) AS _len",
-        f"max(_brk) OVER ({seg}) AS _opens", f"{LSEG} = max({LSEG}) OVER (PARTITION BY {chunk_keys}) AS _tail")
-    summary = tagged.filter("_tail").groupBy(*tl.on_chunk).agg(
-        F.expr("max(_opens) AS _cut"), F.expr("count(1) AS _n"),
-        *[F.expr(f"sum(_u_{n} * {power[n].format('_len - 1 - _at')}) AS _s_{n}") for n in terms])
-    depth = int(math.ceil(80 * math.log(2) / -math.log(slowest) / tl.chunk)) + 2
-    states = ", ".join(f"_s_{n}" for n in terms)
-    recent = f"PARTITION BY {', '.join(tl.keys)} ORDER BY {CHUNK} ROWS BETWEEN {depth} PRECEDING AND 1 PRECEDING"
-    # a chunk with a segment start forgets what came before it
-    carried = summary.selectExpr(*tl.on_chunk, f"collect_list(struct(_cut, _n, {states})) OVER ({recent}) AS _h").selectExpr(
-        *tl.on_chunk, *[f"aggregate(_h, 0D, (s, c) -> IF(c._cut = 1, 0D, s * {power[n].format('c._n')}) + c._s_{n}) AS _c_{n}"
-                        for n in terms])
-    frames = {True: f"{seg} ORDER BY {tl.ts} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING",
-              False: f"{seg} ORDER BY {tl.ts} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"}
-    prefixed = tagged.selectExpr("*", *[
-        f"coalesce(sum(_u_{n} * {power[n].format('-_at')}) OVER ({frames[t.lagged]}), 0D) * "
-        f"{power[n].format('_at - 1' if t.lagged else '_at')} AS _p_{n}" for n, t in terms.items()])
-    return prefixed.join(carried, tl.on_chunk).selectExpr(*df.columns, *[
-        f"_p_{n} + IF(_opens = 1, 0D, coalesce(_c_{n}, 0D) * {power[n].format('_at' if t.lagged else '_at + 1')}) AS {n}"
-        for n, t in terms.items()])
+    power = {n: f"pow({d!r}D, {{}})" for n, d in decays.items()}
+    keep = [c for c in df.columns if c not in {CORE, "segment_id", "row_idx", "seg_pos", *terms}]
+    x = df.filter(CORE) if CORE in df.columns else df
+    x = x.selectExpr(*keep, *[f"({t.u}) AS _u_{n}" for n, t in terms.items()],
+                     f"row_number() OVER ({seg} ORDER BY {tl.ts}) - 1 AS _at", f"row_number() OVER ({by_chunk}) AS _ix", f"sum(_brk) OVER ({by_chunk}) AS _nb",
+                     f"lead(1) OVER ({by_chunk}) IS NULL AS _end", *[f"first({c.column}) OVER ({seg} ORDER BY {tl.ts}) AS _o_{n}" for n, c in centred.items()])
+    upto, past = (f"OVER ({seg} ORDER BY {tl.ts} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})" for end in ("CURRENT ROW", "1 PRECEDING"))
+    sums = []
+    for n, t in terms.items():
+        sums.append(f"coalesce(sum(_u_{n} * {power[n].format('-_at')}) {past if t.lagged else upto}, 0D) * {power[n].format('_at - 1' if t.lagged else '_at')} AS _p_{n}")
+    for n, c in centred.items():
+        g = f"({c.column} - _o_{n})"
+        for i, v in ((1, g), (2, f"{g} * {g}")):
+            sums.append(f"coalesce(sum({v} * {c.alpha!r}D * {power[n].format('-_at')}) {past}, 0D) * {power[n].format('_at - 1')} AS _p{i}_{n}")
+    local = pin(x.selectExpr("*", *sums))
+    # the map of a chunk: its last row with that row taken in
+    added = [f"_p_{n} * {t.decay!r}D + _u_{n}" if t.lagged else f"_p_{n}" for n, t in terms.items()]
+    first = [f"_p1_{n} * {1 - c.alpha!r}D + ({c.column} - _o_{n}) * {c.alpha!r}D" for n, c in centred.items()]
+    second = [f"_p2_{n} * {1 - c.alpha!r}D + ({c.column} - _o_{n}) * ({c.column} - _o_{n}) * {c.alpha!r}D" for n, c in centred.items()]
+    as_list = lambda v: f"CAST(array({', '.join(v)}) AS array<double>)"
+    maps = local.filter("_end").selectExpr(
+        *tl.on_chunk, "_nb", "_ix", "_at + 1 AS _tail", f"{as_list(added)} AS _s", f"{as_list([f'_o_{n}' for n in centred])} AS _o", f"{as_list(first)} AS _m1", f"{as_list(second)} AS _m2")
+    rates = [np.array([decays[n] for n in names], dtype=float) for names in (terms, centred)]
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in tl.keys)
+    entering = dealt_groups(maps, tl.keys, CHUNK).mapInArrow(
+        _compose(list(tl.keys), *rates), f"{kinds}, {CHUNK} {df.schema[CHUNK].dataType.simpleString()}, _segs long, _rows long, _start long, _s array<double>, _o array<double>, _m1 array<double>, _m2 array<double>")
+    entering = entering.select(*tl.on_chunk, "_segs", "_rows", "_start", *[F.col(f"_{c}").alias(f"_in_{c}") for c in ("s", "o", "m1", "m2")])
+    goes_on = "_nb = 0 AND _rows > 0"
+    out = ["_segs + _nb - 1 AS segment_id", "_rows + _ix - 1 AS row_idx", f"CAST(IF({goes_on}, _rows + _ix - 1 - _start, _at) AS BIGINT) AS seg_pos"]
+    for i, (n, t) in enumerate(terms.items()):
+        out.append(f"_p_{n} + IF({goes_on}, _in_s[{i}] * {power[n].format('_at' if t.lagged else '_at + 1')}, 0D) AS {n}")
+    for i, n in enumerate(centred):
+        w, shift = power[n].format("_at"), f"(_o_{n} - _in_o[{i}])"
+        out += [f"IF({goes_on}, _in_o[{i}], _o_{n}) AS _o_{n}",
+                f"IF({goes_on}, {w} * _in_m1[{i}] + _p1_{n} + {shift} * (1D - {w}), _p1_{n}) AS _m1_{n}",
+                f"IF({goes_on}, {w} * _in_m2[{i}] + _p2_{n} + 2D * {shift} * _p1_{n} + {shift} * {shift} * (1D - {w}), _p2_{n}) AS _m2_{n}"]
+    return local.join(entering, tl.on_chunk).selectExpr(*keep, *out)
+
+
+def _compose(keys: list[str], rates: np.ndarray, centred_rates: np.ndarray):
+    """Streams chunk maps in order and gives each chunk the state that enters it: breaks and rows so far, where the open segment starts, moments."""
+
+    def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((len(column), 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            g, breaks, rows, tail = (t[c].to_numpy() for c in ("_g", "_nb", "_ix", "_tail"))
+            s = matrix(t["_s"], len(rates))
+            o, m1, m2 = (matrix(t[c], len(centred_rates)) for c in ("_o", "_m1", "_m2"))
+            fade, fade_centred = (np.power(r[None, :], tail[:, None]) for r in (rates, centred_rates))
+            counts, outs = np.zeros((3, len(g)), dtype=np.int64), tuple(np.zeros_like(v) for v in (s, o, m1, m2))
+            for i in range(len(g)):
+                if g[i] != held:
+                    held, state = g[i], (0, 0, 0, np.zeros(len(rates)), *(np.zeros(len(centred_rates)) for _ in range(3)))
+                segs, n, start, es, eo, e1, e2 = state
+                counts[:, i] = segs, n, start
+                for v, e in zip(outs, (es, eo, e1, e2)):
+                    v[i] = e
+                if breaks[i] or not n:
+                    state = (segs + breaks[i], n + rows[i], n + rows[i] - tail[i], s[i], o[i], m1[i], m2[i])
+                else:
+                    shift, w = o[i] - eo, fade_centred[i]
+                    state = (segs, n + rows[i], start, es * fade[i] + s[i], eo, w * e1 + m1[i] + shift * (1 - w),
+                             w * e2 + m2[i] + 2 * shift * m1[i] + shift * shift * (1 - w))
+            as_lists = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64())) if v.shape[1] else pa.array([[]] * len(v), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), batch[CHUNK], *map(pa.array, counts), *map(as_lists, outs)],
+                                             [*keys, CHUNK, "_segs", "_rows", "_start", "_s", "_o", "_m1", "_m2"])
+
+    return run
+
+
+def affine_scan(df: DataFrame, tl: Timeline, terms: Mapping[str, Term]) -> DataFrame:
+    """Decaying recursions inside every segment, all starting from 0: ``segment_states`` of plain terms.
+
+    ``df`` holds core rows with the chunk columns and ``_brk`` (1 on the first row of a segment).
+    """
+    marked = df if CORE in df.columns else df.withColumn(CORE, F.lit(True))
+    own = {"segment_id", "row_idx", "seg_pos"}
+    out = segment_states(marked.withColumnsRenamed({c: f"_own_{c}" for c in own & set(df.columns)}), tl, terms)
+    out = out.drop(*own).withColumnsRenamed({f"_own_{c}": c for c in own}).withColumn(CORE, F.lit(True))
+    return out.select(*df.columns, *[n for n in terms if n not in df.columns])
 
 
 def segment_first(df: DataFrame, tl: Timeline, values: Mapping[str, str]) -> DataFrame:

@@ -13,11 +13,11 @@ from barloom.config import (
     BOUNDED_DIMS, CLIP, EPS_CNT, EPS_OI, EPS_PX, EPS_SZ, EPS_VAR, EPS_VOL, FAST_DIMS, LEAKS, N_FEATURES, RECON_LIMIT, Z_DIMS,
     FeatureConfig, safe_chunk,
 )
-from barloom.frames import CHUNK, CORE, LSEG, Term, affine_scan, dealt_groups, row_halo, row_index, segment_first, whole_groups
+from barloom.frames import CHUNK, CORE, LSEG, Centred, Term, dealt_groups, row_halo, row_index, segment_states, whole_groups
 from barloom.functions.scalars import clip_finite, log_ratio
 from barloom.operators.bars import bar_open, size_samples, vol_recon_err
 from barloom.session import pin
-from barloom.operators.segments import local_position, local_segments, timeline, with_segments
+from barloom.operators.segments import local_position, local_segments, timeline
 
 KEY = ["symbol", "bar_open_ms"]
 
@@ -247,31 +247,23 @@ def raw_features(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
 
 def ewma_zscores(df: DataFrame, cfg: FeatureConfig, columns: dict[str, tuple[str, int]],
                  vol: str | None = None) -> DataFrame:
-    """Emit-before-update EWMA z-scores: ``out -> (column, half life)``; adds ``<out>_warm``.
+    """Emit-before-update EWMA z-scores: ``out -> (column, half life)``; adds ``<out>_warm`` and the segment columns.
 
-    ``df`` holds core rows with ``_brk`` and ``seg_pos``. Values are centred on the first value of their segment,
-    so the recursion starts at 0 and the variance is the second moment minus the squared mean without cancellation.
+    ``df`` holds chunked rows with local segments and ``_brk`` (``local_segments``). Values are centred on the first value of their
+    segment, so the recursion starts at 0 and the variance is the second moment minus the squared mean without cancellation.
+    ``vol`` names a return column whose volatility rides along.
     """
-    tl, keep = timeline(cfg), df.columns
-    df = segment_first(df, tl, {f"_o_{o}": c for o, (c, _) in columns.items()})
-    df = df.selectExpr(*keep, *[f"{c} - _o_{o} AS _g_{o}" for o, (c, _) in columns.items()])
-    terms = {}
-    for o, (_, half) in columns.items():
-        a = cfg.alpha(half)
-        terms[f"_m1_{o}"] = Term(1 - a, f"_g_{o} * {a!r}D", True)
-        terms[f"_m2_{o}"] = Term(1 - a, f"_g_{o} * _g_{o} * {a!r}D", True)
-    out = []
-    if vol:  # the volatility of this return column rides along in the same scan
-        terms["_s"] = Term(cfg.lam, f"{vol} * {vol} * {(1 - cfg.lam)!r}D")
-        out = [f"sqrt(_s + {EPS_VOL!r}D) AS sigma", f"int(seg_pos < {cfg.warm_vol}) AS vol_warm"]
-    df = affine_scan(df, tl, terms)
-    for o, (_, half) in columns.items():
+    terms = {"_s": Term(cfg.lam, f"{vol} * {vol} * {(1 - cfg.lam)!r}D")} if vol else {}
+    x = segment_states(df, timeline(cfg), terms, {o: Centred(c, cfg.alpha(half)) for o, (c, half) in columns.items()})
+    hidden = {"_s", *(f"_{p}_{o}" for o in columns for p in ("o", "m1", "m2"))}
+    out = [f"sqrt(_s + {EPS_VOL!r}D) AS sigma", f"int(seg_pos < {cfg.warm_vol}) AS vol_warm"] if vol else []
+    for o, (c, half) in columns.items():
         warm = f"seg_pos < {max(cfg.warm(half), 1)}"
-        z = f"(_g_{o} - _m1_{o}) / sqrt(greatest(_m2_{o} - _m1_{o} * _m1_{o}, 0D) + {EPS_VAR!r}D)"
+        z = f"({c} - _o_{o} - _m1_{o}) / sqrt(greatest(_m2_{o} - _m1_{o} * _m1_{o}, 0D) + {EPS_VAR!r}D)"
         # adding zero times the score makes a non-finite one NaN, and a missing one too; a finite one is clamped
         z = f"coalesce(greatest(least({z}, {CLIP!r}D), -{CLIP!r}D) + ({z}) * 0D, double('nan'))"
         out += [f"IF({warm}, 0D, {z}) AS {o}", f"int({warm}) AS {o}_warm"]
-    return df.selectExpr(*keep, *out)
+    return x.selectExpr(*[c for c in x.columns if c not in hidden and c not in columns], *out)
 
 
 def rolling_zscore(column: str, cfg: FeatureConfig, window: int | None = None) -> Column:
@@ -289,8 +281,8 @@ def rolling_vol(column: str, cfg: FeatureConfig) -> Column:
 
 
 def ewma_vol(df: DataFrame, cfg: FeatureConfig, column: str = "ret", out: str = "sigma") -> DataFrame:
-    """sqrt of the decayed mean of squared returns, the current one included; adds ``vol_warm``."""
-    df = affine_scan(df, timeline(cfg), {"_s": Term(cfg.lam, f"{column} * {column} * {(1 - cfg.lam)!r}D")})
+    """sqrt of the decayed mean of squared returns, the current one included; adds ``vol_warm`` and the segment columns."""
+    df = segment_states(df, timeline(cfg), {"_s": Term(cfg.lam, f"{column} * {column} * {(1 - cfg.lam)!r}D")})
     return df.withColumn(out, F.sqrt(F.col("_s") + EPS_VOL)).withColumn(
         "vol_warm", (F.col("seg_pos") < cfg.warm_vol).cast("int")).drop("_s")
 
@@ -381,16 +373,15 @@ def compute_features(bars: DataFrame, cfg: FeatureConfig, trades: DataFrame | No
             side = side.withColumns({name: F.lit(default), f"{name}_missing": F.lit(1)})
     if cfg.leak is not None and cfg.leak not in LEAKS:
         raise ValueError(f"leak is one of {LEAKS}, got {cfg.leak}")
-    framed = with_segments(side, cfg, 1, 3 if cfg.leak else 1)
+    framed = local_segments(side, cfg, 1, 3 if cfg.leak else 1)
     wide = raw_features(clip_wicks(framed, cfg), cfg)
     then = F.lead("f_0", 2).over(tl.by_segment()).isNotNull() if cfg.leak == "validity_next" else F.lit(False)
     wide = wide.withColumns({"ret": F.col("f_0"), "next_ret": F.lead("f_0").over(tl.by_segment()),
                              "raw_range": F.col("f_1"), "_then": then}).filter(CORE)
-    wide = pin(wide.select(*KEY, CHUNK, LSEG, "_brk", "_gap", "segment_id", "seg_pos", *FLOW_QA, "ret", "next_ret", "_then",
-                           *[f"f_{d}" for d in range(N_FEATURES)]))
+    wide = wide.select(*KEY, CHUNK, LSEG, "_brk", "_gap", *FLOW_QA, "ret", "next_ret", "_then", *[f"f_{d}" for d in range(N_FEATURES)])
     halves = {f"x_{d}": (f"f_{d}", cfg.half_life_fast if d in FAST_DIMS else cfg.half_life_slow) for d in Z_DIMS}
     if cfg.vol_scaled_inputs:
-        wide = pin(ewma_vol(wide, cfg))
+        wide = ewma_vol(wide, cfg)
         wide = wide.withColumns({f"f_{d}": F.col(f"f_{d}") / (F.col("sigma") + EPS_VOL) for d in (0, 1)})
         wide = ewma_zscores(wide, cfg, halves)
     else:

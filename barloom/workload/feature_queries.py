@@ -101,7 +101,7 @@ def rolling_vol(spark, sf_dir):
     f"(seg_pos < {WCFG.warm_vol})::INT AS vol_warm FROM (" + _decayed(
         "wrets", "s", f"{1 - WCFG.lam!r} * ret * ret", WCFG.lam, False) + ")", "wrets"))
 def ewma_vol(spark, sf_dir):
-    df = X.ewma_vol(_framed_returns(spark, sf_dir, 1).filter("_core"), WCFG)
+    df = X.ewma_vol(S.local_segments(V.wbars(spark, sf_dir), WCFG).withColumn("ret", X.log_return(WCFG)), WCFG)
     return df.select("symbol", "bar_open_ms", rd("sigma").alias("sigma"), "vol_warm")
 
 
@@ -109,7 +109,7 @@ def ewma_vol(spark, sf_dir):
     f"SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, {rq('z', 5)} AS z, z_warm FROM ("
     + _zscore("wrets", "ret", "z", WCFG, WCFG.half_life_fast) + ")", "wrets"))
 def ewma_zscore(spark, sf_dir):
-    df = X.ewma_zscores(_framed_returns(spark, sf_dir, 1).filter("_core"), WCFG, {"z": ("ret", WCFG.half_life_fast)})
+    df = X.ewma_zscores(S.local_segments(V.wbars(spark, sf_dir), WCFG).withColumn("ret", X.log_return(WCFG)), WCFG, {"z": ("ret", WCFG.half_life_fast)})
     return df.select("symbol", "bar_open_ms", rd("z", 5).alias("z"), "z_warm")
 
 
@@ -265,7 +265,7 @@ def dq_flags(spark, sf_dir):
  IS NOT NULL AS ok FROM (""" + _decayed("wrets", "s", f"{1 - WCFG.lam!r} * ret * ret", WCFG.lam, False) + "))", "wrets"))
 def vol_scaled_target(spark, sf_dir):
     tl = S.timeline(WCFG)
-    df = S.with_segments(V.wbars(spark, sf_dir), WCFG, 1, 1).withColumn("ret", X.log_return(WCFG))
+    df = S.local_segments(V.wbars(spark, sf_dir), WCFG, 1, 1).withColumn("ret", X.log_return(WCFG))
     df = df.withColumn("next_ret", F.lead("ret").over(tl.by_segment())).filter("_core")
     df = X.ewma_vol(df, WCFG)
     ok = F.col("next_ret").isNotNull() & (F.col("vol_warm") == 0)
@@ -321,8 +321,8 @@ def dbars(spark, sf_dir):
     f"SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, segment_id, {rq('(v_buy - v_sell) / (v_agg + 1e-9)')} AS tfi, {rq('z', 4)} AS z, {rq('sqrt(s + 1e-8)')} AS sigma FROM ("
     + _decayed("(" + _zscore("drets", "ret", "z", DCFG, DCFG.half_life_fast) + ")", "s", f"{1 - DCFG.lam!r} * ret * ret", DCFG.lam, False) + ")", "drets"))
 def daily_bar_zscores(spark, sf_dir):
-    x = S.with_segments(pin(dbars(spark, sf_dir)), DCFG, 1).withColumn("ret", X.log_return(DCFG)).filter("_core")
-    x = X.ewma_zscores(pin(x), DCFG, {"z": ("ret", DCFG.half_life_fast)}, vol="ret")
+    x = S.local_segments(dbars(spark, sf_dir), DCFG).withColumn("ret", X.log_return(DCFG))
+    x = X.ewma_zscores(x, DCFG, {"z": ("ret", DCFG.half_life_fast)}, vol="ret")
     return x.select("symbol", "bar_open_ms", "segment_id", rd((F.col("v_buy") - F.col("v_sell")) / (F.col("v_agg") + 1e-9)).alias("tfi"),
                     rd("z", 4).alias("z"), rd("sigma").alias("sigma"))
 
