@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.frames import value_ranks
+from barloom.frames import Timeline, dealt_groups, running_sums, value_ranks, whole_groups
+from barloom.session import pin
 
 
 def uniform(seed: int | str | Column, *key: str | Column) -> Column:
@@ -117,7 +121,6 @@ def sample_windows(starts: DataFrame, n: int, seed: int, alpha: float = 0.5, fir
     the range lookup into an equi-join, and a heavy symbol simply owns many slices.
     """
     from barloom.frames import global_rank
-    from barloom.session import pin
 
     weights = pin(starts.groupBy("symbol").agg(F.count("*").alias("n_windows")).withColumns(
         {"_w": F.pow(F.col("n_windows").cast("double"), alpha), "_h": uniform("order", "symbol")}))
@@ -136,37 +139,90 @@ def sample_windows(starts: DataFrame, n: int, seed: int, alpha: float = 0.5, fir
 
 # ---- block bootstrap -------------------------------------------------------------------------------------------
 
+_DRAWS: dict[str, np.ndarray] = {}
+
+
+def _drawn(seed: str, reps: int, blocks: int) -> np.ndarray:
+    """(reps, blocks) of the uniforms that ``uniform(seed, rep, block)`` gives, kept per worker: they depend on nothing else."""
+    have = _DRAWS.get(seed, np.zeros((0, 0)))
+    if have.shape[0] < reps or have.shape[1] < blocks:
+        rows, cols = max(reps, have.shape[0]), max(blocks, have.shape[1])
+        out = np.empty((rows, cols), dtype=np.uint32)
+        out[:have.shape[0], :have.shape[1]] = have
+        for r in range(rows):
+            done = have.shape[1] if r < have.shape[0] else 0
+            text = b"".join(hashlib.md5(f"{seed}:{r}:{j}".encode()).digest()[:4] for j in range(done, cols))
+            out[r, done:] = np.frombuffer(text, ">u4")
+        _DRAWS.clear()  # one seed at a time
+        _DRAWS[seed] = have = out
+    return have[:reps, :blocks]
+
+
+def tile_sums(u: np.ndarray, spread: int, first: int, whole: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """(reps, sums): what each replicate takes from the starts first, first + 1... of a tile, whose block sums are the rows of ``whole``.
+
+    ``u`` holds a replicate's uniforms in a row; its last block is cut, with sums ``cut``. The product of the matrix that counts
+    a replicate's draws of each start with the block sums, formed without the matrix.
+    """
+    out = np.zeros((len(u), whole.shape[1]))
+    step = max(1, (1 << 20) // u.shape[1])
+    for lo in range(0, len(u), step):
+        at = np.floor(u[lo:lo + step] / 4294967296.0 * spread).astype(np.int64) - first
+        inside = (at >= 0) & (at < len(whole))
+        at = np.where(inside, at, 0)
+        for sums, part in ((whole, slice(0, -1)), (cut, slice(-1, None))):
+            held = sums[at[:, part]]
+            held[~inside[:, part]] = 0.0
+            out[lo:lo + step] += held.sum(axis=1)
+    return out
+
+
 def block_bootstrap(series: DataFrame, keys: Sequence[str], index: str, sums: dict[str, Column], length: Column, reps: int,
-                    seed: int, truncate: bool) -> DataFrame:
+                    seed: int, truncate: bool, tile: int = 16_384) -> DataFrame:
     """Sums of resampled overlapping blocks per (key, replicate), with the number of rows ``n``.
 
-    Prefix sums turn a block into two lookups, so a replicate costs its number of blocks, not its number of rows.
-    ``length`` may use the column ``t``, the rows of the key. With ``truncate`` the last block is cut so that every
-    replicate has exactly t rows. Starts depend on (seed, replicate, block) only: series sharing a length share them.
-    """
-    from barloom.frames import Timeline, running_sums
-    from barloom.session import pin
+    Prefix sums turn a block into two lookups. ``length`` may use the column ``t``, the rows of the key. With ``truncate`` the
+    last block is cut so that every replicate has exactly t rows. Starts depend on (seed, replicate, block) only: series sharing a length
+    share them.
 
+    All replicates of a key meet its block sums in tiles of ``tile`` starts, so draws are never rows: a tile gives one row per
+    replicate that takes something from it, and a key of any length is many tiles.
+    """
     sizes = series.groupBy(*keys).agg(F.count("*").cast("bigint").alias("t"))
     sizes = sizes.withColumn("_len", F.least(length.cast("bigint"), F.col("t")))
     sizes = sizes.withColumn("_k", F.ceil(F.col("t") / F.col("_len")))
     sizes = sizes.withColumn("_cut", F.col("t") - (F.col("_k") - 1) * F.col("_len") if truncate else F.col("_len"))
-    prefix = running_sums(series.select(*keys, index, *[e.alias(n) for n, e in sums.items()]),
-                          Timeline(tuple(keys), index, 1, 4096), {n: F.col(n) for n in sums})
+    names = list(sums)
+    prefix = running_sums(series.select(*keys, index, *[e.cast("double").alias(n) for n, e in sums.items()]),
+                          Timeline(tuple(keys), index, 1, 4096), {n: F.col(n) for n in names})
     prefix = pin(prefix.join(sizes, list(keys)))
-    low = prefix.select(*keys, (F.col(index) + 1).alias("_start"), *[F.col(n).alias(f"_lo_{n}") for n in sums])
-    ends = F.explode(F.array(F.struct(F.lit(False).alias("last"), F.col("_len").alias("size")),
-                             F.struct(F.lit(True).alias("last"), F.col("_cut").alias("size"))))
-    high = prefix.withColumn("_e", ends).select(*keys, (F.col(index) + 1 - F.col("_e.size")).alias("_start"),
-                                                F.col("_e.last").alias("_last"), F.col("_e.size").alias("_size"), *sums)
-    blocks = high.filter("_start >= 0").join(low, [*keys, "_start"], "left").select(
-        *keys, "_start", "_last", "_size", *[(F.col(n) - F.coalesce(f"_lo_{n}", F.lit(0.0))).alias(n) for n in sums])
-    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
-    draws = draws.select(*keys, "rep", F.floor(uniform(seed, "rep", "_j") * (F.col("t") - F.col("_len") + 1)).alias("_start"),
-                         (F.col("_j") == F.col("_k") - 1).alias("_last"))
-    return draws.join(blocks, [*keys, "_start", "_last"]).groupBy(*keys, "rep").agg(
-        F.sum("_size").alias("n"), *[F.sum(n).alias(n) for n in sums])
+    low = prefix.select(*keys, (F.col(index) + 1).alias("_start"), *[F.col(n).alias(f"_lo_{n}") for n in names])
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("cut"), F.col("_len").alias("size")), F.struct(F.lit(1).alias("cut"), F.col("_cut").alias("size"))))
+    high = prefix.withColumn("_e", ends).select(*keys, "t", "_len", "_k", (F.col(index) + 1 - F.col("_e.size")).alias("_start"), F.col("_e.cut").alias("_last"), F.col("_e.size").alias("_size"), *names)
+    blocks = high.filter("_start >= 0 and _start <= t - _len").join(low, [*keys, "_start"], "left").select(
+        *keys, "t", "_len", "_k", "_start", "_last", F.col("_size").cast("double").alias("_size"), F.floor(F.col("_start") / tile).alias("_tile"),
+        *[(F.col(n) - F.coalesce(f"_lo_{n}", F.lit(0.0))).alias(n) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            g, last, start = (t[c].to_numpy() for c in ("_g", "_last", "_start"))
+            value = np.column_stack([t[c].to_numpy() for c in ("_size", *names)])
+            edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            rows, length_of, blocks_of = (t[c].to_numpy() for c in ("t", "_len", "_k"))
+            for lo, hi in zip(edges, np.append(edges[1:], len(g))):
+                first = int(start[lo])
+                whole, cut = (np.zeros((int(start[hi - 1]) - first + 1, value.shape[1])) for _ in range(2))
+                for sums_of, kind in ((whole, 0), (cut, 1)):  # a start without rows adds nothing
+                    of = lo + np.flatnonzero(last[lo:hi] == kind)
+                    sums_of[start[of] - first] = value[of]
+                got = tile_sums(_drawn(str(seed), reps, int(blocks_of[lo])), int(rows[lo] - length_of[lo] + 1), first, whole, cut)
+                met = np.flatnonzero(got[:, 0] > 0)
+                columns = [t[k].combine_chunks().take(pa.array(np.full(len(met), lo))) for k in keys]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(met.astype(np.int32)), *(pa.array(c) for c in got[met].T)], [*keys, "rep", "n", *names])
+
+    kinds = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
+    tiles = dealt_groups(blocks, [*keys, "_tile"], "_start").mapInArrow(run, f"{kinds}, rep int, n double, " + ", ".join(f"{n} double" for n in names))
+    return tiles.groupBy(*keys, "rep").agg(F.sum("n").cast("bigint").alias("n"), *[F.sum(n).alias(n) for n in names])
 
 
 def pbo_cscv(series: DataFrame, keys: Sequence[str], config: str, n_periods: int, splits: int = 8) -> DataFrame:

@@ -20,8 +20,10 @@ from barloom.session import pin
 
 
 def pearson(a: str, b: str) -> Column:
-    """Correlation, NULL for a constant side."""
-    return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+    """Correlation, NULL for a constant side. Not by ``corr``, whose own division fails there in ANSI mode before a guard is read."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
 
 
 def rank_ic(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -19,7 +19,7 @@ from barloom.workload.views import WCFG, WEEK, cte, rd, rq, sql
 TL = S.timeline(WCFG)
 SEG = "PARTITION BY symbol, segment_id ORDER BY bar_open_ms"
 PAIRS = ((4, 5), (2, 1), (4, 3), (4, 2), (3, 1))
-B = 500
+B = 10_000
 
 
 def u_sql(text):
@@ -54,7 +54,8 @@ def rank_ic(spark, sf_dir):
     return out.select("symbol", "n", rd("ic").alias("ic"), rd("rank_ic").alias("rank_ic"))
 
 
-_BLOCK, _SCREEN_B = 26, 100
+_BLOCK, _SCREEN_B = 26, 1000
+_HORIZONS = (1, 5, 15, 60)
 _DIMS = tuple(range(13))
 
 
@@ -66,23 +67,29 @@ def _screen_rows(h):
  (SELECT *, {v} AS v, count(*) OVER (PARTITION BY symbol, segment_id) AS n FROM panel))"""
 
 
-cte("screen", "SELECT * FROM (" + " UNION ALL ".join(_screen_rows(h) for h in (1, 4)) + ") WHERE x IS NOT NULL AND y IS NOT NULL", "panel")
+cte("screen", "SELECT * FROM (" + " UNION ALL ".join(_screen_rows(h) for h in _HORIZONS) + ") WHERE x IS NOT NULL AND y IS NOT NULL", "panel")
 cte("sranks", """SELECT *, rank() OVER (PARTITION BY symbol, feature, h ORDER BY x) + (count(*) OVER (PARTITION BY symbol, feature, h, x) - 1) / 2.0 AS rx,
  rank() OVER (PARTITION BY symbol, feature, h ORDER BY y) + (count(*) OVER (PARTITION BY symbol, feature, h, y) - 1) / 2.0 AS ry,
  row_number() OVER (PARTITION BY symbol, feature, h ORDER BY bar_open_ms) - 1 AS i, count(*) OVER (PARTITION BY symbol, feature, h) AS t FROM screen""", "screen")
-cte("sboot", f"""SELECT symbol, feature, h, rep, corr(rx, ry) AS r FROM (SELECT d.*, s.rx, s.ry FROM (SELECT symbol, feature, h, rep, j, floor({u_sql("'11:' || rep || ':' || j")}
- * (t - len + 1))::BIGINT AS st, len FROM (SELECT symbol, feature, h, t, least({_BLOCK}, t) AS len FROM (SELECT DISTINCT symbol, feature, h, t FROM sranks)),
- range({_SCREEN_B}) r(rep), range(20) k(j) WHERE j < ceil(t / len)) d JOIN sranks s ON s.symbol = d.symbol AND s.feature = d.feature AND s.h = d.h AND s.i >= d.st
- AND s.i < d.st + d.len) GROUP BY 1, 2, 3, 4""", "sranks")
+_SUMS = {"sa": "rx", "sb": "ry", "saa": "rx * rx", "sbb": "ry * ry", "sab": "rx * ry"}
+# totals before each row and after the last: a block is the difference of two
+cte("spre", f"""SELECT symbol, feature, h, t, i, {', '.join(f'coalesce(sum({e}) OVER (PARTITION BY symbol, feature, h ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {n}' for n, e in _SUMS.items())}
+ FROM (SELECT symbol, feature, h, t, i, rx, ry FROM sranks UNION ALL SELECT symbol, feature, h, t, t, 0, 0 FROM sranks WHERE i = 0)""", "sranks")
+cte("sboot", f"""SELECT symbol, feature, h, rep, CASE WHEN va > 0 AND vb > 0 THEN (sab / n - sa / n * sb / n) / (sqrt(va) * sqrt(vb)) END AS r FROM (SELECT *, greatest(saa / n - pow(sa / n, 2), 0) AS va, greatest(sbb / n - pow(sb / n, 2), 0) AS vb FROM
+ (SELECT d.symbol, d.feature, d.h, rep, sum(len) AS n, {', '.join(f'sum(e.{c} - b.{c}) AS {c}' for c in _SUMS)} FROM (SELECT symbol, feature, h, rep, floor(u * (t - len + 1))::BIGINT AS st, len FROM
+ (SELECT symbol, feature, h, t, least({_BLOCK}, t) AS len FROM (SELECT DISTINCT symbol, feature, h, t FROM sranks)) s JOIN (SELECT rep, j, {u_sql("'11:' || rep || ':' || j")} AS u FROM range({_SCREEN_B}) r(rep), range(20) k(j)) ON j < ceil(t / len)) d
+ JOIN spre b ON b.symbol = d.symbol AND b.feature = d.feature AND b.h = d.h AND b.i = d.st JOIN spre e ON e.symbol = d.symbol AND e.feature = d.feature AND e.h = d.h AND e.i = d.st + d.len GROUP BY 1, 2, 3, 4))""", "sranks", "spre")
 cte("spoint", """SELECT symbol, feature, h, count(*) AS n, stddev_pop(x) AS sd, corr(x, y) AS ic, corr(rx, ry) AS rank_ic FROM sranks GROUP BY 1, 2, 3""", "sranks")
-cte("sout", """SELECT p.*, quantile_cont(b.r, 0.025) AS lo, quantile_cont(b.r, 0.975) AS hi FROM spoint p LEFT JOIN (SELECT * FROM sboot WHERE NOT isnan(r)) b ON p.symbol = b.symbol
+cte("sout", """SELECT p.*, quantile_cont(b.r, 0.025) AS lo, quantile_cont(b.r, 0.975) AS hi FROM spoint p LEFT JOIN (SELECT * FROM sboot WHERE r IS NOT NULL) b ON p.symbol = b.symbol
  AND p.feature = b.feature AND p.h = b.h GROUP BY ALL""", "spoint", "sboot")
 
 
 def _screen_long(spark, sf_dir):
     p = pin(V.panel(spark, sf_dir))
-    both = Wn.forward_returns(p, TL, 1, rule="screen").withColumn("h", F.lit(1)).unionByName(
-        Wn.forward_returns(p, TL, 4, rule="screen").withColumn("h", F.lit(4)))
+    both = None
+    for h in _HORIZONS:
+        one = Wn.forward_returns(p, TL, h, rule="screen").withColumn("h", F.lit(h))
+        both = one if both is None else both.unionByName(one)
     cells = F.explode(F.array(*[F.struct(F.lit(f"x_{d}").alias("feature"), F.when(F.col(f"m_{d}") == 0, F.round(f"x_{d}", 9)).alias("x")) for d in _DIMS]))
     return both.select("symbol", "h", "bar_open_ms", "y", cells.alias("e")).select("symbol", "e.feature", "h", "bar_open_ms", "e.x", "y")
 
@@ -211,10 +218,12 @@ def dsr_trials(spark, sf_dir):
     return T.dsr_trials(irs, H)[0].select("cell", "seed", "kappa", rd("trial").alias("trial"))
 
 
-cte("boot7", f"""SELECT pair, rep, count(*) AS n, sum(a) AS sa, sum(a * a) AS qa, sum(b) AS sb, sum(b * b) AS qb FROM (SELECT d.pair, d.rep, c.a, c.b FROM (SELECT pair, rep, j,
- floor({u_sql("'9:' || rep || ':' || j")} * (t - len + 1))::BIGINT AS st, CASE WHEN j = k - 1 THEN t - (k - 1) * len ELSE len END AS size FROM (SELECT *, ceil(t / len)::BIGINT AS k FROM
- (SELECT pair, count(*) AS t, ceil(sqrt(count(*)))::BIGINT AS len FROM cpairs GROUP BY 1)), range({B}) r(rep), range(1000) q(j) WHERE j < k) d JOIN cpairs c ON c.pair = d.pair AND
- c.period >= d.st AND c.period < d.st + d.size) GROUP BY 1, 2""", "cpairs")
+_PRE = {"sa": "a", "qa": "a * a", "sb": "b", "qb": "b * b"}
+cte("cpre", f"""SELECT pair, period, {', '.join(f'coalesce(sum({e}) OVER (PARTITION BY pair ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {n}' for n, e in _PRE.items())}
+ FROM (SELECT pair, period, a, b FROM cpairs UNION ALL SELECT pair, max(period) + 1, 0, 0 FROM cpairs GROUP BY 1)""", "cpairs")
+cte("boot7", f"""SELECT d.pair, rep, sum(size) AS n, {', '.join(f'sum(y.{c} - x.{c}) AS {c}' for c in _PRE)} FROM (SELECT pair, rep, floor(u * (t - len + 1))::BIGINT AS st, CASE WHEN j = k - 1 THEN t - (k - 1) * len ELSE len END AS size FROM
+ (SELECT *, ceil(t / len)::BIGINT AS k FROM (SELECT pair, count(*) AS t, ceil(sqrt(count(*)))::BIGINT AS len FROM cpairs GROUP BY 1)) JOIN (SELECT rep, j, {u_sql("'9:' || rep || ':' || j")} AS u FROM range({B}) r(rep), range(200) q(j)) ON j < k) d
+ JOIN cpre x ON x.pair = d.pair AND x.period = d.st JOIN cpre y ON y.pair = d.pair AND y.period = d.st + d.size GROUP BY 1, 2""", "cpairs", "cpre")
 
 
 def _rep(s, q):

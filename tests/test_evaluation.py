@@ -1,5 +1,6 @@
 """Statistics, sampling, costs, codes and audits: published values, brute force, negative controls."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -65,6 +66,27 @@ def test_bootstrap_blocks_cover_the_series_length(spark):
     assert len(boot) == 40 and (boot["n"] == 50).all() and np.allclose(boot["s"], 50.0)
 
 
+@pytest.mark.parametrize("truncate", [True, False])
+def test_bootstrap_equals_drawing_row_by_row(spark, truncate):
+    rng = np.random.default_rng(3)
+    series = {k: rng.normal(size=n) for k, n in (("a", 83), ("b", 300), ("c", 9))}
+    df = spark.createDataFrame([(k, i, float(x)) for k, v in series.items() for i, x in enumerate(v)], "k string, i long, v double")
+    got = R.block_bootstrap(df, ["k"], "i", {"s": F.col("v"), "q": F.col("v") * F.col("v")}, F.ceil(F.sqrt("t")), 30, 5, truncate, tile=32).toPandas().set_index(["k", "rep"])
+    assert len(got) == 90
+    for k, v in series.items():
+        t = len(v)
+        length = math.ceil(math.sqrt(t))
+        blocks = math.ceil(t / length)
+        for rep in range(30):
+            rows = []
+            for j in range(blocks):
+                u = int(hashlib.md5(f"5:{rep}:{j}".encode()).hexdigest()[:8], 16) / 2**32
+                at = math.floor(u * (t - length + 1))
+                rows += list(v[at:at + (t - (blocks - 1) * length if truncate and j == blocks - 1 else length)])
+            r = got.loc[(k, rep)]
+            assert r["n"] == len(rows) and r["s"] == pytest.approx(sum(rows), abs=1e-9) and r["q"] == pytest.approx(sum(x * x for x in rows), abs=1e-9)
+
+
 def test_short_series_is_refused(spark):
     df = spark.range(5).select(F.lit("a").alias("k"), F.col("id").alias("period"), F.lit(1.0).alias("a"), F.lit(1.0).alias("b"))
     with pytest.raises(Exception, match="too short"):
