@@ -216,14 +216,18 @@ def constant_book_lattice(units: DataFrame, digits: int = 9) -> DataFrame:
     return x.join(points, "_k").withColumn("on_lattice", (F.col("_on") == 1) | (F.col("_k") == 0)).drop("_k", "_on")
 
 
-def decision_stability(pairs: DataFrame, thresholds: dict[str, float], a: str = "mu_a", b: str = "mu_b") -> DataFrame:
-    """Flips between two prediction columns at several thresholds, and whether the data could show one."""
+def decision_stability(pairs: DataFrame, thresholds: dict[str, float], keys: Sequence[str] = (), a: str = "mu_a", b: str = "mu_b") -> DataFrame:
+    """Flips between two prediction columns at several thresholds, and whether the data could show one, per key.
+
+    A row within the key's largest gap of a threshold could flip; without such rows the rate says nothing.
+    """
     levels = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.lit(float(v)).alias("theta")) for k, v in thresholds.items()]))
-    bound = pairs.agg(F.max(F.abs(F.col(a) - F.col(b)))).first()[0] or 0.0
-    x = pairs.withColumn("_t", levels).select("*", "_t.label", "_t.theta")
+    gap = F.coalesce(F.max(F.abs(F.col(a) - F.col(b))), F.lit(0.0)).alias("_gap")
+    widest = pairs.groupBy(*keys).agg(gap)
+    x = (pairs.join(widest, list(keys)) if keys else pairs.crossJoin(F.broadcast(widest))).withColumn("_t", levels).select("*", "_t.label", "_t.theta")
     pa, pb = positions(F.col(a), F.col("theta")), positions(F.col(b), F.col("theta"))
-    near = F.abs(F.abs(F.col(a)) - F.col("theta")) <= bound
-    return x.groupBy("label", "theta").agg(
+    near = F.abs(F.abs(F.col(a)) - F.col("theta")) <= F.col("_gap")
+    return x.groupBy(*keys, "label", "theta").agg(
         F.count("*").alias("n"), F.count_if(pa != pb).alias("flipped"), F.avg((pa != pb).cast("double")).alias("flip_rate"),
         F.avg((pa != 0).cast("double")).alias("activity_a"), F.avg((pb != 0).cast("double")).alias("activity_b"),
         (F.count_if((pa != 0) != (pb != 0)) == 0).alias("same_traded_set"), (F.count_if(near) > 0).alias("discriminates"))
@@ -238,13 +242,13 @@ def sign_agreement(pairs: DataFrame, traded: Column, keys: Sequence[str], band:
         F.avg(F.abs(gap)).alias("gap_abs_mean")).withColumn("passes", F.col("agreement") >= band)
 
 
-def sign_disagreement(predictions: DataFrame, seeds: Sequence[int]) -> DataFrame:
-    """Unanimity of the seeds, the rate independent signs would give, and the pairwise agreement."""
-    wide = predictions.groupBy("symbol", "bar_open_ms").pivot("seed", list(seeds)).agg(F.first("mu")).na.drop()
+def sign_disagreement(predictions: DataFrame, seeds: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
+    """Unanimity of the seeds, the rate independent signs would give, and the pairwise agreement, per key."""
+    wide = predictions.groupBy(*keys, "symbol", "bar_open_ms").pivot("seed", list(seeds)).agg(F.first("mu")).na.drop()
     up = {s: (F.col(f"`{s}`") > 0).cast("double") for s in seeds}
     total = sum((up[s] for s in seeds), F.lit(0.0))
     pairs = [(a, b) for i, a in enumerate(seeds) for b in seeds[i + 1:]]
-    out = wide.agg(F.count("*").alias("n"), F.avg(total.isin(0.0, float(len(seeds))).cast("double")).alias("unanimity"),
+    out = wide.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(total.isin(0.0, float(len(seeds))).cast("double")).alias("unanimity"),
                    *[F.avg(up[s]).alias(f"p_up_{s}") for s in seeds],
                    *[F.avg((up[a] == up[b]).cast("double")).alias(f"agree_{a}_{b}") for a, b in pairs])
     p, q = F.lit(1.0), F.lit(1.0)
@@ -268,13 +272,13 @@ def direction_balance(pairs: DataFrame, keys: Sequence[str] = (), half_width: fl
     return out.withColumns({"balanced": F.col("imbalance_upper95") <= half_width, "zero_mean": F.abs("t_stat") <= 3})
 
 
-def estimator_majority(estimates: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Seeds with a positive sign per estimator, and whether the majorities differ."""
-    long = estimates.unpivot(["seed"], list(names), "estimator", "value")
-    per = long.groupBy("estimator").agg(F.sum((F.col("value") > 0).cast("bigint")).alias("n_positive"), F.count("*").alias("n_seeds"))
-    up = F.col("n_positive") * 2 > F.col("n_seeds")
-    both = per.agg(F.min(up.cast("int")).alias("_lo"), F.max(up.cast("int")).alias("_hi")).first()
-    return per.withColumn("disagree", F.lit(both[0] != both[1]))
+def estimator_majority(estimates: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Seeds with a positive sign per estimator, and whether the majorities of a key's estimators differ."""
+    long = estimates.unpivot([*keys, "seed"], list(names), "estimator", "value")
+    per = long.groupBy(*keys, "estimator").agg(F.sum((F.col("value") > 0).cast("bigint")).alias("n_positive"), F.count("*").alias("n_seeds"))
+    up = (F.col("n_positive") * 2 > F.col("n_seeds")).cast("int")
+    w = Window.partitionBy(*keys)  # one row per estimator
+    return per.withColumn("disagree", F.min(up).over(w) != F.max(up).over(w))
 
 
 def upgrade_test(per_h: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
@@ -293,7 +297,7 @@ def prediction_parity(a: DataFrame, b: DataFrame, keys: Sequence[str], columns:
         *keys, F.col("_a").isNull().alias("missing_left"), F.col("_b").isNull().alias("missing_right"))
 
 
-def symbol_quantiles(nets: DataFrame, shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+def symbol_quantiles(nets: DataFrame, shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95), keys: Sequence[str] = ("symbol",)) -> DataFrame:
     from barloom.frames import exact_quantiles
 
-    return exact_quantiles(nets, ["symbol"], "net", {f"p{round(q * 100)}": q for q in shares})
+    return exact_quantiles(nets, list(keys), "net", {f"p{round(q * 100)}": q for q in shares})

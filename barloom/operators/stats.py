@@ -307,12 +307,12 @@ def copula_deficit(df: DataFrame, columns: Sequence[str]) -> float:
     return float(-0.5 * np.linalg.slogdet(m)[1] / len(columns))
 
 
-def drift(per_subset: DataFrame, value: str, limit: float = 0.15) -> DataFrame:
-    """Largest distance of a statistic on the subsets from its value on the whole ('all')."""
+def drift(per_subset: DataFrame, value: str, keys: Sequence[str] = (), limit: float = 0.15) -> DataFrame:
+    """Largest distance of a statistic on the subsets from its value on the whole ('all'), per key."""
     whole = F.max(F.when(F.col("subset") == "all", F.col(value)))
-    agg = per_subset.agg(whole.alias("w"), F.max(value).alias("hi"), F.min(value).alias("lo"))
+    agg = per_subset.groupBy(*keys).agg(whole.alias("w"), F.max(value).alias("hi"), F.min(value).alias("lo"))
     d = F.greatest(F.col("hi") - F.col("w"), F.col("w") - F.col("lo"))
-    return agg.select(d.alias("max_drift"), (d <= limit).alias("stable"))
+    return agg.select(*keys, d.alias("max_drift"), (d <= limit).alias("stable"))
 
 
 # ---- guards and verdict --------------------------------------------------------------------------------------------

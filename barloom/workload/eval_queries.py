@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import evaluate as E
 from barloom.operators import segments as S
+from barloom.operators import stats as T
 from barloom.operators import windows as Wn
 from barloom.session import pin
 from barloom.workload import views as V
@@ -54,6 +55,7 @@ cte("head", "SELECT s.* FROM series s JOIN kstar k ON s.cell = k.cell AND s.seed
 cte("headpreds", "SELECT w.* FROM wide w JOIN kstar k ON w.cell = k.cell AND w.seed = k.seed AND w.kappa = k.kappa", "wide", "kstar")
 
 KEYS = ["cell", "seed"]
+UNIT = [*KEYS, "symbol"]
 
 
 def labelled(spark, sf_dir):
@@ -261,27 +263,27 @@ def score_cell(spark, sf_dir):
 
 
 @query("single_symbol_backtest", sql(
-    f"""SELECT symbol, {rq(ir_sql('r'), 4)} AS ir, {rq('avg((r <> 0)::INT)')} AS activity, count(*) AS n_periods FROM (SELECT symbol, CASE WHEN side <> 0
- THEN side * y - c_total ELSE 0.0 END AS r FROM wide WHERE cell = 4 AND seed = 1 AND kappa = 1.0) GROUP BY 1""", "wide"))
+    f"""SELECT cell, seed, symbol, {rq(ir_sql('r'), 4)} AS ir, {rq('avg((r <> 0)::INT)')} AS activity, count(*) AS n_periods FROM (SELECT cell, seed, symbol, CASE WHEN side <> 0
+ THEN side * y - c_total ELSE 0.0 END AS r FROM wide WHERE kappa = 1.0) GROUP BY 1, 2, 3""", "wide"))
 def single_symbol_backtest(spark, sf_dir):
-    w = E.with_kappas(predictions(decisions(labelled(spark, sf_dir))), [1.0]).filter("cell = 4 and seed = 1")
+    w = E.with_kappas(predictions(decisions(labelled(spark, sf_dir))), [1.0])
     w = w.withColumn("r", F.when(F.col("side") != 0, E.net_return(F.col("side"), F.col("y"), F.col("c_total"))).otherwise(0.0))
-    return E.information_ratio(w, ["symbol"], H).select("symbol", rd("ir", 4).alias("ir"), rd("activity").alias("activity"), "n_periods")
+    return E.information_ratio(w, UNIT, H).select(*UNIT, rd("ir", 4).alias("ir"), rd("activity").alias("activity"), "n_periods")
 
 
 @query("single_symbol_report", sql(
-    f"""SELECT symbol, {rq('corr(mu, y)')} AS ic, {rq('corr(rm, ry)')} AS rank_ic, {rq('avg(abs(abs(y) - s2))')} AS vol_mae,
+    f"""SELECT cell, seed, symbol, {rq('corr(mu, y)')} AS ic, {rq('corr(rm, ry)')} AS rank_ic, {rq('avg(abs(abs(y) - s2))')} AS vol_mae,
  {rq('avg((y >= mu - 1.2816 * s2 AND y <= mu + 1.2816 * s2)::INT)')} AS picp, {rq('avg(2 * 1.2816 * s2)')} AS mpiw FROM (SELECT *, sigma * sqrt({H}) AS s2,
- rank() OVER (PARTITION BY symbol ORDER BY mu) + (count(*) OVER (PARTITION BY symbol, mu) - 1) / 2.0 AS rm, rank() OVER (PARTITION BY symbol ORDER BY y)
- + (count(*) OVER (PARTITION BY symbol, y) - 1) / 2.0 AS ry FROM preds WHERE cell = 4 AND seed = 1) GROUP BY 1""", "preds"))
+ rank() OVER (PARTITION BY cell, seed, symbol ORDER BY mu) + (count(*) OVER (PARTITION BY cell, seed, symbol, mu) - 1) / 2.0 AS rm, rank() OVER (PARTITION BY cell, seed, symbol ORDER BY y)
+ + (count(*) OVER (PARTITION BY cell, seed, symbol, y) - 1) / 2.0 AS ry FROM preds) GROUP BY 1, 2, 3""", "preds"))
 def single_symbol_report(spark, sf_dir):
-    p = pin(predictions(decisions(labelled(spark, sf_dir))).filter("cell = 4 and seed = 1").select("symbol", "bar_open_ms", "mu", "y", "sigma"))
-    p = Wn.average_rank(Wn.average_rank(p, ["symbol"], "mu", "_rm"), ["symbol"], "y", "_ry")
+    p = pin(predictions(decisions(labelled(spark, sf_dir))).select(*UNIT, "bar_open_ms", "mu", "y", "sigma"))
+    p = Wn.average_rank(Wn.average_rank(p, UNIT, "mu", "_rm"), UNIT, "y", "_ry")
     s2 = F.col("sigma") * F.sqrt(F.lit(float(H)))
     band = s2 * 1.2816
     inside = (F.col("y") >= F.col("mu") - band) & (F.col("y") <= F.col("mu") + band)
-    return p.groupBy("symbol").agg(
-        rd(F.corr("mu", "y")).alias("ic"), rd(F.corr("_rm", "_ry")).alias("rank_ic"), rd(F.avg(F.abs(F.abs("y") - s2))).alias("vol_mae"),
+    return p.groupBy(*UNIT).agg(
+        rd(T.pearson("mu", "y")).alias("ic"), rd(T.pearson("_rm", "_ry")).alias("rank_ic"), rd(F.avg(F.abs(F.abs("y") - s2))).alias("vol_mae"),
         rd(F.avg(inside.cast("double"))).alias("picp"), rd(F.avg(band * 2)).alias("mpiw"))
 
 
@@ -323,13 +325,13 @@ def constant_book_lattice(spark, sf_dir):
     return E.constant_book_lattice(units).select("cell", "seed", "direction", "multiplicity", "on_lattice")
 
 
-cte("pairs", """SELECT a.symbol, a.bar_open_ms, a.y, a.c_total, a.mu AS mu_a, a.mu + 0.0004 * b.x_8 * (b.row_idx % 3) AS mu_b FROM preds a JOIN panel b
- ON a.symbol = b.symbol AND a.bar_open_ms = b.bar_open_ms WHERE a.cell = 4 AND a.seed = 1""", "preds", "panel")
+cte("pairs", """SELECT a.cell, a.seed, a.symbol, a.bar_open_ms, a.y, a.c_total, a.mu AS mu_a, a.mu + 0.0004 * b.x_8 * (b.row_idx % 3) AS mu_b FROM preds a JOIN panel b
+ ON a.symbol = b.symbol AND a.bar_open_ms = b.bar_open_ms""", "preds", "panel")
 
 
 def pairs(spark, sf_dir):
-    p = predictions(decisions(labelled(spark, sf_dir))).filter("cell = 4 and seed = 1")
-    return p.select("symbol", "bar_open_ms", "y", "c_total", F.col("mu").alias("mu_a"),
+    p = predictions(decisions(labelled(spark, sf_dir)))
+    return p.select(*UNIT, "bar_open_ms", "y", "c_total", F.col("mu").alias("mu_a"),
                     (F.col("mu") + F.col("x_8") * 0.0004 * (F.col("row_idx") % 3)).alias("mu_b"))
 
 
@@ -341,55 +343,56 @@ def _pos(m):
 
 
 @query("decision_stability", sql(
-    f"""SELECT label, theta, count(*) AS n, count(*) FILTER (WHERE pa <> pb) AS flipped, {rq('avg((pa <> pb)::INT)')} AS flip_rate,
+    f"""SELECT cell, seed, label, theta, count(*) AS n, count(*) FILTER (WHERE pa <> pb) AS flipped, {rq('avg((pa <> pb)::INT)')} AS flip_rate,
  {rq('avg((pa <> 0)::INT)')} AS activity_a, {rq('avg((pb <> 0)::INT)')} AS activity_b, count(*) FILTER (WHERE (pa <> 0) <> (pb <> 0)) = 0 AS same_traded_set,
- count(*) FILTER (WHERE abs(abs(mu_a) - theta) <= (SELECT max(abs(mu_a - mu_b)) FROM pairs)) > 0 AS discriminates FROM (SELECT *, {_pos('mu_a')} AS pa,
- {_pos('mu_b')} AS pb FROM pairs, (VALUES ('low', 0.0005::DOUBLE), ('mid', 0.0015::DOUBLE), ('high', 0.003::DOUBLE)) t(label, theta)) GROUP BY 1, 2""", "pairs"))
+ count(*) FILTER (WHERE abs(abs(mu_a) - theta) <= gap) > 0 AS discriminates FROM (SELECT *, max(abs(mu_a - mu_b)) OVER (PARTITION BY cell, seed) AS gap, {_pos('mu_a')} AS pa,
+ {_pos('mu_b')} AS pb FROM pairs, (VALUES ('low', 0.0005::DOUBLE), ('mid', 0.0015::DOUBLE), ('high', 0.003::DOUBLE)) t(label, theta)) GROUP BY 1, 2, 3, 4""", "pairs"))
 def decision_stability(spark, sf_dir):
-    out = E.decision_stability(pin(pairs(spark, sf_dir)), _THETA)
+    out = E.decision_stability(pin(pairs(spark, sf_dir)), _THETA, KEYS)
     return out.withColumns({c: rd(c) for c in ("flip_rate", "activity_a", "activity_b")})
 
 
 @query("sign_agreement", sql(
-    f"""SELECT symbol, count(*) AS n, {rq('avg(((mu_a < 0) = (mu_b < 0))::INT)')} AS agreement, {rq('avg(mu_a - mu_b)', 9)} AS gap_mean,
+    f"""SELECT cell, seed, symbol, count(*) AS n, {rq('avg(((mu_a < 0) = (mu_b < 0))::INT)')} AS agreement, {rq('avg(mu_a - mu_b)', 9)} AS gap_mean,
  {rq('stddev_pop(mu_a - mu_b)', 9)} AS gap_std, {rq('avg(abs(mu_a - mu_b))', 9)} AS gap_abs_mean, avg(((mu_a < 0) = (mu_b < 0))::INT) >= 0.97 AS passes
- FROM pairs WHERE abs(mu_a) > c_total GROUP BY 1""", "pairs"))
+ FROM pairs WHERE abs(mu_a) > c_total GROUP BY 1, 2, 3""", "pairs"))
 def sign_agreement(spark, sf_dir):
-    out = E.sign_agreement(pairs(spark, sf_dir), F.abs("mu_a") > F.col("c_total"), ["symbol"])
+    out = E.sign_agreement(pairs(spark, sf_dir), F.abs("mu_a") > F.col("c_total"), UNIT)
     return out.withColumns({c: rd(c, 6 if c == "agreement" else 9) for c in ("agreement", "gap_mean", "gap_std", "gap_abs_mean")})
 
 
 @query("direction_balance", sql(
-    f"""SELECT symbol, n, {rq('md', 9)} AS mean_delta, {rq('md / se', 4)} AS t_stat, n_enter, n_exit, {rq('n_enter / (n_enter + n_exit)')} AS enter_fraction,
+    f"""SELECT cell, seed, symbol, n, {rq('md', 9)} AS mean_delta, {rq('md / se', 4)} AS t_stat, n_enter, n_exit, {rq('n_enter / (n_enter + n_exit)')} AS enter_fraction,
  {rq('abs(2 * n_enter / (n_enter + n_exit) - 1) + 1.6448536269514722 / sqrt(n_enter + n_exit)')} AS imbalance_upper95,
- {rq('(n_enter - (n_enter + n_exit) / 2) / (0.5 * sqrt(n_enter + n_exit))')} AS z_balance FROM (SELECT symbol, count(*) AS n, avg(mu_b - mu_a) AS md,
+ {rq('(n_enter - (n_enter + n_exit) / 2) / (0.5 * sqrt(n_enter + n_exit))')} AS z_balance FROM (SELECT cell, seed, symbol, count(*) AS n, avg(mu_b - mu_a) AS md,
  stddev_samp(mu_b - mu_a) / sqrt(count(*)) AS se, count(*) FILTER (WHERE abs(mu_b) > abs(mu_a)) AS n_enter, count(*) FILTER (WHERE abs(mu_b) < abs(mu_a))
- AS n_exit FROM pairs GROUP BY 1)""", "pairs"))
+ AS n_exit FROM pairs GROUP BY 1, 2, 3)""", "pairs"))
 def direction_balance(spark, sf_dir):
-    out = E.direction_balance(pairs(spark, sf_dir), ["symbol"])
-    return out.select("symbol", "n", rd("mean_delta", 9).alias("mean_delta"), rd("t_stat", 4).alias("t_stat"), "n_enter", "n_exit",
+    out = E.direction_balance(pairs(spark, sf_dir), UNIT)
+    return out.select(*UNIT, "n", rd("mean_delta", 9).alias("mean_delta"), rd("t_stat", 4).alias("t_stat"), "n_enter", "n_exit",
                       rd("enter_fraction").alias("enter_fraction"), rd("imbalance_upper95").alias("imbalance_upper95"), rd("z_balance").alias("z_balance"))
 
 
 @query("sign_disagreement", sql(
-    f"""SELECT n, {rq('un')} AS unanimity, {rq('p0')} AS p_up_0, {rq('p1')} AS p_up_1, {rq('p2')} AS p_up_2, {rq('a01')} AS agree_0_1, {rq('a02')} AS agree_0_2,
- {rq('a12')} AS agree_1_2, {rq('p0 * p1 * p2 + (1 - p0) * (1 - p1) * (1 - p2)')} AS expected_unanimity FROM (SELECT count(*) AS n, avg((u0 = u1 AND u1 = u2)::INT)
+    f"""SELECT cell, n, {rq('un')} AS unanimity, {rq('p0')} AS p_up_0, {rq('p1')} AS p_up_1, {rq('p2')} AS p_up_2, {rq('a01')} AS agree_0_1, {rq('a02')} AS agree_0_2,
+ {rq('a12')} AS agree_1_2, {rq('p0 * p1 * p2 + (1 - p0) * (1 - p1) * (1 - p2)')} AS expected_unanimity FROM (SELECT cell, count(*) AS n, avg((u0 = u1 AND u1 = u2)::INT)
  AS un, avg(u0::INT) AS p0, avg(u1::INT) AS p1, avg(u2::INT) AS p2, avg((u0 = u1)::INT) AS a01, avg((u0 = u2)::INT) AS a02, avg((u1 = u2)::INT) AS a12 FROM
- (SELECT bool_or(mu > 0) FILTER (WHERE seed = 0) AS u0, bool_or(mu > 0) FILTER (WHERE seed = 1) AS u1, bool_or(mu > 0) FILTER (WHERE seed = 2) AS u2
- FROM preds WHERE cell = 1 GROUP BY symbol, bar_open_ms))""", "preds"))
+ (SELECT cell, bool_or(mu > 0) FILTER (WHERE seed = 0) AS u0, bool_or(mu > 0) FILTER (WHERE seed = 1) AS u1, bool_or(mu > 0) FILTER (WHERE seed = 2) AS u2
+ FROM preds GROUP BY cell, symbol, bar_open_ms) GROUP BY 1)""", "preds"))
 def sign_disagreement(spark, sf_dir):
-    out = E.sign_disagreement(predictions(decisions(labelled(spark, sf_dir))).filter("cell = 1"), SEEDS)
-    return out.withColumns({c: rd(c) for c in out.columns if c != "n"})
+    out = E.sign_disagreement(predictions(decisions(labelled(spark, sf_dir))), SEEDS, ["cell"])
+    return out.withColumns({c: rd(c) for c in out.columns if c not in ("cell", "n")})
 
 
 @query("estimator_majority", sql(
-    """SELECT estimator, sum((v > 0)::INT)::BIGINT AS n_positive, count(*) AS n_seeds, false AS disagree FROM (SELECT seed, unnest(['mean', 'median']) AS estimator,
- unnest([avg(mu), median(mu)]) AS v FROM preds WHERE cell = 1 GROUP BY 1) GROUP BY 1""", "preds"))
+    """SELECT *, min(n_positive * 2 > n_seeds) OVER (PARTITION BY cell) <> max(n_positive * 2 > n_seeds) OVER (PARTITION BY cell) AS disagree FROM
+ (SELECT cell, estimator, sum((v > 0)::INT)::BIGINT AS n_positive, count(*) AS n_seeds FROM (SELECT cell, seed, unnest(['mean', 'median']) AS estimator,
+ unnest([avg(mu), median(mu)]) AS v FROM preds GROUP BY 1, 2) GROUP BY 1, 2)""", "preds"))
 def estimator_majority(spark, sf_dir):
     from barloom.frames import exact_quantiles
-    p = pin(predictions(decisions(labelled(spark, sf_dir))).filter("cell = 1").select("seed", "mu"))
-    est = p.groupBy("seed").agg(F.avg("mu").alias("mean")).join(exact_quantiles(p, ["seed"], "mu", {"median": 0.5}), "seed")
-    return E.estimator_majority(pin(est), ["mean", "median"])
+    p = pin(predictions(decisions(labelled(spark, sf_dir))).select(*KEYS, "mu"))
+    est = p.groupBy(*KEYS).agg(F.avg("mu").alias("mean")).join(exact_quantiles(p, KEYS, "mu", {"median": 0.5}), KEYS)
+    return E.estimator_majority(pin(est), ["mean", "median"], ["cell"])
 
 
 @query("prediction_parity", sql(
@@ -454,9 +457,9 @@ def naive_baselines(spark, sf_dir):
 
 
 @query("symbol_net_quantiles", sql(
-    "SELECT symbol, " + ", ".join(f"{rq(f'quantile_cont(net, {q})')} AS p{round(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))
-    + " FROM (SELECT symbol, side * y - 0.003 AS net FROM wide WHERE cell = 4 AND seed = 1 AND kappa = 1.0 AND side <> 0) GROUP BY 1", "wide"))
+    "SELECT cell, seed, symbol, " + ", ".join(f"{rq(f'quantile_cont(net, {q})')} AS p{round(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))
+    + " FROM (SELECT cell, seed, symbol, side * y - 0.003 AS net FROM wide WHERE kappa = 1.0 AND side <> 0) GROUP BY 1, 2, 3", "wide"))
 def symbol_net_quantiles(spark, sf_dir):
-    w = E.with_kappas(predictions(decisions(labelled(spark, sf_dir))), [1.0]).filter("cell = 4 and seed = 1 and side <> 0")
-    out = E.symbol_quantiles(pin(w.select("symbol", E.net_return(F.col("side"), F.col("y"), F.lit(0.003)).alias("net"))))
-    return out.select("symbol", *[rd(c).alias(c) for c in out.columns if c != "symbol"])
+    w = E.with_kappas(predictions(decisions(labelled(spark, sf_dir))), [1.0]).filter("side <> 0")
+    out = E.symbol_quantiles(pin(w.select(*UNIT, E.net_return(F.col("side"), F.col("y"), F.lit(0.003)).alias("net"))), keys=UNIT)
+    return out.select(*UNIT, *[rd(c).alias(c) for c in out.columns if c not in UNIT])

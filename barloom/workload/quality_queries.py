@@ -64,10 +64,12 @@ def micro_density(spark, sf_dir):
 
 
 @query("frac_constant", sql(
-    " UNION ALL ".join(f"SELECT 'x_{d}' AS feature, {rq('max(n) / sum(n)')} AS frac_constant FROM (SELECT x_{d}, count(*) AS n FROM panel "
-                       "GROUP BY 1)" for d in (7, 9, 13)), "panel"))
+    " UNION ALL ".join(f"SELECT 'x_{d}' AS feature, {rq('max(n) / sum(n)')} AS frac_constant FROM (SELECT round(x_{d}, 9), count(*) AS n FROM panel "
+                       "GROUP BY 1)" for d in range(16)), "panel"))
 def frac_constant(spark, sf_dir):
-    return Q.frac_constant(V.panel(spark, sf_dir), ["x_7", "x_9", "x_13"]).withColumn("frac_constant", rd("frac_constant"))
+    # rounded, so that values that two engines compute alike count as one
+    p = V.panel(spark, sf_dir).select(*[F.round(f"x_{d}", 9).alias(f"x_{d}") for d in range(16)])
+    return Q.frac_constant(p, p.columns).withColumn("frac_constant", rd("frac_constant"))
 
 
 @query("nonfinite_scan", sql(

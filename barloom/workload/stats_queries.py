@@ -447,22 +447,22 @@ def cross_block_dependence(spark, sf_dir):
 @query("copula_deficit")
 def copula_deficit(spark, sf_dir):
     p = V.panel(spark, sf_dir)
-    value = T.copula_deficit(p, ["x_7", "x_8", "x_9", "x_10"])
+    value = T.copula_deficit(p, [f"x_{d}" for d in _DIMS])
     return p.agg(F.count("*").alias("n")).withColumn("deficit", F.lit(value))
 
 
 @query("subsample_drift", sql(
-    f"""SELECT {rq('greatest(hi - w, w - lo)')} AS max_drift, greatest(hi - w, w - lo) <= 0.15 AS stable FROM (SELECT max(fn) FILTER (WHERE s = 'all') AS w, max(fn) AS hi, min(fn) AS lo FROM (SELECT 'all' AS s,
- avg((mu < 0)::INT) AS fn FROM preds WHERE cell = 4 AND seed = 1 UNION ALL SELECT 'capped', avg((mu < 0)::INT) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY {u_sql("'6:' || symbol || ':' || bar_open_ms")},
- symbol, bar_open_ms) AS r FROM preds WHERE cell = 4 AND seed = 1) WHERE r <= 20 UNION ALL SELECT 'fewer', avg((mu < 0)::INT) FROM preds WHERE cell = 4 AND seed = 1 AND symbol < 'Brand#2'))""", "preds"))
+    f"""SELECT cell, seed, {rq('greatest(hi - w, w - lo)')} AS max_drift, greatest(hi - w, w - lo) <= 0.15 AS stable FROM (SELECT cell, seed, max(fn) FILTER (WHERE s = 'all') AS w, max(fn) AS hi, min(fn) AS lo FROM (SELECT cell, seed, 'all' AS s,
+ avg((mu < 0)::INT) AS fn FROM preds GROUP BY 1, 2 UNION ALL SELECT cell, seed, 'capped', avg((mu < 0)::INT) FROM (SELECT *, row_number() OVER (PARTITION BY cell, seed, symbol ORDER BY {u_sql("'6:' || symbol || ':' || bar_open_ms")},
+ symbol, bar_open_ms) AS r FROM preds) WHERE r <= 20 GROUP BY 1, 2 UNION ALL SELECT cell, seed, 'fewer', avg((mu < 0)::INT) FROM preds WHERE symbol < 'Brand#2' GROUP BY 1, 2) GROUP BY 1, 2)""", "preds"))
 def subsample_drift(spark, sf_dir):
-    p = pin(Q.predictions(Q.decisions(Q.labelled(spark, sf_dir))).filter("cell = 4 and seed = 1").select("symbol", "bar_open_ms", "mu"))
-    subsets = {"all": p, "capped": R.cap_per_group(p, ["symbol"], 20, 6, ["symbol", "bar_open_ms"]), "fewer": p.filter("symbol < 'Brand#2'")}
+    p = pin(Q.predictions(Q.decisions(Q.labelled(spark, sf_dir))).select(*Q.UNIT, "bar_open_ms", "mu"))
+    subsets = {"all": p, "capped": R.cap_per_group(p, Q.UNIT, 20, 6, ["symbol", "bar_open_ms"]), "fewer": p.filter("symbol < 'Brand#2'")}
     x = None
     for n, t in subsets.items():
-        part = t.agg(F.avg((F.col("mu") < 0).cast("double")).alias("fn")).withColumn("subset", F.lit(n))
+        part = t.groupBy(*KEYS).agg(F.avg((F.col("mu") < 0).cast("double")).alias("fn")).withColumn("subset", F.lit(n))
         x = part if x is None else x.unionByName(part)
-    return T.drift(x, "fn").select(rd("max_drift").alias("max_drift"), "stable")
+    return T.drift(x, "fn", KEYS).select(*KEYS, rd("max_drift").alias("max_drift"), "stable")
 
 
 # ---- guards and verdict ------------------------------------------------------------------------------------------------

@@ -182,7 +182,7 @@ def noisy_plant(spark, sf_dir):
 
 @query("legibility_gate")
 def legibility_gate(spark, sf_dir):
-    return K.legibility_gate(panel_tokens(spark, sf_dir), [7, 8], least=1000)
+    return K.legibility_gate(panel_tokens(spark, sf_dir), range(7, 13), least=1000)
 
 
 @query("window_context_probe")
@@ -194,7 +194,7 @@ def window_context_probe(spark, sf_dir):
 def discriminative_score(spark, sf_dir):
     from barloom.operators.samples import block_time_permute
     p = pin(V.panel(spark, sf_dir).withColumn("id", F.concat_ws(":", "symbol", "bar_open_ms")))
-    cols = ["x_0", "x_5", "x_7", "x_9"]
+    cols = [f"x_{d}" for d in range(13)]
     score = K.discriminative_score(p, block_time_permute(p, 17), cols)
     return p.groupBy("symbol").agg(F.count("*").alias("n")).withColumn("score", F.lit(score))
 
@@ -204,7 +204,7 @@ def tstr_trtr(spark, sf_dir):
     from barloom.operators.samples import block_time_permute
     from barloom.operators.windows import forward_returns
     y = pin(forward_returns(V.panel(spark, sf_dir), TL, 4))
-    cols = ["x_0", "x_7", "x_9"]
+    cols = [f"x_{d}" for d in range(13)]
     test = y.filter("y is not null and row_idx >= 250")
     train = y.filter("row_idx < 250")
     return K.tstr_trtr(train.filter("y is not null"), block_time_permute(train, 17).filter("y is not null"), test, cols, "y")
