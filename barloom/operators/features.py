@@ -334,17 +334,24 @@ def has_flag(bit: int, col: str = "dq_flags") -> Column:
 def guard_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fail the job on the first NULL or non-finite value of the columns, whichever of them are read later.
 
-    The check is a filter, so column pruning cannot remove it. Zero times a finite value is 0 and times any other is not, so
-    each column is read once; the random term keeps the filter where it stands: pushed below the projection it would
-    repeat the columns' expressions.
+    The check is a filter, so column pruning cannot remove it, and a deterministic one, so filters on symbol or time still reach the
+    scan below it. Zero times a finite value is 0 and times any other is not, so each column is read once.
     """
     zero = F.lit(0.0)
     for c in columns:
         zero = zero + F.col(c) * 0.0
-    good = F.coalesce(zero == 0.0, F.lit(False)) & (F.rand() >= 0.0)
+    good = F.coalesce(zero == 0.0, F.lit(False))
     return df.filter(F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit("non-finite value in emitted features")).cast("boolean")))
 
 
+def refuse_repeats(framed: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """Chunked bars, or an error in the job where a symbol has two with one time; the layout is the one the windows use anyway."""
+    ts = F.col("bar_open_ms")
+    again = F.coalesce(F.lag(ts).over(timeline(cfg).by_chunk()) == ts, F.lit(False))
+    fail = F.raise_error(F.concat(F.lit("times repeat: "), F.col("symbol"), F.lit(" "), ts.cast("string"))).cast("boolean")
+    return framed.withColumn("_again", again).filter(F.when(F.col("_again"), fail).otherwise(F.lit(True))).drop("_again")
+
+
 # ---- the whole table --------------------------------------------------------------------------------------------------
 
 FLOW_QA = ["v_kline", "v_agg", "funding_missing", "oi_missing", "clipped", "is_stale", "raw_range"]
@@ -355,7 +362,7 @@ OUTPUT = [*KEY, "segment_id", "seg_pos", *[f"x_{d}" for d in range(N_FEATURES)],
 def compute_features(bars: DataFrame, cfg: FeatureConfig, trades: DataFrame | None = None) -> DataFrame:
     """Bars with flow, funding and oi columns -> features, masks, volatility, target and flags.
 
-    Narrow side tables (wick thresholds, large-trade counts, stale flags) are joined on (symbol, bar), the layout the
+    Repeated times fail the job. Narrow side tables (wick thresholds, large-trade counts, stale flags) are joined on (symbol, bar), the layout the
     trade join already produced; then one exchange on (symbol, chunk) serves every window and scan.
     """
     cfg_chunk = safe_chunk(cfg.chunk, cfg.lam)
@@ -373,7 +380,7 @@ def compute_features(bars: DataFrame, cfg: FeatureConfig, trades: DataFrame | No
             side = side.withColumns({name: F.lit(default), f"{name}_missing": F.lit(1)})
     if cfg.leak is not None and cfg.leak not in LEAKS:
         raise ValueError(f"leak is one of {LEAKS}, got {cfg.leak}")
-    framed = local_segments(side, cfg, 1, 3 if cfg.leak else 1)
+    framed = refuse_repeats(local_segments(side, cfg, 1, 3 if cfg.leak else 1), cfg)
     wide = raw_features(clip_wicks(framed, cfg), cfg)
     then = F.lead("f_0", 2).over(tl.by_segment()).isNotNull() if cfg.leak == "validity_next" else F.lit(False)
     wide = wide.withColumns({"ret": F.col("f_0"), "next_ret": F.lead("f_0").over(tl.by_segment()),

@@ -19,13 +19,15 @@ from barloom.sources.lake import write_lake
 
 def build_features(trades: DataFrame, klines: DataFrame, cfg: FeatureConfig, funding: DataFrame | None = None,
                    open_interest: DataFrame | None = None) -> DataFrame:
-    """All symbols at once: reduce ticks, join onto bars, attach events, compute features."""
-    tl = S.timeline(cfg)
+    """All symbols at once: reduce ticks, join onto bars, attach events, compute features.
+
+    Repeated bars and non-finite features fail the job that reads the result; the input is read once for checks and result.
+    """
     bars = B.attach_trades(klines, B.reduce_trades(trades, cfg.bar_ms))
-    for name, events in (("funding", funding), ("oi", open_interest)):
-        if events is not None:
-            bars = B.asof_ffill(pin(bars), events, name, tl)
-    return X.guard_finite(X.compute_features(B.assert_strictly_increasing(bars), cfg, trades), [f"x_{d}" for d in range(16)])
+    marks = {n: df for n, df in (("funding", funding), ("oi", open_interest)) if df is not None}
+    if marks:
+        bars = B.asof_marks(bars, marks, S.timeline(cfg))
+    return X.guard_finite(X.compute_features(bars, cfg, trades), [f"x_{d}" for d in range(16)])
 
 
 def hash_text() -> Column:

@@ -173,3 +173,54 @@ def test_repeated_bars_stay_as_many(spark):
     bars = spark.createDataFrame([("s", 10)] * 3 + [("s", 20)], "symbol string, bar_open_ms long")
     marks = spark.createDataFrame([("s", 5, 1.5)], "symbol string, ts_ms long, value double")
     assert asof_ffill(bars, marks, "funding", Timeline(step=10, chunk=4)).count() == 4
+
+
+def test_repeated_bars_fail_the_job(bars, tape):
+    from barloom.plans.build import build_features
+
+    good = build_features(tape, bars.select("symbol", "bar_open_ms", "open", "high", "low", "close", "v_kline", "quote_volume"), CFG)
+    assert good.count() == bars.count()
+    twice = bars.select("symbol", "bar_open_ms", "open", "high", "low", "close", "v_kline", "quote_volume")
+    twice = twice.unionByName(twice.filter("symbol = 'cold' and bar_open_ms = 600000"))
+    with pytest.raises(Exception, match="times repeat: cold 600000"):
+        build_features(tape, twice, CFG).select("symbol").collect()  # the checked columns are not selected
+
+
+def test_marks_of_several_series_and_ties(spark):
+    from barloom.frames import Timeline
+
+    bars = spark.createDataFrame([("s", t, t < 40) for t in (10, 20, 30, 40, 50)] + [("z", 10, True)], "symbol string, bar_open_ms long, is_perp boolean")
+    funding = spark.createDataFrame([("s", 15, 1.0, 1), ("s", 25, 5.0, 2), ("s", 25, 3.0, 3), ("s", 41, None, 4)], "symbol string, ts_ms long, value double, seq long")
+    oi = spark.createDataFrame([("s", 30, 7.0), ("s", 30, 9.0), ("q", 1, 2.0)], "symbol string, ts_ms long, value double")
+    for chunk in (1, 2, 64):
+        got = {(r["symbol"], r["bar_open_ms"]): (r["funding"], r["funding_missing"], r["oi"], r["oi_missing"])
+               for r in B.asof_marks(bars, {"funding": funding, "oi": oi}, Timeline(step=10, chunk=chunk)).collect()}
+        assert got[("s", 10)] == (1.0, 0, 0.0, 1)  # a mark on the way to the close counts, one at the next close does not
+        assert got[("s", 20)] == (3.0, 0, 9.0, 0)  # the last to arrive wins; without an order the largest
+        assert got[("s", 30)] == (3.0, 0, 9.0, 0)
+        assert got[("s", 40)] == (0.0, 1, 0.0, 1)  # no perpetual
+        assert got[("z", 10)] == (0.0, 1, 0.0, 1)
+
+
+def test_audit_meets_every_bar_and_catches_a_lost_one(spark, tape, bars):
+    from barloom.operators import leakage as L
+
+    cfg = replace(CFG, mad_window=6, w_tau=5, half_life_fast=4, half_life_slow=6, n_warm=3, n_warm_vol=3, vol_window=4, z_window=6, chunk=32)
+    some = (F.col("symbol") == "hot") & (F.col("bar_open_ms") < 60 * MIN)
+    none = spark.createDataFrame([("hot", 5 * MIN, 1.0)], "symbol string, ts_ms long, value double")
+    t = L.Tape(bars.filter(some).select("symbol", "bar_open_ms", "open", "high", "low", "close", "v_kline", "quote_volume"),
+               tape.filter("symbol = 'hot' and ts_ms < 3600000"), none, none).pinned()
+    sl = L.Slices(16, 12, 3)
+    got = {r["output"]: r for r in L.audit(t, cfg, sl).collect()}
+    assert all(r["n_checks"] == 60 and r["n_failures"] == 0 and r["n_anchors"] == r["n_bars"] == 60 for r in got.values()) and len(got) == len(L.OUTPUTS)
+
+    def forgetful(replayed, c):  # the replays of one bar come back without it
+        return L.feature_pipeline(replayed, c).filter(~F.col("symbol").endswith(f"@{20 * MIN}") | (F.col("bar_open_ms") != 20 * MIN))
+
+    lost = {r["output"]: r for r in L.audit(t, cfg, sl, pipeline=forgetful, outputs={"x_0": 0, "target": 1}).collect()}
+    assert lost["x_0"]["n_failures"] == 1 and lost["x_0"]["n_anchors"] == 59 and lost["target"]["n_failures"] == 0
+    with pytest.raises(Exception, match="does not cover"):
+        L.assert_covered(L.audit(t, cfg, sl, pipeline=forgetful, outputs={"x_0": 0})).collect()
+    at = 13 * MIN
+    flagged = L.caught_leaks(t, cfg, sl, {"sigma_next": at}).first()
+    assert flagged["n_failures"] > 0 and "sigma" in flagged["outputs"]
