@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import ms_to_date, ms_to_month
 from barloom.operators.bars import bar_open
+from barloom.session import pin
+from barloom.sources.versions import Store, content_digest
 
 FLOATS = [*[f"x_{d}" for d in range(16)], "sigma", "raw_ret_close", "raw_range"]
 
@@ -42,10 +43,15 @@ def connect_lake(spark: SparkSession, root: str, view: str = "bars") -> DataFram
 
 
 def compact_lake(spark: SparkSession, src: str, dst: str) -> None:
-    """Day partitions to month partitions; the date stays as a column, the content does not change."""
-    df = spark.read.parquet(src).withColumns({"date": F.col("date").cast("string"), "month": ms_to_month("bar_open_ms")})
-    (df.repartition("symbol", "month").sortWithinPartitions("symbol", "month", "bar_open_ms")
+    """Day partitions to month partitions; the date stays as a column. The content must not change: digests of both sides are compared per symbol."""
+    days = spark.read.parquet(src).withColumn("date", F.col("date").cast("string"))
+    (days.withColumn("month", ms_to_month("bar_open_ms")).repartition("symbol", "month").sortWithinPartitions("symbol", "month", "bar_open_ms")
      .write.mode("overwrite").option("compression", "zstd").partitionBy("symbol", "frequency", "month").parquet(dst))
+    columns = sorted(days.columns)
+    was, now = (content_digest(df.select(columns), ["symbol"]) for df in (days, spark.read.parquet(dst)))
+    changed = was.exceptAll(now).unionByName(now.exceptAll(was)).first()
+    if changed is not None:
+        raise ValueError(f"compaction changed the content of {changed['symbol']}")
 
 
 def partition_check(lake: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -57,44 +63,31 @@ def partition_check(lake: DataFrame, manifest: DataFrame) -> DataFrame:
 
 # ---- shards --------------------------------------------------------------------------------------------------
 
-def shard_digest(trades: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free content digest of each (symbol, month): row count and two sums of row hashes."""
-    h = F.xxhash64(*columns)
-    return trades.groupBy("symbol", "month").agg(
-        F.count("*").alias("n_rows"), F.sum(F.pmod(h, F.lit(1_000_003))).alias("h1"), F.bit_xor(h).alias("h2"))
+def shard_store(root: str) -> Store:
+    return Store(root, ("symbol", "month"))
 
 
-def changed_shards(plan: DataFrame, stored: DataFrame) -> DataFrame:
-    """Shards of the plan without an identical stored digest."""
-    return plan.join(stored, ["symbol", "month", "n_rows", "h1", "h2"], "left_anti")
+def reduce_shards(trades: DataFrame, root: str, reduce: Callable[[DataFrame], DataFrame], step: int) -> DataFrame:
+    """Bring the store up to the trades, reducing only (symbol, month) shards whose trades changed; returns the keys of those rebuilt.
 
-
-def reduce_shards(trades: DataFrame, store: str, reduce, step: int) -> DataFrame:
-    """Reduce only (symbol, month) shards whose trades changed since the stored run; returns the shards rebuilt.
-
-    A trade belongs to the month in which its bar of ``step`` milliseconds opens, so a shard holds whole bars only.
-    The digests live beside the shards and are written after them, so a run that dies in between redoes its shards.
+    A trade belongs to the month in which its bar of ``step`` milliseconds opens, so a shard holds whole bars only. The digest of
+    a shard's trades stands in the manifest of the version that holds its bars. Shards without trades leave the store. A shard that is lost or altered
+    is rebuilt like a changed one. Readers see the version before until all is written.
     """
-    spark = trades.sparkSession
+    spark, store = trades.sparkSession, shard_store(root)
     x = trades.withColumn("month", ms_to_month(bar_open("ts_ms", step)))
-    columns = [c for c in trades.columns]
-    plan = shard_digest(x, columns)
-    try:
-        stored = spark.read.parquet(f"{store}/digests")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise  # only a missing table means a first run
-        stored = plan.limit(0)
-    todo = changed_shards(plan, stored)
-    from barloom.session import pin
-
-    todo = pin(todo)
-    part = reduce(x.join(todo.select("symbol", "month"), ["symbol", "month"], "left_semi").drop("month"))
-    (part.withColumn("month", ms_to_month("bar_open_ms")).repartition("symbol", "month").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "month").parquet(f"{store}/bars"))
-    (todo.repartition("symbol").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("symbol", "month").parquet(f"{store}/digests"))
-    return todo
+    keys = list(store.keys)
+    plan = pin(content_digest(x, keys).withColumnsRenamed({"n_rows": "n_trades", "h1": "source_h1", "h2": "source_h2"}))
+    source = ["n_trades", "source_h1", "source_h2"]
+    stored = store.manifest(spark)
+    if stored is None:
+        todo = plan
+    else:
+        sound = stored.join(store.check(spark).select(*keys), keys, "left_anti")
+        todo = pin(plan.join(sound.select(*keys, *source), [*keys, *source], "left_anti"))
+    part = reduce(x.join(todo.select(*keys), keys, "left_semi").drop("month")).withColumn("month", ms_to_month("bar_open_ms"))
+    store.commit(part.repartition(*keys), facts=todo, keep=plan)
+    return todo.select(*keys)
 
 
 # ---- ledger and artifacts -------------------------------------------------------------------------------------
@@ -108,34 +101,68 @@ def built_symbols(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path).filter("event = 'lake_built'").select("symbol").distinct()
 
 
-def write_token_stream(tokens: DataFrame, path: str, tokenizer_hash: str, dataset_hash: DataFrame, window: int) -> None:
-    """Ids with their provenance in every row: dictionary encoding makes it free."""
-    (tokens.join(dataset_hash, "symbol").withColumns({"tokenizer_hash": F.lit(tokenizer_hash), "window": F.lit(window)})
-     .repartitionByRange("symbol", "bar_open_ms").write.mode("overwrite").option("compression", "zstd").partitionBy("symbol").parquet(path))
+def token_store(path: str) -> Store:
+    return Store(path, ("symbol",))
+
+
+def write_token_stream(tokens: DataFrame, path: str, tokenizer_hash: str, dataset_hash: DataFrame, window: int) -> str:
+    """Ids as one version of a store whose manifest holds, per symbol, their digest and provenance; returns the version.
+
+    Every symbol must have a dataset hash and every hashed symbol ids.
+    """
+    odd = tokens.select("symbol").distinct().join(dataset_hash.select("symbol", F.lit(1).alias("_h")), "symbol", "full_outer").join(
+        tokens.select("symbol").distinct().withColumn("_t", F.lit(1)), "symbol", "left").filter("_h is null or _t is null").first()
+    if odd is not None:
+        raise ValueError(f"token stream and dataset hashes do not cover the same symbols: {odd['symbol']}")
+    facts = dataset_hash.select("symbol", "dataset_hash").withColumns({"tokenizer_hash": F.lit(tokenizer_hash), "window": F.lit(window)})
+    return token_store(path).commit(tokens.repartitionByRange("symbol", "bar_open_ms").sortWithinPartitions("symbol", "bar_open_ms"), facts=facts, keep=facts.limit(0))
 
 
 def load_token_stream(spark: SparkSession, path: str, tokenizer_hash: str, dataset_hash: DataFrame, window: int) -> DataFrame:
-    """Ids whose provenance matches; any other row fails the job."""
-    df = spark.read.parquet(path).join(dataset_hash.withColumnRenamed("dataset_hash", "_want"), "symbol", "left")
+    """Ids of the current version, refused where a row was lost, added or changed, where the provenance of a symbol differs, or where
+    symbols are missing or were not expected."""
+    store = token_store(path)
+    version = store.version(spark)
+    facts = store.manifest(spark, version)
+    want = dataset_hash.select("symbol", F.col("dataset_hash").alias("_want"))
     good = (F.col("tokenizer_hash") == tokenizer_hash) & (F.col("window") == window) & F.col("dataset_hash").eqNullSafe(F.col("_want"))
-    error = F.raise_error(F.lit("token stream does not match its tokenizer or data")).cast("boolean")
-    # a filter, so that no choice of columns prunes the check
-    return df.filter(F.when(F.coalesce(good, F.lit(False)), F.lit(True)).otherwise(error)).drop("_want", "tokenizer_hash", "window", "dataset_hash")
+    bad = facts.join(want, "symbol", "full_outer").filter(~F.coalesce(good, F.lit(False))).first()
+    if bad is not None:
+        raise ValueError(f"token stream does not match its tokenizer or data: {bad.asDict()}")
+    return store.read(spark, version)
 
 
 def artifact_hash(columns: Sequence[str]) -> Column:
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
 def write_eval_artifacts(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """Units with the hash of their content."""
     df.withColumn("content_hash", artifact_hash(columns)).write.mode("overwrite").parquet(path)
 
 
-def load_eval_artifacts(spark: SparkSession, path: str, expected: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(artifacts, problems): rows missing, extra or altered since they were written."""
+def load_eval_artifacts(spark: SparkSession, path: str, expected: DataFrame, keys: Sequence[str], columns: Sequence[str], grid: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(artifacts, problems): units missing, extra, standing twice, altered since they were written, or on another grid than expected.
+
+    ``grid`` names columns, such as horizon, start and number of periods, in which a unit must equal its row of ``expected``.
+    """
     df = spark.read.parquet(path)
-    have = df.select(*keys).distinct()
-    missing = expected.select(*keys).join(have, list(keys), "left_anti").withColumn("problem", F.lit("missing"))
-    extra = have.join(expected.select(*keys), list(keys), "left_anti").withColumn("problem", F.lit("extra"))
-    altered = df.filter(F.col("content_hash") != artifact_hash(columns)).select(*keys).withColumn("problem", F.lit("altered"))
-    return df.drop("content_hash"), missing.unionByName(extra).unionByName(altered)
+    have = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    missing = expected.select(*keys).join(have.select(*keys), list(keys), "left_anti").withColumn("problem", F.lit("missing"))
+    extra = have.select(*keys).join(expected.select(*keys), list(keys), "left_anti").withColumn("problem", F.lit("extra"))
+    twice = have.filter("_n > 1").select(*keys, F.lit("repeated").alias("problem"))
+    altered = df.filter(~F.col("content_hash").eqNullSafe(artifact_hash(columns))).select(*keys).withColumn("problem", F.lit("altered"))
+    problems = missing.unionByName(extra).unionByName(twice).unionByName(altered)
+    if grid:
+        want = expected.select(*keys, *[F.col(c).alias(f"_g_{c}") for c in grid])
+        off = F.lit(False)
+        for c in grid:
+            off = off | ~F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        problems = problems.unionByName(df.join(want, list(keys)).filter(off).select(*keys, F.lit("grid").alias("problem")))
+    return df.drop("content_hash"), problems
+
+
+def assert_no_problems(problems: DataFrame) -> None:
+    bad = problems.first()
+    if bad is not None:
+        raise ValueError(f"artifacts are refused: {bad.asDict()}")

@@ -102,14 +102,15 @@ def compact_lake(spark, sf_dir):
 @query("reduce_shards", sql(
     f"SELECT symbol, strftime(epoch_ms(bar_open_ms::BIGINT), '%Y-%m') AS month, count(*) AS n_bars, sum(n_trades)::BIGINT AS n_trades FROM flow GROUP BY 1, 2", "flow"))
 def reduce_shards(spark, sf_dir):
-    """A run on part of the ticks, then one on all of them: only changed shards are rebuilt, the store ends complete."""
+    """A run in which one symbol has another name, then the true ticks: only its shards are rebuilt, those of the old name go."""
     from barloom.operators.bars import reduce_trades
     t, root = V.trades(spark, sf_dir), scratch(spark)
     run = lambda x: reduce_trades(x, HOUR)
-    Lk.reduce_shards(t.filter("symbol <> 'view'"), root, run, HOUR)
+    other = t.withColumn("symbol", F.when(F.col("symbol") == "view", "gone").otherwise(F.col("symbol")))
+    Lk.reduce_shards(other, root, run, HOUR)
     rebuilt = Lk.reduce_shards(t, root, run, HOUR)
     assert rebuilt.filter("symbol <> 'view'").count() == 0
-    store = spark.read.parquet(f"{root}/bars")
+    store = Lk.shard_store(root).read(spark)
     return store.groupBy("symbol", F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n_bars"), F.sum("n_trades").alias("n_trades"))
 
 
@@ -160,9 +161,9 @@ def eval_artifacts(spark, sf_dir):
     present = o.filter("unit % 11 <> 0").unionByName(o.filter("unit % 13 = 0").withColumn("unit", F.col("unit") + 100_000_000))
     root = scratch(spark)
     cols = ["unit", "ir"]
-    hashed = present.withColumn("content_hash", Lk.artifact_hash(cols))
-    hashed.withColumn("ir", F.when((F.col("unit") % 17 == 0) & (F.col("unit") < 100_000_000), F.col("ir") + 1).otherwise(F.col("ir"))).write.parquet(root)
-    return Lk.load_eval_artifacts(spark, root, o, ["unit"], cols)[1]
+    Lk.write_eval_artifacts(present, f"{root}/true", cols)
+    spark.read.parquet(f"{root}/true").withColumn("ir", F.when((F.col("unit") % 17 == 0) & (F.col("unit") < 100_000_000), F.col("ir") + 1).otherwise(F.col("ir"))).write.parquet(f"{root}/held")
+    return Lk.load_eval_artifacts(spark, f"{root}/held", o, ["unit"], cols)[1]
 
 
 @query("forecast_export", """SELECT 'p' || q AS quantile, count(*) AS n FROM (SELECT DISTINCT user_id % 3 AS seed, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) % 8 AS step FROM events UNION ALL

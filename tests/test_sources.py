@@ -1,5 +1,6 @@
 """Files in and out, refusals and resume."""
 
+import os
 import zipfile
 
 import pytest
@@ -58,7 +59,7 @@ def test_shards_keep_bars_that_reach_into_the_next_month(spark, tmp_path):
         rebuilt = Lk.reduce_shards(t, str(tmp_path / "s"), lambda x: reduce_trades(x, week), week)
     assert [r["month"] for r in rebuilt.collect()] == ["2021-01"]
     want = {(r["bar_open_ms"], r["n_trades"], r["v_agg"]) for r in reduce_trades(late, week).collect()}
-    got = spark.read.parquet(str(tmp_path / "s" / "bars")).collect()
+    got = Lk.shard_store(str(tmp_path / "s")).read(spark).collect()
     assert {(r["bar_open_ms"], r["n_trades"], r["v_agg"]) for r in got} == want and len(got) == len(want)
 
 
@@ -91,3 +92,92 @@ def test_listing_ignores_keys_whose_names_disagree(spark):
     rows = [("d/AAA/AAA-aggTrades-2021-01.zip", 5), ("d/AAA/BBB-aggTrades-2021-01.zip", 7), ("d/AAA/AAA-klines-2021-01.zip", 9)]
     got = scan_listing(spark.createDataFrame(rows, "key string, size long")).collect()
     assert [(r["symbol"], r["month"], r["bytes"]) for r in got] == [("AAA", "2021-01", 5)]
+
+
+def _damage(root, how):
+    """Lose, add to or change the files of one live shard."""
+    import glob
+    import shutil
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    shard = sorted(glob.glob(f"{root}/data/*/symbol=b"))[-1]
+    path = glob.glob(f"{shard}/*.parquet")[0]
+    if how == "lost":
+        shutil.rmtree(shard)
+        return
+    t = pq.read_table(path, partitioning=None)
+    v = t["v"].to_pylist()
+    changed = {"added": v + [9], "changed": [v[0] + 1, *v[1:]], "null": [None, *v[1:]], "fewer": v[1:]}[how]
+    rows = {"t": t["t"].to_pylist()[: len(changed)] + [99] * (len(changed) - len(v)), "v": changed}
+    pq.write_table(pa.table(rows, schema=t.schema), path)
+    for crc in glob.glob(f"{shard}/.*.crc"):
+        os.remove(crc)
+
+
+@pytest.mark.parametrize("how", ["lost", "added", "changed", "null", "fewer"])
+def test_store_refuses_what_was_not_committed(spark, tmp_path, how):
+    from barloom.sources.versions import Store
+
+    root = str(tmp_path / "s")
+    store = Store(root, ("symbol",))
+    rows = [(s, t, t * t) for s in "abc" for t in range(5)]
+    store.commit(spark.createDataFrame(rows, "symbol string, t long, v long").coalesce(1))
+    assert sorted(map(tuple, store.read(spark).select("symbol", "t", "v").collect())) == sorted(rows)
+    _damage(root, how)
+    assert [(r["symbol"], r["problem"]) for r in store.check(spark).collect()] == [("b", "lost" if how == "lost" else "altered")]
+    with pytest.raises(ValueError, match="'symbol': 'b'"):
+        store.read(spark)
+
+
+def test_store_versions(spark, tmp_path):
+    from barloom.sources.versions import Store
+
+    root = str(tmp_path / "s")
+    store = Store(root, ("symbol",))
+    make = lambda rows: spark.createDataFrame(rows, "symbol string, v long")
+    assert store.manifest(spark) is None
+    first = store.commit(make([("a", 1), ("b", 2), ("01", 3)]))
+    second = store.commit(make([("b", 5)]))
+    read = lambda v=None: sorted((r["symbol"], r["v"]) for r in store.read(spark, v).collect())
+    assert read() == [("01", 3), ("a", 1), ("b", 5)] and read(first) == [("01", 3), ("a", 1), ("b", 2)]
+    store.commit(make([("c", 7)]), keep=make([("a", 0)]))  # 'b' and '01' have vanished from the source
+    assert read() == [("a", 1), ("c", 7)] and read(second) == [("01", 3), ("a", 1), ("b", 5)]
+    # a run that dies before its pointer moves is never seen
+    make([("a", 100)]).write.partitionBy("symbol").parquet(f"{root}/data/_run=dead")
+    assert read() == [("a", 1), ("c", 7)]
+    assert store.vacuum(spark) == 2 and read() == [("a", 1), ("c", 7)]
+    with pytest.raises(RuntimeError, match="another run"):
+        store._point(spark, "late", first)
+
+
+def test_compaction_and_token_streams_are_checked(spark, tmp_path, monkeypatch):
+    rows = [("s", d * 86_400_000, float(d)) for d in range(60)]
+    Lk.write_lake(spark.createDataFrame(rows, "symbol string, bar_open_ms long, x_0 double"), str(tmp_path / "day"), by="date")
+    Lk.compact_lake(spark, str(tmp_path / "day"), str(tmp_path / "month"))
+    assert spark.read.parquet(str(tmp_path / "month")).count() == 60
+    monkeypatch.setattr(Lk, "ms_to_month", lambda c: F.when(F.col(c) > 0, F.lit("1970-01")))  # an id that goes astray
+    real = Lk.content_digest
+    monkeypatch.setattr(Lk, "content_digest", lambda df, keys: real(df.filter("bar_open_ms > 0") if "month" in str(df.inputFiles()) else df, keys))
+    with pytest.raises(ValueError, match="changed the content of s"):
+        Lk.compact_lake(spark, str(tmp_path / "day"), str(tmp_path / "month2"))
+
+    t = spark.createDataFrame([("s", 0, 1, 2), ("z", 0, 3, 4)], "symbol string, bar_open_ms long, b_c int, b_f int")
+    h = spark.createDataFrame([("s", "abc"), ("z", "def")], "symbol string, dataset_hash string")
+    with pytest.raises(ValueError, match="same symbols: z"):
+        Lk.write_token_stream(t, str(tmp_path / "t"), "tok", h.filter("symbol = 's'"), 8)
+    Lk.write_token_stream(t, str(tmp_path / "t"), "tok", h, 8)
+    assert Lk.load_token_stream(spark, str(tmp_path / "t"), "tok", h, 8).count() == 2
+    for other in (h.filter("symbol = 's'"), h.unionByName(h.limit(1).withColumn("symbol", F.lit("q"))), h.withColumn("dataset_hash", F.lit("abc"))):
+        with pytest.raises(ValueError, match="does not match"):
+            Lk.load_token_stream(spark, str(tmp_path / "t"), "tok", other, 8)
+
+
+def test_artifacts_on_another_grid_are_named(spark, tmp_path):
+    want = spark.createDataFrame([(1, 5, 0.5), (2, 5, 0.6), (3, 5, None)], "unit int, h int, ir double")
+    Lk.write_eval_artifacts(want.withColumn("h", F.when(F.col("unit") == 2, 15).otherwise(F.col("h"))).unionByName(want.filter("unit = 1")), str(tmp_path / "a"), ["unit", "h", "ir"])
+    _, problems = Lk.load_eval_artifacts(spark, str(tmp_path / "a"), want, ["unit"], ["unit", "h", "ir"], grid=["h"])
+    assert sorted(map(tuple, problems.collect())) == [(1, "repeated"), (2, "grid")]
+    with pytest.raises(ValueError, match="refused"):
+        Lk.assert_no_problems(problems)
