@@ -35,6 +35,17 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(*tables: DataFrame | None) -> None:
+    """Delete the files of staged tables whose last reader has run; None and tables read from elsewhere are passed over."""
+    for df in tables:
+        for path in df.inputFiles()[:1] if df is not None else ():
+            folder = path.rpartition("/")[0]
+            if folder.endswith("/stage") and "/work-" in folder:
+                jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+                target = jvm.org.apache.hadoop.fs.Path(folder)
+                target.getFileSystem(context.hadoopConfiguration()).delete(target, True)
+
+
 def docs_of(df: DataFrame) -> DataFrame:
     """doc_id and the UTF-8 bytes of the text; a null text counts as the empty one."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stage
+from barloom.llm.common import stage, unstage
 
 
 def _mins(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stage(links.filter("u != v").select("u", "v").distinct())
     seen = None
     while True:
-        edges = stage(_small_star(_large_star(edges)))
+        before, edges = edges, stage(_small_star(_large_star(edges)))
+        unstage(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import chunks, docs_of, stage
+from barloom.llm.common import chunks, docs_of, stage, unstage
 from barloom.llm.graph import components
 
 RADIUS = 3
@@ -34,6 +34,9 @@ SHINGLE = 5
 ALIKE = (4, 5)
 BANDS = 30
 BAND_ROWS = 5
+#: Members of a bucket that may list their pairs, and slots of the table that orders shingles by frequency (1 MiB).
+SMALL_BUCKET = 8
+ORDER_SLOTS = 1 << 17
 
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -245,8 +248,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_copy_prints(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of all columns), key (equal for equal words, 0 without words), n (distinct shingles) and bands of every row."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     return data.mapInArrow(_band, "doc_id long, row long, key long, n int, bands array<long>")
 
 
@@ -297,20 +299,80 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns; maps, which have no hash, by their JSON text."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema])
+
+
+def _places(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(11)) & np.uint64(ORDER_SLOTS - 1)
+
+
+def shingle_order(sets: DataFrame) -> np.ndarray:
+    """How many sets hold shingles of each of ORDER_SLOTS hash slots: a table of fixed size that orders shingles from rare to common."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(ORDER_SLOTS, dtype=np.int64)
+        for batch in batches:
+            for s in batch["shingles"]:
+                counts += np.bincount(_places(np.frombuffer(s.as_buffer(), "<u8")).astype(np.int64), minlength=ORDER_SLOTS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["slot", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(ORDER_SLOTS, dtype=np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _prefixes(order: np.ndarray):
+    """The rarest shingles of each set, one more than may be missing from a set of similarity 0.8, with their places in the order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            token, at = [], []
+            for s in batch["shingles"]:
+                own = np.frombuffer(s.as_buffer(), "<u8")
+                ranked = own[np.lexsort((own, order[_places(own).astype(np.int64)]))]
+                token.append(ranked[:len(own) - -(-len(own) * ALIKE[0] // ALIKE[1]) + 1].view(np.int64))
+                at.append(np.arange(len(token[-1]), dtype=np.int32))
+            owner = np.repeat(np.arange(batch.num_rows), [len(t) for t in token])
+            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(owner)), pa.array(np.concatenate(token)), pa.array(np.concatenate(at))], ["key", "token", "at"])
+
+    return run
+
+
+def crowded_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v, nu, nv) of members (key, n, root) of different roots that may have similarity 0.8, by prefix filtering.
+
+    Sets of such similarity have one of their rarest fifth of shingles in common, in any one order of all shingles; ordered from rare to
+    common, what a crowd shares comes last and makes no pair. Pairs whose sizes or remaining shingles cannot reach the similarity go.
+    No pair of that similarity is lost.
+    """
+    held = stage(sets.join(members.select("key"), "key", "left_semi"))
+    rare = stage(held.mapInArrow(_prefixes(shingle_order(held)), "key long, token long, at int").join(members, "key"))
+    one, other = (rare.select("token", *[F.col(c).alias(f"{c}{side}") for c in ("key", "n", "root", "at")]) for side in "uv")
+    met = one.join(other, "token").filter("keyu < keyv and rootu != rootv")
+    met = met.filter(F.least("nu", "nv") * ALIKE[1] >= F.greatest("nu", "nv") * ALIKE[0])
+    left = F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv"))  # shingles in common from here on, at most
+    met = met.filter(left * sum(ALIKE) >= (F.col("nu") + F.col("nv")) * ALIKE[0])
+    return met.select(F.col("keyu").alias("u"), F.col("keyv").alias("v"), "nu", "nv").distinct()
+
+
 def near_copy_links(docs: DataFrame, printed: DataFrame) -> DataFrame:
     """Links (u, v) between keys whose sets of five-word shingles have similarity 0.8 or more; they connect what all such pairs would.
 
-    Texts that agree in a band are candidates and every link is checked exactly. A bucket's members are first
-    held against one, then against several leaders; pairs are listed only between what is still apart, so a large group of near copies costs
-    its size and not its square.
+    Texts that agree in a band are candidates and every link is checked exactly. A bucket's members are first held against one, then
+    against several leaders, which joins a large group of near copies at the cost of its size. Between what is then still apart, buckets of at most
+    SMALL_BUCKET members list their pairs; members of larger ones meet by `crowded_pairs`, so texts that merely share a long
+    passage are not listed against each other.
     """
     keyed = stage(printed.filter("n > 0").select("key", "n", F.explode("bands").alias("band")).distinct())
     shared = keyed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
     buckets = stage(keyed.join(shared, "band", "left_semi"))
     # the shingles of one row per candidate key
     rows = printed.join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
-    data = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    data = docs.select(_row_hash(docs).alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     sets = stage(data.join(rows, "row").select("key", "data").mapInArrow(_shingle_set, "key long, shingles binary"))
+    unstage(keyed)
 
     def checked(pairs: DataFrame) -> DataFrame:
         # sizes further apart than the similarity cannot reach it
@@ -320,21 +382,27 @@ def near_copy_links(docs: DataFrame, printed: DataFrame) -> DataFrame:
             sets.select(F.col("key").alias("v"), F.col("shingles").alias("sv")), "v")
         return stage(both.mapInArrow(_alike, "u long, v long").distinct())
 
+    def apart(state: DataFrame, bound: str) -> DataFrame:
+        some = state.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).filter(f"a != b and {bound}")
+        return state.join(some.select("band"), "band", "left_semi")
+
+    def side(df: DataFrame, at: str) -> DataFrame:
+        return df.select("band", F.col("key").alias(at), F.col("n").alias(f"n{at}"), F.col("root").alias(f"r{at}"))
+
     links, state = None, buckets.withColumn("root", F.col("key"))
-    for leaders in (1, 4, None):
-        ends = state.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("band")
-        apart = state.join(ends, "band", "left_semi")
-        one = apart.select("band", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-        if leaders:  # the same order in every band, so that the bands of a group choose the same leaders
-            firsts = F.array(*[F.min(F.struct(F.xxhash64(F.lit(23 * leaders + i), "u").alias("order"), "u", "nu", "ru")) for i in range(leaders)])
-            one = one.groupBy("band").agg(F.array_distinct(firsts).alias("firsts")).select("band", F.inline("firsts")).drop("order").distinct()
-        pairs = one.join(apart.select("band", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv")), "band")
-        found = checked(pairs.filter("ru != rv" if leaders else "ru < rv"))
+    for leaders in (1, 4):
+        # the same order in every band, so that the bands of a group choose the same leaders
+        firsts = F.array(*[F.min(F.struct(F.xxhash64(F.lit(23 * leaders + i), "u").alias("order"), "u", "nu", "ru")) for i in range(leaders)])
+        some = apart(state, "true")
+        one = side(some, "u").groupBy("band").agg(F.array_distinct(firsts).alias("firsts")).select("band", F.inline("firsts")).drop("order").distinct()
+        found = checked(one.join(side(some, "v"), "band").filter("ru != rv"))
         links = found if links is None else links.unionByName(found)
-        if leaders:
-            roots = stage(components(links).distinct())
-            state = stage(buckets.join(roots, buckets["key"] == roots["node"], "left").select("band", "key", "n", F.coalesce("root", "key").alias("root")))
-    return links
+        roots = stage(components(links).distinct())
+        state = stage(buckets.join(roots, buckets["key"] == roots["node"], "left").select("band", "key", "n", F.coalesce("root", "key").alias("root")))
+    small = apart(state, f"members <= {SMALL_BUCKET}")
+    few = side(small, "u").join(side(small, "v"), "band").filter("ru < rv").select("u", "v", "nu", "nv")
+    crowd = stage(apart(state, f"members > {SMALL_BUCKET}").select("key", "n", "root").distinct())
+    return links.unionByName(checked(few.unionByName(crowded_pairs(crowd, sets))))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -350,7 +418,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rooted = per_key.join(roots, per_key["key"] == roots["node"], "left").select(F.coalesce("root", "key").alias("root"), "best")
     chosen = stage(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.row").alias("__kept")))
     again = stage(printed.groupBy("doc_id", "row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__kept")))
-    rows = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = docs.withColumn("__row", _row_hash(docs))
 
     def of(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
         return rows.join(some, (rows["__row"] == some["__kept"]) & rows["doc_id"].cast("long").eqNullSafe(some["__id"]), how)

@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import xxhash
+from pyspark.sql import functions as F
 
 from barloom.llm import pieces, pii, quality, simhash
 
@@ -173,6 +175,46 @@ def test_keep_one_keeps_different_texts_of_one_id(spark):
     assert sorted(tuple(r) for r in kept.collect()) == sorted(set(rows[:2] + rows[3:]))
 
 
+def test_a_crowd_below_the_similarity_makes_few_pairs(spark):
+    """Two thousand texts that share half to three quarters of their words meet in band buckets, and are not listed pair by pair."""
+    rnd = random.Random(11)
+    shared = [f"w{rnd.randrange(400)}" for _ in range(120)]
+    texts = {i: " ".join(shared + [f"o{rnd.randrange(10**6)}" for _ in range(rnd.randrange(42, 110))]) for i in range(1200)}
+    for i in range(0, 40, 2):  # among them twenty pairs that are near copies
+        words = texts[i].split()
+        words[-3] = "changed"
+        texts[i + 1] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    sets = docs.select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("data")).mapInArrow(simhash._shingle_set, "key long, shingles binary")
+    members = sets.select("key", F.expr("int(octet_length(shingles) / 8)").alias("n"), F.col("key").alias("root"))
+    pairs = {(r["u"], r["v"]) for r in simhash.crowded_pairs(members, sets).collect()}
+    assert {(i, i + 1) for i in range(0, 40, 2)} <= pairs
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert kept == set(texts) - set(range(1, 40, 2))
+    assert len(pairs) < 2 * len(texts)  # of 720,000
+
+
+def test_crowded_pairs_lose_none(spark):
+    """Random sets, many of them alike: every pair of similarity 0.8 or more is a candidate."""
+    rnd = random.Random(12)
+    groups = [[rnd.getrandbits(64) for _ in range(60)] for _ in range(8)]
+    held = []
+    for i in range(240):
+        own = rnd.sample(groups[i % 8], rnd.randrange(50, 61))
+        held.append(sorted(set(own + [rnd.getrandbits(64) for _ in range(rnd.randrange(0, 4))])))
+    sets = spark.createDataFrame([(i, bytearray(np.array(s, dtype="<u8").tobytes())) for i, s in enumerate(held)], "key long, shingles binary")
+    members = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(held)], "key long, n int, root long")
+    got = {(r["u"], r["v"]) for r in simhash.crowded_pairs(members, sets).collect()}
+    want = {(i, j) for i in range(240) for j in range(i + 1, 240) if 5 * len(set(held[i]) & set(held[j])) >= 4 * len(set(held[i]) | set(held[j]))}
+    assert len(want) > 100 and want <= got
+
+
+def test_keep_one_with_a_map_column(spark):
+    rows = [(1, "a text that stands twice", {"k": 1}), (2, "a text that stands twice", {"k": 2}), (3, "another one", None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>"))
+    assert sorted((r["doc_id"], r["more"]) for r in kept.collect()) == [(1, {"k": 1}), (3, None)]
+
+
 # ---- quality
 def plain_measures(text):
     text = text or ""
@@ -238,9 +280,16 @@ def test_base_spans_equal_patterns():
 
 def test_added_spans():
     text = "see https://a.example/x?y=1, IBAN: DE89 3704 0044 0532 0130 00. account 12345678"
-    got = {k: text[a:b] for k, a, b in pii.find_spans(text) if k not in BASE}
-    assert got == {"url": "https://a.example/x?y=1", "account": "12345678"} or got["url"] == "https://a.example/x?y=1"
-    assert any(text[a:b] == "DE89 3704 0044 0532 0130 00" for k, a, b in pii.find_spans(text) if k == "account")
+    got = [(k, text[a:b]) for k, a, b in pii.find_spans(text) if k not in BASE]
+    assert got == [("url", "https://a.example/x?y=1,"[:-1]), ("account", "DE89 3704 0044 0532 0130 00"), ("account", "12345678")]
+
+
+def test_repeated_schemes_cost_their_length():
+    for text in ("ahttp://" * 130_000, "http://" * 150_000, "x http://a " * 90_000):
+        begun = time.perf_counter()
+        pii.find_spans(text)
+        assert time.perf_counter() - begun < 20
+    assert [k for k, _, _ in pii.find_spans("ahttp://x b http://y")] == ["url"]
 
 
 def test_scan_and_mask_documents(docs, empty):
