@@ -104,9 +104,10 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 if 9 <= len(_digits(m[0])) <= 15:
                     found.append(("phone", at, m.end()))
         elif anchor == "scheme":
-            if at >= done["url"] and (m := _URL.match(text, end + 1)):
+            # the character before comes first: reading on to the next blank for every scheme would be quadratic
+            if at >= done["url"] and (at == 0 or not text[at - 1].isalnum()) and (m := _URL.match(text, end + 1)):
                 stop = end + 1 + len(m[0].rstrip(".,;:!?)]"))
-                if stop > end + 1 and (at == 0 or not text[at - 1].isalnum()):
+                if stop > end + 1:
                     done["url"] = stop
                     found.append(("url", at, stop))
         elif at == 0 or not text[at - 1].isalnum():  # a cue, as a word of its own
