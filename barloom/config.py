@@ -73,6 +73,8 @@ class FeatureConfig:
     vol_window: int = 60
     n_warm_vol: int = 30
     z_window: int = 1440
+    #: "ewma", or "rolling" for z-scores against the past z_window bars and volatility over vol_window bars.
+    estimator: str = "ewma"
     vol_scaled_inputs: bool = False
     chunk: int = 10_080
     #: One of LEAKS: audits plant it to see that they catch it. With ``leak_ms`` it acts at that bar alone.

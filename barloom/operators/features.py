@@ -280,6 +280,39 @@ def rolling_vol(column: str, cfg: FeatureConfig) -> Column:
     return F.sqrt(F.avg(F.col(column) * F.col(column)).over(w) + EPS_VOL)
 
 
+def _sliding(column: str, cfg: FeatureConfig, rows: int, current: bool, power: int = 1, centre: str | None = None) -> tuple[str, str]:
+    """SQL for the running total of a column in its local segment, and for its mean over the last ``rows`` rows as a difference of two totals.
+
+    A sliding frame would read its rows again for every row; totals are two look-ups. The column's first value in the segment is
+    taken off before squares are formed, so little cancels.
+    """
+    seg = f"PARTITION BY {', '.join(timeline(cfg).on_chunk)}, {LSEG} ORDER BY bar_open_ms"
+    g = f"({column} - {centre})" if centre else column
+    total = f"sum({' * '.join([g] * power)}) OVER ({seg} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    near, far = (0, rows) if current else (1, rows + 1)
+    have = f"least(row_number() OVER ({seg}) - {near}, {rows})"
+    upto = "{t}" if current else f"coalesce(lag({{t}}, 1) OVER ({seg}), 0D)"
+    return total, f"({upto} - coalesce(lag({{t}}, {far}) OVER ({seg}), 0D)) / nullif({have}, 0)"
+
+
+def rolling_scores(framed: DataFrame, cfg: FeatureConfig, columns: dict[str, str]) -> DataFrame:
+    """``out -> column``: z-scores against the strictly past ``z_window`` rows, and ``sigma`` over ``vol_window`` rows of ``ret``.
+
+    ``framed`` holds chunks whose halo is at least one row longer than both windows; scores are not yet cut to warm rows.
+    """
+    seg = f"PARTITION BY {', '.join(timeline(cfg).on_chunk)}, {LSEG} ORDER BY bar_open_ms"
+    total, mean = _sliding("ret", cfg, cfg.vol_window, True, 2)
+    x = framed.selectExpr("*", f"{total} AS _t").selectExpr("*", f"sqrt(greatest({mean.format(t='_t')}, 0D) + {EPS_VOL!r}D) AS sigma").drop("_t")
+    if cfg.vol_scaled_inputs:
+        x = x.withColumns({c: F.col(c) / (F.col("sigma") + EPS_VOL) for c in ("f_0", "f_1")})
+    x = x.selectExpr("*", *[f"first({c}) OVER ({seg}) AS _o_{o}" for o, c in columns.items()])
+    sums = {(o, k): _sliding(c, cfg, cfg.z_window, False, k, f"_o_{o}") for o, c in columns.items() for k in (1, 2)}
+    x = x.selectExpr("*", *[f"{t} AS _t{k}_{o}" for (o, k), (t, _) in sums.items()])
+    x = x.selectExpr("*", *[f"{m.format(t=f'_t{k}_{o}')} AS _m{k}_{o}" for (o, k), (_, m) in sums.items()])
+    scores = [f"({c} - _o_{o} - _m1_{o}) / sqrt(greatest(_m2_{o} - _m1_{o} * _m1_{o}, 0D) + {EPS_VAR!r}D) AS {o}" for o, c in columns.items()]
+    return x.selectExpr(*[c for c in framed.columns], "sigma", *scores)
+
+
 def ewma_vol(df: DataFrame, cfg: FeatureConfig, column: str = "ret", out: str = "sigma") -> DataFrame:
     """sqrt of the decayed mean of squared returns, the current one included; adds ``vol_warm`` and the segment columns."""
     df = segment_states(df, timeline(cfg), {"_s": Term(cfg.lam, f"{column} * {column} * {(1 - cfg.lam)!r}D")})
@@ -380,14 +413,25 @@ def compute_features(bars: DataFrame, cfg: FeatureConfig, trades: DataFrame | No
             side = side.withColumns({name: F.lit(default), f"{name}_missing": F.lit(1)})
     if cfg.leak is not None and cfg.leak not in LEAKS:
         raise ValueError(f"leak is one of {LEAKS}, got {cfg.leak}")
-    framed = refuse_repeats(local_segments(side, cfg, 1, 3 if cfg.leak else 1), cfg)
+    rolling = cfg.estimator == "rolling"
+    if cfg.estimator not in ("ewma", "rolling"):
+        raise ValueError(f"estimator is 'ewma' or 'rolling', got {cfg.estimator}")
+    back = max(cfg.z_window, cfg.vol_window) + 1 + cfg.vol_window * cfg.vol_scaled_inputs if rolling else 1
+    framed = refuse_repeats(local_segments(side, cfg, back, 3 if cfg.leak else 1), cfg)
     wide = raw_features(clip_wicks(framed, cfg), cfg)
     then = F.lead("f_0", 2).over(tl.by_segment()).isNotNull() if cfg.leak == "validity_next" else F.lit(False)
     wide = wide.withColumns({"ret": F.col("f_0"), "next_ret": F.lead("f_0").over(tl.by_segment()),
-                             "raw_range": F.col("f_1"), "_then": then}).filter(CORE)
-    wide = wide.select(*KEY, CHUNK, LSEG, "_brk", "_gap", *FLOW_QA, "ret", "next_ret", "_then", *[f"f_{d}" for d in range(N_FEATURES)])
+                             "raw_range": F.col("f_1"), "_then": then})
+    if rolling:
+        wide = rolling_scores(wide, cfg, {f"x_{d}": f"f_{d}" for d in Z_DIMS})
+    scored = ["sigma", *[f"x_{d}" for d in Z_DIMS]] if rolling else []
+    wide = wide.filter(CORE).select(*KEY, CHUNK, LSEG, "_brk", "_gap", *FLOW_QA, "ret", "next_ret", "_then", *[f"f_{d}" for d in range(N_FEATURES)], *scored)
     halves = {f"x_{d}": (f"f_{d}", cfg.half_life_fast if d in FAST_DIMS else cfg.half_life_slow) for d in Z_DIMS}
-    if cfg.vol_scaled_inputs:
+    if rolling:
+        wide = segment_states(wide, tl).withColumn("vol_warm", (F.col("seg_pos") < cfg.warm_vol).cast("int"))
+        warm = {o: F.col("seg_pos") < max(cfg.warm(half), 1) for o, (_, half) in halves.items()}
+        wide = wide.withColumns({f"{o}_warm": w.cast("int") for o, w in warm.items()}).withColumns({o: F.when(w, 0.0).otherwise(clip_finite(o)) for o, w in warm.items()})
+    elif cfg.vol_scaled_inputs:
         wide = ewma_vol(wide, cfg)
         wide = wide.withColumns({f"f_{d}": F.col(f"f_{d}") / (F.col("sigma") + EPS_VOL) for d in (0, 1)})
         wide = ewma_zscores(wide, cfg, halves)

@@ -96,8 +96,7 @@ def asof_ffill(spark, sf_dir):
  ASOF LEFT JOIN oi o ON b.symbol = o.symbol AND b.bar_open_ms + {HOUR} >= o.ts_ms""", "bars", "funding", "oi"))
 def bars_with_flow_funding_oi(spark, sf_dir):
     tl = S.timeline(HCFG)
-    out = B.asof_ffill(V.bars(spark, sf_dir), V.funding(spark, sf_dir), "funding", tl)
-    out = B.asof_ffill(out, V.open_interest(spark, sf_dir), "oi", tl)
+    out = B.asof_marks(V.bars(spark, sf_dir), {"funding": V.funding(spark, sf_dir), "oi": V.open_interest(spark, sf_dir)}, tl)
     return out.select("symbol", "bar_open_ms", "close", "n_trades", rd("funding", 8).alias("funding"), rd("oi").alias("oi"))
 
 

@@ -19,8 +19,7 @@ SEGW = "PARTITION BY symbol, segment_id ORDER BY bar_open_ms"
 def full_bars(spark, sf_dir):
     """Hourly bars with flow, funding and open interest."""
     tl = S.timeline(HCFG)
-    out = B.asof_ffill(pin(V.bars(spark, sf_dir)), V.funding(spark, sf_dir), "funding", tl)
-    return B.asof_ffill(out, V.open_interest(spark, sf_dir), "oi", tl)
+    return B.asof_marks(V.bars(spark, sf_dir), {"funding": V.funding(spark, sf_dir), "oi": V.open_interest(spark, sf_dir)}, tl)
 
 
 cte("fbars", f"""SELECT b.*, coalesce(f.value, 0) AS funding, CASE WHEN f.value IS NULL THEN 1 ELSE 0 END AS funding_missing,
@@ -280,6 +279,26 @@ def tau_warm(spark, sf_dir):
         "symbol", "bar_open_ms", (F.col("seg_pos") < HCFG.w_tau).cast("int").alias("tau_warm"))
 
 
+_RCFG = replace(HCFG, estimator="rolling")
+_PAST = f"({SEGW} ROWS BETWEEN {HCFG.z_window} PRECEDING AND 1 PRECEDING)"
+
+
+def _rolling_sql():
+    half = {d: HCFG.half_life_fast if d in X.FAST_DIMS else HCFG.half_life_slow for d in X.Z_DIMS}
+    zs = ", ".join(f"""CASE WHEN seg_pos < {max(HCFG.warm(h), 1)} THEN 0.0 ELSE greatest(least((f_{d} - avg(f_{d}) OVER {_PAST}) / sqrt(var_pop(f_{d}) OVER {_PAST} + 1e-8), 5.0), -5.0) END AS x_{d}"""
+                   for d, h in half.items())
+    return f"""SELECT *, {zs}, sqrt(avg(ret * ret) OVER ({SEGW} ROWS BETWEEN {HCFG.vol_window - 1} PRECEDING AND CURRENT ROW) + 1e-8) AS sigma,
+ next_ret IS NOT NULL AND seg_pos >= {HCFG.warm_vol} AS target_valid FROM raws"""
+
+
+@query("compute_features_rolling", sql(
+    "SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, " + ", ".join(f"{rq(f'x_{d}', 4)} AS x_{d}" for d in X.Z_DIMS)
+    + f", {rq('sigma')} AS sigma, {rq('CASE WHEN target_valid THEN next_ret / (sigma + 1e-8) END', 4)} AS target, target_valid FROM ({_rolling_sql()})", "raws"))
+def compute_features_rolling(spark, sf_dir):
+    df = X.compute_features(full_bars(spark, sf_dir), _RCFG, V.trades(spark, sf_dir))
+    return df.select("symbol", "bar_open_ms", *[rd(f"x_{d}", 4).alias(f"x_{d}") for d in X.Z_DIMS], rd("sigma").alias("sigma"), rd("target", 4).alias("target"), "target_valid")
+
+
 _VCFG = replace(HCFG, vol_scaled_inputs=True)
 
 
