@@ -137,6 +137,7 @@ def assert_perp_masked(bars: DataFrame) -> DataFrame:
     return bars
 
 
+# ---- fixed values: columns a model may read, and columns kept for quality checks only
 MODEL_ALLOWED = [*[f"x_{d}" for d in range(16)], *[f"m_{d}" for d in range(16)], "bar_open_ms", "raw_ret_close", "raw_range"]
 QA_COLUMNS = ("is_stale", "dq_flags", "vol_recon_err", "segment_id", "symbol")
 

@@ -17,15 +17,11 @@ MAX_BITS_DELTA = 0.5
 
 # ---- code book layout, computed at plan time ---------------------------------------------------------------
 
-def bits_per_token(levels: Sequence[int]) -> float:
-    return sum(math.log2(v) for v in levels)
-
-
 def coarse_fine(levels: Sequence[int]) -> tuple[list[int], list[int]]:
     """Indices of the two groups: levels descending, cut where the bits of both sides are closest."""
     order = sorted(range(len(levels)), key=lambda i: -levels[i])
-    total = bits_per_token(levels)
-    gap = lambda k: abs(2 * bits_per_token([levels[i] for i in order[:k]]) - total)
+    # bits of a group are the logarithm of its number of codes
+    gap = lambda k: abs(math.log2(math.prod(levels[i] for i in order[:k])) - math.log2(math.prod(levels[i] for i in order[k:])))
     cut = min(range(1, len(levels)), key=gap)
     return order[:cut], order[cut:]
 
@@ -39,7 +35,7 @@ def layout_table(spark, layouts: dict[str, Sequence[int]]) -> DataFrame:
     rows = []
     for name, levels in layouts.items():
         vc, vf = vocab_sizes(levels)
-        rows.append((name, len(levels), vc, vf, bits_per_token(levels)))
+        rows.append((name, len(levels), vc, vf, math.log2(vc * vf)))
     return spark.createDataFrame(rows, "layout string, dims int, v_c int, v_f int, bits double")
 
 
@@ -72,10 +68,6 @@ def bsq_codes(z: Column) -> Column:
     return F.transform(z, lambda v: (v >= 0).cast("int"))
 
 
-def bsq_values(codes: Column) -> Column:
-    return F.transform(codes, lambda b: (2.0 * b - 1) / F.sqrt(F.size(codes).cast("double")))
-
-
 def bsq_commitment(z: Column) -> Column:
     """Mean squared distance of the unit latent from its corner."""
     d = z

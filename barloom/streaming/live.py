@@ -129,16 +129,6 @@ def live_features(rows: DataFrame, cfg: FeatureConfig) -> DataFrame:
         statefulProcessor=BarState(cfg), outputStructType=OUT_SCHEMA, outputMode="Append", timeMode="None")
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain what is available into an in-memory table; for tests and small checks."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
-    return df.sparkSession.table(name)
-
-
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Drain what is available into a table on shared storage; the sink is exactly-once."""
     query = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 """S1-S15, C1, C3-C5, D3, D6, E13, V5 and J10 as round trips through files that Spark writes and reads."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators import features as X
@@ -123,15 +124,19 @@ def ledger(spark, sf_dir):
     return Lk.built_symbols(spark, root)
 
 
-@query("verify_inventory", "SELECT 'EXTRA' AS status, 1::BIGINT AS n FROM (SELECT count(*) AS c FROM nation) WHERE c > 0 UNION ALL SELECT 'MISSING', 1 FROM (SELECT count(*) AS c FROM region) WHERE c > 0")
+@query("verify_inventory", """WITH s AS (SELECT event_type AS symbol, row_number() OVER (ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT event_type FROM events))
+SELECT symbol, CASE i % 5 WHEN 0 THEN 'SHORT' WHEN 1 THEN 'CONTENT MISMATCH' ELSE 'EXTRA' END AS status FROM s WHERE i % 5 < 4 UNION ALL SELECT 'no ' || symbol, 'MISSING' FROM s WHERE i % 5 = 3""")
 def verify_inventory(spark, sf_dir):
-    """Files of the lake against a manifest that names one file too many and one too few."""
+    """One file a symbol, against a manifest with other sizes, other contents, files left out and files renamed."""
     root = scratch(spark)
-    V.trades(spark, sf_dir).repartition(4, "trade_id").write.partitionBy("symbol").parquet(root)
+    V.trades(spark, sf_dir).repartition("symbol").write.partitionBy("symbol").parquet(root)
+    symbol = lambda: F.regexp_extract("path", "symbol=([^/]*)/", 1)
     inv = pin(Fl.inventory(spark, root).filter(F.col("path").endswith(".parquet")))
-    drop = inv.agg(F.min("path")).first()[0]
-    manifest = inv.filter(F.col("path") != drop).unionByName(inv.filter(F.col("path") == drop).withColumn("path", F.lit("symbol=none/x.parquet")))
-    return Fl.verify_inventory(inv, manifest).groupBy("status").agg(F.count("*").alias("n"))
+    i = F.col("i") % 5
+    listed = inv.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(symbol())) - 1).filter(i != 2)  # one row per symbol
+    manifest = listed.select(F.when(i == 3, F.regexp_replace("path", "symbol=", "symbol=no ")).otherwise(F.col("path")).alias("path"),
+                             (F.col("size") + F.when(i == 0, 1).otherwise(0)).alias("size"), F.when(i == 1, F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
+    return Fl.verify_inventory(inv, manifest).select(symbol().alias("symbol"), "status")
 
 
 @query("subset_manifest", sql("SELECT 'S' || split_part(symbol, 'S', 2) AS symbol, count(*) AS n_files, sum(bytes)::BIGINT AS size FROM months WHERE symbol LIKE 'S1%USDT' GROUP BY 1", "months").replace(
@@ -166,14 +171,19 @@ def eval_artifacts(spark, sf_dir):
     return Lk.load_eval_artifacts(spark, f"{root}/held", o, ["unit"], cols)[1]
 
 
-@query("forecast_export", """SELECT 'p' || q AS quantile, count(*) AS n FROM (SELECT DISTINCT user_id % 3 AS seed, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) % 8 AS step FROM events UNION ALL
- SELECT DISTINCT -1, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) % 8 FROM events), (SELECT unnest([10, 25, 50, 75, 90]) AS q) GROUP BY 1""")
+_SHARES = (10, 25, 50, 75, 90)
+
+
+@query("forecast_export", f"""SELECT seed, step, 'p' || q AS quantile, {rq('v')} AS value FROM (SELECT coalesce(seed, -1)::BIGINT AS seed, step::BIGINT AS step, unnest({list(_SHARES)}) AS q, unnest([{', '.join(f'quantile_cont(value, {q / 100})' for q in _SHARES)}]) AS v FROM
+ (SELECT user_id % 3 AS seed, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) % 8 AS step, value FROM events) GROUP BY GROUPING SETS ((seed, step), (step)))""")
 def forecast_export(spark, sf_dir):
+    """The exported file, read back."""
     from barloom.workload.window_queries import path_quantiles
     root = scratch(spark)
-    q = path_quantiles(spark, sf_dir)
+    q = pin(path_quantiles(spark, sf_dir))
     Fl.forecast_export(q, q.agg(F.count("*").alias("rows")), root)
-    return spark.read.csv(f"{root}/quantiles", header=True).groupBy("quantile").agg(F.count("*").alias("n"))
+    out = spark.read.schema("seed long, step long, quantile string, value double").csv(f"{root}/quantiles", header=True)
+    return out.withColumn("value", rd("value"))
 
 
 @query("load_universe_spec", sql("SELECT symbol, 'um' AS market, listing_date, true AS perp_available FROM spec", "spec"))
@@ -229,12 +239,21 @@ def build_manifest(spark, sf_dir):
     return Bld.build_manifest(m)
 
 
-@query("verify_lake_identity", sql(
-    "SELECT unnest(['n_symbols', 'n_bars', 'every_symbol_present', 'universe_hash']) AS check, unnest([count(*) > 0, count(*) > 0, count(*) > 0, count(*) > 0]) AS holds FROM panel", "panel").replace("AS check", 'AS "check"'))
+@query("verify_lake_identity", """SELECT lake, unnest(['n_symbols', 'n_bars', 'every_symbol_present', 'universe_hash']) AS "check", unnest(CASE lake WHEN 'whole' THEN [true, true, true, true] WHEN 'without a symbol' THEN [false, false, false, true]
+ WHEN 'without a row' THEN [true, false, true, true] ELSE [true, true, true, false] END) AS holds FROM (SELECT unnest(['whole', 'without a symbol', 'without a row', 'with another hash']) AS lake)""")
 def verify_lake_identity(spark, sf_dir):
+    """The lake as pinned, and with a symbol lost, a row lost and the hash of one symbol changed."""
     p, h = pin(V.panel(spark, sf_dir)), pin(Uq.dataset_hashes(spark, sf_dir))
     pinned = {"n_symbols": h.count(), "n_bars": p.count(), "universe_hash": H.universe_hash(h).first()[0]}
-    return Bld.verify_lake_identity(p, h, pinned)
+    one = p.select(F.min(F.struct("symbol", "bar_open_ms")).alias("k")).first()["k"]
+    first = F.col("symbol") == one["symbol"]
+    cases = {"whole": (p, h), "without a symbol": (p.filter(~first), h), "without a row": (p.filter(~(first & (F.col("bar_open_ms") == one["bar_open_ms"]))), h),
+             "with another hash": (p, h.withColumn("dataset_hash", F.when(first, F.reverse("dataset_hash")).otherwise(F.col("dataset_hash"))))}
+    out = None
+    for name, (lake, manifest) in cases.items():
+        part = Bld.verify_lake_identity(lake, manifest, pinned).select(F.lit(name).alias("lake"), "check", "holds")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("symbol_windows", sql(
@@ -300,9 +319,23 @@ def flow_alignment_audit(spark, sf_dir):
     return both(lag_correlation(spark, sf_dir), values).select("n_groups", "lags", "n_days", "values")
 
 
-@query("finite_guard", sql(f"SELECT symbol, bar_open_ms, {rq('x_10')} AS x_10 FROM panel", "panel"))
+@query("finite_guard", sql(
+    """SELECT unnest(['clean', 'nan', 'infinite', 'null']) AS planted, unnest([false, true, true, true]) AS refused, unnest([count(*), 0, 0, 0]) AS n FROM panel""", "panel"))
 def finite_guard(spark, sf_dir):
-    return X.guard_finite(V.panel(spark, sf_dir), [f"x_{d}" for d in range(16)]).select("symbol", "bar_open_ms", rd("x_10").alias("x_10"))
+    """The guard over the panel as it is, and with one bad cell in a column that is not read afterwards."""
+    p = pin(V.panel(spark, sf_dir))
+    one = p.select(F.min(F.struct("symbol", "bar_open_ms")).alias("k")).first()["k"]
+    here = (F.col("symbol") == one["symbol"]) & (F.col("bar_open_ms") == one["bar_open_ms"])
+    rows = []
+    for name, bad in (("clean", F.col("x_3")), ("nan", F.lit(float("nan"))), ("infinite", F.lit(float("inf"))), ("null", F.lit(None).cast("double"))):
+        planted = X.guard_finite(p.withColumn("x_3", F.when(here, bad).otherwise(F.col("x_3"))), [f"x_{d}" for d in range(16)])
+        try:
+            rows.append((name, False, planted.select("symbol").count()))
+        except Exception as e:  # noqa: BLE001
+            if "non-finite" not in str(e):
+                raise
+            rows.append((name, True, 0))
+    return spark.createDataFrame(rows, "planted string, refused boolean, n long")
 
 
 @query("calibration_slice", sql(
