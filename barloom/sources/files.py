@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -70,34 +70,33 @@ def _header_key(value):
 def read_ohlcv_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """User bars from any number of CSV files with differing headers.
 
-    One job finds the header of every file; files with the same header are read together and their alias columns
-    renamed. ``line`` orders the rows of a file. ``amount`` falls back to volume times close.
+    Each line is joined with the header of its file and parsed by it, so all files are one plan; the driver sees the distinct headers,
+    not the files. ``line`` orders the rows of a file. ``amount`` falls back to volume times close.
     """
     where = paths if isinstance(paths, str) else list(paths)
     lines = spark.read.text(where, recursiveFileLookup=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("i"))
-    heads = lines.filter((F.col("at") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.min_by("value", "i").alias("header"))
-    forms = heads.groupBy(_header_key(F.col("header")).alias("header")).agg(F.collect_list("file").alias("files")).collect()
-    out = None
-    for form in forms:
-        names = [h.strip().strip('"').replace(" ", "_") for h in form["header"].split(",")]
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("i")).filter(F.trim("value") != "")
+    heads = lines.filter("at = 0").groupBy("file").agg(_header_key(F.min_by("value", "i")).alias("form"))
+    forms = {r["form"]: [h.strip().strip('"').replace(" ", "_") for h in r["form"].split(",")] for r in heads.select("form").distinct().collect()}
+    if not forms:
+        raise ValueError("no rows: the files are empty")
+    picks: dict[str, Column | None] = {want: None for want in HEADER_ALIASES}
+    for form, names in forms.items():
         found = {want: next((a for a in aliases if a in names), None) for want, aliases in HEADER_ALIASES.items()}
         lacking = [c for c in REQUIRED if found[c] is None]
         if lacking:
             raise ValueError(f"missing columns {lacking}; header {names}")
-        raw = spark.read.schema(StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])).csv(form["files"])
-        raw = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"))
-        pick = {want: F.col(f"c{names.index(name)}") for want, name in found.items() if name}
-        raw = raw.filter(~((F.col("_at") == 0) & _header_key(pick["close"]).isin(*HEADER_ALIASES["close"])))
-        number = lambda c: pick[c].try_cast("double") if c in pick else F.lit(None).cast("double")
-        part = raw.select(
-            "file", F.struct(F.col("_at").alias("at"), F.col("_i").alias("i")).alias("line"), parse_timestamp_ms(F.trim(pick["timestamp"])).alias("ts_ms"),
-            *[number(c).alias(c) for c in ("open", "high", "low", "close", "volume")], number("amount").alias("_amount"))
-        part = part.withColumn("amount", F.coalesce("_amount", F.col("volume") * F.col("close"))).drop("_amount")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no rows: the files are empty")
-    return out
+        for want, name in found.items():
+            if name:
+                cell = F.when(F.col("form") == form, F.col(f"cell.c{names.index(name)}"))
+                picks[want] = cell if picks[want] is None else F.coalesce(picks[want], cell)
+    width = max(map(len, forms.values()))
+    rows = lines.join(heads, "file").filter(~((F.col("at") == 0) & (_header_key(F.col("value")) == F.col("form"))))
+    rows = rows.withColumn("cell", F.from_csv("value", ", ".join(f"c{i} string" for i in range(width))))
+    number = lambda c: F.trim(picks[c]).try_cast("double") if picks[c] is not None else F.lit(None).cast("double")
+    out = rows.select("file", F.struct("at", "i").alias("line"), parse_timestamp_ms(F.trim(picks["timestamp"])).alias("ts_ms"),
+                      *[number(c).alias(c) for c in ("open", "high", "low", "close", "volume")], number("amount").alias("_amount"))
+    return out.withColumn("amount", F.coalesce("_amount", F.col("volume") * F.col("close"))).drop("_amount")
 
 
 def load_universe_spec(spark: SparkSession, path: str) -> DataFrame:

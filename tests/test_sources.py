@@ -36,6 +36,16 @@ def test_user_csv_without_close_is_refused(spark, tmp_path):
         Fl.read_ohlcv_csv(spark, str(tmp_path / "b.csv"))
 
 
+def test_user_files_with_many_headers_are_one_plan(spark, tmp_path):
+    (tmp_path / "u" / "deep").mkdir(parents=True)
+    (tmp_path / "u" / "a.csv").write_text("\ufeffTimestamp,Open,High,Low,Close,Volume,Amount\n1700000000,1,2,0.5,1.5,10,99\n\n1700000060,1,2,0.5,oops,10,\n")
+    (tmp_path / "u" / "deep" / "b.csv").write_text('\n C , O ,H,L,V,"Date"\n 2.5 ,1,3,0.5,4,"2023-11-14T22:13:20Z"\n')
+    (tmp_path / "u" / "c.csv").write_text("date,open,high,low,close\n1700000000000,7,8,6,7.5\n")
+    (tmp_path / "u" / "blank.csv").write_text("\n\n")
+    got = {(r["file"].rpartition("/")[2], r["ts_ms"]): (r["close"], r["volume"], r["amount"]) for r in Fl.read_ohlcv_csv(spark, str(tmp_path / "u")).collect()}
+    assert got == {("a.csv", 1700000000000): (1.5, 10.0, 99.0), ("a.csv", 1700000060000): (None, 10.0, None), ("b.csv", 1700000000000): (2.5, 4.0, 10.0), ("c.csv", 1700000000000): (7.5, None, None)}
+
+
 def test_inventory_names_every_problem(spark, tmp_path):
     (tmp_path / "d").mkdir()
     for n, text in (("a", "1"), ("b", "22"), ("c", "333"), ("x", "4")):
