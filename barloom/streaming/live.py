@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,89 @@ def live_features(rows: DataFrame, cfg: FeatureConfig) -> DataFrame:
         statefulProcessor=BarState(cfg), outputStructType=OUT_SCHEMA, outputMode="Append", timeMode="None")
 
 
+ASOF_SCHEMA = "symbol string, bar_open_ms long, t long, value double, mark_t long, missing int"
+
+
+class LastMark(StatefulProcessor):
+    """As-of join in a stream: bars get the last mark of their symbol at or before their time, however long ago it came.
+
+    Rows wait until the watermark has passed them, so marks and bars may arrive out of order within the delay; then they are
+    settled in order of time, marks first. A mark is forgotten where its symbol has no row for longer than ``idle_ms`` of event time,
+    whatever the batches. One event-time timer settles rows of a symbol that gets no more, another drops the state of an idle one. The state
+    is the last mark and the rows within the delay.
+    """
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, kind int, seq long, value double, bar_open_ms long")
+        self.last = handle.getValueState("last", "t long, value double, upto long")
+        self.seen = handle.getValueState("seen", "t long")
+
+    def _settle(self, key: Any, now: int, new: list[tuple]) -> pd.DataFrame:
+        rows = sorted([*(tuple(r) for r in (self.waiting.get() if self.waiting.exists() else ())), *new])
+        due = [r for r in rows if r[0] <= now]
+        if len(due) < len(rows):
+            self.waiting.put(rows[len(due):])
+            self.handle.registerTimer(rows[len(due)][0])
+        else:
+            self.waiting.clear()
+        newest = max([r[0] for r in new], default=-1)
+        if newest > (self.seen.get()[0] if self.seen.exists() else -1):
+            self.seen.update((newest,))
+            self.handle.registerTimer(newest + self.idle_ms)
+        if not due:
+            return pd.DataFrame(columns=[c.split()[0] for c in ASOF_SCHEMA.split(", ")])
+        before = self.last.get() if self.last.exists() else None
+        if before is not None:
+            due = [(before[0], 0, -1, before[1], 0), *due]
+        t, kind, _, value, opened = (np.array(c) for c in zip(*due))
+        reached = np.concatenate([t[:1], t[:-1]])  # the time of the row before
+        if before is not None and len(t) > 1:
+            reached[1] = before[2]  # the state stands first with its mark's time; its symbol was heard of later
+        rows_at = np.arange(len(due))
+        since = np.maximum.accumulate(np.where(t - reached > self.idle_ms, rows_at, 0))  # where the last silence ended
+        mark = np.maximum.accumulate(np.where(kind == 0, rows_at, -1))  # the last mark up to each row
+        mark = np.where(mark >= since, mark, -1)
+        if mark[-1] >= 0:
+            self.last.update((int(t[mark[-1]]), float(value[mark[-1]]), int(t[-1])))
+        else:
+            self.last.clear()
+        bars = np.flatnonzero(kind == 1)
+        at = mark[bars]
+        return pd.DataFrame({"symbol": key[0], "bar_open_ms": opened[bars], "t": t[bars], "value": np.where(at >= 0, value[at], 0.0),
+                             "mark_t": pd.arrays.IntegerArray(np.where(at >= 0, t[at], 0).astype("int64"), at < 0), "missing": (at < 0).astype("int32")})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        got = pd.concat(list(rows))
+        new = list(zip(*(got[c].tolist() for c in ("t", "kind", "seq", "value", "bar_open_ms"))))
+        yield self._settle(key, timerValues.getCurrentWatermarkInMs(), new)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        yield self._settle(key, now, [])
+        if self.seen.exists() and self.seen.get()[0] + self.idle_ms <= now:
+            self.last.clear()
+            self.seen.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def last_mark_in_stream(bars: DataFrame, marks: DataFrame, delay: str, idle_ms: int) -> DataFrame:
+    """``bars`` (symbol, bar_open_ms, t) with the last of ``marks`` (symbol, t, seq, value) at or before t; both may be streams.
+
+    Of marks with one time the largest ``seq`` wins. ``missing`` is 1 where no mark is known.
+    """
+    common = lambda df, kind, seq, value, opened: df.select("symbol", "t", F.lit(kind).alias("kind"), seq.alias("seq"), value.alias("value"), opened.alias("bar_open_ms"))
+    zero = F.lit(0).cast("bigint")
+    both = common(bars, 1, zero, F.lit(0.0), F.col("bar_open_ms")).unionByName(common(marks.filter("value is not null"), 0, F.col("seq").cast("bigint"), F.col("value").cast("double"), zero))
+    timed = both.withColumn("event_time", F.timestamp_millis("t")).withWatermark("event_time", delay)
+    return timed.groupBy("symbol").transformWithStateInPandas(statefulProcessor=LastMark(idle_ms), outputStructType=ASOF_SCHEMA, outputMode="Append", timeMode="EventTime")
+
+
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Drain what is available into a table on shared storage; the sink is exactly-once."""
     query = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()

@@ -98,6 +98,25 @@ def stream_funding_join(spark, sf_dir):
     return out.groupBy("symbol").agg(F.count("*").alias("n"), rd(F.sum("value"), 4).alias("value"))
 
 
+@query("stream_last_mark", sql(
+    f"""SELECT k.symbol, k.bar_open_ms::BIGINT AS bar_open_ms, {rq('coalesce(f.value, 0)', 8)} AS value, (f.value IS NULL)::INT AS missing FROM klines k ASOF LEFT JOIN (SELECT symbol, ts_ms, arg_max(price / 1e4, trade_id) AS value FROM trades
+ WHERE user_id % 3 = 0 GROUP BY 1, 2) f ON k.symbol = f.symbol AND k.bar_open_ms + {HOUR} >= f.ts_ms WHERE k.bar_open_ms + {HOUR} <= (SELECT greatest((SELECT max(bar_open_ms) + {HOUR} FROM klines), (SELECT max(ts_ms) FROM trades WHERE user_id % 3 = 0)) - {DELAY_MS})""", "klines", "trades"))
+def stream_last_mark(spark, sf_dir):
+    """Bars and the marks of each third user in two runs, the later half of each hour's rows first; the last mark is kept between runs."""
+    ensure_conf(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    root = scratch(spark)
+    bars = V.klines(spark, sf_dir).select("symbol", "bar_open_ms", (F.col("bar_open_ms") + HOUR).alias("t"))
+    marks = V.trades(spark, sf_dir).filter("user_id % 3 = 0").select("symbol", F.col("ts_ms").alias("t"), F.col("trade_id").alias("seq"), (F.col("price") / 1e4).alias("value"))
+    seam = 1_705_276_800_000  # 2024-01-15
+    for half in (F.col("t") <= seam, F.col("t") > seam):
+        for name, df in (("bars", bars), ("marks", marks)):
+            df.filter(half).orderBy((F.col("t") % HOUR < HOUR // 2), F.rand(1)).write.mode("append").parquet(f"{root}/{name}")
+        streams = [spark.readStream.schema(df.schema).parquet(f"{root}/{name}") for name, df in (("bars", bars), ("marks", marks))]
+        out = St.run_to_parquet(St.last_mark_in_stream(*streams, DELAY, 400 * 24 * HOUR), f"{root}/out", f"{root}/state")
+    return out.select("symbol", "bar_open_ms", rd("value", 8).alias("value"), "missing")
+
+
 @query("stream_dedup", "SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1")
 def stream_dedup(spark, sf_dir):
     """Every tick is sent twice."""
