@@ -137,7 +137,8 @@ def judge(docs: DataFrame, labels: DataFrame, max_false_rejection: float = 0.05,
     """Counts, base_failed and kept of every row of docs.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated windows. kept: not base_failed and no
-    cutoff of the row's language exceeded; a language without certified cutoffs (or null) keeps what the base keeps.
+    cutoff of the row's language exceeded; a language without certified cutoffs keeps what the base keeps.
+    Rows without a language form a stratum of their own and are judged by its cutoffs.
     Repeated rows are judged alike. Rows with null ids are judged but never serve as labelled rows. Empty labels set no cutoff.
     """
     measured = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"), F.coalesce("lang", F.lit("")).alias("stratum"))

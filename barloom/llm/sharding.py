@@ -128,7 +128,8 @@ def even_shards(rows: DataFrame, shards: int = 16, rounds: int | None = None) ->
     """Add `shard` (0 to shards - 1) and `slot` (gapless from 0 in a shard) to rows with a unique `row_key` and a `hub`.
 
     Law `rows`: counts of shards are at most one apart. A null hub links to nothing. A hub with more rows than a
-    shard's quota fills whole shards and leaves the rest together. An empty table gives an empty result.
+    shard's quota has to spread; moves end in a local optimum, in which it need not fill whole shards (2,000 rows in 8 shards, a hub of 667: 199, 123, 89 and
+    less). An empty table gives an empty result.
     """
     total = rows.count()
     quotas = _quotas(total, shards)
