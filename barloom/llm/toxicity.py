@@ -12,6 +12,7 @@ are shown again. Words and n-grams of few sample texts keep a zero vector. The s
 from __future__ import annotations
 
 import zlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -312,21 +313,28 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(best, -60, 60)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample_docs: int = SAMPLE_DOCS) -> Network | None:
-    """A network fitted to at most `sample_docs` texts of each label, of ids outside the held-out fold, by smallest hash of the id.
+def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All labelled texts of the sample in, the parameters of the network out; nothing where one of the labels has no text."""
+    rows = sorted((i, bytes(d), t) for b in batches for i, d, t in zip(b["doc_id"].to_pylist(), b["data"].to_pylist(), b["toxic"].to_pylist()))
+    if len({t for _, _, t in rows}) == 2:
+        net = train([d for _, d, _ in rows], [t for _, _, t in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], ["net"])
 
-    An id labelled twice is toxic if any label says so; null ids and labels do not count. None if either label has no text.
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray] | None:
+    """Parameters of a network fitted to at most `sample_docs` texts of each label, of ids outside the held-out fold, by smallest hash of the id.
+
+    An id labelled twice is toxic if any label says so; null ids and labels do not count. None if either label has no text. The sample
+    meets in one task, which trains; the driver gets the parameters, about 4 MB.
     """
     known = (labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
              .filter(training_row(F.col("doc_id"), folds, held_out)))
     order = (F.xxhash64("doc_id", F.lit(31)), F.col("doc_id"))
     chosen = known.filter("toxic = 1").orderBy(*order).limit(sample_docs).unionByName(known.filter("toxic = 0").orderBy(*order).limit(sample_docs))
     # bounded: 2 * sample_docs texts, one for each id
-    rows = docs_of(docs).join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("data", "toxic")).alias("r")).collect()
-    rows = sorted((r["doc_id"], bytes(r["r"]["data"]), r["r"]["toxic"]) for r in rows)
-    if len({t for _, _, t in rows}) < 2:
-        return None
-    return train([d for _, d, _ in rows], [t for _, _, t in rows])
+    sample = docs_of(docs).join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("data", "toxic")).alias("r")).select("doc_id", "r.data", "r.toxic")
+    found = sample.repartition(1).mapInArrow(_train_rows, "net binary").collect()
+    return pickle.loads(bytes(found[0]["net"])) if found else None
 
 
 def _score_with(shared):
@@ -344,16 +352,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out
 
     Null texts count as empty and are scored too. Without labels of both kinds all scores are 0. Rows may repeat or lack an id.
     """
-    net = fit(docs, labels, folds, held_out)
-    shared = docs.sparkSession.sparkContext.broadcast(net.p if net else None)  # a fixed size, about 4 MB
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held_out))  # a fixed size, about 4 MB
     scored = docs_of(docs).mapInArrow(_score_with(shared), "doc_id long, score double")
     return scored.select("doc_id", (~training_row(F.col("doc_id"), folds, held_out)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """docs without the rows whose score reaches the threshold; same columns."""
-    net = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(net.p if net else None)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
