@@ -224,3 +224,17 @@ def test_audit_meets_every_bar_and_catches_a_lost_one(spark, tape, bars):
     at = 13 * MIN
     flagged = L.caught_leaks(t, cfg, sl, {"sigma_next": at}).first()
     assert flagged["n_failures"] > 0 and "sigma" in flagged["outputs"]
+
+
+def test_a_low_of_zero_scores_the_bound(spark):
+    """An infinite range scores 5, so do the later rows whose past holds it, in other chunks too; the job does not fail."""
+    cfg = replace(CFG, bar_ms=1, chunk=16, structural=50.0, n_warm=2, half_life_fast=4, half_life_slow=4, z_window=6, vol_window=4, n_warm_vol=2, mad_window=4)
+    rows = [("s", t, 10.0, 11.0 + t % 3, 0.0 if t in (0, 60) else 9.0, 10.0, 5.0, 50.0) for t in [*range(10), *range(50, 80)]]
+    bars = spark.createDataFrame(rows, "symbol string, bar_open_ms long, open double, high double, low double, close double, v_kline double, quote_volume double")
+    flow = B.reduce_trades(spark.createDataFrame([("s", 0, 1, 10.0, 2.0, False)], "symbol string, ts_ms long, trade_id long, price double, quantity double, is_buyer_maker boolean"), 1)
+    bars = B.attach_trades(bars, flow)
+    got = {r["bar_open_ms"]: r for r in X.guard_finite(X.compute_features(bars, cfg), [f"x_{d}" for d in range(16)]).collect()}
+    assert len(got) == len(rows) and got[60]["raw_range"] == math.inf
+    assert {got[t]["x_1"] for t in [*range(2, 10), *range(60, 80)]} == {5.0} and abs(got[59]["x_1"]) < 5
+    rolling = {r["bar_open_ms"]: r["x_1"] for r in X.compute_features(bars, replace(cfg, estimator="rolling")).collect()}
+    assert {rolling[t] for t in range(60, 67)} == {5.0} and all(abs(rolling[t]) < 5 for t in [*range(52, 60), *range(67, 80)])
