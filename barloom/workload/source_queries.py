@@ -198,8 +198,7 @@ def load_universe_spec(spark, sf_dir):
 @query("build_features", sql(
     "SELECT symbol, bar_open_ms::BIGINT AS bar_open_ms, " + ", ".join(f"{rq(f'x_{d}', FQ._D[d])} AS x_{d}" for d in range(16)) + f", {rq('sigma')} AS sigma FROM masked", "masked"))
 def build_features(spark, sf_dir):
-    # the build refuses bars without positive prices, so those trades are left out before it, as a user must
-    ticks = V.trades(spark, sf_dir).filter("price > 0")
+    ticks = V.trades(spark, sf_dir)
     out = Bld.build_features(ticks, V.stated(spark, sf_dir, ticks), HCFG, V.funding(spark, sf_dir), V.open_interest(spark, sf_dir))
     return out.select("symbol", "bar_open_ms", *[rd(f"x_{d}", FQ._D[d]).alias(f"x_{d}") for d in range(16)], rd("sigma").alias("sigma"))
 
