@@ -123,6 +123,12 @@ def test_subset_guarantees_a_delisted_symbol(spark):
     assert sorted(got["symbol"]) == ["a", "c"]
 
 
+def test_subset_without_the_guarantee_is_the_prefix(spark):
+    rows = [("a", 10, None), ("b", 20, None), ("c", 500, "2020-01-01")]
+    got = U.select_subset(spark.createDataFrame(rows, "symbol string, size long, delisting_date string"), 100, delisted=False).toPandas()
+    assert sorted(got["symbol"]) == ["a", "b"]
+
+
 def test_missing_spread_fails(spark):
     d = spark.createDataFrame([("a",), ("b",)], "symbol string")
     with pytest.raises(Exception, match="no spread"):
