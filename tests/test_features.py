@@ -238,3 +238,31 @@ def test_a_low_of_zero_scores_the_bound(spark):
     assert {got[t]["x_1"] for t in [*range(2, 10), *range(60, 80)]} == {5.0} and abs(got[59]["x_1"]) < 5
     rolling = {r["bar_open_ms"]: r["x_1"] for r in X.compute_features(bars, replace(cfg, estimator="rolling")).collect()}
     assert {rolling[t] for t in range(60, 67)} == {5.0} and all(abs(rolling[t]) < 5 for t in [*range(52, 60), *range(67, 80)])
+
+
+def test_audits_stand_zero_prices_and_reduce_ticks_once(spark, tape, bars):
+    """Every mode passes on a tape with a low of zero, and a source's ticks count for every replay that holds it as its own would."""
+    from barloom.operators import leakage as L
+
+    cfg = replace(CFG, mad_window=6, w_tau=5, half_life_fast=4, half_life_slow=6, n_warm=3, n_warm_vol=3, vol_window=4, z_window=6, chunk=32)
+    k = bars.filter((F.col("symbol") == "hot") & (F.col("bar_open_ms") < 40 * MIN)).select("symbol", "bar_open_ms", "open", "high", "low", "close", "v_kline", "quote_volume")
+    k = k.withColumn("low", F.when(F.col("bar_open_ms") == 25 * MIN, 0.0).otherwise(F.col("low")))
+    marks = spark.createDataFrame([("hot", t * MIN // 2, float(t)) for t in range(80)], "symbol string, ts_ms long, value double")
+    ticks_ = tape.filter(f"symbol = 'hot' and ts_ms < {40 * MIN}")
+    t, sl = L.Tape(k, ticks_, marks, marks).pinned(), L.Slices(16, 12, 3)
+    for mode in ("noise", "signflip"):
+        assert all(r["n_checks"] == 40 and r["n_failures"] == 0 for r in L.audit(t, cfg, sl, mode=mode).collect())
+    cuts = L._cuts(k.select("symbol", "bar_open_ms"), t, sl, MIN)
+    made = L.replays(t, cuts, sl, MIN)
+    assert made.trades.count() == ticks_.count()  # as many as there are, not once a replay
+    whole = made.sources.join(made.trades.withColumnRenamed("symbol", "source"), "source").drop("source")
+    got, want = (sorted(map(tuple, x.select("symbol", "bar_open_ms", "n_large").collect())) for x in (
+        X.large_trades(made.klines, made.trades, cfg, made.sources), X.large_trades(made.klines, whole, cfg)))
+    assert got == want and len(got) > 40
+
+
+def test_a_latent_that_is_no_number_has_no_code(spark):
+    from barloom.operators.tokens import fsq_codes
+
+    df = spark.createDataFrame([([float("nan"), 0.0],)], "z array<double>")
+    assert df.select(fsq_codes(F.col("z"), [9, 7]).alias("c")).first()["c"] == [None, 3]
