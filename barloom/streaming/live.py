@@ -61,10 +61,15 @@ def late_ticks(ticks: DataFrame, bars: DataFrame, step: int) -> DataFrame:
 
 
 def funding_in_stream(bars: DataFrame, marks: DataFrame, width: str, delay: str) -> DataFrame:
-    """Bars joined with the funding marks of the preceding interval; both sides are bounded by watermarks."""
-    b = bars.withWatermark("bar_time", delay).alias("b")
-    m = marks.withWatermark("mark_time", delay).alias("m")
-    near = F.expr(f"b.symbol = m.symbol AND m.mark_time <= b.bar_time AND m.mark_time > b.bar_time - interval {width}")
+    """Bars joined with the funding marks of the preceding interval; both sides are bounded by watermarks.
+
+    The interval reaches over two slots of its width, so a mark stands in its own slot and the next and a bar in its own: a pair meets
+    once, and a row looks through the state of one (symbol, slot), not of the symbol.
+    """
+    b = bars.withWatermark("bar_time", delay).withColumn("slot", F.window("bar_time", width).start).alias("b")
+    m = marks.withWatermark("mark_time", delay).withColumn("own", F.window("mark_time", width))
+    m = m.withColumn("slot", F.explode(F.array("own.start", "own.end"))).drop("own").alias("m")
+    near = F.expr(f"b.symbol = m.symbol AND b.slot = m.slot AND m.mark_time <= b.bar_time AND m.mark_time > b.bar_time - interval {width}")
     return b.join(m, near, "leftOuter").select("b.symbol", "b.bar_time", "m.mark_time", "m.value")
 
 

@@ -27,3 +27,18 @@ def test_last_mark_in_any_order_of_arrival(spark, tmp_path):
         ("a", 1000): (5.0, 500, 0), ("a", 2000): (7.0, 1500, 0), ("a", 3000): (8.0, 2500, 0), ("a", 9000): (8.0, 2500, 0),
         ("b", 60_000): (0.0, None, 1),  # idle for longer than 30 seconds: forgotten
         ("a", 60_500): (0.0, None, 1), ("a", 90_000): (2.0, 61_000, 0), ("b", 100_000): (0.0, None, 1)}
+
+
+def test_funding_pairs_meet_once_across_slots(spark, tmp_path):
+    """Pairs in one slot, over a slot's edge, at the same time and exactly an interval apart (not a pair); slots are part of the join's key."""
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name, times in (("bars", [3500, 3600, 7199, 7300]), ("marks", [10, 3500, 3599, 3600, 7200])):
+        spark.createDataFrame([("a", t) for t in times], "symbol string, s long").write.parquet(str(tmp_path / name))
+    b, m = (spark.readStream.schema("symbol string, s long").parquet(str(tmp_path / n)) for n in ("bars", "marks"))
+    joined = St.funding_in_stream(b.select("symbol", F.timestamp_seconds("s").alias("bar_time")), m.select("symbol", F.timestamp_seconds("s").alias("mark_time"), F.lit(1.0).alias("value")), "1 hour", "2 hours")
+    assert "slot" in joined._jdf.queryExecution().analyzed().toString()
+    out = St.run_to_parquet(joined, str(tmp_path / "out"), str(tmp_path / "state")).filter("mark_time is not null")
+    got = sorted(map(tuple, out.select(F.unix_seconds("bar_time"), F.unix_seconds("mark_time")).collect()))
+    assert got == sorted((x, y) for x in (3500, 3600, 7199, 7300) for y in (10, 3500, 3599, 3600, 7200) if x - 3600 < y <= x)
