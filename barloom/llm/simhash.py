@@ -1,4 +1,4 @@
-"""SimHash near-duplicates with BK-trees.
+"""SimHash near-duplicates with BK-trees, and near copies (keep_one), for which the trees give the first candidates.
 
 Fingerprints within 3 bits of each other agree in at least 2 of 5 bit blocks, so the fingerprints that share a
 pair of blocks form a shard, and every link lies inside some shard. In a shard a BK-tree holds the fingerprints: a child
@@ -61,24 +61,34 @@ def bit_counts(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_hashes(data: bytes, width: int = 3) -> list[int]:
-    """XXH64 (seed 42) of every run of `width` words, repeats included; of all words if there are fewer; none without words."""
+def _joined(data: bytes) -> tuple[bytes, list[int]]:
+    """The words in lower case, joined by blanks, and where the word after each begins."""
     words = data.lower().split()
-    if not words:
+    return b" ".join(words), list(itertools.accumulate(len(w) + 1 for w in words))
+
+
+def _runs(joined: bytes, ends: list[int], width: int) -> list[int]:
+    if not ends:
         return []
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return [xxhash.xxh64_intdigest(joined, 42)]
-    ends = list(itertools.accumulate(len(w) + 1 for w in words))
     digest = xxhash.xxh64_intdigest
+    if len(ends) <= width:
+        return [digest(joined, 42)]
     return [digest(joined[a:b], 42) for a, b in zip(itertools.chain((0,), ends), (e - 1 for e in ends[width - 1:]))]
 
 
+def shingle_hashes(data: bytes, width: int = 3) -> list[int]:
+    """XXH64 (seed 42) of every run of `width` words, repeats included; of all words if there are fewer; none without words."""
+    return _runs(*_joined(data), width)
+
+
 def fingerprints(texts: list[bytes]) -> np.ndarray:
     """SimHash of each text as uint64; 0 for a text without words."""
-    hashes = [shingle_hashes(t) for t in texts]
+    return _majorities([shingle_hashes(t) for t in texts])
+
+
+def _majorities(hashes: list[list[int]]) -> np.ndarray:
     lengths = np.array([len(h) for h in hashes], dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros(len(hashes), dtype=np.uint64)
     some = lengths > 0
     if some.any():
         flat = np.fromiter(itertools.chain.from_iterable(hashes), dtype=np.uint64, count=int(lengths.sum()))
@@ -247,14 +257,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_copy_prints(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of all columns), key (equal for equal words, 0 without words), n (distinct shingles) and bands of every row."""
+    """doc_id, row (hash of all columns), key (equal for equal words, 0 without words), n (distinct shingles), fp and bands of every row."""
     data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    return data.mapInArrow(_band, "doc_id long, row long, key long, n int, bands array<long>")
-
-
-def _words_key(data: bytes) -> int:
-    words = data.lower().split()
-    return xxhash.xxh64_intdigest(b" ".join(words), 43) if words else 0
+    return data.mapInArrow(_band, "doc_id long, row long, key long, n int, fp long, bands array<long>")
 
 
 def band_keys(shingles: list[list[int]]) -> np.ndarray:
@@ -271,16 +276,17 @@ def band_keys(shingles: list[list[int]]) -> np.ndarray:
 
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        texts = batch["data"].to_pylist()
-        shingles = [shingle_hashes(t, SHINGLE) for t in texts]
+        texts = [_joined(t) for t in batch["data"].to_pylist()]
+        fps = _majorities([_runs(*t, 3) for t in texts])
+        shingles = [_runs(*t, SHINGLE) for t in texts]
         some = [i for i, s in enumerate(shingles) if s]
         counts = np.zeros(len(texts) + 1, dtype=np.int32)
         counts[1:] = [BANDS if s else 0 for s in shingles]
         found = band_keys([shingles[i] for i in some]).view(np.int64).ravel() if some else np.zeros(0, dtype=np.int64)
-        keys = np.array([_words_key(t) for t in texts], dtype=np.uint64).view(np.int64)
+        keys = np.array([xxhash.xxh64_intdigest(joined, 43) if ends else 0 for joined, ends in texts], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["row"], pa.array(keys), pa.array([len(set(s)) for s in shingles], pa.int32()),
-             pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(found))], ["doc_id", "row", "key", "n", "bands"])
+            [batch["doc_id"], batch["row"], pa.array(keys), pa.array([len(set(s)) for s in shingles], pa.int32()), pa.array(fps.view(np.int64)),
+             pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(found))], ["doc_id", "row", "key", "n", "fp", "bands"])
 
 
 def _shingle_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,10 +363,28 @@ def crowded_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.col("keyu").alias("u"), F.col("keyv").alias("v"), "nu", "nv").distinct()
 
 
+def fingerprint_pairs(printed: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (u, v, nu, nv) of keys: the links that BK-trees give between fingerprints, and each text with one of those of equal fingerprint.
+
+    A fingerprint is searched once, however many texts have it. Texts without words take no part.
+    """
+    texts = stage(printed.filter("n > 0").select("fp", "key", "n").distinct())
+    firsts = stage(texts.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("first")).select("fp", "first.*"))
+    u, v = (firsts.select(F.col("fp").alias(f"f{at}"), F.col("key").alias(at), F.col("n").alias(f"n{at}")) for at in "uv")
+    links = near_links(firsts.select("fp"), radius).select(F.col("u").alias("fu"), F.col("v").alias("fv")).distinct()
+    across = links.join(u, "fu").join(v, "fv").select("u", "v", "nu", "nv")
+    same = texts.join(u, texts["fp"] == u["fu"]).filter("key != u").select("u", F.col("key").alias("v"), "nu", F.col("n").alias("nv"))
+    pairs = stage(across.unionByName(same))
+    unstage(texts, firsts)
+    return pairs
+
+
 def near_copy_links(docs: DataFrame, printed: DataFrame) -> DataFrame:
     """Links (u, v) between keys whose sets of five-word shingles have similarity 0.8 or more; they connect what all such pairs would.
 
-    Texts that agree in a band are candidates and every link is checked exactly. A bucket's members are first held against one, then
+    Candidates are texts whose SimHash fingerprints BK-trees find within RADIUS bits, and, as copies of such similarity differ by
+    some ten bits on average, also texts that agree in a band; every link is checked exactly. What the trees have joined is not held against each other
+    again. A bucket's members are first held against one, then
     against several leaders, which joins a large group of near copies at the cost of its size. Between what is then still apart, buckets of at most
     SMALL_BUCKET members list their pairs; members of larger ones meet by `crowded_pairs`, so texts that merely share a long
     passage are not listed against each other.
@@ -368,8 +392,10 @@ def near_copy_links(docs: DataFrame, printed: DataFrame) -> DataFrame:
     keyed = stage(printed.filter("n > 0").select("key", "n", F.explode("bands").alias("band")).distinct())
     shared = keyed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
     buckets = stage(keyed.join(shared, "band", "left_semi"))
+    close = fingerprint_pairs(printed)
     # the shingles of one row per candidate key
-    rows = printed.join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    candidates = buckets.select("key").unionByName(close.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
+    rows = printed.join(candidates, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
     data = docs.select(_row_hash(docs).alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     sets = stage(data.join(rows, "row").select("key", "data").mapInArrow(_shingle_set, "key long, shingles binary"))
     unstage(keyed)
@@ -389,16 +415,21 @@ def near_copy_links(docs: DataFrame, printed: DataFrame) -> DataFrame:
     def side(df: DataFrame, at: str) -> DataFrame:
         return df.select("band", F.col("key").alias(at), F.col("n").alias(f"n{at}"), F.col("root").alias(f"r{at}"))
 
-    links, state = None, buckets.withColumn("root", F.col("key"))
+    def joined(links: DataFrame) -> DataFrame:
+        roots = stage(components(links).distinct())
+        return stage(buckets.join(roots, buckets["key"] == roots["node"], "left").select("band", "key", "n", F.coalesce("root", "key").alias("root")))
+
+    links = checked(close)
+    unstage(close)
+    state = joined(links)
     for leaders in (1, 4):
         # the same order in every band, so that the bands of a group choose the same leaders
         firsts = F.array(*[F.min(F.struct(F.xxhash64(F.lit(23 * leaders + i), "u").alias("order"), "u", "nu", "ru")) for i in range(leaders)])
         some = apart(state, "true")
         one = side(some, "u").groupBy("band").agg(F.array_distinct(firsts).alias("firsts")).select("band", F.inline("firsts")).drop("order").distinct()
         found = checked(one.join(side(some, "v"), "band").filter("ru != rv"))
-        links = found if links is None else links.unionByName(found)
-        roots = stage(components(links).distinct())
-        state = stage(buckets.join(roots, buckets["key"] == roots["node"], "left").select("band", "key", "n", F.coalesce("root", "key").alias("root")))
+        links = links.unionByName(found)
+        state = joined(links)
     small = apart(state, f"members <= {SMALL_BUCKET}")
     few = side(small, "u").join(side(small, "v"), "band").filter("ru < rv").select("u", "v", "nu", "nv")
     crowd = stage(apart(state, f"members > {SMALL_BUCKET}").select("key", "n", "root").distinct())

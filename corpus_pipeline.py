@@ -9,15 +9,26 @@ from barloom.llm import mixing, pieces, pii, simhash, toxicity
 from barloom.llm.common import stage, table
 
 
+#: Rows in a batch that Spark hands to a Python worker; whole texts in Spark's default of 10,000 take some 100 MB a task in each process.
+BATCH_ROWS = "1024"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pii.mask_documents(docs)
 
 
@@ -27,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and score of every document."""
+    small_batches(spark)
     return pieces.encode_documents(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
 

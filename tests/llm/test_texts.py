@@ -209,6 +209,24 @@ def test_crowded_pairs_lose_none(spark):
     assert len(want) > 100 and want <= got
 
 
+def test_near_copies_meet_in_the_trees_of_fingerprints(spark):
+    """With no band in common, near copies are found through SimHash fingerprints; equal fingerprints alone make no link."""
+    rnd = random.Random(13)
+    rows = []
+    for _ in range(30):  # one word of 900 differs
+        words = [f"w{rnd.randrange(400)}" for _ in range(900)]
+        rows += [" ".join(words), " ".join(words[:700] + ["changed"] + words[701:])]
+    rows += ["go on now " * 50 + " ".join(f"t{rnd.randrange(10**6)}" for _ in range(12)) for _ in range(3)]  # three shingles outvote all others
+    prints = simhash.fingerprints([r.encode() for r in rows]).tolist()
+    assert prints[-1] == prints[-2] == prints[-3] and similarity(rows[-1], rows[-2]) < 0.8
+    near = {(i, i + 1) for i in range(0, 60, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 3}
+    assert len(near) > 10 and any(prints[i] != prints[j] for i, j in near)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    printed = simhash.near_copy_prints(docs).withColumn("bands", F.array(F.col("key")))
+    of = {r["key"]: r["doc_id"] for r in printed.collect()}
+    assert {tuple(sorted((of[r["u"]], of[r["v"]]))) for r in simhash.near_copy_links(docs, printed).collect()} == near
+
+
 def test_keep_one_with_a_map_column(spark):
     rows = [(1, "a text that stands twice", {"k": 1}), (2, "a text that stands twice", {"k": 2}), (3, "another one", None)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>"))
