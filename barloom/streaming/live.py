@@ -73,6 +73,91 @@ def funding_in_stream(bars: DataFrame, marks: DataFrame, width: str, delay: str)
     return b.join(m, near, "leftOuter").select("b.symbol", "b.bar_time", "m.mark_time", "m.value")
 
 
+SUMS_SCHEMA = "symbol string, t long, n long, n_valued long, value double"
+
+
+def range_sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sums of values[lo:hi] out of sums of aligned runs: a range costs two runs of each size, and nothing outside it enters its sum."""
+    out, lo, hi = np.zeros(len(lo)), lo.copy(), hi.copy()
+    with np.errstate(invalid="ignore"):
+        while (lo < hi).any():
+            first = (lo & 1 == 1) & (lo < hi)
+            out[first] += values[lo[first]]
+            lo[first] += 1
+            last = (hi & 1 == 1) & (lo < hi)
+            hi[last] -= 1
+            out[last] += values[hi[last]]
+            lo, hi = lo >> 1, hi >> 1
+            values = np.append(values, np.zeros(len(values) % 2))
+            values = values[::2] + values[1::2]
+    return out
+
+
+class IntervalSums(StatefulProcessor):
+    """Count and sum of the marks in the interval before each bar of one (symbol, slot), pair by pair but without making the pairs.
+
+    A new bar meets the marks known so far, a known bar the marks that are new; each meeting is one row. The state holds what came in each
+    micro-batch as packed arrays, until the watermark has passed the slot's end.
+    """
+
+    def __init__(self, width: int, span: int) -> None:
+        self.width, self.span = width, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pieces = handle.getListState("pieces", "bars binary, marks binary, vals binary, valued binary")
+
+    def _meet(self, key: Any, bars: np.ndarray, marks: tuple[np.ndarray, ...]) -> pd.DataFrame:
+        order = np.argsort(marks[0], kind="stable")
+        t, value, valued = (a[order] for a in marks)
+        lo, hi = np.searchsorted(t, bars - self.width, "right"), np.searchsorted(t, bars, "right")
+        known = np.concatenate([[0], np.cumsum(valued.astype("int64"))])
+        return pd.DataFrame({"symbol": key[0], "t": bars, "n": hi - lo, "n_valued": known[hi] - known[lo], "value": range_sums(value, lo, hi)})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        got = pd.concat([r[["t", "kind", "value", "valued"]] for r in rows])
+        is_bar = got["kind"].to_numpy() == 1
+        t, value, valued = (got[c].to_numpy(d) for c, d in (("t", "int64"), ("value", "float64"), ("valued", "bool")))
+        bars, marks = t[is_bar], (t[~is_bar], value[~is_bar], valued[~is_bar])
+        kinds = ("int64", "int64", "float64", "bool")
+        held = [[np.frombuffer(b, k) for b, k in zip(piece, kinds)] for piece in self.pieces.get()] if self.pieces.exists() else []
+        if not held:
+            self.handle.registerTimer((int(key[1]) + 1) * self.span // 1000)
+        self.pieces.appendValue(tuple(a.tobytes() for a in (bars, *marks)))
+        yield self._meet(key, bars, tuple(np.concatenate([*(p[i + 1] for p in held), m]) for i, m in enumerate(marks)))
+        if held and len(marks[0]):
+            more = self._meet(key, np.concatenate([p[0] for p in held]), marks)
+            yield more[more["n"] > 0]
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.pieces.clear()
+        yield pd.DataFrame(columns=[c.split()[0] for c in SUMS_SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def funding_sums_in_stream(bars: DataFrame, marks: DataFrame, width_ms: int, delay: str, widths: int = 6) -> DataFrame:
+    """``funding_in_stream`` summed by bar: symbol, bar_time, n marks in the preceding interval, n_valued of them with a value and its sum.
+
+    Pairs grow with the product of both sides, these rows with their sum. A bar comes out once when it arrives, with the marks known
+    by then, and again for marks that come later; totals add its rows up. A slot spans so many ``widths``; a mark stands in the slots of the bars
+    it can meet.
+    """
+    width = width_ms * 1000
+    span = width * widths
+    b = bars.select("symbol", F.col("bar_time").alias("event_time"), F.lit(1).alias("kind"), F.lit(0.0).alias("value"), F.lit(False).alias("valued"))
+    m = marks.select("symbol", F.col("mark_time").alias("event_time"), F.lit(0).alias("kind"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"),
+                     F.col("value").isNotNull().alias("valued"))
+    both = b.withWatermark("event_time", delay).unionByName(m.withWatermark("event_time", delay)).filter("symbol is not null and event_time is not null")
+    both = both.withColumn("t", F.unix_micros("event_time"))
+    slot = lambda t: F.floor(t / span)
+    slots = F.sequence(slot(F.col("t")), slot(F.col("t") + F.when(F.col("kind") == 1, 0).otherwise(width - 1)))
+    out = both.withColumn("slot", F.explode(slots)).groupBy("symbol", "slot").transformWithStateInPandas(
+        statefulProcessor=IntervalSums(width, span), outputStructType=SUMS_SCHEMA, outputMode="Append", timeMode="EventTime")
+    return out.select("symbol", F.timestamp_micros("t").alias("bar_time"), "n", "n_valued", F.when(F.col("n_valued") > 0, F.col("value")).alias("value"))
+
+
 OUT_SCHEMA = "symbol string, bar_open_ms long, segment_id long, seg_pos long, ret double, z double, z_warm int, sigma double, vol_warm int, funding double"
 STATE_SCHEMA = "prev_ts long, prev_close double, seg long, pos long, mu double, var double, s double, funding double"
 
