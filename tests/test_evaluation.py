@@ -129,6 +129,25 @@ def test_subset_without_the_guarantee_is_the_prefix(spark):
     assert sorted(got["symbol"]) == ["a", "b"]
 
 
+def test_subset_query_holds_a_delisted_symbol(spark, tmp_path):
+    """The prefix of suppliers 1 and 2 has no delisted symbol: 6, the smaller of the delisted ones, takes the place of 2."""
+    import datetime
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    day = lambda m: datetime.datetime(1998, m, 3)
+    rows = [(1, day(6), 10_000.0), (2, day(6), 20_000.0), (5, day(1), 600_000.0), (6, day(1), 500_000.0), (8, day(6), 550_000.0)]
+    li = spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp_ntz, l_quantity double").withColumn("l_extendedprice", F.lit(1.0))
+    li.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(map(tuple, entry.queries()["select_subset"](spark, str(tmp_path)).collect()))
+    assert got == [("S1USDT", 10_000_000), ("S6USDT", 500_000_000)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(con.execute(entry.oracle_sql()["select_subset"]).fetchall()) == got
+
+
 def test_missing_spread_fails(spark):
     d = spark.createDataFrame([("a",), ("b",)], "symbol string")
     with pytest.raises(Exception, match="no spread"):
